@@ -1 +1,111 @@
-"""Queries."""
+"""Queries: schema unification (N1-N10) on the ``code_raw`` view."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from codepref.operators import normalize as nz
+from codepref.plans.catalog import register
+from codepref.sources.fixtures import oracle_ctes, view
+
+RAW = oracle_ctes("code_raw", "code_base")
+STRIP = r"regexp_replace({x}, '^\s+|\s+$', '', 'g')"
+DOC_RE = r"(?s)/\*\*.*?\*/"
+METHOD_RE2 = r"([\p{L}\p{N}_]+\s+[\p{L}\p{N}_]+\s*)\((.*?)\)"
+
+JAVA_SQL = f"""
+SELECT row_id,
+  CASE WHEN instr(func_code_string, '{{') > 0 THEN {STRIP.format(x="split_part(func_code_string, '{', 1)")} END AS function_def,
+  chr(9) || '* ' || replace(func_documentation_string, chr(10), chr(10) || chr(9) || '* ') AS documentation,
+  {STRIP.format(x="split_part(func_code_string, '{', 1)")} || ' {{' || chr(10) || '    /**' || chr(10) || chr(9) || '* '
+    || replace(func_documentation_string, chr(10), chr(10) || chr(9) || '* ') || chr(10) || '    */' AS prompt,
+  CASE WHEN instr(func_code_string, '{{') > 0 THEN substr(func_code_string, instr(func_code_string, '{{') + 1) END
+    AS code_completion
+FROM code_raw WHERE language = 'java'
+"""
+
+KOTLIN_SQL = f"""
+SELECT row_id,
+  CASE WHEN regexp_extract(problem, '{DOC_RE}') <> ''
+       THEN {STRIP.format(x=f"regexp_replace(problem, '{DOC_RE}', '', 'g')")} END AS function_def,
+  CASE WHEN regexp_extract(problem, '{DOC_RE}') <> '' THEN regexp_extract(problem, '{DOC_RE}') END AS documentation,
+  problem AS prompt, solution AS code_completion, problem || chr(10) || solution AS whole_func_string
+FROM code_raw WHERE language = 'kotlin'
+"""
+
+# Python parts follow from the construction of ``code_raw``: one documented
+# function, a one-line docstring, statements that unparse to themselves
+# except ``if(a): pass`` (-> ``if a:`` + an indented ``pass``).
+PY_BODY = ("substr(replace(replace(chr(10) || b.code_completion, chr(10) || '    if(a): pass', "
+           "chr(10) || chr(9) || 'if a:' || chr(10) || chr(9) || '    pass'), chr(10) || '    ', "
+           "chr(10) || chr(9)), 2)")
+PY_SQL = f"""
+SELECT r.row_id, b.function_def || chr(10) AS function_def,
+  chr(9) || ltrim(b.documentation, ' ') AS documentation,
+  b.function_def || chr(10) || '    \"\"\"' || chr(10) || chr(9) || ltrim(b.documentation, ' ') || chr(10)
+    || '    \"\"\"' AS prompt,
+  {PY_BODY} AS code_completion
+FROM code_raw r JOIN code_base b USING (row_id) WHERE r.language = 'python' AND r.row_id % 23 <> 0
+"""
+
+
+def _raw(spark, sf_dir):
+    return view(spark, sf_dir, "code_raw")
+
+
+@register("n02_java_parts", RAW + JAVA_SQL)
+def n02_java_parts(spark, sf_dir):
+    """Java def / documentation / prompt / body."""
+    r = _raw(spark, sf_dir).where("language = 'java'")
+    p = nz.java_parts(F.col("func_code_string"), F.col("func_documentation_string"))
+    return r.select("row_id", p.alias("p")).select("row_id", "p.*")
+
+
+@register("n05_kotlin_parts", RAW + KOTLIN_SQL)
+def n05_kotlin_parts(spark, sf_dir):
+    """N5 + N7: Kotlin exercise parts."""
+    r = _raw(spark, sf_dir).where("language = 'kotlin'")
+    return r.select("row_id", nz.kotlin_parts(F.col("problem"), F.col("solution")).alias("p")).select("row_id", "p.*")
+
+
+@register("n06_kotlin_name", RAW + f"""
+SELECT row_id, trim(replace(regexp_extract(d, '{METHOD_RE2}', 1), 'fun ', '')) AS func_name,
+       replace(regexp_extract(problem, '{METHOD_RE2}', 1), 'fun ', '') AS func_name_compat
+FROM (SELECT row_id, problem, {STRIP.format(x=f"regexp_replace(problem, '{DOC_RE}', '', 'g')")} AS d
+      FROM code_raw WHERE language = 'kotlin')
+""")
+def n06_kotlin_name(spark, sf_dir):
+    """Kotlin function name (on the def, and literal on the problem)."""
+    r = _raw(spark, sf_dir).where("language = 'kotlin'")
+    d = nz.py_strip(F.regexp_replace(F.col("problem"), nz.DOC_COMMENT, ""))
+    return r.select("row_id", nz.kotlin_name(d).alias("func_name"),
+                    nz.kotlin_name(F.col("problem"), compat=True).alias("func_name_compat"))
+
+
+@register("n03_python_parts", RAW + PY_SQL)
+def n03_python_parts(spark, sf_dir):
+    """N3 + N4: Python parts through the stdlib AST (Arrow-batched UDF)."""
+    r = _raw(spark, sf_dir).where("language = 'python'")
+    p = nz.python_parts(F.col("func_code_string"))
+    return (r.select("row_id", p.alias("p")).select("row_id", "p.*")
+            .where(F.col("function_def").isNotNull()))
+
+
+@register("n10_normalize", RAW + f"""
+SELECT row_id, language, func_name, documentation, function_def, code_completion, prompt, whole_func_string FROM (
+  SELECT j.row_id, 'java' AS language, r.func_name, j.documentation, j.function_def, j.code_completion, j.prompt,
+         j.function_def || chr(10) || j.code_completion AS whole_func_string
+  FROM ({JAVA_SQL}) j JOIN code_raw r USING (row_id)
+  UNION ALL
+  SELECT p.row_id, 'python', r.func_name, p.documentation, p.function_def, p.code_completion, p.prompt,
+         p.function_def || chr(10) || p.code_completion
+  FROM ({PY_SQL}) p JOIN code_raw r USING (row_id)
+  UNION ALL
+  SELECT row_id, 'kotlin', trim(replace(regexp_extract(function_def, '{METHOD_RE2}', 1), 'fun ', '')),
+         documentation, function_def, code_completion, prompt, whole_func_string
+  FROM ({KOTLIN_SQL}) k
+) WHERE function_def IS NOT NULL AND code_completion IS NOT NULL
+""")
+def n10_normalize(spark, sf_dir):
+    """N1 + N9 + N10 (+ N5-N7, F12): one unified seed table."""
+    return nz.normalize_seed(_raw(spark, sf_dir)).select(*nz.UNIFIED_COLUMNS)
