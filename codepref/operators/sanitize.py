@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from codepref.functions.text import extract_completion, remove_markers
 
@@ -58,7 +59,7 @@ def predict(df: DataFrame, predictor_factory: Callable[[], Callable[[list[str]],
     ``predictor_factory`` is called once per task (a model loads once per
     task, not per row); it returns ``list[str] -> list[str]`` applied to
     fixed-size batches. Runs as ``mapInPandas`` over Arrow batches."""
-    schema = df.schema.add(out, "string")
+    schema = T.StructType(list(df.schema.fields) + [T.StructField(out, T.StringType())])
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = predictor_factory()
