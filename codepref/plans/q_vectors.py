@@ -1 +1,130 @@
-"""Queries."""
+"""Queries: embedding pairs (E1-E6) and incremental labelling (ST1)."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import functions as F
+
+from codepref.functions.text import extract_completion, remove_markers, tokens
+from codepref.operators import embed as em
+from codepref.plans.catalog import register
+from codepref.plans.q_preference import LABELLED, _with
+from codepref.sources.fixtures import view
+from codepref.sources.tables import read_table
+
+TOK = r"[\p{L}\p{N}_]+|\S"
+WIDTH = 80
+
+
+def _chunk_sql(n_chunks: str) -> str:
+    return f"""
+WITH t AS (SELECT doc_id, regexp_extract_all(text, '{TOK}') AS t FROM documents),
+c AS (SELECT doc_id, t, unnest(range(0, {n_chunks})) AS chunk FROM t)
+SELECT doc_id, chunk, len(t[chunk * 512 + 1 : chunk * 512 + 512]) AS n_tok,
+       md5(array_to_string(t[chunk * 512 + 1 : chunk * 512 + 512], ' ')) AS chunk_md5
+FROM c
+"""
+
+
+def _chunks(spark, sf_dir, compat):
+    d = read_table(spark, sf_dir, "documents")
+    c = em.chunk_tokens(d, "doc_id", tokens(F.col("text")), 512, compat)
+    return c.select("doc_id", "chunk", F.size("tokens").alias("n_tok"),
+                    F.md5(F.array_join("tokens", " ")).alias("chunk_md5"))
+
+
+@register("e01_chunks", _chunk_sql("(len(t) + 511) // 512"))
+def e01_chunks(spark, sf_dir):
+    """512-token chunks of each document."""
+    return _chunks(spark, sf_dir, False)
+
+
+@register("e01_chunks_compat", _chunk_sql("len(t) // 512 + 1"))
+def e01_chunks_compat(spark, sf_dir):
+    """E1 literal: an exact multiple of 512 leaves an empty last chunk."""
+    return _chunks(spark, sf_dir, True)
+
+
+@register("e02_pad_mask", f"""
+SELECT vec_id, list_concat(embedding, list_transform(range({WIDTH} - len(embedding)), lambda x: 0.0::FLOAT)) AS padded,
+       list_transform(range(1, {WIDTH} + 1), lambda i: CASE WHEN i <= len(embedding) THEN 1 ELSE 0 END) AS mask
+FROM embeddings
+""")
+def e02_pad_mask(spark, sf_dir):
+    """Zero-padded vectors and masks."""
+    e = read_table(spark, sf_dir, "embeddings")
+    padded, mask = em.pad_with_mask(F.col("embedding"), WIDTH)
+    return e.select("vec_id", padded.alias("padded"), mask.alias("mask"))
+
+
+@register("e03_pair_texts", _with(LABELLED) + """
+SELECT b.row_id, b.documentation || chr(10) || b.function_def || chr(10) || b.code_completion AS chosen_text,
+       b.documentation || chr(10) || b.function_def || chr(10) || l.code AS rejected_text
+FROM code_base b JOIN lab0 l USING (row_id)
+""")
+def e03_pair_texts(spark, sf_dir):
+    """(doc + reference, doc + prediction) texts."""
+    b = view(spark, sf_dir, "code_base")
+    code = extract_completion(remove_markers(F.col("prediction")), F.col("prompt"))
+    ref = F.concat(F.col("function_def"), F.lit("\n"), F.col("code_completion"))
+    pred = F.concat(F.col("function_def"), F.lit("\n"), code)
+    pos, neg = em.pair_texts(F.col("documentation"), ref, pred)
+    return b.select("row_id", pos.alias("chosen_text"), neg.alias("rejected_text"))
+
+
+MEAN_SQL = "list_reduce(embedding, lambda acc, x: acc + x::DOUBLE, 0.0::DOUBLE) / len(embedding)"
+
+
+@register("e04_pair_score", f"""
+SELECT a.vec_id // 2 AS pair_id, round(tanh(a.s - b.s), 9) AS score
+FROM (SELECT vec_id, {MEAN_SQL} AS s FROM embeddings WHERE vec_id % 2 = 0) a
+JOIN (SELECT vec_id, {MEAN_SQL} AS s FROM embeddings WHERE vec_id % 2 = 1) b ON b.vec_id = a.vec_id + 1
+""")
+def e04_pair_score(spark, sf_dir):
+    """tanh(s(a) - s(b)) over consecutive embedding pairs."""
+    e = read_table(spark, sf_dir, "embeddings").select("vec_id", em.mean_score(F.col("embedding")).alias("s"))
+    a = e.where(F.col("vec_id") % 2 == 0).select((F.col("vec_id") / 2).cast("bigint").alias("pair_id"),
+                                                 F.col("s").alias("sa"))
+    b = e.where(F.col("vec_id") % 2 == 1).select(((F.col("vec_id") - 1) / 2).cast("bigint").alias("pair_id"),
+                                                 F.col("s").alias("sb"))
+    return a.join(b, "pair_id").select("pair_id", F.round(em.pair_score(F.col("sa"), F.col("sb")), 9).alias("score"))
+
+
+@register("e05_pair_fit")
+def e05_pair_fit(spark, sf_dir):
+    """E5: distributed Bradley-Terry fit on embedding pairs with different
+    labels; one row per coefficient (rows-only check)."""
+    e = read_table(spark, sf_dir, "embeddings")
+    a = e.where(F.col("vec_id") % 2 == 0).select((F.col("vec_id") / 2).cast("bigint").alias("p"),
+                                                 F.col("embedding").alias("a"), F.col("label").alias("la"))
+    b = e.where(F.col("vec_id") % 2 == 1).select(((F.col("vec_id") - 1) / 2).cast("bigint").alias("p"),
+                                                 F.col("embedding").alias("b"), F.col("label").alias("lb"))
+    pairs = a.join(b, "p").where(F.col("la") != F.col("lb")).withColumn("y", (F.col("la") > F.col("lb")).cast("int"))
+    model = em.fit_pair_scorer(pairs)
+    w = [float(x) for x in model.coefficients.toArray()]
+    return spark.createDataFrame(list(enumerate(w)), "idx int, weight double")
+
+
+@register("e06_equal", "SELECT vec_id, true AS equal FROM embeddings")
+def e06_equal(spark, sf_dir):
+    """E1 reassembly + E6: cut vectors into 16-wide chunks, reassemble by
+    key and compare with the original."""
+    e = read_table(spark, sf_dir, "embeddings")
+    ch = em.chunk_tokens(e, "vec_id", F.col("embedding"), 16).withColumnRenamed("tokens", "vec")
+    back = em.reassemble(ch, "vec_id", "chunk", "vec").withColumnRenamed("vec", "back")
+    return e.join(back, "vec_id").select("vec_id", em.vectors_equal(F.col("embedding"), F.col("back")).alias("equal"))
+
+
+@register("st1_incremental", _with(LABELLED) + "SELECT row_id, language, code, valid FROM lab")
+def st1_incremental(spark, sf_dir):
+    """ST1: base rows arrive as files; Structured Streaming labels them
+    micro-batch by micro-batch into an idempotent sink."""
+    from codepref.session import checkpoint_dir
+    from codepref.streaming.incremental import label_stream
+
+    root = f"{checkpoint_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    base = view(spark, sf_dir, "code_base")
+    base.repartition(4, "row_id").write.parquet(f"{root}/in")
+    out = label_stream(spark, f"{root}/in", base.schema, f"{root}/out", f"{root}/ckpt", max_files_per_trigger=1)
+    return out.select("row_id", "language", "code", "valid")
