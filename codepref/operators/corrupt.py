@@ -108,9 +108,9 @@ def with_corruption(df: DataFrame, code: str = "code", language: str = "language
                     & (F.size(s["toks"]) > 0))
     h = [seeded_hash(key, seed, step) for step in (1, 2, 3, 4)]
     d = df.withColumn("_ce", elig)
-    d = d.withColumn("_cc", F.element_at("_ce", (h[0] % F.greatest(F.size("_ce"), F.lit(1)) + 1).cast("int")))
+    d = d.withColumn("_cc", F.try_element_at(F.col("_ce"), (h[0] % F.greatest(F.size("_ce"), F.lit(1)) + 1).cast("int")))
     toks = F.col("_cc.toks")
-    d = d.withColumn("_ct", F.element_at(toks, (h[1] % F.greatest(F.size(toks), F.lit(1)) + 1).cast("int")))
+    d = d.withColumn("_ct", F.try_element_at(toks, (h[1] % F.greatest(F.size(toks), F.lit(1)) + 1).cast("int")))
     tok, line = F.col("_ct"), F.col("_cc.l")
     is_sym = tok.isin(*symbols)
     repl = F.when(is_sym, F.lit("")).otherwise(misspell(tok, h[2], h[3]))

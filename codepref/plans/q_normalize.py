@@ -109,3 +109,13 @@ SELECT row_id, language, func_name, documentation, function_def, code_completion
 def n10_normalize(spark, sf_dir):
     """N1 + N9 + N10 (+ N5-N7, F12): one unified seed table."""
     return nz.normalize_seed(_raw(spark, sf_dir)).select(*nz.UNIFIED_COLUMNS)
+
+
+@register("n04b_outermost", RAW + PY_SQL)
+def n04b_outermost(spark, sf_dir):
+    """Drop only the outermost docstring on each branch (same result on
+    these single-function rows as N4)."""
+    r = _raw(spark, sf_dir).where("language = 'python'")
+    p = nz.python_parts(F.col("func_code_string"), docstrings="outermost")
+    return (r.select("row_id", p.alias("p")).select("row_id", "p.*")
+            .where(F.col("function_def").isNotNull()))

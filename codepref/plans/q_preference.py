@@ -235,3 +235,10 @@ def c04_corrupt_compat(spark, sf_dir):
     """C4 compat: the edit hits the first substring occurrence of the token."""
     lab = label_predictions(_base(spark, sf_dir)).where("valid")
     return with_corruption(lab, seed=SEED, compat=True).select("row_id", "language", "corrupted")
+
+
+@register("c06_recheck")
+def c06_recheck(spark, sf_dir):
+    """KTO rows with the corrupted code re-checked; corruptions that are
+    still valid are dropped (rows-only check: Python validity has no SQL form)."""
+    return build_kto(_base(spark, sf_dir), not_compile=0.5, seed=SEED, recheck=True)

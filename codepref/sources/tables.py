@@ -85,13 +85,14 @@ def read_problems(spark: SparkSession, path: str, schema: T.StructType = PROBLEM
 
 
 def read_templates(spark: SparkSession, path: str, strip: bool = True) -> DataFrame:
-    """IO4: prompt templates, one whole file per row: (name, template).
+    """IO4: prompt templates, one whole file per row: (name = file stem,
+    template, partition columns if any).
 
     ``strip=True`` matches the evaluation side (stripped text), ``False`` the
     base-collection side (raw text)."""
-    df = spark.read.text(path, wholetext=True).select(
-        F.regexp_extract(F.input_file_name(), r"([^/]+?)(\.[^./]*)?$", 1).alias("name"),
-        F.col("value").alias("template"))
+    df = (spark.read.text(path, wholetext=True)
+          .withColumn("name", F.regexp_extract(F.input_file_name(), r"([^/]+?)(\.[^./]*)?$", 1))
+          .withColumnRenamed("value", "template"))
     if strip:
         from codepref.functions.text import py_strip
         df = df.withColumn("template", py_strip(F.col("template")))
