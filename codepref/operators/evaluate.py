@@ -21,7 +21,8 @@ def valid_rate(df: DataFrame, prompt: str = "prompt", completion: str = "complet
     not empty, per group, next to the row count."""
     ok = valid_code(F.concat(F.col(prompt), F.lit("\n"), F.col(completion)), F.col(language)) \
         & (F.length(F.col(completion)) > 0)
-    return df.groupBy(*by).agg(F.count_if(ok).alias("n_valid"), F.count(F.lit(1)).alias("n_rows"))
+    return (df.withColumn("_ok", ok).groupBy(*by)
+            .agg(F.count_if("_ok").alias("n_valid"), F.count(F.lit(1)).alias("n_rows")))
 
 
 def pass_at_k_expr(n: Column, c: Column, k: int) -> Column:

@@ -115,7 +115,10 @@ def _drop_still_valid(rows: DataFrame, col: str) -> DataFrame:
     """Re-check the corrupted whole function; rows that are still valid
     are dropped (the reference labels them bad unchecked)."""
     whole = whole_function(F.col("function_def"), F.col(col))
-    return rows.where(F.col(col).isNotNull() & ~valid_code(whole, F.col("language")))
+    # A column first, then the filter on it: a filter on the expression itself
+    # would be pushed below the staged corruption, inlining it (see corrupt.py).
+    flagged = rows.withColumn("_still_valid", valid_code(whole, F.col("language")))
+    return flagged.where(F.col(col).isNotNull() & ~F.col("_still_valid")).drop("_still_valid")
 
 
 def preference_counters(base: DataFrame, not_compile: float = 0.5, mode: str = "kto",

@@ -59,12 +59,17 @@ def _compile_reason(src):
         return f"{type(e).__name__}"
 
 
-@F.pandas_udf(T.StringType())
-def python_compile_error(code: pd.Series) -> pd.Series:
+def _compile_errors(code: pd.Series) -> pd.Series:
     """V1 kernel: '' when the code compiles, else the error; NULL stays NULL."""
     return code.map(_compile_reason)
 
 
+# Marked nondeterministic on purpose: it is an opaque, costly checker, and the
+# flag keeps the optimizer from pushing it below staged projections (which
+# would inline their expressions into its argument) or evaluating it twice.
+python_compile_error = F.pandas_udf(_compile_errors, T.StringType()).asNondeterministic()
+
+
 def python_compiles(code: Column) -> Column:
     """V1: the Python code compiles."""
     return python_compile_error(code) == ""
