@@ -46,6 +46,21 @@ def _cut_table(d: DataFrame, k, groups: list[str], bits: int) -> DataFrame:
                     (F.col("_k") - F.col("_before")).alias("_need")))
 
 
+# Broadcast bound for the cut table: rows <= groups * 2**bits, ~48 bytes each.
+BROADCAST_CUT_ROWS = 1_500_000
+
+
+def _cut_is_small(k, groups: list[str], bits: int) -> bool:
+    """Size check before broadcasting the cut table. Without groups it holds at
+    most 2**bits rows; with a quota table its group count is counted (one
+    small aggregate). Otherwise leave the choice to AQE's runtime statistics."""
+    if not groups:
+        return 2 ** bits <= BROADCAST_CUT_ROWS
+    if isinstance(k, DataFrame):
+        return k.count() * 2 ** bits <= BROADCAST_CUT_ROWS
+    return False
+
+
 def hash_quota(df: DataFrame, k: int | DataFrame, groups=(), key: str = "row_id",
                seed: int = 0, hash_col: str | None = None, invert: bool = False,
                bits: int = 16) -> DataFrame:
@@ -58,6 +73,8 @@ def hash_quota(df: DataFrame, k: int | DataFrame, groups=(), key: str = "row_id"
     cols = df.columns
     d = _with_hash(df, key, seed, hash_col).withColumn("_b", F.shiftright("_h", HASH_BITS - bits))
     cut = _cut_table(d, k, groups, bits)
+    if _cut_is_small(k, groups, bits):
+        cut = F.broadcast(cut)
     win = Window.partitionBy(*groups, "_b").orderBy("_h", key)
     if not invert:
         taken = d.join(cut, groups + ["_b"]).withColumn("_rn", F.row_number().over(win))
