@@ -24,7 +24,8 @@ def chunk_tokens(df: DataFrame, key: str, toks: Column, size: int = 512, compat:
     k = n_chunks(F.size("_t"), size, compat)
     chunks = F.when(k > 0, F.transform(F.sequence(F.lit(0), k - 1),
                                        lambda i: F.slice(F.col("_t"), i * size + 1, size)))
-    return d.select(key, F.posexplode(chunks).alias("chunk", "tokens"))
+    return (d.select(key, F.posexplode(chunks).alias("chunk", "tokens"))
+            .withColumn("chunk", F.col("chunk").cast("bigint")))
 
 
 def reassemble(chunks: DataFrame, key: str, chunk: str = "chunk", vec: str = "vec") -> DataFrame:

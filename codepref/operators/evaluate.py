@@ -85,7 +85,7 @@ def ngram_overlap(df: DataFrame, keys, candidate: str, reference: str, max_n: in
     d = df.select(*keys, tokens(F.col(candidate)).alias("_tc"), tokens(F.col(reference)).alias("_tr"))
     d = d.select(*keys, *[c for n in range(1, max_n + 1) for c in
                           (_grams(F.col("_tc"), n).alias(f"_gc{n}"), _grams(F.col("_tr"), n).alias(f"_gr{n}"))])
-    rows = F.array(*[F.struct(F.lit(n).alias("n"),
+    rows = F.array(*[F.struct(F.lit(n).cast("bigint").alias("n"),
                               _clipped_matches(F.col(f"_gc{n}"), F.col(f"_gr{n}")).alias("matches"),
                               F.size(f"_gc{n}").cast("bigint").alias("cand_total"),
                               F.size(f"_gr{n}").cast("bigint").alias("ref_total"))
@@ -126,7 +126,7 @@ def rouge_n(overlap: DataFrame, keys, n: int, digits: int = 9) -> DataFrame:
 def leaderboard(scores: DataFrame, metric: str, by=("language",), entrant=("model", "prompt_name")) -> DataFrame:
     """Rank entrants per group by a metric (window over aggregated rows only)."""
     w = Window.partitionBy(*by).orderBy(F.col(metric).desc(), *entrant)
-    return scores.withColumn("rank", F.rank().over(w))
+    return scores.withColumn("rank", F.rank().over(w).cast("bigint"))
 
 
 def json_string(c: Column) -> Column:

@@ -48,7 +48,7 @@ def replicate(df: DataFrame, k: int, draws: bool = True) -> DataFrame:
     """``k`` rows per sample with ``sample_id`` 1..k (no shuffle). With
     ``draws=True`` the predictor is asked for k draws (sample_id is passed);
     ``False`` copies one draw, as the reference does."""
-    out = df.withColumn("sample_id", F.explode(F.sequence(F.lit(1), F.lit(int(k)))))
+    out = df.withColumn("sample_id", F.explode(F.sequence(F.lit(1).cast("bigint"), F.lit(int(k)).cast("bigint"))))
     return out if draws else out.withColumn("draw", F.lit(1))
 
 

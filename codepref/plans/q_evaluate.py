@@ -195,7 +195,8 @@ grams AS (
   FROM pairs CROSS JOIN range(1, {max_n} + 1) AS rn(n), LATERAL (SELECT unnest(range(1, len(tr) - n + 2)) AS i)),
 per_gram AS (SELECT {keys}, n, g, count(*) FILTER (WHERE side = 1) AS c, count(*) FILTER (WHERE side = 0) AS r
              FROM grams GROUP BY {keys}, n, g),
-overlap AS (SELECT {keys}, n, sum(least(c, r)) AS matches, sum(c) AS cand_total, sum(r) AS ref_total
+overlap AS (SELECT {keys}, CAST(n AS BIGINT) AS n, CAST(sum(least(c, r)) AS BIGINT) AS matches,
+            CAST(sum(c) AS BIGINT) AS cand_total, CAST(sum(r) AS BIGINT) AS ref_total
             FROM per_gram GROUP BY {keys}, n)
 """
 
@@ -270,5 +271,5 @@ def j02_score_join(spark, sf_dir):
     probs = _problems(spark, sf_dir)
     preds = predict(replicate(probs, 2).withColumnRenamed("prompt", "full_prompt"), stub_predictor,
                     "full_prompt", "prediction").select("task_id", "sample_id", "prediction")
-    return ev.score_join(preds, probs.select("task_id", F.length("prompt").alias("prompt_len"))).select(
+    return ev.score_join(preds, probs.select("task_id", F.length("prompt").cast("bigint").alias("prompt_len"))).select(
         "task_id", "sample_id", "prompt_len", "prediction")

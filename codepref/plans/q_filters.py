@@ -59,7 +59,7 @@ SELECT doc_id, length(text) AS n_chars_cp FROM documents WHERE length(text) > 60
 def f01_doc_size(spark, sf_dir):
     """F1 on the documents' text."""
     d = read_table(spark, sf_dir, "documents")
-    return d.where(flt.doc_size("text")).select("doc_id", F.length("text").alias("n_chars_cp"))
+    return d.where(flt.doc_size("text")).select("doc_id", F.length("text").cast("bigint").alias("n_chars_cp"))
 
 
 @register("f02_spaces", """
@@ -70,7 +70,7 @@ def f02_spaces(spark, sf_dir):
     """F2 on the documents' text."""
     d = read_table(spark, sf_dir, "documents")
     return d.where(flt.doc_spaces("text")).select(
-        "doc_id", (F.length("text") - F.length(F.replace(F.col("text"), F.lit(" "), F.lit("")))).alias("n_spaces"))
+        "doc_id", (F.length("text") - F.length(F.replace(F.col("text"), F.lit(" "), F.lit("")))).cast("bigint").alias("n_spaces"))
 
 
 @register("f03_todo", SEED + f"SELECT row_id FROM code_seed WHERE {S_F3}")
@@ -94,8 +94,9 @@ def f04_code_shape(spark, sf_dir):
     """F4a-F4e and the documented combination."""
     s = _seed(spark, sf_dir)
     code = flt.whole_reference()
-    return s.select("row_id", flt.code_lines(code).alias("n_lines"), flt.branch_count(code).alias("n_branches"),
-                    flt.max_param_commas(code).alias("max_commas"), flt.no_duplicate_lines(code).alias("no_dups"),
+    return s.select("row_id", flt.code_lines(code).cast("bigint").alias("n_lines"),
+                    flt.branch_count(code).cast("bigint").alias("n_branches"),
+                    flt.max_param_commas(code).cast("bigint").alias("max_commas"), flt.no_duplicate_lines(code).alias("no_dups"),
                     flt.comment_ratio_ok(F.col("documentation"), code).alias("ratio_ok"),
                     flt.code_shape().alias("keep"))
 

@@ -30,7 +30,7 @@ FROM c
 def _chunks(spark, sf_dir, compat):
     d = read_table(spark, sf_dir, "documents")
     c = em.chunk_tokens(d, "doc_id", tokens(F.col("text")), 512, compat)
-    return c.select("doc_id", "chunk", F.size("tokens").alias("n_tok"),
+    return c.select("doc_id", "chunk", F.size("tokens").cast("bigint").alias("n_tok"),
                     F.md5(F.array_join("tokens", " ")).alias("chunk_md5"))
 
 

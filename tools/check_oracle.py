@@ -7,6 +7,7 @@ Usage: python tools/check_oracle.py [sf_dir] [name ...]
 from __future__ import annotations
 
 import math
+import os
 import sys
 import time
 from collections import Counter
@@ -20,11 +21,14 @@ from codepref.session import local_session  # noqa: E402
 from codepref.sources.tables import DRIVER_TABLES  # noqa: E402
 
 
+STRICT = bool(os.environ.get("ORACLE_STRICT"))
+
+
 def norm(v):
     if v is None:
         return None
     if isinstance(v, float):
-        return None if math.isnan(v) else round(v, 6)
+        return None if math.isnan(v) else (v if STRICT else round(v, 6))
     if hasattr(v, "tolist"):
         v = v.tolist()
     if isinstance(v, (list, tuple)):
