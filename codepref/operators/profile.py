@@ -30,7 +30,8 @@ def length_histogram(df: DataFrame, length: Column, bucket_size: int = 100, cap:
     g = g.withColumn("_max", F.max("_m").over(w)).withColumn("_last", F.max("bucket").over(w))
     lo = F.col("bucket") * bucket_size
     hi = F.when(F.col("bucket") == F.col("_last"), F.col("_max")).otherwise((F.col("bucket") + 1) * bucket_size - 1)
-    return g.select("bucket", F.concat(lo.cast("string"), F.lit("-"), hi.cast("string")).alias("label"), "count")
+    return (g.select("bucket", F.concat(lo.cast("string"), F.lit("-"), hi.cast("string")).alias("label"), "count")
+            .orderBy("bucket"))  # W1: buckets by lower bound (a handful of rows)
 
 
 def row_counts(tables: dict[str, DataFrame], by: dict[str, str] | None = None) -> DataFrame:
