@@ -11,6 +11,9 @@ names and inlines the views as CTEs.
 
 from __future__ import annotations
 
+import os
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 from codepref.sources.tables import read_table
@@ -86,8 +89,29 @@ VIEWS: dict[str, tuple[str, tuple[str, ...]]] = {
 }
 
 
-def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Build a fixture view as a Spark DataFrame (lazy, grows with the tables)."""
+_WRITTEN: dict[tuple, str] = {}
+
+
+def _stamp(sf_dir: str, name: str) -> tuple:
+    """Identity of a view's source files (size, mtime), so a changed table is
+    re-derived; remote paths without local stat use the path alone."""
+    stamps = []
+    todo = [name]
+    while todo:
+        n = todo.pop()
+        if n in VIEWS:
+            todo.extend(VIEWS[n][1])
+            continue
+        try:
+            st = os.stat(f"{sf_dir.rstrip('/')}/{n}.parquet")
+            stamps.append((n, st.st_size, st.st_mtime_ns))
+        except OSError:
+            stamps.append((n,))
+    return tuple(sorted(stamps))
+
+
+def derive(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """The view as a lazy plan over the driver tables (inputs materialized)."""
     template, inputs = VIEWS[name]
     args = {}
     for inp in inputs:
@@ -95,6 +119,24 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.sql(template, **args)
 
 
+def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A fixture view as a table: derived once per session and source version,
+    written as parquet to the shared checkpoint folder and read back.
+
+    Queries then scan physical columns (column pruning, pushed filters) as
+    they would on a real seed or base table; a plain view would have its
+    string expressions substituted into every filter that reads them."""
+    from codepref.session import checkpoint_dir
+
+    key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir), name, _stamp(sf_dir, name))
+    path = _WRITTEN.get(key)
+    if path is None:
+        path = f"{checkpoint_dir(spark).rstrip('/')}/views/{name}-{uuid.uuid4().hex}"
+        derive(spark, sf_dir, name).write.parquet(path)
+        _WRITTEN[key] = path
+    return spark.read.parquet(path)
+
+
 def oracle_ctes(*names: str) -> str:
     """``WITH`` clause defining the named views (and what they need) for DuckDB."""
     order: list[str] = []
