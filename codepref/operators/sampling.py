@@ -16,7 +16,7 @@ more than about group_size / 2**bits rows in step 3.
 
 from __future__ import annotations
 
-from functools import reduce
+import re
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -70,20 +70,62 @@ def hash_quota(df: DataFrame, k: int | DataFrame, groups=(), key: str = "row_id"
     returns the complement (all other rows). Oracle:
     ``row_number() OVER (PARTITION BY groups ORDER BY hash, key) <= k``."""
     groups = list(groups)
+    if invert:
+        bounds = k.withColumnRenamed("k", "k1") if isinstance(k, DataFrame) else [k]
+        return (rank_bands(df, bounds, groups, key, seed, hash_col, out="_band", bits=bits)
+                .where("_band = 1").drop("_band"))
     cols = df.columns
     d = _with_hash(df, key, seed, hash_col).withColumn("_b", F.shiftright("_h", HASH_BITS - bits))
     cut = _cut_table(d, k, groups, bits)
     if _cut_is_small(k, groups, bits):
         cut = F.broadcast(cut)
     win = Window.partitionBy(*groups, "_b").orderBy("_h", key)
-    if not invert:
-        taken = d.join(cut, groups + ["_b"]).withColumn("_rn", F.row_number().over(win))
-        return taken.where(F.col("_full") | (F.col("_rn") <= F.col("_need"))).select(*cols)
-    joined = d.join(cut, groups + ["_b"], "left")
-    untouched = joined.where(F.col("_need").isNull()).select(*cols)
-    in_cut = joined.where(~F.col("_full"))
-    rest = in_cut.withColumn("_rn", F.row_number().over(win)).where(F.col("_rn") > F.col("_need")).select(*cols)
-    return untouched.unionByName(rest)
+    taken = d.join(cut, groups + ["_b"]).withColumn("_rn", F.row_number().over(win))
+    return taken.where(F.col("_full") | (F.col("_rn") <= F.col("_need"))).select(*cols)
+
+
+def rank_bands(df: DataFrame, bounds: DataFrame | list[int], groups=(), key: str = "row_id",
+               seed: int = 0, hash_col: str | None = None, out: str = "band", bits: int = 16) -> DataFrame:
+    """Generalised R3: every row gets ``band`` = how many cumulative bounds its
+    rank (by (hash, key), 1-based, per group) exceeds. ``bounds`` is a list of
+    ints or a DataFrame with the group columns and ``k1..km`` (ascending).
+
+    One count per (group, hash bucket), one bounded broadcast of the bucket
+    table, and row numbers only for rows in buckets that straddle a bound.
+    Oracle: ``band = sum(rank > k_j)`` with ``rank = row_number() OVER
+    (PARTITION BY groups ORDER BY hash, key)``."""
+    groups = list(groups)
+    cols = df.columns
+    d = _with_hash(df, key, seed, hash_col).withColumn("_b", F.shiftright("_h", HASH_BITS - bits))
+    counts = d.groupBy(*groups, "_b").agg(F.count(F.lit(1)).alias("_c"))
+    if isinstance(bounds, DataFrame):
+        ks = [c for c in bounds.columns if re.fullmatch(r"k\d+", c)]
+        ks.sort(key=lambda c: int(c[1:]))
+        counts = counts.join(bounds.select(*groups, *ks), groups)
+    else:
+        ks = []
+        for j, v in enumerate(bounds, 1):
+            counts = counts.withColumn(f"k{j}", F.lit(int(v)).cast("bigint"))
+            ks.append(f"k{j}")
+    part = [F.col(g) for g in groups] or [F.lit(0)]
+    w = Window.partitionBy(*part).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    lo, hi = F.col("_lo"), F.col("_lo") + F.col("_c")
+    table = counts.withColumn("_lo", F.coalesce(F.sum("_c").over(w), F.lit(0)))
+    mixed = F.lit(False)
+    for k in ks:
+        mixed = mixed | ((lo < F.col(k)) & (F.col(k) < hi))
+    pure_band = sum((F.when(F.col(k) <= lo, 1).otherwise(0) for k in ks), F.lit(0))
+    table = table.select(*groups, "_b", "_lo", mixed.alias("_mixed"), pure_band.alias("_pure"),
+                         *[F.col(k).alias(f"_{k}") for k in ks])
+    n_groups = bounds.count() if isinstance(bounds, DataFrame) else 1
+    if (n_groups if groups else 1) * 2 ** bits <= BROADCAST_CUT_ROWS:
+        table = F.broadcast(table)
+    joined = d.join(table, groups + ["_b"])
+    pure = joined.where(~F.col("_mixed")).select(*cols, F.col("_pure").alias(out))
+    win = Window.partitionBy(*groups, "_b").orderBy("_h", key)
+    m = joined.where(F.col("_mixed")).withColumn("_r", F.col("_lo") + F.row_number().over(win))
+    band = sum((F.when(F.col("_r") > F.col(f"_{k}"), 1).otherwise(0) for k in ks), F.lit(0))
+    return pure.unionByName(m.select(*cols, band.alias(out)))
 
 
 def take_first(df: DataFrame, n: int, key: str = "row_id", seed: int = 0, groups=()) -> DataFrame:
@@ -93,7 +135,7 @@ def take_first(df: DataFrame, n: int, key: str = "row_id", seed: int = 0, groups
 
 def skip_first(df: DataFrame, n: int = 200, key: str = "row_id", seed: int = 0, groups=()) -> DataFrame:
     """Every row except the first ``n`` in seeded-hash order."""
-    return hash_quota(df, n, groups, key, seed, invert=True)
+    return rank_bands(df, [n], groups, key, seed, out="_band").where("_band = 1").drop("_band")
 
 
 def shuffle_rows(df: DataFrame, key: str = "row_id", seed: int = 0,
@@ -111,25 +153,21 @@ def assign_split(df: DataFrame, key: str = "row_id", seed: int = 0, test_pct: in
     """Three-way split, ``test_pct`` % test, then ``validation_pct`` % of the
     rest validation. Default: hash buckets (a row keeps its split when the table
     grows). ``exact=True``: exactly ceil(test_pct% of n) test rows and
-    ceil(validation_pct% of the rest) validation rows per group (R3)."""
+    ceil(validation_pct% of the rest) validation rows per group: the first
+    ranks (seeded hash order) are test, the next ones validation (R3 bands)."""
     groups = list(groups)
-    h1, h2 = seeded_hash(key, seed, 1), seeded_hash(key, seed, 2)
     if not exact:
+        h1, h2 = seeded_hash(key, seed, 1), seeded_hash(key, seed, 2)
         split = (F.when(h1 % 100 < test_pct, "test")
                  .when(h2 % 100 < validation_pct, "validation").otherwise("train"))
         return df.withColumn("split", split)
     counts = df.groupBy(*groups).agg(F.count(F.lit(1)).alias("_n"))
     n_test = F.floor((F.col("_n") * test_pct + 99) / 100)
-    k_test = counts.select(*groups, n_test.alias("k"))
-    k_val = counts.select(*groups, F.floor(((F.col("_n") - n_test) * validation_pct + 99) / 100).alias("k"))
-    d = df.withColumn("_h1", h1).withColumn("_h2", h2)
-    test = hash_quota(d, k_test, groups, key, hash_col="_h1")
-    rest = hash_quota(d, k_test, groups, key, hash_col="_h1", invert=True)
-    val = hash_quota(rest, k_val, groups, key, hash_col="_h2")
-    train = hash_quota(rest, k_val, groups, key, hash_col="_h2", invert=True)
-    parts = [p.withColumn("split", F.lit(s)) for p, s in
-             ((test, "test"), (val, "validation"), (train, "train"))]
-    return reduce(DataFrame.unionByName, parts).drop("_h1", "_h2")
+    n_val = F.floor(((F.col("_n") - n_test) * validation_pct + 99) / 100)
+    bounds = counts.select(*groups, n_test.alias("k1"), (n_test + n_val).alias("k2"))
+    out = rank_bands(df, bounds, groups, key, seed, out="_band")
+    split = F.when(F.col("_band") == 0, "test").when(F.col("_band") == 1, "validation").otherwise("train")
+    return out.withColumn("split", split).drop("_band")
 
 
 def materialize(df: DataFrame) -> DataFrame:

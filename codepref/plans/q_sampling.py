@@ -62,14 +62,11 @@ def x04_split(spark, sf_dir):
 
 @register("x04_split_exact", f"""
 WITH c AS (SELECT lang, count(*) AS n, (count(*) * 15 + 99) // 100 AS k_test FROM documents GROUP BY lang),
-t AS (SELECT d.doc_id, d.lang, row_number() OVER (PARTITION BY d.lang ORDER BY {H1}, d.doc_id) AS r1
-      FROM documents d),
-r AS (SELECT t.doc_id, t.lang, c.n, c.k_test, t.r1,
-             row_number() OVER (PARTITION BY t.lang, t.r1 > c.k_test ORDER BY {H2.replace('doc_id', 't.doc_id')}, t.doc_id) AS r2
-      FROM t JOIN c USING (lang))
-SELECT doc_id, lang, CASE WHEN r1 <= k_test THEN 'test'
-                          WHEN r2 <= ((n - k_test) * 11 + 99) // 100 THEN 'validation'
-                          ELSE 'train' END AS split FROM r
+r AS (SELECT d.doc_id, d.lang, row_number() OVER (PARTITION BY d.lang ORDER BY {H.replace('doc_id', 'd.doc_id')}, d.doc_id) AS r
+      FROM documents d)
+SELECT doc_id, lang, CASE WHEN r <= k_test THEN 'test'
+                          WHEN r <= k_test + ((n - k_test) * 11 + 99) // 100 THEN 'validation'
+                          ELSE 'train' END AS split FROM r JOIN c USING (lang)
 """)
 def x04_split_exact(spark, sf_dir):
     """X4 exact: ceil(15 %) test and ceil(11 % of the rest) validation per language."""
