@@ -59,7 +59,7 @@ def _grams(toks: Column, n: int) -> Column:
 def _clipped_matches(cand: Column, ref: Column) -> Column:
     """sum over distinct grams of min(count in cand, count in ref), in-row:
     sort both sides' grams tagged by side, then one fold over the runs."""
-    tagged = F.array_sort(F.concat(F.transform(cand, lambda g: F.struct(g.alias("g"), F.lit(1).alias("s"))),
+    tagged = F.sort_array(F.concat(F.transform(cand, lambda g: F.struct(g.alias("g"), F.lit(1).alias("s"))),
                                    F.transform(ref, lambda g: F.struct(g.alias("g"), F.lit(0).alias("s")))))
     zero = F.struct(F.lit(None).cast("string").alias("cur"), F.lit(0).alias("c"), F.lit(0).alias("r"),
                     F.lit(0).cast("bigint").alias("m"))
@@ -165,8 +165,16 @@ def json_value(c: Column, kind: str) -> Column:
     return json_string(c) if kind == "string" else c.cast("string")
 
 
-def score_join(predictions: DataFrame, problems: DataFrame, keys=("task_id",)) -> DataFrame:
-    """Predictions joined with their problems on the task key (inner
-    equi join; the optimizer broadcasts the problems when AQE measures them
-    small, else shuffles both sides on the key)."""
-    return predictions.join(problems, list(keys), "inner")
+def score_join(predictions: DataFrame, problems: DataFrame, keys=("task_id",),
+               max_broadcast_rows: int = 2_000_000) -> DataFrame:
+    """Predictions joined with their problems on the task key.
+
+    A benchmark is small next to its predictions, and one task may hold most
+    samples, so a shuffle join would put that task in one partition. The
+    problems side is counted (one small job) and broadcast when under
+    ``max_broadcast_rows``; above that, a shuffle join with AQE's skew-join
+    splitting."""
+    keys = list(keys)
+    if problems.count() <= max_broadcast_rows:
+        problems = F.broadcast(problems)
+    return predictions.join(problems, keys, "inner")
