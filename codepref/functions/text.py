@@ -22,10 +22,6 @@ def col(c: Column | str) -> Column:
     return c if isinstance(c, Column) else F.col(c)
 
 
-def lit(v) -> Column:
-    return v if isinstance(v, Column) else F.lit(v)
-
-
 def split_lines(text: Column) -> Column:
     """Python ``splitlines`` up to trailing empty items."""
     return F.split(text, LINE_BREAKS)
@@ -37,11 +33,6 @@ def py_strip(text: Column) -> Column:
     return F.regexp_replace(text, "(?U)^\\s+|\\s+$", "")
 
 
-def lines_of(text: Column) -> Column:
-    """``text.split('\\n')``."""
-    return F.split(text, "\n")
-
-
 def count_substr(text: Column, sub: str) -> Column:
     """Non-overlapping occurrences of a literal ``sub`` (``str.count``)."""
     return F.floor((F.length(text) - F.length(F.replace(text, F.lit(sub), F.lit("")))) / len(sub))

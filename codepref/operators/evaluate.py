@@ -161,10 +161,6 @@ def fingerprint(fields: dict[str, Column]) -> Column:
     return F.md5(F.concat(F.lit("{"), F.concat_ws(", ", *parts), F.lit("}")))
 
 
-def json_value(c: Column, kind: str) -> Column:
-    return json_string(c) if kind == "string" else c.cast("string")
-
-
 def score_join(predictions: DataFrame, problems: DataFrame, keys=("task_id",),
                max_broadcast_rows: int = 2_000_000) -> DataFrame:
     """Predictions joined with their problems on the task key.

@@ -18,7 +18,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from codepref.functions.text import seeded_hash
@@ -180,6 +180,3 @@ def materialize(df: DataFrame) -> DataFrame:
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
-
-def seeded_key_order(key: str, seed: int = 0) -> Column:
-    return seeded_hash(key, seed)

@@ -22,7 +22,7 @@ def sanitize(df: DataFrame, prediction: str = "completion", prompt: str = "promp
     lang = F.lit(compat_first_row_language) if compat_first_row_language else F.col(language)
     raw = F.col(prediction)
     if dict(df.dtypes).get(prediction, "").startswith("array"):
-        raw = F.try_element_at(raw, F.lit(1))  # N17
+        raw = unwrap_single(raw)  # N17
     code = extract_completion(remove_markers(raw), F.col(prompt))
     code = F.when(lang == "java", F.concat(code, F.lit("\n}"))).otherwise(code)
     out = (df.withColumn("_raw", raw)

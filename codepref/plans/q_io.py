@@ -40,7 +40,7 @@ def io02_train_dev(spark, sf_dir):
 
 
 @register("io03_problems", """
-SELECT CAST(item_id AS VARCHAR) AS task_id, 'python' AS language, text AS prompt, 'humaneval' AS benchmark
+SELECT CAST(item_id AS VARCHAR) AS task_id, 'python' AS language, text AS prompt, 'bench_a' AS benchmark
 FROM benchmark
 """)
 def io03_problems(spark, sf_dir):
@@ -49,7 +49,7 @@ def io03_problems(spark, sf_dir):
     b = io.read_table(spark, sf_dir, "benchmark")
     io.write_predictions_jsonl(b.select(F.col("item_id").cast("string").alias("task_id"),
                                         F.lit("python").alias("language"), F.col("text").alias("prompt")), path)
-    return io.read_problems(spark, path, benchmark="humaneval")
+    return io.read_problems(spark, path, benchmark="bench_a")
 
 
 @register("io04_templates", r"""

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
 
 from codepref.operators.sampling import assign_split, hash_quota, shuffle_rows, skip_first, take_first
 from codepref.plans.catalog import register
