@@ -71,13 +71,14 @@ def dpo_quota(counts: DataFrame, not_compile: float, compat: bool = False) -> Da
     return counts.withColumn("k", k.cast("bigint"))
 
 
-def build_kto(base: DataFrame, not_compile: float = 0.5, groups=("language",),
-              key: str = "row_id", seed: int = 0, compat: bool = False,
-              recheck: bool = False, **cols) -> DataFrame:
-    """Invalid predictions -> label false; valid ones corrupted up to the
-    quota -> label false; every reference -> label true."""
+def kto_rows(flagged: DataFrame, not_compile: float = 0.5, groups=("language",),
+             key: str = "row_id", seed: int = 0, compat: bool = False,
+             recheck: bool = False) -> DataFrame:
+    """P2 on a flagged table (key, groups, language, prompt, code, reference,
+    valid, candidate): invalid -> label false; candidates corrupted up to the
+    quota -> label false; every reference -> label true. ``flagged`` should be
+    materialized (it is read by four branches)."""
     groups = list(groups)
-    flagged = materialize(label_predictions(base, key=key, groups=groups, compat=compat, **cols))
     quota = kto_quota(_quota_counts(flagged, groups), not_compile).select(*groups, "k")
     chosen = hash_quota(flagged.where("candidate"), quota, groups, key, seed)
     out_cols = list(dict.fromkeys([*groups, "language", key]))
@@ -92,13 +93,12 @@ def build_kto(base: DataFrame, not_compile: float = 0.5, groups=("language",),
     return reduce(DataFrame.unionByName, [negatives, corrupted, positives])
 
 
-def build_dpo(base: DataFrame, not_compile: float = 1.0, groups=("language",),
-              key: str = "row_id", seed: int = 0, compat: bool = False,
-              recheck: bool = False, **cols) -> DataFrame:
-    """Invalid predictions -> (prompt, rejected=prediction, chosen=reference);
-    valid ones corrupted as ``rejected`` up to ``int(f*n) - invalid``."""
+def dpo_rows(flagged: DataFrame, not_compile: float = 1.0, groups=("language",),
+             key: str = "row_id", seed: int = 0, compat: bool = False,
+             recheck: bool = False) -> DataFrame:
+    """P1 on a flagged table: invalid -> (prompt, rejected=code, chosen=reference);
+    candidates corrupted as ``rejected`` up to ``int(f*n) - invalid``."""
     groups = list(groups)
-    flagged = materialize(label_predictions(base, key=key, groups=groups, compat=compat, **cols))
     quota = dpo_quota(_quota_counts(flagged, groups), not_compile, compat).select(*groups, "k")
     chosen = hash_quota(flagged.where("candidate"), quota, groups, key, seed)
     out_cols = list(dict.fromkeys([*groups, "language", key]))
@@ -111,6 +111,38 @@ def build_dpo(base: DataFrame, not_compile: float = 1.0, groups=("language",),
     return negatives.unionByName(corrupted)
 
 
+def build_kto(base: DataFrame, not_compile: float = 0.5, groups=("language",),
+              key: str = "row_id", seed: int = 0, compat: bool = False,
+              recheck: bool = False, **cols) -> DataFrame:
+    """P2 from base rows: label (extraction + checker), checkpoint, KTO rows."""
+    groups = list(groups)
+    flagged = materialize(label_predictions(base, key=key, groups=groups, compat=compat, **cols))
+    return kto_rows(flagged, not_compile, groups, key, seed, compat, recheck)
+
+
+def build_dpo(base: DataFrame, not_compile: float = 1.0, groups=("language",),
+              key: str = "row_id", seed: int = 0, compat: bool = False,
+              recheck: bool = False, **cols) -> DataFrame:
+    """P1 from base rows: label (extraction + checker), checkpoint, DPO rows."""
+    groups = list(groups)
+    flagged = materialize(label_predictions(base, key=key, groups=groups, compat=compat, **cols))
+    return dpo_rows(flagged, not_compile, groups, key, seed, compat, recheck)
+
+
+def flag_from_labels(items: DataFrame, labels: DataFrame, key: str, language: str, valid: str,
+                     prompt: str = "prompt", code: str = "code", compat: bool = False) -> DataFrame:
+    """Flag rows whose validity comes from an external judgement (a label
+    table joined on the key) instead of a checker: the pluggable-verdict form
+    of the flag step. Inner equi join on a unique key (no hot key)."""
+    j = items.join(labels, key)
+    d = j.select(key, F.col(language).alias("language"), F.col(prompt).alias("prompt"),
+                 F.col(code).alias("code"), F.col(code).alias("reference"),
+                 F.col(valid).cast("boolean").alias("valid"), F.lit(None).cast("string").alias("function_def"))
+    eligible = has_eligible_line(F.col("code"), F.col("language"))
+    cand = F.col("valid") & eligible if compat else F.col("valid") & (F.col("code") != "") & eligible
+    return d.withColumn("candidate", cand)
+
+
 def _drop_still_valid(rows: DataFrame, col: str) -> DataFrame:
     """Re-check the corrupted whole function; rows that are still valid
     are dropped (the reference labels them bad unchecked)."""

@@ -8,7 +8,10 @@ from pyspark.sql import functions as F
 from codepref.functions.text import extract_completion, prompt_found, remove_markers, whole_function
 from codepref.operators.corrupt import has_eligible_line, with_corruption
 from codepref.operators.normalize import java_parts
-from codepref.operators.preference import build_dpo, build_kto, label_predictions, preference_counters
+from codepref.operators.preference import (build_dpo, build_kto, flag_from_labels, kto_rows, label_predictions,
+                                          preference_counters)
+from codepref.operators.sampling import materialize
+from codepref.sources.tables import read_table
 from codepref.operators.sanitize import sanitize
 from codepref.operators.validity import (balanced, failure_counts, lenient_verdict, python_compiles,
                                          valid_code, wrap_in_class)
@@ -242,3 +245,54 @@ def c06_recheck(spark, sf_dir):
     """KTO rows with the corrupted code re-checked; corruptions that are
     still valid are dropped (rows-only check: Python validity has no SQL form)."""
     return build_kto(_base(spark, sf_dir), not_compile=0.5, seed=SEED, recheck=True)
+
+
+@register("p01_dpo_compat", _with(LABELLED.replace(
+    "valid AND code <> '' AND eligible AS candidate", "valid AND eligible AS candidate"), _counts(
+    "CASE WHEN CAST(floor(n * CAST(0.2 AS DOUBLE)) AS BIGINT) - neg >= 0 "
+    "THEN CAST(floor(n * CAST(0.2 AS DOUBLE)) AS BIGINT) - neg "
+    "ELSE greatest(0, candidates + CAST(floor(n * CAST(0.2 AS DOUBLE)) AS BIGINT) - neg) END")) + f"""
+SELECT language, row_id, prompt, code AS rejected, reference AS chosen FROM flag WHERE NOT valid
+UNION ALL
+SELECT language, row_id, prompt, {sql_corrupt('code', 'language', 'row_id', SEED, compat=True)} AS rejected,
+       reference AS chosen FROM chosen
+""")
+def p01_dpo_compat(spark, sf_dir):
+    """P1 literal (Q5): f = 0.2 gives a negative quota, which the reference's
+    slice turns into ``candidates + quota`` corrupted rows; C4 first-substring edits."""
+    return build_dpo(_base(spark, sf_dir), not_compile=0.2, seed=SEED, compat=True)
+
+
+LABEL_FLAG = f"""
+lj AS (SELECT d.doc_id AS row_id, d.lang, 'python' AS language, substr(d.text, 1, 40) AS prompt,
+              substr(d.text, 41) AS code, l.quality = 1 AND l.toxic = 0 AS valid
+       FROM documents d JOIN labels l USING (doc_id)),
+flag AS (SELECT *, code AS reference, valid AND code <> '' AND {sql_eligible('code', 'language')} AS candidate FROM lj),
+counts AS (SELECT lang, count(*) AS n, count(*) FILTER (WHERE NOT valid) AS neg FROM flag GROUP BY lang),
+quota AS (SELECT *, {KTO_K} AS k FROM counts),
+chosen AS (SELECT f.* FROM (SELECT *, row_number() OVER (PARTITION BY lang
+             ORDER BY {sql_hash('row_id', SEED)}, row_id) AS rn FROM flag WHERE candidate) f
+           JOIN quota USING (lang) WHERE rn <= k)
+"""
+
+
+@register("p02_kto_labels", "WITH " + LABEL_FLAG.strip() + f"""
+SELECT lang, language, row_id, prompt, code AS completion, false AS label FROM flag WHERE NOT valid
+UNION ALL
+SELECT lang, language, row_id, prompt, {sql_corrupt('code', 'language', 'row_id', SEED)} AS completion,
+       false AS label FROM chosen
+UNION ALL
+SELECT lang, language, row_id, prompt, reference AS completion, true AS label FROM flag
+""")
+def p02_kto_labels(spark, sf_dir):
+    """P2 with an external verdict: documents joined with labels (valid =
+    quality 1 and not toxic); quota per document language (one language holds
+    most rows); corruption with the Python rules on the prose."""
+    docs = read_table(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("row_id"), "lang", F.lit("python").alias("language"),
+        F.substr("text", F.lit(1), F.lit(40)).alias("prompt"), F.substr("text", F.lit(41)).alias("code"))
+    labels = read_table(spark, sf_dir, "labels").select(
+        F.col("doc_id").alias("row_id"), ((F.col("quality") == 1) & (F.col("toxic") == 0)).alias("ok"))
+    flagged = flag_from_labels(docs, labels, "row_id", "language", "ok").join(
+        docs.select("row_id", "lang"), "row_id")
+    return kto_rows(materialize(flagged), 0.5, ["lang"], "row_id", SEED)
