@@ -39,7 +39,13 @@ def checkpoint_dir(spark: SparkSession) -> str:
     Only a local-mode session without one gets a fresh temporary folder, as in
     tests; on a cluster a missing setting is an error, never a machine-local path.
     """
-    sc = spark.sparkContext
+    try:
+        sc = spark.sparkContext
+    except Exception:  # a Spark Connect session has no context: the server's setting applies
+        configured = spark.conf.get("spark.checkpoint.dir", None)
+        if not configured:
+            raise RuntimeError("set spark.checkpoint.dir to a shared folder") from None
+        return configured
     current = sc._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()

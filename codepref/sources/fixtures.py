@@ -128,7 +128,8 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     string expressions substituted into every filter that reads them."""
     from codepref.session import checkpoint_dir
 
-    key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir), name, _stamp(sf_dir, name))
+    app = spark.conf.get("spark.app.id", None) or spark.conf.get("spark.app.name", "")
+    key = (app, os.path.abspath(sf_dir), name, _stamp(sf_dir, name))
     path = _WRITTEN.get(key)
     if path is None:
         path = f"{checkpoint_dir(spark).rstrip('/')}/views/{name}-{uuid.uuid4().hex}"
