@@ -171,12 +171,17 @@ def assign_split(df: DataFrame, key: str = "row_id", seed: int = 0, test_pct: in
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Cut lineage by a reliable checkpoint in the session's shared checkpoint
-    folder (read from ``spark.checkpoint.dir``), so a table read by several
-    branches (counts and selection) is computed once and survives executor
-    loss."""
-    from codepref.session import checkpoint_dir
+    """Cut lineage by writing the table as parquet into the session's shared
+    checkpoint folder (``spark.checkpoint.dir``) and reading it back.
+
+    A table read by several branches (counts, negatives, selection,
+    positives) is then computed once, survives executor loss, and each branch
+    reads only its columns (the counts never touch the prompt or reference
+    text), which a row-serialized RDD checkpoint cannot offer."""
+    import uuid
 
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    from codepref.session import checkpoint_dir
 
+    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
