@@ -74,30 +74,57 @@ def _clipped_matches(cand: Column, ref: Column) -> Column:
     return F.aggregate(tagged, zero, step, lambda acc: acc["m"] + F.least(acc["c"], acc["r"]))
 
 
+def _gram_columns(df: DataFrame, keys, candidate: str, reference: str, max_n: int) -> DataFrame:
+    """Staged: token arrays, then n-gram arrays per order (each computed once;
+    lambdas are not shared by Spark's common-subexpression elimination)."""
+    d = df.select(*keys, tokens(F.col(candidate)).alias("_tc"), tokens(F.col(reference)).alias("_tr"))
+    return d.select(*keys, *[c for n in range(1, max_n + 1) for c in
+                             (_grams(F.col("_tc"), n).alias(f"_gc{n}"), _grams(F.col("_tr"), n).alias(f"_gr{n}"))])
+
+
 def ngram_overlap(df: DataFrame, keys, candidate: str, reference: str, max_n: int = 4) -> DataFrame:
-    """A7 core: per key and n, clipped n-gram matches and both totals.
+    """A7 core, long form: per key and n, clipped n-gram matches and both
+    totals (an order appears when either side has grams of that length).
 
     Both sides of a pair live in the same row, so the multiset intersection is
     computed in the row (sort + one fold): no explode of n-grams, no shuffle,
-    and no skew however large one key's text is. Staged projections keep each
-    array computed once (lambdas are not shared by Spark's CSE)."""
+    and no skew however large one key's text is."""
     keys = list(keys)
-    d = df.select(*keys, tokens(F.col(candidate)).alias("_tc"), tokens(F.col(reference)).alias("_tr"))
-    d = d.select(*keys, *[c for n in range(1, max_n + 1) for c in
-                          (_grams(F.col("_tc"), n).alias(f"_gc{n}"), _grams(F.col("_tr"), n).alias(f"_gr{n}"))])
+    d = _gram_columns(df, keys, candidate, reference, max_n)
     rows = F.array(*[F.struct(F.lit(n).cast("bigint").alias("n"),
                               _clipped_matches(F.col(f"_gc{n}"), F.col(f"_gr{n}")).alias("matches"),
                               F.size(f"_gc{n}").cast("bigint").alias("cand_total"),
                               F.size(f"_gr{n}").cast("bigint").alias("ref_total"))
                      for n in range(1, max_n + 1)])
     out = d.select(*keys, F.inline(rows))
-    # keep the oracle's shape: an order appears when either side has such grams
     return out.where((F.col("cand_total") > 0) | (F.col("ref_total") > 0))
 
 
+def sentence_bleu(df: DataFrame, keys, candidate: str, reference: str, max_n: int = 4,
+                  digits: int = 9) -> DataFrame:
+    """Sentence BLEU per row, entirely in the row (no explode, no shuffle):
+    uniform weights, brevity penalty, 0 when some order has no match."""
+    keys = list(keys)
+    # keep pairs with some token; a filter on a later (array) column would be
+    # pushed down with that column's expression inlined
+    nonempty = df.where((F.size(tokens(F.col(candidate))) > 0) | (F.size(tokens(F.col(reference))) > 0))
+    d = _gram_columns(nonempty, keys, candidate, reference, max_n)
+    d = d.select(*keys, *[_clipped_matches(F.col(f"_gc{n}"), F.col(f"_gr{n}")).alias(f"_m{n}")
+                          for n in range(1, max_n + 1)],
+                 *[F.size(f"_gc{n}").alias(f"_c{n}") for n in range(1, max_n + 1)],
+                 F.size("_gr1").alias("_r1"))
+    ps = [F.coalesce(F.try_divide(F.col(f"_m{n}"), F.col(f"_c{n}")), F.lit(0.0)) for n in range(1, max_n + 1)]
+    c_len, r_len = F.col("_c1"), F.col("_r1")
+    any_zero = F.greatest(*[p == 0 for p in ps])
+    log_mean = sum((F.log(F.when(p > 0, p)) for p in ps), F.lit(0.0)) / max_n
+    bp = F.when(c_len > r_len, F.lit(1.0)).otherwise(F.exp(1 - r_len / c_len))
+    score = F.when(any_zero | (c_len == 0), F.lit(0.0)).otherwise(bp * F.exp(log_mean))
+    return d.select(*keys, F.round(score, digits).alias("bleu"))
+
+
 def bleu(overlap: DataFrame, keys, max_n: int = 4, digits: int = 9) -> DataFrame:
-    """Sentence BLEU from ``ngram_overlap`` (uniform weights, brevity
-    penalty, 0 when some order has no match)."""
+    """Sentence BLEU from a long-form ``ngram_overlap`` table (one
+    aggregate per key); :func:`sentence_bleu` does the same in the row."""
     keys = list(keys)
     agg = [F.max(F.when(F.col("n") == n, F.try_divide("matches", "cand_total"))).alias(f"p{n}")
            for n in range(1, max_n + 1)]

@@ -229,8 +229,11 @@ FROM (SELECT row_id, max(CASE WHEN n = 1 THEN matches / cand_total END) AS p1,
       FROM overlap GROUP BY row_id)
 """)
 def a07_bleu(spark, sf_dir):
-    """Sentence BLEU of predicted vs reference bodies."""
-    return ev.bleu(a07_bleu_counts(spark, sf_dir), ["row_id"])
+    """Sentence BLEU of predicted vs reference bodies (in-row)."""
+    b = view(spark, sf_dir, "code_base")
+    d = b.select("row_id", extract_completion(remove_markers(F.col("prediction")), F.col("prompt")).alias("code"),
+                 F.col("code_completion").alias("reference"))
+    return ev.sentence_bleu(d, ["row_id"], "code", "reference", 4)
 
 
 @register("a07_rouge_n", oracle_ctes("conv_pairs").rstrip() + ",\n"
