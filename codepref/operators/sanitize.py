@@ -35,12 +35,27 @@ def sanitize(df: DataFrame, prediction: str = "completion", prompt: str = "promp
     return out.drop(*drop)
 
 
-def assemble_prompts(problems: DataFrame, templates: DataFrame, prompt: str = "prompt") -> DataFrame:
+# Size bound for the template set (it is configuration: a few prompt files).
+MAX_TEMPLATES = 1000
+MAX_TEMPLATE_CHARS = 1_000_000
+
+
+def assemble_prompts(problems: DataFrame, templates, prompt: str = "prompt") -> DataFrame:
     """Every template x every problem, prompt = template + problem.
 
-    Templates are a handful of files (a proven small side), so they are
-    broadcast and the problems never shuffle."""
-    return (problems.crossJoin(F.broadcast(templates.select("name", "template")))
+    The template set is configuration (a few files read by IO4): it is
+    collected behind a size check and exploded per problem as a literal array,
+    so the problems are neither joined nor shuffled. ``templates`` is a list of
+    (name, template) pairs or a (name, template) DataFrame."""
+    if isinstance(templates, DataFrame):
+        rows = templates.select("name", "template").limit(MAX_TEMPLATES + 1).collect()
+        templates = [(r["name"], r["template"]) for r in rows]
+    if len(templates) > MAX_TEMPLATES or sum(len(t or "") for _, t in templates) > MAX_TEMPLATE_CHARS:
+        raise ValueError("template set too large to inline; split the problems per template instead")
+    lit = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(t).alias("template")) for n, t in templates])
+    return (problems.withColumn("_t", F.explode(lit))
+            .select("*", F.col("_t.name").alias("name"), F.col("_t.template").alias("template"))
+            .drop("_t")
             .withColumn("full_prompt", F.concat(F.col("template"), F.col(prompt))))
 
 

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from codepref.functions.text import extract_completion, remove_markers
 from codepref.operators import evaluate as ev
-from codepref.operators.sampling import take_first
+from codepref.operators.sampling import rank_bands
+from codepref.operators.validity import valid_code
 from codepref.operators.sanitize import assemble_prompts, predict, replicate, sanitize, stub_predictor
 from codepref.plans.catalog import register
 from codepref.plans.q_preference import LABELLED, _with
@@ -22,7 +23,7 @@ SEED = 13
 
 
 def _templates(spark):
-    return spark.createDataFrame(list(TEMPLATES), "name string, template string")
+    return list(TEMPLATES)
 
 
 def _runs(spark):
@@ -110,10 +111,13 @@ FROM (SELECT *, row_number() OVER (ORDER BY {sql_hash('row_id', SEED)}, row_id)
 """)
 def a02_sample_rate(spark, sf_dir):
     """A2: A1 on the first 101 rows, beside the full row count."""
-    b = view(spark, sf_dir, "code_base")
-    s = sanitize(take_first(b, 101, key="row_id", seed=SEED), prediction="prediction", prompt="prompt")
-    rate = ev.valid_rate(s, "prompt", "completion", "language", [])
-    return rate.crossJoin(b.agg(F.count(F.lit(1)).alias("n_total")))
+    b = rank_bands(view(spark, sf_dir, "code_base"), [101], key="row_id", seed=SEED, out="_band")
+    s = sanitize(b, prediction="prediction", prompt="prompt")
+    ok = valid_code(F.concat(F.col("prompt"), F.lit("\n"), F.col("completion")), F.col("language")) \
+        & (F.length("completion") > 0)
+    s = s.withColumn("_ok", F.when(F.col("_band") == 0, ok))  # checked for sampled rows only
+    return s.agg(F.count_if(F.col("_ok")).alias("n_valid"), F.count_if(F.col("_band") == 0).alias("n_rows"),
+                 F.count(F.lit(1)).alias("n_total"))
 
 
 PASS_SQL = """
