@@ -47,3 +47,15 @@ def test_dataset_overwrite_is_idempotent(spark):
     assert back.count() == d.count()
     assert read_dataset(spark, root, "seed", language="java", split="train").count() == \
         d.where("language = 'java'").count()
+
+
+def test_run_grid_and_problem_readers(spark):
+    from codepref.sources.tables import read_run_grid
+
+    root = f"{checkpoint_dir(spark)}/t-runs-{uuid.uuid4().hex}"
+    runs = spark.createDataFrame([("r0", "m", "p", "java", 7500, 1.0), ("r1", "m", "q", "python", None, 0.5)],
+                                 "run_id string, model string, prompt string, language string, size long, "
+                                 "not_compile double")
+    runs.write.json(root)
+    back = read_run_grid(spark, root)
+    assert sorted(tuple(r) for r in back.collect()) == sorted(tuple(r) for r in runs.collect())
