@@ -7,12 +7,15 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from codepref.functions.text import tokens
+from codepref.functions.text import WORD_CHARS
+
+TOKEN_RE = f"[{WORD_CHARS}]+|\\S"
 
 
 def token_count(text: Column) -> Column:
-    """Token count stand-in for a model tokenizer: ``\\w+|\\S`` tokens."""
-    return F.size(tokens(text))
+    """Token count stand-in for a model tokenizer: ``\\w+|\\S`` tokens,
+    counted without building the token array."""
+    return F.regexp_count(text, F.lit(TOKEN_RE))
 
 
 def length_histogram(df: DataFrame, length: Column, bucket_size: int = 100, cap: int = 2000,
