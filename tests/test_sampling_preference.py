@@ -120,3 +120,16 @@ def test_pass_at_k_golden(spark):
     assert got[2]["pass_at_1"] == pytest.approx(0.4)
     assert got[2]["pass_at_2"] == pytest.approx(1 - math.comb(3, 2) / math.comb(5, 2))
     assert got[3]["pass_at_2"] == 1.0
+
+
+def test_hot_group_spreads_over_buckets(spark):
+    """One language holds about half the documents; the quota's row-number
+    windows run per (group, hash bucket), so no window partition gets more
+    than a sliver of that group."""
+    d = read_table(spark, SF_MID, "documents").select("doc_id", "lang")
+    sizes = {r["lang"]: r["count"] for r in d.groupBy("lang").count().collect()}
+    hot = max(sizes, key=sizes.get)
+    assert sizes[hot] * 3 >= sum(sizes.values())  # a third or more of all rows
+    b = d.withColumn("_b", F.shiftright(seeded_hash("doc_id", 0), 16))
+    largest = b.where(F.col("lang") == hot).groupBy("_b").count().agg(F.max("count")).first()[0]
+    assert largest <= max(3, sizes[hot] // 100)
