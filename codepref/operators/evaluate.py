@@ -42,8 +42,11 @@ def pass_at_k(results: DataFrame, ks=(1, 5, 10), task: str = "task_id", passed:
     return g
 
 
-def pass_at_k_mean(per_task: DataFrame, ks=(1, 5, 10), by=(), digits: int = 9) -> DataFrame:
-    """A5: mean over tasks (rounded: summation order differs between engines)."""
+def pass_at_k_mean(per_task: DataFrame, ks=None, by=(), digits: int = 9) -> DataFrame:
+    """A5: mean over tasks (rounded: summation order differs between engines);
+    ``ks`` defaults to every ``pass_at_<k>`` column present."""
+    if ks is None:
+        ks = [int(c.rsplit("_", 1)[1]) for c in per_task.columns if c.startswith("pass_at_")]
     return per_task.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n_tasks"),
         *[F.round(F.avg(f"pass_at_{k}"), digits).alias(f"pass_at_{k}") for k in ks])

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codepref.functions.text import WORD_CHARS, count_substr
+from codepref.functions.text import WORD_CHARS, count_substr, whole_function
 from codepref.operators.validity import valid_code
 
 # Patterns and bounds of the reference filters.
@@ -166,7 +166,10 @@ def filter_seed(df: DataFrame, compat: bool = False, check_validity: bool = True
     predicates first; the validity check (F5) runs only on their survivors."""
     out = df.where(F.col("function_def").isNotNull() & native_filters(compat))
     if check_validity:
-        out = out.where(valid_code(whole_reference(), F.col("language"), checkers))
+        # Q3: the Java def lost its "{" in N2; it is put back for the check
+        whole = whole_function(F.col("function_def"), F.col("code_completion"), F.col("language"),
+                               repair_java_brace=not compat)
+        out = out.where(valid_code(whole, F.col("language"), checkers))
     return out
 
 

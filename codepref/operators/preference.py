@@ -27,9 +27,10 @@ def label_predictions(base: DataFrame, key: str = "row_id", prompt: str = "promp
                       prediction: str = "prediction", reference: str = "code_completion",
                       function_def: str = "function_def", language: str = "language",
                       groups=("language",), checkers: dict | None = None,
-                      repair_java_brace: bool = False, compat: bool = False) -> DataFrame:
+                      repair_java_brace: bool = True, compat: bool = False) -> DataFrame:
     """Flag every base row: ``code`` (extracted completion), ``valid`` and
-    ``candidate`` (may be corrupted into a negative)."""
+    ``candidate`` (may be corrupted into a negative). A Java def without its
+    ``{`` gets it back before the check (Q3), unless ``repair_java_brace=False``."""
     lang = F.col(language)
     code = extract_completion(remove_markers(F.col(prediction)), F.col(prompt))
     keep = list(dict.fromkeys([key, *groups, language]))

@@ -133,3 +133,14 @@ def test_hot_group_spreads_over_buckets(spark):
     b = d.withColumn("_b", F.shiftright(seeded_hash("doc_id", 0), 16))
     largest = b.where(F.col("lang") == hot).groupBy("_b").count().agg(F.max("count")).first()[0]
     assert largest <= max(3, sizes[hot] // 100)
+
+
+def test_java_brace_repair_keeps_java_rows(spark):
+    """Q3: N2 drops the "{" from the Java def; the validity check puts it back,
+    so normalised Java references are not all rejected (compat keeps the bug)."""
+    from codepref.operators.filters import filter_seed
+    from codepref.operators.normalize import normalize_seed
+
+    seed = normalize_seed(view(spark, SF_MID, "code_raw"))
+    assert filter_seed(seed).where("language = 'java'").count() > 0
+    assert filter_seed(seed, compat=True).where("language = 'java'").count() == 0
