@@ -59,3 +59,29 @@ def test_run_grid_and_problem_readers(spark):
     runs.write.json(root)
     back = read_run_grid(spark, root)
     assert sorted(tuple(r) for r in back.collect()) == sorted(tuple(r) for r in runs.collect())
+
+
+def test_cli_jobs(spark):
+    """The command-line jobs end to end on fixture-derived tables."""
+    from codepref.cli import run
+
+    root = f"{checkpoint_dir(spark)}/t-cli-{uuid.uuid4().hex}"
+    view(spark, SF_SMALL, "code_raw").write.parquet(f"{root}/raw")
+    s = run(["filter-seed", "--input", f"{root}/raw", "--output", root, "--name", "seed"], spark)
+    assert read_dataset(spark, root, "seed").count() > 0 and len(s["funnel"]) == 3
+    base = view(spark, SF_SMALL, "code_base").withColumn("split", F.lit("train"))
+    write_dataset(base, root, "base")
+    run(["kto", "--input", root, "--base-name", "base", "--output", root, "--name", "kto"], spark)
+    kto = read_dataset(spark, root, "kto")
+    assert kto.where("label").count() == base.count()
+    run(["dpo", "--input", root, "--base-name", "base", "--output", root, "--name", "dpo",
+         "--language", "java"], spark)
+    assert read_dataset(spark, root, "dpo").where("language <> 'java'").count() == 0
+    view(spark, SF_SMALL, "results").write.parquet(f"{root}/results")
+    s = run(["score", "--input", f"{root}/results", "--k", "1", "5"], spark)
+    assert s["pass_at_k"]["n_tasks"] == 49
+    preds = base.select(F.col("row_id").alias("task_id"), "language", "prompt",
+                        F.col("prediction").alias("completion"))
+    preds.write.json(f"{root}/preds")
+    s = run(["sanitize", "--input", f"{root}/preds", "--output", f"{root}/sanitized"], spark)
+    assert spark.read.json(f"{root}/sanitized").count() == base.count()
