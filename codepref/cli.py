@@ -1,4 +1,5 @@
-"""Command-line jobs (``spark-submit -m codepref`` or ``python -m codepref``):
+"""Command-line jobs (``python -m codepref <job>`` or
+``PYTHONPATH=. spark-submit codepref/__main__.py <job>``):
 the reference's scripts as Spark applications over parquet / JSON paths.
 
     filter-seed   raw seed -> unified, filtered, split seed table
