@@ -225,10 +225,10 @@ SELECT row_id, round(CASE WHEN least(coalesce(p1, 0), coalesce(p2, 0), coalesce(
                           OR c_len = 0 THEN 0.0
   ELSE (CASE WHEN c_len > r_len THEN 1.0 ELSE exp(1 - r_len / c_len) END)
        * exp((ln(p1) + ln(p2) + ln(p3) + ln(p4)) / 4) END, 9) AS bleu
-FROM (SELECT row_id, max(CASE WHEN n = 1 THEN matches / cand_total END) AS p1,
-        max(CASE WHEN n = 2 THEN matches / cand_total END) AS p2,
-        max(CASE WHEN n = 3 THEN matches / cand_total END) AS p3,
-        max(CASE WHEN n = 4 THEN matches / cand_total END) AS p4,
+FROM (SELECT row_id, max(CASE WHEN n = 1 AND cand_total > 0 THEN matches / cand_total END) AS p1,
+        max(CASE WHEN n = 2 AND cand_total > 0 THEN matches / cand_total END) AS p2,
+        max(CASE WHEN n = 3 AND cand_total > 0 THEN matches / cand_total END) AS p3,
+        max(CASE WHEN n = 4 AND cand_total > 0 THEN matches / cand_total END) AS p4,
         max(CASE WHEN n = 1 THEN cand_total END) AS c_len, max(CASE WHEN n = 1 THEN ref_total END) AS r_len
       FROM overlap GROUP BY row_id)
 """)

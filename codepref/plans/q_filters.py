@@ -167,3 +167,35 @@ def j01_rejected(spark, sf_dir):
     s = _seed(spark, sf_dir)
     kept = flt.filter_seed(s)
     return flt.rejected_rows(s, kept).select("row_id", "language")
+
+
+def _raw_seed_sql() -> str:
+    from codepref.plans.q_normalize import JAVA_SQL, KOTLIN_SQL, METHOD_RE2 as M, PY_SQL, RAW
+
+    seed = f"""
+seed AS (
+  SELECT j.row_id, 'java' AS language, r.func_name, j.documentation, j.function_def, j.code_completion
+  FROM ({JAVA_SQL}) j JOIN code_raw r USING (row_id)
+  UNION ALL
+  SELECT p.row_id, 'python', r.func_name, p.documentation, p.function_def, p.code_completion
+  FROM ({PY_SQL}) p JOIN code_raw r USING (row_id)
+  UNION ALL
+  SELECT row_id, 'kotlin', trim(replace(regexp_extract(function_def, '{M}', 1), 'fun ', '')),
+         documentation, function_def, code_completion FROM ({KOTLIN_SQL}) k)
+"""
+    repaired = ("(CASE WHEN language = 'java' AND NOT ends_with(rtrim(function_def), '{') "
+                "THEN function_def || ' {' ELSE function_def END || chr(10) || code_completion)")
+    # normalised Python functions compile by construction (tab-indented unparsed bodies)
+    valid = f"(CASE WHEN language = 'python' THEN true ELSE {sql_balanced(repaired, 'language')} END)"
+    return (RAW.rstrip() + ",\n" + seed.strip() + "\n" +
+            f"SELECT row_id, language FROM seed WHERE function_def IS NOT NULL AND code_completion IS NOT NULL "
+            f"AND {S_NATIVE} AND {valid}")
+
+
+@register("f11_from_raw", _raw_seed_sql())
+def f11_from_raw(spark, sf_dir):
+    """Seed filtering end to end: raw rows -> N1-N10 normalisation -> F1-F12 ->
+    F5 validity (Java brace repaired, Q3)."""
+    from codepref.operators.normalize import normalize_seed
+
+    return flt.filter_seed(normalize_seed(view(spark, sf_dir, "code_raw"))).select("row_id", "language")
