@@ -68,15 +68,20 @@ def extract_completion(output: Column, prompt: Column) -> Column:
     Cut after the first occurrence of the prompt (absent: from 0-based index
     ``len(prompt)-1``), split into lines, skip empty lines, stop at the first
     line that is not indented (kept only if it is exactly ``}``), join by
-    ``\\n``. Lambda-free, so Spark's common-subexpression elimination shares
-    the pieces: the non-empty lines are re-joined and one anchored regex takes
-    the indented run plus an optional closing ``}`` line."""
+    ``\\n``. Lambda-free (Spark's common-subexpression elimination shares the
+    pieces) and free of repeated regex groups (Java's regex engine recurses
+    once per repetition, which overflows the stack on long outputs): one
+    ``regexp_instr`` finds the first unindented line."""
     at = F.instr(output, prompt)
     start = F.when(at > 0, at + F.length(prompt)).otherwise(F.length(prompt))
     rest = F.substr(output, start)
     joined = F.array_join(F.array_remove(split_lines(rest), ""), "\n")
-    body = F.regexp_extract(joined, "^((?:[ \\t][^\\n]*(?:\\n|\\z))*(?:\\}(?:\\n|\\z))?)", 1)
-    return F.regexp_replace(body, "\\n\\z", "")
+    # where the first unindented line starts in `joined` (a virtual "\n" in front)
+    p = F.regexp_instr(F.concat(F.lit("\n"), joined), F.lit("\n[^ \t]"))
+    kept = F.when(p > 2, F.substr(joined, F.lit(1), p - 2))
+    stop_line = F.substring_index(F.substr(joined, p), "\n", 1)
+    closing = F.when(stop_line == "}", F.lit("}"))
+    return F.when(p == 0, joined).otherwise(F.concat_ws("\n", kept, closing))
 
 
 def prompt_found(output: Column, prompt: Column) -> Column:

@@ -19,9 +19,23 @@ from pyspark.sql import types as T
 
 LANGUAGES = ("java", "python", "kotlin")
 
-# String / comment syntax removed before bracket matching.
-C_LIKE_NOISE = (r'(?s)""".*?"""|"(?:\\.|[^"\\\n])*"|' r"'(?:\\.|[^'\\\n])*'|/\*.*?\*/|//[^\n]*")
-PYTHON_NOISE = (r'(?s)""".*?"""|' r"'''.*?'''|" r'"(?:\\.|[^"\\\n])*"|' r"'(?:\\.|[^'\\\n])*'|#[^\n]*")
+# String / comment syntax removed before bracket matching (RE2 form,
+# used by the SQL oracle). String literals are written unrolled,
+# "[^"\\\n]*(?:\\.[^"\\\n]*)*", which is deterministic: no alternative can backtrack.
+C_LIKE_NOISE = (r'(?s)""".*?"""|"[^"\\\n]*(?:\\.[^"\\\n]*)*"|' r"'[^'\\\n]*(?:\\.[^'\\\n]*)*'|"
+                r"/\*.*?\*/|//[^\n]*")
+PYTHON_NOISE = (r'(?s)""".*?"""|' r"'''.*?'''|" r'"[^"\\\n]*(?:\\.[^"\\\n]*)*"|'
+                r"'[^'\\\n]*(?:\\.[^'\\\n]*)*'|#[^\n]*")
+
+
+# The same patterns for Spark, with possessive string loops: Java's regex
+# engine recurses once per repetition of a group, a possessive loop does not
+# (and cannot backtrack), so a literal with any number of escapes cannot
+# overflow the stack. Matches are the same since the loops are deterministic.
+C_LIKE_NOISE_JAVA = (r'(?s)""".*?"""|"[^"\\\n]*+(?:\\.[^"\\\n]*+)*+"|'
+                     r"'[^'\\\n]*+(?:\\.[^'\\\n]*+)*+'|/\*.*?\*/|//[^\n]*")
+PYTHON_NOISE_JAVA = (r'(?s)""".*?"""|' r"'''.*?'''|" r'"[^"\\\n]*+(?:\\.[^"\\\n]*+)*+"|'
+                     r"'[^'\\\n]*+(?:\\.[^'\\\n]*+)*+'|#[^\n]*")
 BRACKETS = r"[(){}\[\]]"
 
 
@@ -42,8 +56,8 @@ def balanced(code: Column, language: Column | str = "java") -> Column:
     """V2: brackets balanced and never closed before opened, ignoring strings
     and comments. ``language`` picks the comment syntax."""
     lang = F.lit(language) if isinstance(language, str) else language
-    stripped = F.when(lang == "python", F.regexp_replace(code, PYTHON_NOISE, "")) \
-                .otherwise(F.regexp_replace(code, C_LIKE_NOISE, ""))
+    stripped = F.when(lang == "python", F.regexp_replace(code, PYTHON_NOISE_JAVA, "")) \
+                .otherwise(F.regexp_replace(code, C_LIKE_NOISE_JAVA, ""))
     return _fold_brackets(stripped)
 
 

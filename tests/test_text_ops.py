@@ -128,3 +128,21 @@ def test_python_outermost_docstrings(spark):
     df = spark.createDataFrame([(src,)], "c string")
     r = df.select(python_parts(F.col("c"), docstrings="outermost").alias("p")).select("p.*").first()
     assert r["code_completion"] == "\tdef inner():\n\t    \"\"\"Inner.\"\"\"\n\t    return 1\n\treturn inner()"
+
+
+def test_possessive_patterns_match_the_oracle_patterns():
+    from codepref.operators.validity import C_LIKE_NOISE, C_LIKE_NOISE_JAVA, PYTHON_NOISE, PYTHON_NOISE_JAVA
+
+    assert C_LIKE_NOISE_JAVA.replace("*+", "*") == C_LIKE_NOISE
+    assert PYTHON_NOISE_JAVA.replace("*+", "*") == PYTHON_NOISE
+
+
+def test_long_inputs_do_not_overflow(spark):
+    """Java's regex engine recurses per repetition of a group: extraction and
+    the bracket check must stay flat on long outputs and long literals."""
+    long_out = "P\n" + "    x = 1\n" * 50000 + "}\nrest"
+    long_lit = 'int f() { String s = "' + 'a\\"' * 50000 + '"; return (1); }'
+    df = spark.createDataFrame([(long_out, long_lit)], "o string, c string")
+    r = df.select(F.length(extract_completion(F.col("o"), F.lit("P"))).alias("n"),
+                  balanced(F.col("c"), "java").alias("b")).first()
+    assert r["n"] == len("    x = 1\n" * 50000 + "}") and r["b"] is True
