@@ -144,3 +144,21 @@ def test_java_brace_repair_keeps_java_rows(spark):
     seed = normalize_seed(view(spark, SF_MID, "code_raw"))
     assert filter_seed(seed).where("language = 'java'").count() > 0
     assert filter_seed(seed, compat=True).where("language = 'java'").count() == 0
+
+
+def test_flagship_steps_on_very_long_rows(spark):
+    """Labelling and corruption stay flat on one 50,000-line prediction."""
+    body = "    x = x + 1\n" * 50000
+    rows = [(1, "python", "def f(x):", "def f(x):", "    return x", "def f(x):\n" + body + "    return x\nprint()"),
+            (2, "java", "int f(int x) {", "int f(int x) {", "    return x;\n}",
+             "int f(int x) {\n" + body.replace("+ 1", "+ 1;") + "    return x;\n}\nrest"),
+            (3, "kotlin", "fun f(x: Int): Int {", "fun f(x: Int): Int {", "    return x\n}",
+             "fun f(x: Int): Int {\n" + body + "    return x\n}")]
+    base = spark.createDataFrame(rows, "row_id long, language string, prompt string, function_def string, "
+                                       "code_completion string, prediction string")
+    lab = label_predictions(base)
+    out = with_corruption(lab, seed=3).select("row_id", "valid", "candidate", F.length("code").alias("n"),
+                                              (F.col("corrupted") != F.col("code")).alias("changed")).collect()
+    got = {r["row_id"]: r for r in out}
+    assert all(r["valid"] and r["candidate"] and r["changed"] for r in got.values())
+    assert got[1]["n"] > 50000 * 14
