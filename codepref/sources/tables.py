@@ -37,19 +37,27 @@ def read_dataset(spark: SparkSession, root: str, name: str, language: str | None
     return df
 
 
-def write_dataset(df: DataFrame, root: str, name: str, revision: str = "main") -> str:
+def write_dataset(df: DataFrame, root: str, name: str, revision: str = "main",
+                  files_per_partition: int | None = None, max_records_per_file: int = 1_000_000) -> str:
     """IO5: write under (name, revision) partitioned by language and split.
 
     Dynamic partition overwrite replaces only the (language, split) partitions
     present in ``df``; a re-run after a lost executor rewrites the same files.
-    """
+    No shuffle by the partition columns: with one language holding a third of
+    the rows that would put a third of the table into one task. Every task
+    writes its own files (at most ``max_records_per_file`` rows each); pass
+    ``files_per_partition`` to get fewer, larger files through a salted
+    repartition that spreads each (language, split) over that many tasks."""
     path = table_path(root, name, revision)
     spark = df.sparkSession
+    if files_per_partition:
+        salt = F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.lit(int(files_per_partition)))
+        df = df.repartition(F.col("language"), F.col("split"), salt)
     prev = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
     spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
     try:
-        (df.repartition("language", "split")
-           .write.mode("overwrite").partitionBy("language", "split").parquet(path))
+        (df.write.mode("overwrite").option("maxRecordsPerFile", max_records_per_file)
+           .partitionBy("language", "split").parquet(path))
     finally:
         spark.conf.set("spark.sql.sources.partitionOverwriteMode", prev)
     return path

@@ -85,3 +85,10 @@ def test_cli_jobs(spark):
     preds.write.json(f"{root}/preds")
     s = run(["sanitize", "--input", f"{root}/preds", "--output", f"{root}/sanitized"], spark)
     assert spark.read.json(f"{root}/sanitized").count() == base.count()
+
+
+def test_dataset_write_with_salted_files(spark):
+    root = f"{checkpoint_dir(spark)}/t-salt-{uuid.uuid4().hex}"
+    d = view(spark, SF_SMALL, "code_seed").withColumn("split", F.lit("train"))
+    write_dataset(d, root, "seed", files_per_partition=3)
+    assert read_dataset(spark, root, "seed").count() == d.count()
