@@ -131,12 +131,14 @@ def build_dpo(base: DataFrame, not_compile: float = 1.0, groups=("language",),
 
 
 def flag_from_labels(items: DataFrame, labels: DataFrame, key: str, language: str, valid: str,
-                     prompt: str = "prompt", code: str = "code", compat: bool = False) -> DataFrame:
+                     prompt: str = "prompt", code: str = "code", compat: bool = False,
+                     carry=()) -> DataFrame:
     """Flag rows whose validity comes from an external judgement (a label
     table joined on the key) instead of a checker: the pluggable-verdict form
-    of the flag step. Inner equi join on a unique key (no hot key)."""
+    of the flag step. Inner equi join on a unique key (no hot key); ``carry``
+    names item columns kept as they are (e.g. group columns)."""
     j = items.join(labels, key)
-    d = j.select(key, F.col(language).alias("language"), F.col(prompt).alias("prompt"),
+    d = j.select(key, *carry, F.col(language).alias("language"), F.col(prompt).alias("prompt"),
                  F.col(code).alias("code"), F.col(code).alias("reference"),
                  F.col(valid).cast("boolean").alias("valid"), F.lit(None).cast("string").alias("function_def"))
     eligible = has_eligible_line(F.col("code"), F.col("language"))

@@ -293,6 +293,5 @@ def p02_kto_labels(spark, sf_dir):
         F.substr("text", F.lit(1), F.lit(40)).alias("prompt"), F.substr("text", F.lit(41)).alias("code"))
     labels = read_table(spark, sf_dir, "labels").select(
         F.col("doc_id").alias("row_id"), ((F.col("quality") == 1) & (F.col("toxic") == 0)).alias("ok"))
-    flagged = flag_from_labels(docs, labels, "row_id", "language", "ok").join(
-        docs.select("row_id", "lang"), "row_id")
+    flagged = flag_from_labels(docs, labels, "row_id", "language", "ok", carry=["lang"])
     return kto_rows(materialize(flagged), 0.5, ["lang"], "row_id", SEED)
