@@ -3,11 +3,11 @@ DPO rows (prompt, rejected, chosen).
 
 Plan: one projection labels every base row (N11 markers, N12 extraction, N8
 whole function, V validity, C3 eligibility); the narrow flagged table is
-checkpointed so the (possibly Python) checker runs once although both the
-per-group counts and the selection read it. Counts are one aggregate (one
-row per group), the quota is applied by the exact hash quota (R3), and only
-the chosen rows are corrupted. Natural negatives and positives need no
-shuffle.
+written once as parquet to the shared checkpoint folder, so the (possibly
+Python) checker runs once although the per-group counts, the negatives, the
+selection and the positives all read it. Counts are one aggregate (one row
+per group), the quota is applied by the exact hash quota (R3), and only the
+chosen rows are corrupted. Natural negatives and positives need no shuffle.
 """
 
 from __future__ import annotations
@@ -115,7 +115,7 @@ def dpo_rows(flagged: DataFrame, not_compile: float = 1.0, groups=("language",),
 def build_kto(base: DataFrame, not_compile: float = 0.5, groups=("language",),
               key: str = "row_id", seed: int = 0, compat: bool = False,
               recheck: bool = False, **cols) -> DataFrame:
-    """P2 from base rows: label (extraction + checker), checkpoint, KTO rows."""
+    """P2 from base rows: label (extraction + checker), materialize, KTO rows."""
     groups = list(groups)
     flagged = materialize(label_predictions(base, key=key, groups=groups, compat=compat, **cols))
     return kto_rows(flagged, not_compile, groups, key, seed, compat, recheck)
@@ -124,7 +124,7 @@ def build_kto(base: DataFrame, not_compile: float = 0.5, groups=("language",),
 def build_dpo(base: DataFrame, not_compile: float = 1.0, groups=("language",),
               key: str = "row_id", seed: int = 0, compat: bool = False,
               recheck: bool = False, **cols) -> DataFrame:
-    """P1 from base rows: label (extraction + checker), checkpoint, DPO rows."""
+    """P1 from base rows: label (extraction + checker), materialize, DPO rows."""
     groups = list(groups)
     flagged = materialize(label_predictions(base, key=key, groups=groups, compat=compat, **cols))
     return dpo_rows(flagged, not_compile, groups, key, seed, compat, recheck)
