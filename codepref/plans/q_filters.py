@@ -199,3 +199,16 @@ def f11_from_raw(spark, sf_dir):
     from codepref.operators.normalize import normalize_seed
 
     return flt.filter_seed(normalize_seed(view(spark, sf_dir, "code_raw"))).select("row_id", "language")
+
+
+S_LANG_COMPAT = (f"(CASE WHEN language = 'java' THEN {S_F6_COMPAT} WHEN language = 'python' "
+                 f"THEN {S_F9} AND {S_F8} AND {S_F6_COMPAT} ELSE true END)")
+S_NATIVE_COMPAT = f"({S_LANG_COMPAT} AND {S_F7} AND {S_F1} AND {S_F2} AND {S_F3} AND {S_F4_COMPAT})"
+
+
+@register("f11_compat", SEED + f"""
+SELECT row_id, language FROM code_seed WHERE function_def IS NOT NULL AND {S_NATIVE_COMPAT} AND {S_VALID}
+""")
+def f11_compat(spark, sf_dir):
+    """F11 as literally written: F4 (Q1), case-sensitive F6, F10 always true (Q2)."""
+    return flt.filter_seed(_seed(spark, sf_dir), compat=True).select("row_id", "language")
