@@ -162,3 +162,15 @@ def test_flagship_steps_on_very_long_rows(spark):
     got = {r["row_id"]: r for r in out}
     assert all(r["valid"] and r["candidate"] and r["changed"] for r in got.values())
     assert got[1]["n"] > 50000 * 14
+
+
+def test_builders_take_column_names(spark):
+    """Q10: prompt / prediction / reference / def columns are parameters."""
+    base = view(spark, SF_SMALL, "code_base")
+    renamed = base.select(F.col("row_id").alias("id"), F.col("language"), F.col("prompt").alias("p"),
+                          F.col("prediction").alias("out"), F.col("code_completion").alias("ref"),
+                          F.col("function_def").alias("sig"))
+    a = build_kto(base, 0.5, seed=2).select("row_id", "completion", "label")
+    b = build_kto(renamed, 0.5, key="id", seed=2, prompt="p", prediction="out", reference="ref",
+                  function_def="sig").select(F.col("id").alias("row_id"), "completion", "label")
+    assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
