@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from codepref.operators.profile import length_histogram, row_counts, token_count
 from codepref.plans.catalog import register
+from codepref.sources.fixtures import oracle_ctes, view
 from codepref.sources.tables import read_table
 
 TOK = r"[\p{L}\p{N}_]+|\S"
@@ -46,3 +47,11 @@ def a04_counts(spark, sf_dir):
     """A4: row counts per table and group."""
     t = {n: read_table(spark, sf_dir, n) for n in ("documents", "conversations", "benchmark", "labels", "embeddings")}
     return row_counts(t, {"documents": "lang", "conversations": "role", "labels": "quality", "embeddings": "label"})
+
+
+@register("a03_prediction_lengths", oracle_ctes("code_base").rstrip() + ",\n"
+          + _hist_sql("code_base", "prediction", 50, 2000, 2000).strip().replace("WITH l AS", "l AS", 1))
+def a03_prediction_lengths(spark, sf_dir):
+    """A3 on model output: token lengths of the raw predictions (buckets of 50)."""
+    b = view(spark, sf_dir, "code_base")
+    return length_histogram(b, token_count(F.col("prediction")), 50, 2000)
