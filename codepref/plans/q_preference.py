@@ -11,14 +11,12 @@ from codepref.operators.normalize import java_parts
 from codepref.operators.preference import (build_dpo, build_kto, flag_from_labels, kto_rows, label_predictions,
                                           preference_counters)
 from codepref.operators.sampling import materialize
-from codepref.sources.tables import read_table
 from codepref.operators.sanitize import sanitize
-from codepref.operators.validity import (balanced, failure_counts, lenient_verdict, python_compiles,
-                                         valid_code, wrap_in_class)
+from codepref.operators.validity import balanced, failure_counts, lenient_verdict, python_compiles, wrap_in_class
 from codepref.plans.catalog import register
-from codepref.plans.sql_parts import (q, sql_balanced, sql_corrupt, sql_eligible, sql_extract, sql_hash,
-                                      sql_remove_markers)
+from codepref.plans.sql_parts import sql_balanced, sql_corrupt, sql_eligible, sql_extract, sql_hash, sql_remove_markers
 from codepref.sources.fixtures import oracle_ctes, view
+from codepref.sources.tables import read_table
 
 SEED = 7
 
