@@ -117,8 +117,15 @@ def rank_bands(df: DataFrame, bounds: DataFrame | list[int], groups=(), key: str
     pure_band = sum((F.when(F.col(k) <= lo, 1).otherwise(0) for k in ks), F.lit(0))
     table = table.select(*groups, "_b", "_lo", mixed.alias("_mixed"), pure_band.alias("_pure"),
                          *[F.col(k).alias(f"_{k}") for k in ks])
-    n_groups = bounds.count() if isinstance(bounds, DataFrame) else 1
-    if (n_groups if groups else 1) * 2 ** bits <= BROADCAST_CUT_ROWS:
+    # the bucket table holds at most groups * 2**bits rows: broadcast only when
+    # that bound is known to be small; otherwise AQE decides from runtime sizes
+    if not groups:
+        n_groups = 1
+    elif isinstance(bounds, DataFrame):
+        n_groups = bounds.count()  # one row per group
+    else:
+        n_groups = None
+    if n_groups is not None and n_groups * 2 ** bits <= BROADCAST_CUT_ROWS:
         table = F.broadcast(table)
     joined = d.join(table, groups + ["_b"])
     pure = joined.where(~F.col("_mixed")).select(*cols, F.col("_pure").alias(out))
