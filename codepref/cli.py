@@ -23,7 +23,7 @@ from codepref.operators.evaluate import pass_at_k, pass_at_k_mean, valid_rate
 from codepref.operators.filters import filter_seed, funnel
 from codepref.operators.normalize import normalize_seed
 from codepref.operators.preference import build_dpo, build_kto
-from codepref.operators.sampling import assign_split
+from codepref.operators.sampling import assign_split, materialize
 from codepref.operators.sanitize import sanitize
 from codepref.sources.tables import read_dataset, write_dataset, write_predictions_jsonl
 
@@ -77,7 +77,10 @@ def run(argv: list[str] | None = None, spark: SparkSession | None = None) -> dic
     if args.cmd == "filter-seed":
         seed = normalize_seed(spark.read.parquet(args.input), languages=args.languages)
         summary["funnel"] = [r.asDict() for r in funnel(seed, args.compat).collect()]
-        kept = assign_split(filter_seed(seed, compat=args.compat), key="row_id", seed=args.seed,
+        filtered = filter_seed(seed, compat=args.compat)
+        if args.exact_split:  # counts and the split both read it: run the checkers once
+            filtered = materialize(filtered)
+        kept = assign_split(filtered, key="row_id", seed=args.seed,
                             exact=args.exact_split, groups=["language"] if args.exact_split else ())
         summary["path"] = write_dataset(kept, args.output, args.name, args.revision)
 

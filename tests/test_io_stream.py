@@ -69,6 +69,8 @@ def test_cli_jobs(spark):
     view(spark, SF_SMALL, "code_raw").write.parquet(f"{root}/raw")
     s = run(["filter-seed", "--input", f"{root}/raw", "--output", root, "--name", "seed"], spark)
     assert read_dataset(spark, root, "seed").count() > 0 and len(s["funnel"]) == 3
+    run(["filter-seed", "--input", f"{root}/raw", "--output", root, "--name", "seed_exact", "--exact-split"], spark)
+    assert read_dataset(spark, root, "seed_exact").count() == read_dataset(spark, root, "seed").count()
     base = view(spark, SF_SMALL, "code_base").withColumn("split", F.lit("train"))
     write_dataset(base, root, "base")
     run(["kto", "--input", root, "--base-name", "base", "--output", root, "--name", "kto"], spark)
