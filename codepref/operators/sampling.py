@@ -161,7 +161,9 @@ def assign_split(df: DataFrame, key: str = "row_id", seed: int = 0, test_pct: in
     rest validation. Default: hash buckets (a row keeps its split when the table
     grows). ``exact=True``: exactly ceil(test_pct% of n) test rows and
     ceil(validation_pct% of the rest) validation rows per group: the first
-    ranks (seeded hash order) are test, the next ones validation (R3 bands)."""
+    ranks (seeded hash order) are test, the next ones validation (R3 bands).
+    The exact form reads ``df`` more than once (group counts, bucket counts,
+    rows): materialize an expensive input first."""
     groups = list(groups)
     if not exact:
         h1, h2 = seeded_hash(key, seed, 1), seeded_hash(key, seed, 2)
