@@ -8,7 +8,8 @@ without a global sort or a window over a whole group:
    2**bits buckets per group, so this table is small whatever the data size;
 2. a running sum over that small table gives, per group, the buckets taken
    whole and the one cut bucket (with how many rows it still needs);
-3. join back on (group, bucket) and number rows only inside the cut bucket.
+3. join back on (group, bucket): rows of buckets taken whole pass through,
+   only rows of the one cut bucket per group are numbered (and shuffled).
 
 A hot group (a third of all rows) spreads over all buckets, so no task sees
 more than about group_size / 2**bits rows in step 3.
@@ -79,9 +80,14 @@ def hash_quota(df: DataFrame, k: int | DataFrame, groups=(), key: str = "row_id"
     cut = _cut_table(d, k, groups, bits)
     if _cut_is_small(k, groups, bits):
         cut = F.broadcast(cut)
+    taken = d.join(cut, groups + ["_b"])
+    # buckets taken whole pass through (no shuffle of their rows); only the one
+    # cut bucket per group is numbered, so only ~n / 2**bits rows are shuffled
+    whole = taken.where(F.col("_full")).select(*cols)
     win = Window.partitionBy(*groups, "_b").orderBy("_h", key)
-    taken = d.join(cut, groups + ["_b"]).withColumn("_rn", F.row_number().over(win))
-    return taken.where(F.col("_full") | (F.col("_rn") <= F.col("_need"))).select(*cols)
+    cut_rows = (taken.where(~F.col("_full")).withColumn("_rn", F.row_number().over(win))
+                .where(F.col("_rn") <= F.col("_need")).select(*cols))
+    return whole.unionByName(cut_rows)
 
 
 def rank_bands(df: DataFrame, bounds: DataFrame | list[int], groups=(), key: str = "row_id",
