@@ -54,6 +54,7 @@ def main() -> None:
              f"Generated by `tools/plan_report.py` at `{sf}` (AQE initial plans; runtime may turn "
              "shuffle joins of small sides into broadcasts). Per query: shuffles (Exchange), "
              "broadcasts, Python stages, then the operator tree.", ""]
+    summary, sections = [], []
     for name in sorted(QUERIES):
         df = QUERIES[name](spark, sf)
         plan = df._jdf.queryExecution().executedPlan().toString()
@@ -61,8 +62,12 @@ def main() -> None:
         n_ex = sum(1 for t in tree if t.strip(" :+-*|").startswith("Exchange"))
         n_bc = sum(1 for t in tree if "BroadcastExchange" in t)
         n_py = sum(1 for t in tree if "ArrowEvalPython" in t or "MapInPandas" in t)
-        lines += [f"## {name}", "", f"shuffles={n_ex} broadcasts={n_bc} python_stages={n_py}", "",
-                  "```", *tree, "```", ""]
+        summary.append(f"| `{name}` | {n_ex} | {n_bc} | {n_py} |")
+        sections += [f"## {name}", "", f"shuffles={n_ex} broadcasts={n_bc} python_stages={n_py}", "",
+                     "```", *tree, "```", ""]
+    lines += ["Counts are plan nodes; an exchange that appears under two union branches is",
+              "reused at runtime.", "", "| Query | shuffles | broadcasts | Python stages |",
+              "|---|---|---|---|", *summary, "", *sections]
     open(__file__.rsplit("/tools/", 1)[0] + "/PLANS.md", "w").write("\n".join(lines))
 
 
