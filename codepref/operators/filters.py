@@ -173,6 +173,20 @@ def filter_seed(df: DataFrame, compat: bool = False, check_validity: bool = True
     return out
 
 
+def rejected_seed(df: DataFrame, compat: bool = False, checkers: dict | None = None) -> DataFrame:
+    """J1 when the kept rows are a filter of the same table: the rows
+    ``filter_seed`` drops, found by the negated predicate. No anti join, so no
+    shuffle of the text; the checker sees only rows that pass the native
+    filters (others send NULL)."""
+    native = F.coalesce(F.col("function_def").isNotNull() & native_filters(compat), F.lit(False))
+    whole = whole_function(F.col("function_def"), F.col("code_completion"), F.col("language"),
+                           repair_java_brace=not compat)
+    d = df.withColumn("_native", native)
+    d = d.withColumn("_valid", valid_code(F.when(F.col("_native"), whole), F.col("language"), checkers))
+    return (d.where(~F.col("_native") | ~F.coalesce(F.col("_valid"), F.lit(False)))
+            .drop("_native", "_valid"))
+
+
 def rejected_rows(df: DataFrame, kept: DataFrame, key: str = "row_id") -> DataFrame:
     """Rows of ``df`` whose key is not in ``kept`` (left anti join)."""
     return df.join(kept.select(key), key, "left_anti")

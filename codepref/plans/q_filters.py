@@ -212,3 +212,17 @@ SELECT row_id, language FROM code_seed WHERE function_def IS NOT NULL AND {S_NAT
 def f11_compat(spark, sf_dir):
     """F11 as literally written: F4 (Q1), case-sensitive F6, F10 always true (Q2)."""
     return flt.filter_seed(_seed(spark, sf_dir), compat=True).select("row_id", "language")
+
+
+J01_SQL = SEED + f"""
+SELECT row_id, language FROM code_seed s WHERE NOT EXISTS (
+  SELECT 1 FROM code_seed k WHERE k.row_id = s.row_id AND k.function_def IS NOT NULL AND
+    {S_NATIVE.replace('documentation', 'k.documentation')} AND {S_VALID})
+"""
+
+
+@register("j01_rejected_pred", J01_SQL)
+def j01_rejected_pred(spark, sf_dir):
+    """J1 as a negated predicate: the same rows as ``j01_rejected`` without
+    the anti join (no shuffle)."""
+    return flt.rejected_seed(_seed(spark, sf_dir)).select("row_id", "language")

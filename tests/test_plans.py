@@ -12,7 +12,7 @@ load_all()
 
 PYTHON_ALLOWED = {  # the Python boundary: compile check, AST normaliser, predictor
     "a01_valid_rate", "a02_sample_rate", "c03_corrupt", "c04_corrupt_compat", "c06_recheck",
-    "f11_all_filters", "f11_compat", "f11_from_raw", "j01_rejected", "j02_score_join", "n03_python_parts", "n04b_outermost",
+    "f11_all_filters", "f11_compat", "f11_from_raw", "j01_rejected", "j01_rejected_pred", "j02_score_join", "n03_python_parts", "n04b_outermost",
     "n10_normalize", "n16_predict_stub", "n17_sanitise_predictions", "p01_dpo", "p02_kto",
     "p06_counters", "st1_incremental", "v01_py_valid", "v06_fail_count", "e05_pair_fit",
 }
