@@ -131,10 +131,14 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     app = spark.conf.get("spark.app.id", None) or spark.conf.get("spark.app.name", "")
     key = (app, os.path.abspath(sf_dir), name, _stamp(sf_dir, name))
     path = _WRITTEN.get(key)
-    if path is None:
-        path = f"{checkpoint_dir(spark).rstrip('/')}/views/{name}-{uuid.uuid4().hex}"
-        derive(spark, sf_dir, name).write.parquet(path)
-        _WRITTEN[key] = path
+    if path is not None:
+        try:
+            return spark.read.parquet(path)
+        except Exception:  # noqa: BLE001 - the folder was cleaned up: derive it again
+            _WRITTEN.pop(key, None)
+    path = f"{checkpoint_dir(spark).rstrip('/')}/views/{name}-{uuid.uuid4().hex}"
+    derive(spark, sf_dir, name).write.parquet(path)
+    _WRITTEN[key] = path
     return spark.read.parquet(path)
 
 
