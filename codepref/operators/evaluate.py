@@ -103,6 +103,15 @@ def ngram_overlap(df: DataFrame, keys, candidate: str, reference: str, max_n: in
     return out.where((F.col("cand_total") > 0) | (F.col("ref_total") > 0))
 
 
+def _bleu_score(ps: list[Column], c_len: Column, r_len: Column) -> Column:
+    """BLEU from per-order precisions: geometric mean (uniform weights) times
+    the brevity penalty; 0 when some order has no match or the candidate is empty."""
+    any_zero = F.greatest(*[p == 0 for p in ps])
+    log_mean = sum((F.log(F.when(p > 0, p)) for p in ps), F.lit(0.0)) / len(ps)
+    bp = F.when(c_len > r_len, F.lit(1.0)).otherwise(F.exp(1 - r_len / c_len))
+    return F.when(any_zero | (c_len == 0), F.lit(0.0)).otherwise(bp * F.exp(log_mean))
+
+
 def sentence_bleu(df: DataFrame, keys, candidate: str, reference: str, max_n: int = 4,
                   digits: int = 9) -> DataFrame:
     """Sentence BLEU per row, entirely in the row (no explode, no shuffle):
@@ -117,12 +126,7 @@ def sentence_bleu(df: DataFrame, keys, candidate: str, reference: str, max_n: in
                  *[F.size(f"_gc{n}").alias(f"_c{n}") for n in range(1, max_n + 1)],
                  F.size("_gr1").alias("_r1"))
     ps = [F.coalesce(F.try_divide(F.col(f"_m{n}"), F.col(f"_c{n}")), F.lit(0.0)) for n in range(1, max_n + 1)]
-    c_len, r_len = F.col("_c1"), F.col("_r1")
-    any_zero = F.greatest(*[p == 0 for p in ps])
-    log_mean = sum((F.log(F.when(p > 0, p)) for p in ps), F.lit(0.0)) / max_n
-    bp = F.when(c_len > r_len, F.lit(1.0)).otherwise(F.exp(1 - r_len / c_len))
-    score = F.when(any_zero | (c_len == 0), F.lit(0.0)).otherwise(bp * F.exp(log_mean))
-    return d.select(*keys, F.round(score, digits).alias("bleu"))
+    return d.select(*keys, F.round(_bleu_score(ps, F.col("_c1"), F.col("_r1")), digits).alias("bleu"))
 
 
 def bleu(overlap: DataFrame, keys, max_n: int = 4, digits: int = 9) -> DataFrame:
@@ -135,12 +139,7 @@ def bleu(overlap: DataFrame, keys, max_n: int = 4, digits: int = 9) -> DataFrame
             F.max(F.when(F.col("n") == 1, F.col("ref_total"))).alias("r_len")]
     g = overlap.groupBy(*keys).agg(*agg)
     ps = [F.coalesce(F.col(f"p{n}"), F.lit(0.0)) for n in range(1, max_n + 1)]
-    any_zero = F.greatest(*[p == 0 for p in ps])
-    log_mean = sum((F.log(F.when(p > 0, p)) for p in ps), F.lit(0.0)) / max_n
-    bp = F.when(F.col("c_len") > F.col("r_len"), F.lit(1.0)).otherwise(
-        F.exp(1 - F.col("r_len") / F.col("c_len")))
-    score = F.when(any_zero | (F.col("c_len") == 0), F.lit(0.0)).otherwise(bp * F.exp(log_mean))
-    return g.select(*keys, F.round(score, digits).alias("bleu"))
+    return g.select(*keys, F.round(_bleu_score(ps, F.col("c_len"), F.col("r_len")), digits).alias("bleu"))
 
 
 def rouge_n(overlap: DataFrame, keys, n: int, digits: int = 9) -> DataFrame:
