@@ -174,3 +174,14 @@ def test_builders_take_column_names(spark):
     b = build_kto(renamed, 0.5, key="id", seed=2, prompt="p", prediction="out", reference="ref",
                   function_def="sig").select(F.col("id").alias("row_id"), "completion", "label")
     assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
+
+
+def test_bleu_forms_agree(spark):
+    """In-row sentence BLEU equals BLEU from the long-form overlap table."""
+    from codepref.operators.evaluate import bleu, ngram_overlap, sentence_bleu
+
+    df = spark.createDataFrame([(1, "a b c d e", "a b c d f"), (2, "x", "y z"), (3, "a a a a", "a a b"),
+                                (4, "", "q r")], "k long, c string, r string")
+    long_form = sorted(map(tuple, bleu(ngram_overlap(df, ["k"], "c", "r"), ["k"]).collect()))
+    in_row = sorted(map(tuple, sentence_bleu(df, ["k"], "c", "r").collect()))
+    assert long_form == in_row and len(in_row) == 4
