@@ -47,19 +47,17 @@ def _cut_table(d: DataFrame, k, groups: list[str], bits: int) -> DataFrame:
                     (F.col("_k") - F.col("_before")).alias("_need")))
 
 
-# Broadcast bound for the cut table: rows <= groups * 2**bits, ~48 bytes each.
+# Broadcast bound for the cut / bucket tables (~48 bytes per row).
 BROADCAST_CUT_ROWS = 1_500_000
 
 
-def _cut_is_small(k, groups: list[str], bits: int) -> bool:
-    """Size check before broadcasting the cut table. Without groups it holds at
-    most 2**bits rows; with a quota table its group count is counted (one
-    small aggregate). Otherwise leave the choice to AQE's runtime statistics."""
-    if not groups:
-        return 2 ** bits <= BROADCAST_CUT_ROWS
-    if isinstance(k, DataFrame):
-        return k.count() * 2 ** bits <= BROADCAST_CUT_ROWS
-    return False
+def _broadcast_if_small(table: DataFrame) -> DataFrame:
+    """Exact size check on the table that would be broadcast: it is cached
+    (a lost block is recomputed deterministically), counted, and broadcast only
+    under ``BROADCAST_CUT_ROWS``; above that AQE picks the join from runtime
+    statistics. The count computes the table once; the join reuses it."""
+    table = table.persist()
+    return F.broadcast(table) if table.count() <= BROADCAST_CUT_ROWS else table
 
 
 def hash_quota(df: DataFrame, k: int | DataFrame, groups=(), key: str = "row_id",
@@ -77,9 +75,7 @@ def hash_quota(df: DataFrame, k: int | DataFrame, groups=(), key: str = "row_id"
                 .where("_band = 1").drop("_band"))
     cols = df.columns
     d = _with_hash(df, key, seed, hash_col).withColumn("_b", F.shiftright("_h", HASH_BITS - bits))
-    cut = _cut_table(d, k, groups, bits)
-    if _cut_is_small(k, groups, bits):
-        cut = F.broadcast(cut)
+    cut = _broadcast_if_small(_cut_table(d, k, groups, bits))
     taken = d.join(cut, groups + ["_b"])
     # buckets taken whole pass through (no shuffle of their rows); only the one
     # cut bucket per group is numbered, so only ~n / 2**bits rows are shuffled
@@ -123,16 +119,7 @@ def rank_bands(df: DataFrame, bounds: DataFrame | list[int], groups=(), key: str
     pure_band = sum((F.when(F.col(k) <= lo, 1).otherwise(0) for k in ks), F.lit(0))
     table = table.select(*groups, "_b", "_lo", mixed.alias("_mixed"), pure_band.alias("_pure"),
                          *[F.col(k).alias(f"_{k}") for k in ks])
-    # the bucket table holds at most groups * 2**bits rows: broadcast only when
-    # that bound is known to be small; otherwise AQE decides from runtime sizes
-    if not groups:
-        n_groups = 1
-    elif isinstance(bounds, DataFrame):
-        n_groups = bounds.count()  # one row per group
-    else:
-        n_groups = None
-    if n_groups is not None and n_groups * 2 ** bits <= BROADCAST_CUT_ROWS:
-        table = F.broadcast(table)
+    table = _broadcast_if_small(table)  # at most groups * 2**bits rows, measured
     joined = d.join(table, groups + ["_b"])
     pure = joined.where(~F.col("_mixed")).select(*cols, F.col("_pure").alias(out))
     win = Window.partitionBy(*groups, "_b").orderBy("_h", key)
