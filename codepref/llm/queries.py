@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codepref.llm import decontam, mixing, quality, sharding, simhash
+from codepref.llm import ann, decontam, mixing, ppm, quality, sharding, simhash
 from codepref.llm.common import crc_mod, table
 
 
@@ -92,8 +92,19 @@ FROM merged GROUP BY doc_id, size, source_size, target
 """
 
 
+def op6_adaptive_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, k=20)
+
+
+def op10_ppm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = ppm.score(docs, docs.where(~ppm.held_out()))
+    return scored.select("doc_id", ppm.held_out().alias("held_out"), "n_tokens", "n_known", "train_tokens",
+                         "base_score", "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op2_extendible_sharding, op3_compression_classifier, op4_simhash_multi_index,
-                            op5_positional_index, op8_fair_queueing)}
+                            op5_positional_index, op6_adaptive_scan, op8_fair_queueing, op10_ppm_scoring)}
 ORACLES: dict[str, str] = {"op2_extendible_sharding": OP2_SQL, "op5_positional_index": OP5_SQL,
                            "op8_fair_queueing": OP8_SQL}
