@@ -20,11 +20,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def scratch(spark: SparkSession, kind: str) -> str:
+    """A new folder's path in the session's shared checkpoint folder."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/{kind}/{uuid.uuid4().hex}"
+
+
 def materialize(df: DataFrame, codec: str = "zstd") -> DataFrame:
     """Write ``df`` as Parquet into the session's shared checkpoint folder and
     read it back: the lineage is cut, several readers share one computation, and
     a lost executor only re-reads files."""
-    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/tables/{uuid.uuid4().hex}"
+    path = scratch(df.sparkSession, "tables")
     df.write.option("compression", codec).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

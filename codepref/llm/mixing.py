@@ -73,8 +73,8 @@ def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, repeats: int = REPEAT
     turns = (queued.withColumn("pass", F.explode(F.sequence(F.lit(0), passes.cast("int") - 1)))
              .withColumn("finish", finish))
     merged = running_total(turns, [], ["finish", "idx", "pass", "h", "doc_id", "tie"], "size", "total")
-    budget = F.broadcast(src.agg(F.coalesce(F.sum("source_size") * F.lit(float(share)), F.lit(0.0)).alias("budget")))
-    kept = F.col("total") <= F.col("budget")
-    return (merged.join(budget, F.lit(True)).groupBy("tie", "doc_id", "size", "source_size", "target")
+    budget = src.agg(F.coalesce(F.sum("source_size"), F.lit(0))).first()[0] * share
+    kept = F.col("total") <= F.lit(float(budget))
+    return (merged.groupBy("tie", "doc_id", "size", "source_size", "target")
             .agg(F.sum(F.when(kept, F.col("size")).otherwise(0)).alias("taken"), F.count(F.when(kept, 1)).alias("copies"),
                  F.min("finish").alias("finish")).drop("tie"))

@@ -7,8 +7,34 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codepref.llm import ann, decontam, mixing, ppm, quality, sharding, simhash
-from codepref.llm.common import crc_mod, table
+from codepref.llm import ann, decontam, mixing, ppm, quality, sharding, simhash, warc
+from codepref.llm.common import crc_mod, materialize, scratch, table
+
+
+def op1_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch(spark, "warc")
+    warc.write_archives(warc.page_records(table(spark, sf_dir, "pages")), path)
+    records = warc.read_records(spark, path)
+    full, body = F.col("type") == "response", warc.http_payload(F.col("block"))
+    # payloads are digested as they are read; only the short records keep their block
+    short = materialize(records.withColumn("sha1", F.when(full, F.sha1(body))).withColumn("bytes", F.when(full, F.length(body)))
+                        .withColumn("block", F.when(F.col("type").isin("request", "metadata"), F.col("block"))))
+    told = F.regexp_extract(F.decode(F.col("metadata")[0]["block"], "UTF-8"), r"payloadBytes: (\d+)", 1).cast("bigint")
+    return warc.assemble(short).select(
+        F.col("headers")["x-page-id"].cast("bigint").alias("page_id"),
+        F.coalesce(F.col("bytes").cast("bigint"), told).alias("payload_bytes"),
+        F.coalesce("sha1", F.regexp_replace("payload_digest", "^sha1:", "")).alias("payload_digest"),
+        F.col("type").alias("record_type"), F.col("headers")["x-refers-to-page-id"].cast("bigint").alias("refers_to"),
+        "target_uri", F.size("requests").alias("n_requests"), F.size("metadata").alias("n_metadata"))
+
+
+OP1_SQL = """
+WITH p AS (SELECT page_id, replace(replace(coalesce(url, ''), chr(13), '%0A'), chr(10), '%0A') AS target_uri,
+    CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+q AS (SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY payload_digest, payload_bytes) END AS top FROM p)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN top > page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN top > page_id THEN top END AS refers_to, target_uri, 1 AS n_requests, 1 AS n_metadata FROM q
+"""
 
 
 def op2_extendible_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -104,7 +130,7 @@ def op10_ppm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_extendible_sharding, op3_compression_classifier, op4_simhash_multi_index,
+    f.__name__: f for f in (op1_warc_transactions, op2_extendible_sharding, op3_compression_classifier, op4_simhash_multi_index,
                             op5_positional_index, op6_adaptive_scan, op8_fair_queueing, op10_ppm_scoring)}
-ORACLES: dict[str, str] = {"op2_extendible_sharding": OP2_SQL, "op5_positional_index": OP5_SQL,
+ORACLES: dict[str, str] = {"op1_warc_transactions": OP1_SQL, "op2_extendible_sharding": OP2_SQL, "op5_positional_index": OP5_SQL,
                            "op8_fair_queueing": OP8_SQL}
