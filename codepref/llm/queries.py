@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codepref.llm import ann, decontam, mixing, ppm, quality, sharding, simhash, warc
+from codepref.llm import ann, decontam, mixing, ppm, quality, quotes, sharding, simhash, warc
 from codepref.llm.common import crc_mod, materialize, scratch, table
 
 
@@ -94,6 +94,13 @@ FROM lowered LEFT JOIN per USING (r) LEFT JOIN ids USING (r)
 """
 
 
+def op7_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The conversations as mail threads in which each turn quotes the two before."""
+    out = quotes.link(quotes.quoting_thread(table(spark, sf_dir, "conversations")))
+    return out.select("conv_id", "turn", "role", F.col("own_text").alias("text"), F.col("parent").alias("parent_turn"),
+                      F.col("root").alias("root_turn"), "depth", "reply_order", "n_quoted", "n_linked")
+
+
 def op8_fair_queueing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.mix(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "size", "source_size", "target", "taken")
@@ -131,6 +138,6 @@ def op10_ppm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_warc_transactions, op2_extendible_sharding, op3_compression_classifier, op4_simhash_multi_index,
-                            op5_positional_index, op6_adaptive_scan, op8_fair_queueing, op10_ppm_scoring)}
+                            op5_positional_index, op6_adaptive_scan, op7_quotation_linking, op8_fair_queueing, op10_ppm_scoring)}
 ORACLES: dict[str, str] = {"op1_warc_transactions": OP1_SQL, "op2_extendible_sharding": OP2_SQL, "op5_positional_index": OP5_SQL,
                            "op8_fair_queueing": OP8_SQL}
