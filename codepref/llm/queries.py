@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codepref.llm import ann, decontam, mixing, ppm, quality, quotes, sharding, simhash, warc
+from codepref.llm import ann, decontam, linedup, mixing, ppm, quality, quotes, sharding, simhash, warc
 from codepref.llm.common import crc_mod, materialize, scratch, table
 
 
@@ -129,6 +129,31 @@ def op6_adaptive_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, k=20)
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linedup.summary(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+# All pairs of distinct word sets of fitting lengths, compared word by word.
+OP9_SQL = r"""
+WITH l AS (SELECT doc_id, i - 1 AS line_no, lines[i] AS line
+    FROM (SELECT doc_id, lines, unnest(range(1, len(lines) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents))),
+s AS (SELECT doc_id, line_no, list_sort(list_distinct(regexp_extract_all(line, '[^ 	-
+]+'))) AS w FROM l),
+c AS (SELECT w, len(w) AS n, min((doc_id, line_no)) AS spot FROM s WHERE len(w) > 0 GROUP BY w),
+n AS (SELECT *, row_number() OVER (ORDER BY spot) AS sid FROM c),
+p AS (SELECT a.sid AS a, b.sid AS b FROM n a JOIN n b ON b.n <= a.n AND b.n * 5 >= a.n * 4 AND a.sid <> b.sid AND (b.n < a.n OR a.sid < b.sid)
+    AND 9 * len(list_intersect(a.w, b.w)) >= 4 * (a.n + b.n)),
+e AS (SELECT a AS sid, b AS other FROM p UNION ALL SELECT b, a FROM p),
+per AS (SELECT sid, min(other) AS first, count(*) AS n_links FROM e GROUP BY sid),
+hit AS (SELECT doc_id, line_no, coalesce(n_links, 0) AS n_links, coalesce(first < n.sid, false) OR n.spot < (doc_id, line_no) AS removed
+    FROM s JOIN n ON s.w = n.w LEFT JOIN per USING (sid))
+SELECT d.doc_id, CAST(len(string_split(d.text, chr(10))) AS BIGINT) AS n_lines,
+  coalesce(list(CAST(line_no AS INT) ORDER BY line_no) FILTER (WHERE removed), []) AS removed_lines,
+  count(*) FILTER (WHERE removed) AS n_removed, CAST(coalesce(sum(n_links), 0) AS BIGINT) AS n_links
+FROM documents d LEFT JOIN hit USING (doc_id) GROUP BY d.doc_id, d.text
+"""
+
+
 def op10_ppm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = ppm.score(docs, docs.where(~ppm.held_out()))
@@ -138,6 +163,6 @@ def op10_ppm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_warc_transactions, op2_extendible_sharding, op3_compression_classifier, op4_simhash_multi_index,
-                            op5_positional_index, op6_adaptive_scan, op7_quotation_linking, op8_fair_queueing, op10_ppm_scoring)}
+                            op5_positional_index, op6_adaptive_scan, op7_quotation_linking, op8_fair_queueing, op9_line_dedup, op10_ppm_scoring)}
 ORACLES: dict[str, str] = {"op1_warc_transactions": OP1_SQL, "op2_extendible_sharding": OP2_SQL, "op5_positional_index": OP5_SQL,
-                           "op8_fair_queueing": OP8_SQL}
+                           "op8_fair_queueing": OP8_SQL, "op9_line_dedup": OP9_SQL}
