@@ -110,3 +110,13 @@ def one_of(cols: Iterable[str], stem: str) -> str:
     while name.lower() in taken:
         name += "_"
     return name
+
+
+def make_way(df: DataFrame, names: Iterable[str]) -> DataFrame:
+    """``df`` with its columns that have one of ``names`` (whatever their case)
+    renamed by trailing underscores, so that an operator can add its own."""
+    out, names = df, [n.lower() for n in names]
+    for c in df.columns:
+        if c.lower() in names:
+            out = out.withColumnRenamed(c, one_of([*out.columns, *names], c))
+    return out

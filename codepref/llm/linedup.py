@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codepref.llm.common import materialize
+from codepref.llm.common import materialize, one_of
 
 #: The least similarity, as a fraction.
 SIMILARITY = (4, 5)
@@ -176,9 +176,9 @@ def summary(docs: DataFrame, similarity: tuple[int, int] = SIMILARITY) -> DataFr
 
 def dedup(docs: DataFrame, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
     """``docs`` with the removed lines cut from text."""
-    hits = duplicate_lines(docs, similarity).where("removed").groupBy("doc_id").agg(F.collect_set("line_no").alias("_cut"))
-    hits = hits.withColumnRenamed("doc_id", "_doc")
+    cut, doc = one_of(docs.columns, "_cut"), one_of(docs.columns, "_doc")
+    hits = duplicate_lines(docs, similarity).where("removed").groupBy(F.col("doc_id").alias(doc)).agg(F.collect_set("line_no").alias(cut))
     lines = F.transform(F.split(F.col("text"), "\n"), lambda x, i: F.struct(i.alias("i"), x.alias("x")))
-    stay = F.filter(lines, lambda l: ~F.array_contains("_cut", l["i"]))
-    text = F.when(F.col("_cut").isNull(), F.col("text")).otherwise(F.array_join(F.transform(stay, lambda l: l["x"]), "\n"))
-    return docs.join(hits, docs["doc_id"].eqNullSafe(F.col("_doc")), "left").withColumn("text", text).drop("_doc", "_cut")
+    stay = F.filter(lines, lambda x: ~F.array_contains(cut, x["i"]))
+    text = F.when(F.col(cut).isNull(), F.col("text")).otherwise(F.array_join(F.transform(stay, lambda x: x["x"]), "\n"))
+    return docs.join(hits, docs["doc_id"].eqNullSafe(F.col(doc)), "left").withColumn("text", text).drop(doc, cut)

@@ -16,7 +16,8 @@ Defined cases: a null text is a message without lines; a message that quotes
 nothing known is a root; quotes of itself or of later messages are not linked;
 rows with a null thread or position are returned unlinked with null order;
 repeated rows (same thread and position) are one message, the smallest text
-counts, and every such row gets the same links.
+counts, and every such row gets the same links; extra columns that have the name
+of an added one get a trailing underscore.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codepref.llm.common import materialize, running_total
+from codepref.llm.common import make_way, materialize, one_of, running_total
 
 # A line that introduces a quote ("On Monday, A wrote:").
 INTRODUCTION = r"(?i)^\s*(on|am|le|el)\b.{0,200}:\s*$|^.{0,100}\b(wrote|said|writes|schrieb|a écrit|escribió)\s*:\s*$"
@@ -113,6 +114,7 @@ def roots(tree: DataFrame) -> DataFrame:
 def link(messages: DataFrame, thread: str = "conv_id", position: str = "turn", text: str = "text") -> DataFrame:
     """``messages`` with columns own_text, parent, root, depth, reply_order (from 1
     within the thread), n_quoted and n_linked."""
+    messages = make_way(messages, ("own_text", "parent", "root", "depth", "reply_order", "n_quoted", "n_linked"))
     key = [F.col(f"`{thread}`").alias("thread"), F.col(f"`{position}`").cast("bigint").alias("position")]
     rows = messages.select(*key, F.col(f"`{text}`").cast("string").alias("text"))
     known = rows.where("thread is not null and position is not null").groupBy("thread", "position").agg(F.min("text").alias("text"))
@@ -123,12 +125,13 @@ def link(messages: DataFrame, thread: str = "conv_id", position: str = "turn", t
     placed = roots(tree).withColumn("one", F.lit(1).cast("bigint"))
     ordered = running_total(placed, ["thread"], ["root", "position"], "one", "reply_order").drop("one")
     told = materialize(ordered.join(tree, ["thread", "position"]))
-    out = messages.withColumns({"_thread": F.col(f"`{thread}`"), "_position": F.col(f"`{position}`").cast("bigint")})
-    told = told.select(F.col("thread").alias("_thread"), F.col("position").alias("_position"), "parent", "root", "depth", "reply_order",
+    kt, kp, kl = (one_of(messages.columns, c) for c in ("_thread", "_position", "_lines"))
+    out = messages.withColumns({kt: F.col(f"`{thread}`"), kp: F.col(f"`{position}`").cast("bigint")})
+    told = told.select(F.col("thread").alias(kt), F.col("position").alias(kp), "parent", "root", "depth", "reply_order",
                        F.coalesce("n_quoted", F.lit(0)).alias("n_quoted"), F.coalesce("n_linked", F.lit(0)).alias("n_linked"))
-    clean = own_text(F.col("_lines"))
-    return (out.join(told, ["_thread", "_position"], "left").withColumn("_lines", parsed_lines(F.col(f"`{text}`").cast("string")))
-            .withColumn("own_text", clean).drop("_thread", "_position", "_lines"))
+    lines = parsed_lines(F.col(f"`{text}`").cast("string"))
+    return (out.join(told, [kt, kp], "left").withColumn(kl, lines).withColumn("own_text", own_text(F.col(kl)))
+            .drop(kt, kp, kl))
 
 
 def quoting_thread(messages: DataFrame) -> DataFrame:

@@ -11,7 +11,8 @@ limit) go to overflow pages of at most the limit.
 Defined cases: a null text has 0 bytes; a null id hashes as the empty text; a
 single document over the limit is alone in its shard or page, marked oversize;
 repeated rows fill overflow pages in turn once their key is over the limit; an
-empty table gives no rows.
+empty table gives no rows; extra columns that have the name of an added one get a
+trailing underscore.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codepref.llm.common import HASH_BITS, hash60, materialize, one_of
+from codepref.llm.common import HASH_BITS, hash60, make_way, materialize, one_of
 
 LIMIT = 1 << 20
 #: Bits of a fine cell beyond those of the average shard.
@@ -58,11 +59,9 @@ def shard(docs: DataFrame, limit: int = LIMIT, key: str = "doc_id", text: str =
     """``docs`` with columns shard (its hash bits), shard_depth (how many),
     shard_page (0; overflow pages from 1) and oversize. Each (shard, page) holds
     at most ``limit`` text bytes unless it is a single oversize document."""
+    docs = make_way(docs, ("shard", "shard_depth", "shard_page", "oversize"))
     cols = docs.columns
     h, size, cell, depth, n, deep = (one_of(cols, c) for c in ("_h", "_bytes", "_cell", "_depth", "_n", "_deep"))
-    for name in ("shard", "shard_depth", "shard_page", "oversize"):
-        if one_of(cols, name) != name:  # an extra column of that name makes way
-            raise ValueError(f"column {name} is taken: rename it before sharding")
     own = [F.col(f"`{c}`") for c in cols]
     keyed = docs.withColumn(h, hash60(F.col(f"`{key}`"), seed)).withColumn(
         size, F.coalesce(F.octet_length(F.col(f"`{text}`").cast("string")), F.lit(0)).cast("bigint"))

@@ -78,8 +78,12 @@ def segments(radius: int, parts: int) -> list[tuple[int, int, int]]:
     return [(lo, hi - lo, r) for lo, hi, r in zip(edges, edges[1:], balls) if r >= 0]
 
 
+def _signed(bits: int) -> int:
+    return bits - (1 << 64) if bits >> 63 else bits
+
+
 def ball(width: int, radius: int) -> list[int]:
-    return [sum(1 << b for b in bits) for r in range(radius + 1) for bits in combinations(range(width), r)]
+    return [_signed(sum(1 << b for b in bits)) for r in range(radius + 1) for bits in combinations(range(width), r)]
 
 
 def links(prints: DataFrame, radius: int = 2, parts: int = 2) -> DataFrame:
@@ -88,7 +92,7 @@ def links(prints: DataFrame, radius: int = 2, parts: int = 2) -> DataFrame:
     segs = segments(radius, parts)
 
     def key(fp: str, lo: int, width: int) -> Column:
-        return F.shiftrightunsigned(F.col(fp), lo).bitwiseAND(F.lit((1 << width) - 1))
+        return F.shiftrightunsigned(F.col(fp), lo).bitwiseAND(F.lit(_signed((1 << width) - 1)))
 
     filed = prints.select(F.col("fp").alias("b"), F.explode(F.array(*[
         F.struct(F.lit(i).alias("seg"), key("fp", lo, w).alias("key")) for i, (lo, w, _) in enumerate(segs)
@@ -107,7 +111,7 @@ def links(prints: DataFrame, radius: int = 2, parts: int = 2) -> DataFrame:
     # a pair met in several segments is kept in the first one that finds it
     earlier = F.lit(False)
     for i, (lo, w, r) in enumerate(segs):
-        hit = F.bit_count(F.shiftrightunsigned(F.col("_diff"), lo).bitwiseAND(F.lit((1 << w) - 1))) <= r
+        hit = F.bit_count(F.shiftrightunsigned(F.col("_diff"), lo).bitwiseAND(F.lit(_signed((1 << w) - 1)))) <= r
         earlier = earlier | ((F.col("seg") > i) & hit)
     return near.where(~earlier).select("a", "b")
 
