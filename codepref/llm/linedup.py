@@ -7,14 +7,20 @@ by length, by the places of the shared word (positional filter) and by a bound
 on their symmetric difference from 64-bit parities, and what is left is verified
 on the whole sets (PPJoin, Xiao et al., 2008).
 
-Equal sets are one class, so copies make no pairs; a class stands at its first
-line in (doc_id, line) order. A line is removed if its set, or a similar one,
-stands at an earlier line.
+Two things keep groups of copies from making all their pairs. Equal sets are one
+class, which stands at its first line in (doc_id, line) order. And of the sets
+that meet in a crowded bucket, those verified to be within half the distance of
+its first set form a ball: Jaccard distance is a metric, so any two of a ball are
+similar enough, and their links are counted from the ball's size. The join makes
+only the pairs that no ball implies.
+
+A line is removed if its set, or a similar one, stands at an earlier line.
 
 Rarity: words are counted in 65,536 hash buckets over all lines; the order is by
 the bucket's rank, then by the rest of the word's 64-bit hash. Any one order
 gives the same pairs; the ranks only keep common words out of the prefixes. The
-ranks are the one table that goes through the driver, of that fixed size.
+ranks are one table of fixed size through the driver, the bits that tell which
+lines are read again another.
 
 Defined cases: null texts have no lines; lines without words are kept and never
 matched; words are cut at ASCII white space and compared by their 64-bit hash;
@@ -31,137 +37,223 @@ from codepref.llm.common import materialize, one_of
 
 #: The least similarity, as a fraction.
 SIMILARITY = (4, 5)
+#: Sets that meet in one of their two rarest words before balls are formed there.
+CROWD = 16
 RANK_BITS = 16
 MEMBER_BITS = 20
+#: Tables of at most so many (short) rows are broadcast; larger ones are joined.
+BROADCAST_ROWS = 500_000
 GAPS = r"[\x20\x09-\x0D]+"
+PLACE = ("doc_id", "line_no")
 
 
-def word_sets(docs: DataFrame) -> DataFrame:
-    """(doc_id, line_no, h): the distinct word hashes of each line that has words."""
-    lines = docs.select("doc_id", F.posexplode(F.split(F.col("text").cast("string"), "\n")).alias("line_no", "line"))
-    words = F.filter(F.split("line", GAPS), lambda w: w != "")
-    return (lines.select("doc_id", "line_no", F.array_distinct(F.transform(words, lambda w: F.xxhash64(w))).alias("h"))
-            .where(F.size("h") > 0))
+def _ceil(x: Column, p: int, q: int) -> Column:
+    return F.floor((x * p + (q - 1)) / q)
 
 
-def _literal(values: list[int], kind: str) -> Column:
+def _words(line: Column) -> Column:
+    """Words of a line; the common case, only spaces, needs no pattern."""
+    odd = F.lit(False)
+    for c in "\t\x0b\x0c\r":
+        odd = odd | F.contains(line, F.lit(c))
+    return F.array_remove(F.when(odd, F.split(line, GAPS)).otherwise(F.split(line, " ")), "")
+
+
+def _literal(values: list[int]) -> Column:
     """A constant array (folded when the plan is made)."""
-    return F.split(F.lit(",".join(map(str, values))), ",").cast(f"array<{kind}>")
+    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")
+
 
+def _checked(table: DataFrame) -> DataFrame:
+    """A written table, broadcast if its counted rows are few."""
+    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
 
-def rarity_key(sets: DataFrame):
+
+def word_sets(docs: DataFrame) -> DataFrame:
+    """(doc_id, line_no, h): the distinct word hashes of each line that has words."""
+    lines = docs.select("doc_id", F.posexplode(F.split(F.col("text").cast("string"), "\n")).alias("line_no", "line"))
+    hashes = F.array_distinct(F.transform(_words(F.col("line")), lambda w: F.xxhash64(w)))
+    return lines.select(*PLACE, hashes.alias("h")).where(F.size("h") > 0)
+
+
+def rarity_key(docs: DataFrame):
     """A one-to-one map of word hashes to integers whose order is by rarity."""
-    bucket = F.shiftrightunsigned("w", 64 - RANK_BITS)
-    counted = sets.select(F.explode("h").alias("w")).groupBy(bucket.alias("b")).agg(F.count(F.lit(1)).alias("n"))
+    words = docs.select(F.explode(F.split(F.col("text").cast("string"), GAPS)).alias("w")).where("w <> ''")
+    bucket = F.shiftrightunsigned(F.xxhash64("w"), 64 - RANK_BITS)
+    counted = words.groupBy(bucket.alias("b")).agg(F.count(F.lit(1)).alias("n"))
     counts = {r["b"]: r["n"] for r in counted.collect()}  # at most 2 ** RANK_BITS rows
     rank = [0] * (1 << RANK_BITS)
     for i, b in enumerate(sorted(range(1 << RANK_BITS), key=lambda b: (counts.get(b, 0), b))):
         rank[b] = i
-    ranks = _literal(rank, "bigint")
+    ranks = _literal(rank)
     low = F.lit((1 << (64 - RANK_BITS)) - 1)
 
     def key(h: Column) -> Column:
         place = F.get(ranks, F.shiftrightunsigned(h, 64 - RANK_BITS).cast("int"))
-        # the top bit is flipped so that signed order is the order of ranks
+        # ranks start below zero so that signed order is the order of ranks
         return F.shiftleft(place - (1 << (RANK_BITS - 1)), 64 - RANK_BITS).bitwiseOR(h.bitwiseAND(low))
 
     return key
 
 
-def _ceil(x: Column, p: int, q: int) -> Column:
-    return F.floor((x * p + (q - 1)) / q)
+def _parity(k: str, shift: int) -> Column:
+    """64 bits, each the parity of the words that fall on it: sets that differ in d
+    words differ in at most d bits."""
+    def flip(a: Column, x: Column) -> Column:
+        at = F.shiftrightunsigned(x, shift).bitwiseAND(F.lit(63)).cast("int")
+        return a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), at))
 
+    return F.aggregate(k, F.lit(0).cast("bigint"), flip)
 
-def classes(sets: DataFrame, similarity: tuple[int, int] = SIMILARITY) -> tuple[DataFrame, DataFrame]:
-    """The lines (doc_id, line_no, sa, sb) and the classes of equal sets: sid, sa,
-    sb, doc_id and line_no of the first line, n_lines, n (words), parity, prefix."""
-    p, q = similarity
-    key = rarity_key(sets)
-    keyed = sets.select("doc_id", "line_no", F.sort_array(F.transform("h", key)).alias("k"))
+
+def _digest(k: str = "k") -> list[Column]:
+    return [F.xxhash64(k).alias("sa"), F.xxhash64(F.lit(1), F.col(k)).alias("sb")]
+
+
+def keyed_lines(docs: DataFrame, key, similarity: tuple[int, int]) -> DataFrame:
+    """One written row per line with words: id, place, digest of the set, size,
+    parities, and the prefix in order of rarity."""
+    keyed = word_sets(docs).select(*PLACE, F.sort_array(F.transform("h", key)).alias("k"))
     n = F.size("k")
-    parity = F.aggregate("k", F.lit(0).cast("bigint"),
-                         lambda a, x: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), x.bitwiseAND(F.lit(63)).cast("int"))))
-    lines = materialize(keyed.select(
-        "doc_id", "line_no", F.xxhash64("k").alias("sa"), F.xxhash64(F.lit(1), F.col("k")).alias("sb"), n.alias("n"),
-        parity.alias("parity"), F.slice("k", F.lit(1), (n - _ceil(n, p, q) + 1).cast("int")).alias("prefix")))
-    first = F.min(F.struct("doc_id", "line_no")).alias("at")
-    found = lines.groupBy("sa", "sb").agg(first, F.count(F.lit(1)).alias("n_lines"), F.first("n").alias("n"),
-                                          F.first("parity").alias("parity"), F.first("prefix").alias("prefix"))
-    found = materialize(found.select(F.monotonically_increasing_id().alias("sid"), "sa", "sb", "at.doc_id", "at.line_no",
-                                     "n_lines", "n", "parity", "prefix"))
-    return lines.select("doc_id", "line_no", "sa", "sb"), found
-
-
-def candidates(found: DataFrame, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
-    """Distinct pairs (a, b) of classes that pass all filters; n(a) >= n(b)."""
+    prefix = F.slice("k", F.lit(1), (n - _ceil(n, *similarity) + 1).cast("int"))
+    return materialize(keyed.select(
+        F.monotonically_increasing_id().alias("lid"), *PLACE, *_digest(), n.cast("bigint").alias("n"),
+        _parity("k", 0).alias("p0"), _parity("k", 6).alias("p1"), _parity("k", 12).alias("p2"), prefix.alias("prefix")))
+
+
+def copies(lines: DataFrame) -> DataFrame:
+    """(sa, sb, cid, n_lines) of the sets that several lines have; cid is the first line's id."""
+    first = F.min(F.struct(*PLACE, "lid"))
+    found = lines.groupBy("sa", "sb").agg(first.alias("at"), F.count(F.lit(1)).alias("n_lines")).where("n_lines > 1")
+    return materialize(found.select("sa", "sb", F.col("at.lid").alias("cid"), "n_lines"))
+
+
+def _classed(lines: DataFrame, several: DataFrame) -> DataFrame:
+    """Lines with the id of their class and whether they are its first line."""
+    out = lines.join(_checked(several.select("sa", "sb", "cid")), ["sa", "sb"], "left")
+    return out.withColumn("cid", F.coalesce("cid", "lid"))
+
+
+def words_at(docs: DataFrame, key, wanted: DataFrame) -> DataFrame:
+    """(lid, k) of the wanted (lid, doc_id, line_no, sa, sb): their texts are read
+    again, and only lines whose bit is set in a table of fixed size go further."""
+    size = 1 << MEMBER_BITS
+    at = F.xxhash64(*PLACE).bitwiseAND(F.lit(size - 1))
+    held = wanted.select(at.alias("bit")).distinct().groupBy(F.shiftright("bit", 5).alias("w")).agg(
+        F.sum(F.expr("shiftleft(1L, cast(bit & 31 as int))")).alias("v"))
+    member = [0] * (size >> 5)
+    for r in held.collect():  # at most 2 ** MEMBER_BITS / 32 rows
+        member[r["w"]] = r["v"]
+    there = F.call_function("shiftright", F.get(_literal(member), F.shiftright(at, 5).cast("int")),
+                            at.bitwiseAND(F.lit(31)).cast("int")).bitwiseAND(F.lit(1).cast("bigint")) == 1
+    near = word_sets(docs).where(there).select(*PLACE, F.sort_array(F.transform("h", key)).alias("k"))
+    near = near.select(F.col("doc_id").alias("_d"), F.col("line_no").alias("_l"), "k", *_digest())
+    same = wanted["doc_id"].eqNullSafe(F.col("_d"))
+    for w, x in (("line_no", "_l"), ("sa", "sa"), ("sb", "sb")):
+        same = same & (wanted[w] == near[x])
+    found = near.join(wanted.select("lid", *PLACE, "sa", "sb"), same)
+    return materialize(found.select("lid", "k").dropDuplicates(["lid"]))
+
+
+def _verified(pairs: DataFrame, words: DataFrame, p: int, q: int) -> DataFrame:
+    """The pairs (a, b) whose sets have a Jaccard similarity of at least p / q."""
+    x, y = words.select(F.col("lid").alias("a"), F.col("k").alias("ka")), words.select(F.col("lid").alias("b"), F.col("k").alias("kb"))
+    shared, size = F.size(F.array_intersect("ka", "kb")), F.size("ka") + F.size("kb")
+    return pairs.join(x, "a").join(y, "b").where(shared >= _ceil(size, p, p + q)).select("a", "b")
+
+
+def balls(firsts: DataFrame, docs: DataFrame, key, similarity: tuple[int, int], crowd: int = CROWD) -> DataFrame:
+    """(lid, ball) of sets in crowded buckets that are verified to lie within half
+    the join's distance of the bucket's first set, and of those first sets."""
+    p, q = similarity[0] + similarity[1], 2 * similarity[1]  # 1 - (1 - s) / 2
+    rows = firsts.select("lid", "n", "p0", F.explode(F.slice("prefix", 1, 2)).alias("key"))
+    lead = rows.groupBy("key").agg(F.min(F.struct("lid", "n", "p0")).alias("lead"), F.count(F.lit(1)).alias("m"))
+    lead = materialize(lead.where(F.col("m") >= crowd).select("key", F.col("lead.lid").alias("ball"), F.col("lead.n").alias("m"),
+                                                              F.col("lead.p0").alias("q0")))
+    if lead.isEmpty():
+        return firsts.select("lid", F.col("lid").alias("ball")).where("false")
+    n, m = F.col("n"), F.col("m")
+    close = ((F.least(n, m) * q >= F.greatest(n, m) * p)
+             & (F.bit_count(F.col("p0").bitwiseXOR(F.col("q0"))) <= n + m - _ceil(n + m, p, p + q) * 2))
+    near = rows.join(_checked(lead), "key").where(close & (F.col("ball") != F.col("lid")))
+    stars = materialize(near.groupBy(F.col("lid").alias("a")).agg(F.min("ball").alias("b")))
+    named = stars.select(F.col("a").alias("lid")).union(stars.select("b")).distinct()
+    places = materialize(firsts.select("lid", *PLACE, "sa", "sb").join(named, "lid"))
+    inside = materialize(_verified(stars, words_at(docs, key, places), p, q))
+    centers = inside.select(F.col("b").alias("lid")).distinct()
+    members = inside.select(F.col("a").alias("lid"), F.col("b").alias("ball")).join(centers, "lid", "left_anti")
+    return materialize(members.unionByName(centers.withColumn("ball", F.col("lid"))))
+
+
+def candidates(firsts: DataFrame, similarity: tuple[int, int]) -> DataFrame:
+    """Distinct pairs (a, b), n(a) >= n(b), that pass all filters and that no ball
+    implies. Both sides are one shuffle of the same rows."""
     p, q = similarity
-    rows = found.select("sid", "n", "parity", F.posexplode("prefix").alias("pos", "key"))
-    # of the shorter set a shorter prefix is enough; beyond it a row only asks
-    answers = F.col("pos") < F.col("n") - _ceil(F.col("n") * 2, p, p + q) + 1
-    rows = rows.withColumn("least", F.when(answers, F.col("n")).otherwise(F.lit(2**31 - 1)))
+    rows = firsts.select("lid", "ball", "p0", F.posexplode("prefix").alias("pos", "key"), "n").select(
+        "key", "lid", "ball", "p0", (F.shiftleft("n", 32) + F.col("n") - F.col("pos")).alias("sizes"))
     a, b = rows.alias("a"), rows.alias("b")
-    na, nb = F.col("a.n"), F.col("b.n")
+    na, nb = F.shiftright("a.sizes", 32), F.shiftright("b.sizes", 32)
+    ra, rb = (F.col(f"{s}.sizes").bitwiseAND(F.lit((1 << 32) - 1)) for s in "ab")
     need = _ceil(na + nb, p, p + q)
-    left = F.least(na - F.col("a.pos"), nb - F.col("b.pos"))
-    pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & (na >= F.col("b.least")) & (F.col("a.least") >= 0)
-                   & (nb * q >= na * p) & ((na > nb) | (F.col("a.sid") < F.col("b.sid"))) & (left >= need)
-                   & (F.bit_count(F.col("a.parity").bitwiseXOR(F.col("b.parity"))) <= na + nb - need * 2))
-    return pairs.select(F.col("a.sid").alias("a"), F.col("b.sid").alias("b")).distinct()
+    # of the shorter set a shorter prefix is enough (the second half of the "or" is
+    # never true; it keeps the test out of one side's scan, so the shuffle is shared)
+    answers = (nb - rb < nb - _ceil(nb * 2, p, p + q) + 1) | (na < nb)
+    pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & (na >= nb) & (nb * q >= na * p) & answers
+                   & ((na > nb) | (F.col("a.lid") < F.col("b.lid"))) & (F.col("a.ball") != F.col("b.ball"))
+                   & (F.least(ra, rb) >= need)
+                   & (F.bit_count(F.col("a.p0").bitwiseXOR(F.col("b.p0"))) <= na + nb - need * 2))
+    pairs = pairs.select(F.col("a.lid").alias("a"), F.col("b.lid").alias("b")).distinct()
+    # the other parities are looked up for what is left
+    side = firsts.select("lid", "n", "p1", "p2")
+    for s in "ab":
+        pairs = pairs.join(side.select(F.col("lid").alias(s), *[F.col(c).alias(c + s) for c in ("n", "p1", "p2")]), s)
+    most = F.col("na") + F.col("nb") - _ceil(F.col("na") + F.col("nb"), p, p + q) * 2
+    for c in ("p1", "p2"):
+        pairs = pairs.where(F.bit_count(F.col(c + "a").bitwiseXOR(F.col(c + "b"))) <= most)
+    return materialize(pairs.select("a", "b"))
 
 
-def links(sets: DataFrame, found: DataFrame, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
-    """Pairs (a, b) of different classes of at least the similarity, verified."""
-    p, q = similarity
-    pairs = materialize(candidates(found, similarity))
-    wanted = pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct()
-    places = materialize(found.select("sid", "doc_id", "line_no").join(wanted, "sid"))
-    # the sets are read again only at places whose bit is set, so few words travel
-    bit = (F.xxhash64("doc_id", "line_no").bitwiseAND(F.lit((1 << MEMBER_BITS) - 1))).alias("bit")
-    word = F.shiftright("bit", 5)
-    held = places.select(bit).distinct().groupBy(word.alias("w")).agg(
-        F.sum(F.expr("shiftleft(1L, cast(bit & 31 as int))")).alias("v"))
-    member = [0] * (1 << (MEMBER_BITS - 5))
-    for r in held.collect():  # at most 2 ** (MEMBER_BITS - 5) rows
-        member[r["w"]] = r["v"]
-    bits = _literal(member, "bigint")
-    at = F.xxhash64("doc_id", "line_no").bitwiseAND(F.lit((1 << MEMBER_BITS) - 1))
-    lit = F.call_function("shiftright", F.get(bits, F.shiftright(at, 5).cast("int")),
-                          at.bitwiseAND(F.lit(31)).cast("int")).bitwiseAND(F.lit(1).cast("bigint")) == 1
-    there = places.select("sid", F.col("doc_id").alias("_d"), F.col("line_no").alias("_l"))
-    near = sets.where(lit)
-    words = near.join(there, near["doc_id"].eqNullSafe(F.col("_d")) & (near["line_no"] == F.col("_l")))
-    words = materialize(words.dropDuplicates(["sid"]).select("sid", "h"))
-    x = words.select(F.col("sid").alias("a"), F.col("h").alias("ha"))
-    y = words.select(F.col("sid").alias("b"), F.col("h").alias("hb"))
-    size = F.size("ha") + F.size("hb")
-    both = pairs.join(x, "a").join(y, "b")
-    return both.where(F.size(F.array_intersect("ha", "hb")) >= _ceil(size, p, p + q)).select("a", "b")
-
-
-def duplicate_lines(docs: DataFrame, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
-    """(doc_id, line_no, removed, n_links) of the lines that match another: removed
-    where an equal or similar set stands earlier; n_links: other classes similar."""
-    sets = word_sets(docs)
-    lines, found = classes(sets, similarity)
-    near = materialize(links(sets, found, similarity))
-    place = found.select("sid", F.struct(F.col("doc_id"), F.col("line_no")).alias("at"))
-    ends = near.select(F.col("a").alias("sid"), F.col("b").alias("other")).unionByName(
-        near.select(F.col("b").alias("sid"), F.col("a").alias("other")))
-    per = ends.join(place.select(F.col("sid").alias("other"), F.col("at").alias("there")), "other").groupBy("sid").agg(
-        F.min("there").alias("there"), F.count(F.lit(1)).alias("n_links"))
-    told = found.select("sid", "sa", "sb", F.struct("doc_id", "line_no").alias("at"), "n_lines").join(per, "sid", "left")
-    told = told.where((F.col("n_lines") > 1) | F.col("n_links").isNotNull()).select(
-        "sa", "sb", "at", F.coalesce(F.col("there") < F.col("at"), F.lit(False)).alias("late"),
-        F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    hit = lines.join(materialize(told), ["sa", "sb"])
-    earlier = F.col("late") | (F.col("at") < F.struct("doc_id", "line_no"))
-    return hit.select("doc_id", "line_no", earlier.alias("removed"), "n_links").distinct()
-
-
-def summary(docs: DataFrame, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
+def class_links(docs: DataFrame, similarity: tuple[int, int] = SIMILARITY, crowd: int = CROWD):
+    """The lines with their classes, the classes' balls, and the other links (a, b)."""
+    key = rarity_key(docs)
+    lines = keyed_lines(docs, key, similarity)
+    several = copies(lines)
+    firsts = _classed(lines, several).where("cid = lid")
+    near = balls(firsts, docs, key, similarity, crowd)
+    grouped = firsts.join(_checked(near), "lid", "left").withColumn("ball", F.coalesce("ball", "lid"))
+    pairs = candidates(grouped, similarity)
+    named = pairs.select(F.col("a").alias("lid")).union(pairs.select("b")).distinct()
+    places = materialize(firsts.select("lid", *PLACE, "sa", "sb").join(named, "lid"))
+    links = materialize(_verified(pairs, words_at(docs, key, places), *similarity))
+    return lines, several, near, links
+
+
+def duplicate_lines(docs: DataFrame, similarity: tuple[int, int] = SIMILARITY, crowd: int = CROWD) -> DataFrame:
+    """(doc_id, line_no, class_id, removed, n_links) of the lines that match another:
+    removed where an equal or similar set stands earlier; n_links: other classes
+    that are similar."""
+    lines, several, near, links = class_links(docs, similarity, crowd)
+    at = lines.select("lid", F.struct(*PLACE).alias("at"))
+    ends = links.select(F.col("a").alias("lid"), F.col("b").alias("other")).unionByName(
+        links.select(F.col("b").alias("lid"), F.col("a").alias("other")))
+    paired = ends.join(at.select(F.col("lid").alias("other"), F.col("at").alias("there")), "other").groupBy("lid").agg(
+        F.min("there").alias("there"), F.count(F.lit(1)).alias("links"))
+    whole = near.join(at, "lid").groupBy("ball").agg(F.min("at").alias("there"), (F.count(F.lit(1)) - 1).alias("links"))
+    implied = near.join(whole, "ball").select("lid", "there", "links")
+    per = paired.unionByName(implied).groupBy("lid").agg(F.min("there").alias("there"), F.sum("links").alias("n_links"))
+    firsts = per.join(at, "lid", "full").select("lid", "at", "there", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    told = firsts.join(several.select(F.col("cid").alias("lid"), "n_lines"), "lid", "left")
+    told = materialize(told.where((F.col("n_links") > 0) | F.col("n_lines").isNotNull()).select(
+        F.col("lid").alias("cid"), "at", F.coalesce(F.col("there") < F.col("at"), F.lit(False)).alias("late"), "n_links"))
+    hit = _classed(lines.select("lid", *PLACE, "sa", "sb"), several).join(told, "cid")
+    earlier = F.col("late") | (F.col("at") < F.struct(*PLACE))
+    return hit.select(*PLACE, F.col("cid").alias("class_id"), earlier.alias("removed"), "n_links").distinct()
+
+
+def summary(docs: DataFrame, similarity: tuple[int, int] = SIMILARITY, crowd: int = CROWD) -> DataFrame:
     """Per row of ``docs``: n_lines, removed_lines (numbers from 0), n_removed and
     n_links (of its lines, to other classes)."""
-    hits = duplicate_lines(docs, similarity)
+    hits = duplicate_lines(docs, similarity, crowd)
     per = hits.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.when(F.col("removed"), F.col("line_no")))).alias("removed_lines"),
                                      F.sum("n_links").alias("n_links"))
     per = per.withColumnRenamed("doc_id", "_doc")

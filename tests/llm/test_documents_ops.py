@@ -288,15 +288,23 @@ def line_tables(spark, docs):
                 w[rng.randrange(len(w))] = rng.choice(vocab)
             text.append(" ".join(w) if rng.random() > .1 else rng.choice(["", "  ", "\t"]))
         out.append((i, "\n".join(text)))
-    return {"awkward": docs.select("doc_id", "text"), "random": spark.createDataFrame(out, "doc_id bigint, text string"),
+    base = [f"v{i}" for i in range(45)]
+    near = []
+    for i in range(120):
+        w = list(base)
+        for _ in range(rng.randrange(6)):
+            w[rng.randrange(45)] = f"n{rng.randrange(200)}"
+        near.append((i, " ".join(w)))
+    return {"near": spark.createDataFrame(near, "doc_id bigint, text string"), "awkward": docs.select("doc_id", "text"), "random": spark.createDataFrame(out, "doc_id bigint, text string"),
             "sf": sf_docs(spark).select("doc_id", "text")}
 
 
-@pytest.mark.parametrize("source", ["awkward", "random", "sf"])
-def test_lines(spark, docs, source):
+@pytest.mark.parametrize("source,crowd", [("awkward", 16), ("random", 16), ("random", 2), ("near", 2), ("near", 1000), ("sf", 3)])
+def test_lines(spark, docs, source, crowd):
+    """Balls (a low crowd) and plain pairs give the same links."""
     d = line_tables(spark, docs)[source]
     want = brute_lines([tuple(r) for r in d.collect()])
-    got = Counter((r["doc_id"], r["n_lines"], tuple(r["removed_lines"]), r["n_removed"], r["n_links"]) for r in linedup.summary(d).collect())
+    got = Counter((r["doc_id"], r["n_lines"], tuple(r["removed_lines"]), r["n_removed"], r["n_links"]) for r in linedup.summary(d, crowd=crowd).collect())
     assert got == want
     assert any(r[3] for r in want)
 
