@@ -42,6 +42,7 @@ def _parser() -> argparse.ArgumentParser:
     f.add_argument("--exact-split", action="store_true")
     f.add_argument("--seed", type=int, default=0)
     f.add_argument("--compat", action="store_true", help="the reference's literal filter quirks")
+    f.add_argument("--comment-ratio", action="store_true", help="also ask for 0.1 < comments / code lines < 1")
 
     for name, default_f in (("kto", 0.5), ("dpo", 1.0)):
         b = sub.add_parser(name, help=f"build {name.upper()} rows from a base table")
@@ -75,9 +76,10 @@ def run(argv: list[str] | None = None, spark: SparkSession | None = None) -> dic
     summary: dict = {"cmd": args.cmd}
 
     if args.cmd == "filter-seed":
-        seed = normalize_seed(spark.read.parquet(args.input), languages=args.languages)
+        # written once: the funnel and the filters both read it, the AST pass runs once
+        seed = materialize(normalize_seed(spark.read.parquet(args.input), languages=args.languages))
         summary["funnel"] = [r.asDict() for r in funnel(seed, args.compat).collect()]
-        filtered = filter_seed(seed, compat=args.compat)
+        filtered = filter_seed(seed, compat=args.compat, with_comment_ratio=args.comment_ratio)
         if args.exact_split:  # counts and the split both read it: run the checkers once
             filtered = materialize(filtered)
         kept = assign_split(filtered, key="row_id", seed=args.seed,

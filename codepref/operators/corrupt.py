@@ -42,13 +42,20 @@ KOTLIN_KEYWORDS = (
     "true", "try", "typealias", "typeof", "val", "var", "when", "while",
     "abstract", "catch", "companion", "const", "data", "enum", "finally", "import",
     "internal", "open", "override", "private", "protected", "public",
+    "annotation", "constructor", "crossinline", "external", "final", "inline", "lateinit",
+    "operator", "out", "sealed", "suspend", "vararg",
 )
 # Symbols whose deletion is an edit (all languages).
 SYMBOLS = ("{", "}", "(", ")", "[", "]", ";", ",", ".", "+", "-", "*", "/", "&", "|",
            "^", "%", "!", "~", "?", ":", "<", ">", "=", "'", '"')
+# Further symbols of one language (a trailing comment mark).
+LANGUAGE_SYMBOLS = {"python": ("#",)}
 # Line-comment prefix per language.
 COMMENT_PREFIX = {"java": "//", "python": "#", "kotlin": "//"}
 
+# Leading white space as ``str.lstrip`` sees it (Unicode).
+LEADING_SPACE = "(?U)^\\s+"
+
 KEYWORDS = {"java": JAVA_KEYWORDS, "python": PYTHON_KEYWORDS, "kotlin": KOTLIN_KEYWORDS}
 
 
@@ -78,8 +85,9 @@ def _has_rule(t: Column, language: Column, kw: dict, symbols) -> Column:
     """Token has a rule: ``IN`` lists become hash-set lookups (InSet)."""
     expr = None
     for lang, words in kw.items():
-        expr = (F.when(language == lang, t.isin(*words)) if expr is None
-                else expr.when(language == lang, t.isin(*words)))
+        rules = (*words, *LANGUAGE_SYMBOLS.get(lang, ()))
+        expr = (F.when(language == lang, t.isin(*rules)) if expr is None
+                else expr.when(language == lang, t.isin(*rules)))
     return expr.otherwise(F.lit(False)) | t.isin(*symbols)
 
 
@@ -104,7 +112,7 @@ def with_corruption(df: DataFrame, code: str = "code", language: str = "language
     items = F.transform(F.split(c, "\n"), lambda l, i: F.struct(
         i.alias("i"), l.alias("l"),
         F.filter(tokens(l), lambda t: _has_rule(t, lang, kw, symbols)).alias("toks")))
-    elig = F.filter(items, lambda s: ~F.regexp_replace(s["l"], "^\\s+", "").startswith(prefix)
+    elig = F.filter(items, lambda s: ~F.regexp_replace(s["l"], LEADING_SPACE, "").startswith(prefix)
                     & (F.size(s["toks"]) > 0))
     h = [seeded_hash(key, seed, step) for step in (1, 2, 3, 4)]
     d = df.withColumn("_ce", elig)
@@ -112,7 +120,7 @@ def with_corruption(df: DataFrame, code: str = "code", language: str = "language
     toks = F.col("_cc.toks")
     d = d.withColumn("_ct", F.try_element_at(toks, (h[1] % F.greatest(F.size(toks), F.lit(1)) + 1).cast("int")))
     tok, line = F.col("_ct"), F.col("_cc.l")
-    is_sym = tok.isin(*symbols)
+    is_sym = tok.isin(*symbols, *(s for more in LANGUAGE_SYMBOLS.values() for s in more))
     repl = F.when(is_sym, F.lit("")).otherwise(misspell(tok, h[2], h[3]))
     if compat:
         pos = F.instr(line, tok)
@@ -139,5 +147,5 @@ def has_eligible_line(code: Column, language: Column, keywords: dict | None = No
     corrupting only the chosen rows)."""
     kw = keywords or KEYWORDS
     prefix = _by_language(language, {k: COMMENT_PREFIX.get(k, "//") for k in kw}, F.lit)
-    return F.exists(F.split(code, "\n"), lambda l: ~F.regexp_replace(l, "^\\s+", "").startswith(prefix)
+    return F.exists(F.split(code, "\n"), lambda l: ~F.regexp_replace(l, LEADING_SPACE, "").startswith(prefix)
                     & F.exists(tokens(l), lambda t: _has_rule(t, language, kw, symbols)))

@@ -43,9 +43,10 @@ def pad_with_mask(v: Column, width: int) -> tuple[Column, Column]:
     return padded, mask
 
 
-def pair_texts(doc: Column, reference: Column, prediction: Column) -> tuple[Column, Column]:
-    """(doc + reference, doc + prediction)."""
-    return F.concat(doc, F.lit("\n"), reference), F.concat(doc, F.lit("\n"), prediction)
+def pair_texts(doc: Column, reference: Column, prediction: Column, sep: str = "") -> tuple[Column, Column]:
+    """(doc + reference, doc + prediction), with nothing between by default."""
+    between = [F.lit(sep)] if sep else []
+    return F.concat(doc, *between, reference), F.concat(doc, *between, prediction)
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -80,3 +81,24 @@ def fit_pair_scorer(pairs: DataFrame, a: str = "a", b: str = "b", label: str = "
     data = pairs.select(array_to_vector(diff).alias("features"), F.col(label).cast("double").alias("label"))
     lr = LogisticRegression(maxIter=max_iter, regParam=reg, fitIntercept=False)
     return lr.fit(data)
+
+
+def descend_pair_scorer(pairs: DataFrame, key: str = "p", a: str = "a", b: str = "b", label: str = "y",
+                        steps: int = 3, rate: float = 1.0) -> DataFrame:
+    """E5 by a fixed number of full-batch gradient steps from zero: one row
+    (idx, weight) per component of a - b, averaged over the pairs.
+
+    Each step is two sums with map-side combine, of margins per pair and of
+    gradients per component; the weights (one number per component) stay a table."""
+    diff = F.zip_with(F.col(a), F.col(b), lambda x, y: x.cast("double") - y.cast("double"))
+    parts = pairs.select(key, F.col(label).cast("double").alias("y"), F.posexplode(diff).alias("idx", "d"))
+    n = pairs.count()
+    weights = parts.select("idx").distinct().withColumn("weight", F.lit(0.0))
+    for _ in range(steps):
+        both = parts.join(F.broadcast(weights), "idx")  # one row per component
+        margin = both.groupBy(key).agg(F.sum(F.col("weight") * F.col("d")).alias("m"))
+        error = F.col("y") - 1.0 / (1.0 + F.exp(-F.col("m")))
+        grad = parts.join(margin, key).groupBy("idx").agg(F.sum(error * F.col("d")).alias("g"))
+        weights = weights.join(F.broadcast(grad), "idx").select(
+            "idx", (F.col("weight") + F.lit(rate) * F.col("g") / F.lit(n)).alias("weight"))
+    return weights

@@ -26,9 +26,11 @@ def valid_rate(df: DataFrame, prompt: str = "prompt", completion: str = "complet
 
 
 def pass_at_k_expr(n: Column, c: Column, k: int) -> Column:
-    """Unbiased pass@k: 1 - prod_{i=n-c+1..n} (1 - k/i); 0 when c = 0 (the
-    sequence would count down), 1 when n - c < k."""
-    prod = F.aggregate(F.sequence(n - c + 1, n), F.lit(1.0), lambda acc, i: acc * (1 - F.lit(k) / i))
+    """Unbiased pass@k, 1 - C(n - c, k) / C(n, k), as k factors:
+    1 - prod_{j<k} (n - c - j) / (n - j); 0 when c = 0, 1 when n - c < k."""
+    prod = F.lit(1.0)
+    for j in range(k):
+        prod = prod * F.try_divide(n - c - j, n - j)
     return F.when(c == 0, F.lit(0.0)).when(n - c < k, F.lit(1.0)).otherwise(1 - prod)
 
 
@@ -190,16 +192,15 @@ def fingerprint(fields: dict[str, Column]) -> Column:
     return F.md5(F.concat(F.lit("{"), F.concat_ws(", ", *parts), F.lit("}")))
 
 
-def score_join(predictions: DataFrame, problems: DataFrame, keys=("task_id",),
-               max_broadcast_rows: int = 2_000_000) -> DataFrame:
+def score_join(predictions: DataFrame, problems: DataFrame, keys=("task_id",), salts: int = 1) -> DataFrame:
     """Predictions joined with their problems on the task key.
 
-    A benchmark is small next to its predictions, and one task may hold most
-    samples, so a shuffle join would put that task in one partition. The
-    problems side is counted (one small job) and broadcast when under
-    ``max_broadcast_rows``; above that, a shuffle join with AQE's skew-join
-    splitting."""
+    The optimizer picks the join from measured bytes (a small benchmark is
+    broadcast), and AQE splits a skewed task. ``salts`` over 1 spreads each task
+    by hand where AQE is off: predictions get a salt, problems one row per salt."""
     keys = list(keys)
-    if problems.count() <= max_broadcast_rows:
-        problems = F.broadcast(problems)
-    return predictions.join(problems, keys, "inner")
+    if salts == 1:
+        return predictions.join(problems, keys, "inner")
+    salt = F.pmod(F.monotonically_increasing_id(), F.lit(int(salts))).cast("int")
+    spread = problems.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(int(salts) - 1))))
+    return predictions.withColumn("_salt", salt).join(spread, [*keys, "_salt"]).drop("_salt")

@@ -154,17 +154,17 @@ def language_specific(compat: bool = False) -> Column:
             .otherwise(F.raise_error(F.concat(F.lit("language not supported: "), lang))))
 
 
-def native_filters(compat: bool = False) -> Column:
-    """F11 without F5: language-specific part, then F7, F1, F2, F3, F4."""
+def native_filters(compat: bool = False, with_comment_ratio: bool = False) -> Column:
+    """F11 without F5: language-specific part, then F7, F1, F2, F3, F4 (+ F4d on request)."""
     return (language_specific(compat) & code_size() & doc_size() & doc_spaces() & no_todo()
-            & code_shape(compat=compat))
+            & code_shape(compat=compat, with_comment_ratio=with_comment_ratio))
 
 
 def filter_seed(df: DataFrame, compat: bool = False, check_validity: bool = True,
-                checkers: dict | None = None) -> DataFrame:
+                checkers: dict | None = None, with_comment_ratio: bool = False) -> DataFrame:
     """F11 + F12: rows of the unified seed that pass every filter. Native
     predicates first; the validity check (F5) runs only on their survivors."""
-    out = df.where(F.col("function_def").isNotNull() & native_filters(compat))
+    out = df.where(F.col("function_def").isNotNull() & native_filters(compat, with_comment_ratio))
     if check_validity:
         # Q3: the Java def lost its "{" in N2; it is put back for the check
         whole = whole_function(F.col("function_def"), F.col("code_completion"), F.col("language"),
@@ -173,12 +173,13 @@ def filter_seed(df: DataFrame, compat: bool = False, check_validity: bool = True
     return out
 
 
-def rejected_seed(df: DataFrame, compat: bool = False, checkers: dict | None = None) -> DataFrame:
+def rejected_seed(df: DataFrame, compat: bool = False, checkers: dict | None = None,
+                  with_comment_ratio: bool = False) -> DataFrame:
     """J1 when the kept rows are a filter of the same table: the rows
     ``filter_seed`` drops, found by the negated predicate. No anti join, so no
     shuffle of the text; the checker sees only rows that pass the native
     filters (others send NULL)."""
-    native = F.coalesce(F.col("function_def").isNotNull() & native_filters(compat), F.lit(False))
+    native = F.coalesce(F.col("function_def").isNotNull() & native_filters(compat, with_comment_ratio), F.lit(False))
     whole = whole_function(F.col("function_def"), F.col("code_completion"), F.col("language"),
                            repair_java_brace=not compat)
     d = df.withColumn("_native", native)

@@ -74,21 +74,18 @@ def dpo_quota(counts: DataFrame, not_compile: float, compat: bool = False) -> Da
 
 def kto_rows(flagged: DataFrame, not_compile: float = 0.5, groups=("language",),
              key: str = "row_id", seed: int = 0, compat: bool = False,
-             recheck: bool = False) -> DataFrame:
+             recheck: bool = False, checkers: dict | None = None) -> DataFrame:
     """P2 on a flagged table (key, groups, language, prompt, code, reference,
     valid, candidate): invalid -> label false; candidates corrupted up to the
     quota -> label false; every reference -> label true. ``flagged`` should be
     materialized (it is read by four branches)."""
     groups = list(groups)
     quota = kto_quota(_quota_counts(flagged, groups), not_compile).select(*groups, "k")
-    chosen = hash_quota(flagged.where("candidate"), quota, groups, key, seed)
+    corrupted = _corrupted(flagged, quota, groups, key, seed, compat, recheck, checkers)
     out_cols = list(dict.fromkeys([*groups, "language", key]))
     negatives = flagged.where(~F.col("valid")).select(
         *out_cols, "prompt", F.col("code").alias("completion"), F.lit(False).alias("label"))
-    corrupted = with_corruption(chosen, "code", "language", key, "completion", seed, compat)
-    if recheck:
-        corrupted = _drop_still_valid(corrupted, "completion")
-    corrupted = corrupted.select(*out_cols, "prompt", "completion", F.lit(False).alias("label"))
+    corrupted = corrupted.select(*out_cols, "prompt", F.col("corrupted").alias("completion"), F.lit(False).alias("label"))
     positives = flagged.select(*out_cols, "prompt", F.col("reference").alias("completion"),
                                F.lit(True).alias("label"))
     return reduce(DataFrame.unionByName, [negatives, corrupted, positives])
@@ -96,19 +93,16 @@ def kto_rows(flagged: DataFrame, not_compile: float = 0.5, groups=("language",),
 
 def dpo_rows(flagged: DataFrame, not_compile: float = 1.0, groups=("language",),
              key: str = "row_id", seed: int = 0, compat: bool = False,
-             recheck: bool = False) -> DataFrame:
+             recheck: bool = False, checkers: dict | None = None) -> DataFrame:
     """P1 on a flagged table: invalid -> (prompt, rejected=code, chosen=reference);
     candidates corrupted as ``rejected`` up to ``int(f*n) - invalid``."""
     groups = list(groups)
     quota = dpo_quota(_quota_counts(flagged, groups), not_compile, compat).select(*groups, "k")
-    chosen = hash_quota(flagged.where("candidate"), quota, groups, key, seed)
+    corrupted = _corrupted(flagged, quota, groups, key, seed, compat, recheck, checkers)
     out_cols = list(dict.fromkeys([*groups, "language", key]))
     negatives = flagged.where(~F.col("valid")).select(
         *out_cols, "prompt", F.col("code").alias("rejected"), F.col("reference").alias("chosen"))
-    corrupted = with_corruption(chosen, "code", "language", key, "rejected", seed, compat)
-    if recheck:
-        corrupted = _drop_still_valid(corrupted, "rejected")
-    corrupted = corrupted.select(*out_cols, "prompt", "rejected", F.col("reference").alias("chosen"))
+    corrupted = corrupted.select(*out_cols, "prompt", F.col("corrupted").alias("rejected"), F.col("reference").alias("chosen"))
     return negatives.unionByName(corrupted)
 
 
@@ -118,7 +112,7 @@ def build_kto(base: DataFrame, not_compile: float = 0.5, groups=("language",),
     """P2 from base rows: label (extraction + checker), materialize, KTO rows."""
     groups = list(groups)
     flagged = materialize(label_predictions(base, key=key, groups=groups, compat=compat, **cols))
-    return kto_rows(flagged, not_compile, groups, key, seed, compat, recheck)
+    return kto_rows(flagged, not_compile, groups, key, seed, compat, recheck, cols.get("checkers"))
 
 
 def build_dpo(base: DataFrame, not_compile: float = 1.0, groups=("language",),
@@ -127,7 +121,7 @@ def build_dpo(base: DataFrame, not_compile: float = 1.0, groups=("language",),
     """P1 from base rows: label (extraction + checker), materialize, DPO rows."""
     groups = list(groups)
     flagged = materialize(label_predictions(base, key=key, groups=groups, compat=compat, **cols))
-    return dpo_rows(flagged, not_compile, groups, key, seed, compat, recheck)
+    return dpo_rows(flagged, not_compile, groups, key, seed, compat, recheck, cols.get("checkers"))
 
 
 def flag_from_labels(items: DataFrame, labels: DataFrame, key: str, language: str, valid: str,
@@ -146,14 +140,23 @@ def flag_from_labels(items: DataFrame, labels: DataFrame, key: str, language: st
     return d.withColumn("candidate", cand)
 
 
-def _drop_still_valid(rows: DataFrame, col: str) -> DataFrame:
-    """Re-check the corrupted whole function; rows that are still valid
-    are dropped (the reference labels them bad unchecked)."""
-    whole = whole_function(F.col("function_def"), F.col(col))
+def _corrupted(flagged: DataFrame, quota: DataFrame, groups: list[str], key: str, seed: int, compat: bool,
+               recheck: bool, checkers: dict | None) -> DataFrame:
+    """The chosen candidates with column ``corrupted``. Without ``recheck``
+    the quota is taken first and only chosen rows are corrupted. With it, all
+    candidates are corrupted and checked again, and the quota is taken among those
+    that really broke, so it is filled as far as there are any."""
+    candidates = flagged.where("candidate")
+    if not recheck:
+        return with_corruption(hash_quota(candidates, quota, groups, key, seed), "code", "language", key, "corrupted",
+                               seed, compat)
+    made = with_corruption(candidates, "code", "language", key, "corrupted", seed, compat)
+    whole = whole_function(F.col("function_def"), F.col("corrupted"))
     # A column first, then the filter on it: a filter on the expression itself
     # would be pushed below the staged corruption, inlining it (see corrupt.py).
-    flagged = rows.withColumn("_still_valid", valid_code(whole, F.col("language")))
-    return flagged.where(F.col(col).isNotNull() & ~F.col("_still_valid")).drop("_still_valid")
+    made = made.withColumn("_still_valid", valid_code(whole, F.col("language"), checkers))
+    broken = materialize(made.where(F.col("corrupted").isNotNull() & ~F.col("_still_valid")).drop("_still_valid"))
+    return hash_quota(broken, quota, groups, key, seed)
 
 
 def preference_counters(base: DataFrame, not_compile: float = 0.5, mode: str = "kto",

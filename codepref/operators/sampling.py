@@ -1,62 +1,78 @@
 """Deterministic sampling, quotas and splits.
 
 Spark tables have no order, so "first k" means "k smallest by a seeded md5 of
-the row key" (ties broken by the key). ``hash_quota`` computes that exactly
-without a global sort or a window over a whole group:
-
-1. count rows per (group, hash bucket) with map-side combine; at most
-   2**bits buckets per group, so this table is small whatever the data size;
-2. a running sum over that small table gives, per group, the buckets taken
-   whole and the one cut bucket (with how many rows it still needs);
-3. join back on (group, bucket): rows of buckets taken whole pass through,
-   only rows of the one cut bucket per group are numbered (and shuffled).
-
-A hot group (a third of all rows) spreads over all buckets, so no task sees
-more than about group_size / 2**bits rows in step 3.
+the row key" (ties broken by the key, which should be unique). The k-th
+smallest (hash, key) of each group is found exactly, without a global sort and
+without moving any other column:
+
+1. count rows per (group, hash bucket) with map-side combine; a running sum
+   over that small table finds the one bucket that holds rank k;
+2. only the (hash, key) pairs of that bucket are numbered, which gives the
+   group's cutoff;
+3. the rows are scanned once and compared with their group's cutoff.
+
+A hot group (a third of all rows) spreads over all buckets, so no task of step 2
+sees more than about group_size / 2**bits short rows.
 """
 
 from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codepref.functions.text import seeded_hash
 
 HASH_BITS = 32
+# Cutoff tables (one short row per group) are broadcast up to this many rows.
+BROADCAST_CUT_ROWS = 1_500_000
 
 
-def _with_hash(df: DataFrame, key: str, seed: int, hash_col: str | None) -> DataFrame:
-    return df if hash_col == "_h" else df.withColumn(
-        "_h", F.col(hash_col) if hash_col else seeded_hash(key, seed))
+def _hash(key: str, seed: int, hash_col: str | None) -> Column:
+    return F.col(hash_col) if hash_col else seeded_hash(key, seed)
 
 
-def _cut_table(d: DataFrame, k, groups: list[str], bits: int) -> DataFrame:
-    counts = d.groupBy(*groups, "_b").agg(F.count(F.lit(1)).alias("_c"))
-    if isinstance(k, DataFrame):
-        counts = counts.join(k.select(*groups, F.col("k").alias("_k")), groups)
+def _cutoffs(df: DataFrame, bounds: DataFrame | list[int], groups: list[str], key: str, h: Column,
+             bits: int) -> tuple[DataFrame, list[str]]:
+    """Per group: the bounds k1..km and, for each, ``cut_<k>`` = (hash, key) of the
+    row with that rank (NULL when the group has fewer rows)."""
+    rows = df.select(*groups, h.alias("_h"), F.col(key).alias("_key"))
+    bucket = F.shiftright("_h", HASH_BITS - bits)
+    counts = rows.groupBy(*groups, bucket.alias("_b")).agg(F.count(F.lit(1)).alias("_c"))
+    if isinstance(bounds, DataFrame):
+        ks = sorted((c for c in bounds.columns if re.fullmatch(r"k\d+", c)), key=lambda c: int(c[1:]))
+        wanted = bounds.select(*groups, *ks)
+    else:
+        ks = [f"k{j}" for j, _ in enumerate(bounds, 1)]
+        wanted = counts.select(*groups).distinct() if groups else df.sparkSession.range(1).select()
+        wanted = wanted.select(*groups, *[F.lit(int(v)).cast("bigint").alias(k) for k, v in zip(ks, bounds)])
+    if isinstance(bounds, DataFrame):
+        counts = counts.join(wanted, groups)
     else:
-        counts = counts.withColumn("_k", F.lit(int(k)).cast("bigint"))
+        counts = counts.select("*", *[F.lit(int(v)).cast("bigint").alias(k) for k, v in zip(ks, bounds)])
     part = [F.col(g) for g in groups] or [F.lit(0)]
-    w = Window.partitionBy(*part).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    before = F.coalesce(F.sum("_c").over(w), F.lit(0))
-    return (counts.withColumn("_before", before)
-            .where(F.col("_before") < F.col("_k"))
-            .select(*groups, "_b", (F.col("_before") + F.col("_c") <= F.col("_k")).alias("_full"),
-                    (F.col("_k") - F.col("_before")).alias("_need")))
-
-
-# Broadcast bound for the cut / bucket tables (~48 bytes per row).
-BROADCAST_CUT_ROWS = 1_500_000
+    before = Window.partitionBy(*part).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    table = counts.withColumn("_lo", F.coalesce(F.sum("_c").over(before), F.lit(0)))
+    # the bucket that holds each bound's rank, and the rank within it
+    inside = F.array(*[F.when((F.col("_lo") < F.col(k)) & (F.col(k) <= F.col("_lo") + F.col("_c")),
+                              F.struct(F.lit(k).alias("k"), (F.col(k) - F.col("_lo")).alias("need"))) for k in ks])
+    at = table.select(*groups, "_b", F.explode(F.array_compact(inside)).alias("_at"))
+    at = materialize(at.select(*groups, "_b", "_at.k", "_at.need"))
+    order = Window.partitionBy(*groups, "_b", "k").orderBy("_h", "_key")
+    near = rows.withColumn("_b", bucket).join(_broadcast_if_small(at), [*groups, "_b"])
+    cut = near.withColumn("_rn", F.row_number().over(order)).where(F.col("_rn") == F.col("need"))
+    cuts = cut.groupBy(*groups).agg(*[F.max(F.when(F.col("k") == k, F.struct(F.col("_h").alias("h"), F.col("_key").alias("key"))))
+                                      .alias(f"cut_{k}") for k in ks])
+    out = wanted.join(cuts, groups, "left") if groups else cuts
+    if not groups:
+        out = out.select("*", *[F.lit(int(v)).cast("bigint").alias(k) for k, v in zip(ks, bounds)])
+    return materialize(out), ks
 
 
 def _broadcast_if_small(table: DataFrame) -> DataFrame:
-    """Exact size check on the table that would be broadcast: it is cached
-    (a lost block is recomputed deterministically), counted, and broadcast only
-    under ``BROADCAST_CUT_ROWS``; above that AQE picks the join from runtime
-    statistics. The count computes the table once; the join reuses it."""
-    table = table.persist()
+    """A written table is broadcast when its counted rows are few; larger ones
+    are left to the optimizer."""
     return F.broadcast(table) if table.count() <= BROADCAST_CUT_ROWS else table
 
 
@@ -68,64 +84,43 @@ def hash_quota(df: DataFrame, k: int | DataFrame, groups=(), key: str = "row_id"
     ``k`` is an int or a DataFrame (group columns + ``k``). ``invert=True``
     returns the complement (all other rows). Oracle:
     ``row_number() OVER (PARTITION BY groups ORDER BY hash, key) <= k``."""
-    groups = list(groups)
-    if invert:
-        bounds = k.withColumnRenamed("k", "k1") if isinstance(k, DataFrame) else [k]
-        return (rank_bands(df, bounds, groups, key, seed, hash_col, out="_band", bits=bits)
-                .where("_band = 1").drop("_band"))
-    cols = df.columns
-    d = _with_hash(df, key, seed, hash_col).withColumn("_b", F.shiftright("_h", HASH_BITS - bits))
-    cut = _broadcast_if_small(_cut_table(d, k, groups, bits))
-    taken = d.join(cut, groups + ["_b"])
-    # buckets taken whole pass through (no shuffle of their rows); only the one
-    # cut bucket per group is numbered, so only ~n / 2**bits rows are shuffled
-    whole = taken.where(F.col("_full")).select(*cols)
-    win = Window.partitionBy(*groups, "_b").orderBy("_h", key)
-    cut_rows = (taken.where(~F.col("_full")).withColumn("_rn", F.row_number().over(win))
-                .where(F.col("_rn") <= F.col("_need")).select(*cols))
-    return whole.unionByName(cut_rows)
+    bounds = k.withColumnRenamed("k", "k1") if isinstance(k, DataFrame) else [k]
+    banded = rank_bands(df, bounds, groups, key, seed, hash_col, out="_band", bits=bits)
+    return banded.where(F.col("_band") == (1 if invert else 0)).drop("_band")
 
 
 def rank_bands(df: DataFrame, bounds: DataFrame | list[int], groups=(), key: str = "row_id",
                seed: int = 0, hash_col: str | None = None, out: str = "band", bits: int = 16) -> DataFrame:
     """Generalised R3: every row gets ``band`` = how many cumulative bounds its
     rank (by (hash, key), 1-based, per group) exceeds. ``bounds`` is a list of
-    ints or a DataFrame with the group columns and ``k1..km`` (ascending).
+    ints or a DataFrame with the group columns and ``k1..km`` (ascending; rows of
+    groups it lacks are dropped).
 
-    One count per (group, hash bucket), one bounded broadcast of the bucket
-    table, and row numbers only for rows in buckets that straddle a bound.
+    The rows are scanned once: each is compared with its group's cutoffs, which
+    come as a broadcast table of checked size or, without groups, as literals.
     Oracle: ``band = sum(rank > k_j)`` with ``rank = row_number() OVER
     (PARTITION BY groups ORDER BY hash, key)``."""
     groups = list(groups)
     cols = df.columns
-    d = _with_hash(df, key, seed, hash_col).withColumn("_b", F.shiftright("_h", HASH_BITS - bits))
-    counts = d.groupBy(*groups, "_b").agg(F.count(F.lit(1)).alias("_c"))
-    if isinstance(bounds, DataFrame):
-        ks = [c for c in bounds.columns if re.fullmatch(r"k\d+", c)]
-        ks.sort(key=lambda c: int(c[1:]))
-        counts = counts.join(bounds.select(*groups, *ks), groups)
+    h = _hash(key, seed, hash_col)
+    cuts, ks = _cutoffs(df, bounds, groups, key, h, bits)
+    if groups:
+        d = df.join(_broadcast_if_small(cuts), groups)
+        at = {k: (F.col(k), F.col(f"cut_{k}"), F.col(f"cut_{k}.h"), F.col(f"cut_{k}.key")) for k in ks}
     else:
-        ks = []
-        for j, v in enumerate(bounds, 1):
-            counts = counts.withColumn(f"k{j}", F.lit(int(v)).cast("bigint"))
-            ks.append(f"k{j}")
-    part = [F.col(g) for g in groups] or [F.lit(0)]
-    w = Window.partitionBy(*part).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    lo, hi = F.col("_lo"), F.col("_lo") + F.col("_c")
-    table = counts.withColumn("_lo", F.coalesce(F.sum("_c").over(w), F.lit(0)))
-    mixed = F.lit(False)
+        row = cuts.first()
+        d, at = df, {}
+        for k in ks:
+            cut = row[f"cut_{k}"] if row else None
+            v = F.lit(int(row[k] if row else 0))
+            at[k] = ((v, F.lit(None).cast("string"), F.lit(0), F.lit(0)) if cut is None
+                     else (v, F.lit("cut"), F.lit(cut["h"]), F.lit(cut["key"])))
+    band = F.lit(0)
     for k in ks:
-        mixed = mixed | ((lo < F.col(k)) & (F.col(k) < hi))
-    pure_band = sum((F.when(F.col(k) <= lo, 1).otherwise(0) for k in ks), F.lit(0))
-    table = table.select(*groups, "_b", "_lo", mixed.alias("_mixed"), pure_band.alias("_pure"),
-                         *[F.col(k).alias(f"_{k}") for k in ks])
-    table = _broadcast_if_small(table)  # at most groups * 2**bits rows, measured
-    joined = d.join(table, groups + ["_b"])
-    pure = joined.where(~F.col("_mixed")).select(*cols, F.col("_pure").alias(out))
-    win = Window.partitionBy(*groups, "_b").orderBy("_h", key)
-    m = joined.where(F.col("_mixed")).withColumn("_r", F.col("_lo") + F.row_number().over(win))
-    band = sum((F.when(F.col("_r") > F.col(f"_{k}"), 1).otherwise(0) for k in ks), F.lit(0))
-    return pure.unionByName(m.select(*cols, band.alias(out)))
+        bound, cut, ch, ck = at[k]
+        past = (h > ch) | ((h == ch) & (F.col(key) > ck))
+        band = band + F.when(bound <= 0, 1).when(cut.isNull(), 0).when(past, 1).otherwise(0)
+    return d.withColumn(out, band).select(*cols, out)
 
 
 def take_first(df: DataFrame, n: int, key: str = "row_id", seed: int = 0, groups=()) -> DataFrame:

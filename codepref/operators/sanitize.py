@@ -35,23 +35,20 @@ def sanitize(df: DataFrame, prediction: str = "completion", prompt: str = "promp
     return out.drop(*drop)
 
 
-# Size bound for the template set (it is configuration: a few prompt files).
-MAX_TEMPLATES = 1000
-MAX_TEMPLATE_CHARS = 1_000_000
-
-
-def assemble_prompts(problems: DataFrame, templates, prompt: str = "prompt") -> DataFrame:
+def assemble_prompts(problems: DataFrame, templates, prompt: str = "prompt", spread: int = 16) -> DataFrame:
     """Every template x every problem, prompt = template + problem.
 
-    The template set is configuration (a few files read by IO4): it is
-    collected behind a size check and exploded per problem as a literal array,
-    so the problems are neither joined nor shuffled. ``templates`` is a list of
-    (name, template) pairs or a (name, template) DataFrame."""
+    ``templates`` is a list of (name, template) pairs, exploded per problem as a
+    literal array, or a (name, template) DataFrame of any size. A table is
+    joined: each problem is dealt to one of ``spread`` parts and each template is
+    in every part, so the optimizer broadcasts a small table and otherwise no
+    part is one task's."""
     if isinstance(templates, DataFrame):
-        rows = templates.select("name", "template").limit(MAX_TEMPLATES + 1).collect()
-        templates = [(r["name"], r["template"]) for r in rows]
-    if len(templates) > MAX_TEMPLATES or sum(len(t or "") for _, t in templates) > MAX_TEMPLATE_CHARS:
-        raise ValueError("template set too large to inline; split the problems per template instead")
+        own = templates.select("name", "template").withColumn(
+            "_part", F.explode(F.sequence(F.lit(0), F.lit(int(spread) - 1))))
+        part = F.pmod(F.xxhash64(F.col(prompt)), F.lit(int(spread))).cast("int")
+        return (problems.withColumn("_part", part).join(own, "_part").drop("_part")
+                .withColumn("full_prompt", F.concat(F.col("template"), F.col(prompt))))
     lit = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(t).alias("template")) for n, t in templates])
     return (problems.withColumn("_t", F.explode(lit))
             .select("*", F.col("_t.name").alias("name"), F.col("_t.template").alias("template"))

@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from codepref.functions.text import extract_completion, remove_markers
 from codepref.operators import evaluate as ev
-from codepref.operators.sampling import rank_bands
-from codepref.operators.validity import valid_code
+from codepref.operators.sampling import materialize, take_first
 from codepref.operators.sanitize import assemble_prompts, predict, replicate, sanitize, stub_predictor
 from codepref.plans.catalog import register
 from codepref.plans.q_preference import LABELLED, _with
 from codepref.plans.sql_parts import q, sql_balanced, sql_extract, sql_hash
 from codepref.sources.fixtures import oracle_ctes, view
-from codepref.sources.tables import read_table
+from codepref.session import checkpoint_dir
+from codepref.sources.tables import read_run_grid, read_table
 
 # The prompt templates of the evaluation runs (a tiny dimension).
 TEMPLATES = (("plain", ""), ("task", "Complete the following function.\n"))
@@ -27,7 +29,10 @@ def _templates(spark):
 
 
 def _runs(spark):
-    return spark.createDataFrame(list(RUNS), "run_id string, model string, prompt_name string")
+    """The run grid as IO9 reads it: one JSON object per run."""
+    path = f"{checkpoint_dir(spark).rstrip('/')}/runs-{uuid.uuid4().hex}"
+    spark.createDataFrame(list(RUNS), "run_id string, model string, prompt string").coalesce(1).write.json(path)
+    return read_run_grid(spark, path).select("run_id", "model", F.col("prompt").alias("prompt_name"))
 
 
 def _problems(spark, sf_dir):
@@ -111,13 +116,13 @@ FROM (SELECT *, row_number() OVER (ORDER BY {sql_hash('row_id', SEED)}, row_id)
 """)
 def a02_sample_rate(spark, sf_dir):
     """A2: A1 on the first 101 rows, beside the full row count."""
-    b = rank_bands(view(spark, sf_dir, "code_base"), [101], key="row_id", seed=SEED, out="_band")
-    s = sanitize(b, prediction="prediction", prompt="prompt")
-    ok = valid_code(F.concat(F.col("prompt"), F.lit("\n"), F.col("completion")), F.col("language")) \
-        & (F.length("completion") > 0)
-    s = s.withColumn("_ok", F.when(F.col("_band") == 0, ok))  # checked for sampled rows only
-    return s.agg(F.count_if(F.col("_ok")).alias("n_valid"), F.count_if(F.col("_band") == 0).alias("n_rows"),
-                 F.count(F.lit(1)).alias("n_total"))
+    base = view(spark, sf_dir, "code_base")
+    sample = materialize(take_first(base, 101, key="row_id", seed=SEED))  # extraction and checks see these only
+    rate = ev.valid_rate(sanitize(sample, prediction="prediction", prompt="prompt"), by=[])
+    none = F.lit(0).cast("bigint")
+    total = base.agg(none.alias("n_valid"), none.alias("n_rows"), F.count(F.lit(1)).alias("n_total"))
+    both = rate.select("n_valid", "n_rows", none.alias("n_total")).unionByName(total)
+    return both.agg(*[F.sum(c).alias(c) for c in ("n_valid", "n_rows", "n_total")])
 
 
 PASS_SQL = """
@@ -127,8 +132,10 @@ pk AS (SELECT task_id, n, c, {cols} FROM per_task)
 
 
 def _pk(k: int) -> str:
-    return (f"CASE WHEN c = 0 THEN 0.0 WHEN n - c < {k} THEN 1.0 ELSE 1 - list_reduce(generate_series(n - c + 1, n), "
-            f"lambda acc, i: acc * (1 - {k} / i), 1.0::DOUBLE) END AS pass_at_{k}")
+    prod = "1.0::DOUBLE"
+    for j in range(k):
+        prod = f"({prod} * ((n - c - {j}) / (n - {j})))"
+    return f"CASE WHEN c = 0 THEN 0.0 WHEN n - c < {k} THEN 1.0 ELSE 1 - {prod} END AS pass_at_{k}"
 
 
 PK_CTE = PASS_SQL.format(cols=", ".join(_pk(k) for k in (1, 5, 10)))

@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from codepref.operators.sampling import assign_split
+from codepref.operators.sanitize import assemble_prompts
 from codepref.plans.catalog import register
 from codepref.plans.sql_parts import sql_hash
 from codepref.session import checkpoint_dir
@@ -52,27 +53,34 @@ def io03_problems(spark, sf_dir):
     return io.read_problems(spark, path, benchmark="bench_a")
 
 
-@register("io04_templates", r"""
-SELECT CAST(item_id AS VARCHAR) AS name, regexp_replace(text, '^\s+|\s+$', '', 'g') AS template FROM benchmark
+@register("io04_templates", """
+SELECT b.item_id, t.name, t.template || b.text AS full_prompt
+FROM benchmark b CROSS JOIN (VALUES ('plain', 'Task:'), ('doc', 'Write the function:' || chr(10) || chr(10) || 'Doc:')) AS t(name, template)
 """)
 def io04_templates(spark, sf_dir):
-    """IO4: whole-text files read as (name, stripped template); one file per item."""
+    """IO4 + N14: whole-text template files (a fixed number of them, written with
+    outer white space) read as (name, stripped template) and joined with every item."""
     path = _scratch(spark, "io04")
-    b = io.read_table(spark, sf_dir, "benchmark")
-    b.select(F.concat(F.lit("  "), F.col("text"), F.lit("\n")).alias("value"), "item_id") \
-     .write.partitionBy("item_id").text(path)
-    t = io.read_templates(spark, path, strip=True)
-    return t.select(F.col("item_id").cast("string").alias("name"), "template")
+    files = spark.createDataFrame([("plain", " \t\nTask:\n\n"), ("doc", "Write the function:\n\nDoc: \n")],
+                                  "template_name string, value string")
+    files.coalesce(1).write.partitionBy("template_name").text(path)
+    t = io.read_templates(spark, path, strip=True).select(F.col("template_name").alias("name"), "template")
+    b = io.read_table(spark, sf_dir, "benchmark").select("item_id", "text")
+    return assemble_prompts(b, t, prompt="text").select("item_id", "name", "full_prompt")
 
 
 @register("io08_names", """
-SELECT doc_id, CASE WHEN doc_id % 3 + 1 > 1 THEN lang || '-' || regexp_replace(source, '\\.[^.]*$', '')
-       || '-' || CAST(doc_id % 3 + 1 AS VARCHAR) ELSE lang || '-' || regexp_replace(source, '\\.[^.]*$', '') END AS out_name
+SELECT doc_id, lang || '-' || source || '-1.' || CAST(doc_id % 10 AS VARCHAR) || 'b-base-'
+       || CASE doc_id % 4 WHEN 0 THEN 'simple' WHEN 1 THEN 'one.shot' WHEN 2 THEN 'v1.2' ELSE '.hidden' END
+       || CASE WHEN doc_id % 3 + 1 > 1 THEN '-' || CAST(doc_id % 3 + 1 AS VARCHAR) ELSE '' END AS out_name
 FROM documents
 """)
 def io08_names(spark, sf_dir):
-    """IO8: output-name rule (parts joined by '-', last path segment without
-    extension, ``-k`` suffix when k > 1)."""
+    """IO8: output-name rule on model names with slashes and dots and prompt paths
+    with and without extensions (only the prompt path loses its extension)."""
     d = io.read_table(spark, sf_dir, "documents")
-    return d.select("doc_id", io.output_name(F.col("lang"), F.col("source"),
+    model = F.concat(F.lit("org/"), F.col("source"), F.lit("-1."), (F.col("doc_id") % 10).cast("string"), F.lit("b-base"))
+    paths = F.array(*[F.lit(p) for p in ("prompts/simple.txt", "prompts/a.b/one.shot.txt", "v1.2.md", "p/.hidden")])
+    prompt = F.element_at(paths, (F.col("doc_id") % 4 + 1).cast("int"))
+    return d.select("doc_id", io.output_name(F.col("lang"), model, prompt_path=prompt,
                                              k=(F.col("doc_id") % 3 + 1)).alias("out_name"))

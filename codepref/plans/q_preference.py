@@ -238,11 +238,28 @@ def c04_corrupt_compat(spark, sf_dir):
     return with_corruption(lab, seed=SEED, compat=True).select("row_id", "language", "corrupted")
 
 
-@register("c06_recheck")
+# All languages by the bracket check; the quota is taken among corruptions that broke.
+C6_SQL = _with(LABELLED.replace("CASE WHEN language = 'python' THEN (row_id % 5 <> 0 AND code <> '')\n               ELSE ", "CASE WHEN true THEN "), f"""
+made AS (SELECT *, {sql_corrupt('code', 'language', 'row_id', SEED)} AS corrupted FROM flag JOIN (SELECT row_id, function_def FROM lab0) USING (row_id) WHERE candidate),
+broken AS (SELECT * FROM (SELECT *, function_def || chr(10) || corrupted AS whole2 FROM made)
+           WHERE corrupted IS NOT NULL AND NOT {sql_balanced('whole2', 'language')}),
+counts AS (SELECT language, count(*) AS n, count(*) FILTER (WHERE NOT valid) AS neg FROM flag GROUP BY language),
+quota AS (SELECT *, {KTO_K} AS k FROM counts),
+chosen AS (SELECT f.* FROM (SELECT *, row_number() OVER (PARTITION BY language ORDER BY {sql_hash('row_id', SEED)}, row_id) AS rn FROM broken) f
+           JOIN quota USING (language) WHERE rn <= k)
+""") + """
+SELECT language, row_id, prompt, code AS completion, false AS label FROM flag WHERE NOT valid
+UNION ALL SELECT language, row_id, prompt, corrupted AS completion, false AS label FROM chosen
+UNION ALL SELECT language, row_id, prompt, reference AS completion, true AS label FROM flag
+"""
+
+
+@register("c06_recheck", C6_SQL)
 def c06_recheck(spark, sf_dir):
-    """KTO rows with the corrupted code re-checked; corruptions that are
-    still valid are dropped (rows-only check: Python validity has no SQL form)."""
-    return build_kto(_base(spark, sf_dir), not_compile=0.5, seed=SEED, recheck=True)
+    """KTO rows whose corrupted code is re-checked before the quota is taken,
+    with native checkers for all languages (the compile check is under pytest)."""
+    return build_kto(_base(spark, sf_dir), not_compile=0.5, seed=SEED, recheck=True,
+                     checkers={"python": lambda c: balanced(c, "python")})
 
 
 @register("p01_dpo_compat", _with(LABELLED.replace(

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 
-from codepref.operators.sampling import assign_split, hash_quota, shuffle_rows, skip_first, take_first
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from codepref.operators.sampling import assign_split, hash_quota, materialize, shuffle_rows, skip_first, take_first
 from codepref.plans.catalog import register
 from codepref.plans.sql_parts import sql_hash
 from codepref.sources.tables import read_table
@@ -44,10 +47,19 @@ def x02_skip(spark, sf_dir):
     return skip_first(_docs(spark, sf_dir), 200, key="doc_id", seed=SEED)
 
 
-@register("x03_shuffle", "SELECT doc_id, lang, source, n_chars FROM documents")
+@register("x03_shuffle", f"""
+SELECT doc_id, lang, source, n_chars, row_number() OVER (ORDER BY {H}, doc_id) AS position FROM documents
+""")
 def x03_shuffle(spark, sf_dir):
-    """Seeded shuffle (range partitions on the hash, sorted inside)."""
-    return shuffle_rows(_docs(spark, sf_dir), key="doc_id", seed=SEED)
+    """Seeded shuffle (range partitions on the hash, sorted inside); position
+    is the place in the shuffled table, from each partition's place and its rows."""
+    rows = shuffle_rows(_docs(spark, sf_dir), key="doc_id", seed=SEED)
+    rows = materialize(rows.withColumns({"part": F.spark_partition_id(), "at": F.monotonically_increasing_id()}))
+    before = Window.partitionBy(F.lit(0)).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = rows.groupBy("part").agg(F.count(F.lit(1)).alias("n"))  # one row per partition
+    starts = starts.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    place = F.col("start") + F.col("at").bitwiseAND(F.lit((1 << 33) - 1)) + 1
+    return rows.join(F.broadcast(starts), "part").select("doc_id", "lang", "source", "n_chars", place.alias("position"))
 
 
 @register("x04_split", f"""

@@ -10,7 +10,7 @@ from codepref.functions.text import extract_completion, remove_markers, tokens
 from codepref.operators import embed as em
 from codepref.plans.catalog import register
 from codepref.plans.q_preference import LABELLED, _with
-from codepref.sources.fixtures import view
+from codepref.sources.fixtures import oracle_ctes, view
 from codepref.sources.tables import read_table
 
 TOK = r"[\p{L}\p{N}_]+|\S"
@@ -69,10 +69,23 @@ def e03_pair_texts(spark, sf_dir):
     code = extract_completion(remove_markers(F.col("prediction")), F.col("prompt"))
     ref = F.concat(F.col("function_def"), F.lit("\n"), F.col("code_completion"))
     pred = F.concat(F.col("function_def"), F.lit("\n"), code)
-    pos, neg = em.pair_texts(F.col("documentation"), ref, pred)
+    pos, neg = em.pair_texts(F.col("documentation"), ref, pred, sep="\n")
     return b.select("row_id", pos.alias("chosen_text"), neg.alias("rejected_text"))
 
 
+@register("e03_pair_raw", oracle_ctes("code_base", "code_raw") + """
+SELECT r.row_id, r.func_documentation_string || r.func_code_string AS chosen_text,
+       r.func_documentation_string || b.prediction AS rejected_text
+FROM code_raw r JOIN code_base b USING (row_id)
+""")
+def e03_pair_raw(spark, sf_dir):
+    """E3 on the raw columns, nothing between documentation and code."""
+    r = view(spark, sf_dir, "code_raw").select("row_id", "func_documentation_string", "func_code_string")
+    both = r.join(view(spark, sf_dir, "code_base").select("row_id", "prediction"), "row_id")
+    pos, neg = em.pair_texts(F.col("func_documentation_string"), F.col("func_code_string"), F.col("prediction"))
+    return both.select("row_id", pos.alias("chosen_text"), neg.alias("rejected_text"))
+
+
 MEAN_SQL = "list_reduce(embedding, lambda acc, x: acc + x::DOUBLE, 0.0::DOUBLE) / len(embedding)"
 
 
@@ -91,29 +104,46 @@ def e04_pair_score(spark, sf_dir):
     return a.join(b, "pair_id").select("pair_id", F.round(em.pair_score(F.col("sa"), F.col("sb")), 9).alias("score"))
 
 
-@register("e05_pair_fit")
+E5_STEPS = 3
+E5_SQL = """
+WITH pairs AS (SELECT a.vec_id // 2 AS p, a.embedding AS a, b.embedding AS b, CASE WHEN a.label > b.label THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS y
+    FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1 AND a.vec_id % 2 = 0 WHERE a.label <> b.label),
+parts AS (SELECT p, y, i - 1 AS idx, a[i]::DOUBLE - b[i]::DOUBLE AS d FROM (SELECT *, unnest(range(1, len(a) + 1)) AS i FROM pairs)),
+w0 AS (SELECT DISTINCT idx, 0.0::DOUBLE AS weight FROM parts)""" + "".join(f""",
+m{s} AS (SELECT p, sum(weight * d) AS m FROM parts JOIN w{s} USING (idx) GROUP BY p),
+w{s + 1} AS (SELECT w.idx, w.weight + g.g / (SELECT count(*) FROM pairs) AS weight FROM w{s} w JOIN (
+    SELECT idx, sum((y - 1.0 / (1.0 + exp(-m))) * d) AS g FROM parts JOIN m{s} USING (p) GROUP BY idx) g USING (idx))"""
+    for s in range(E5_STEPS)) + f"""
+SELECT CAST(idx AS INT) AS idx, round(weight, 9) AS weight FROM w{E5_STEPS}
+"""
+
+
+@register("e05_pair_fit", E5_SQL)
 def e05_pair_fit(spark, sf_dir):
-    """E5: distributed Bradley-Terry fit on embedding pairs with different
-    labels; one row per coefficient (rows-only check)."""
+    """E5: Bradley-Terry pair scorer on embedding pairs with different labels, by
+    three full-batch gradient steps from zero; one row per component."""
     e = read_table(spark, sf_dir, "embeddings")
     a = e.where(F.col("vec_id") % 2 == 0).select((F.col("vec_id") / 2).cast("bigint").alias("p"),
                                                  F.col("embedding").alias("a"), F.col("label").alias("la"))
     b = e.where(F.col("vec_id") % 2 == 1).select(((F.col("vec_id") - 1) / 2).cast("bigint").alias("p"),
                                                  F.col("embedding").alias("b"), F.col("label").alias("lb"))
     pairs = a.join(b, "p").where(F.col("la") != F.col("lb")).withColumn("y", (F.col("la") > F.col("lb")).cast("int"))
-    model = em.fit_pair_scorer(pairs)
-    w = [float(x) for x in model.coefficients.toArray()]
-    return spark.createDataFrame(list(enumerate(w)), "idx int, weight double")
+    fitted = em.descend_pair_scorer(pairs, steps=E5_STEPS)
+    return fitted.select("idx", F.round("weight", 9).alias("weight"))
 
 
-@register("e06_equal", "SELECT vec_id, true AS equal FROM embeddings")
+@register("e06_equal", """
+SELECT a.vec_id, a.embedding = b.embedding AS equal FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id - a.vec_id % 3
+""")
 def e06_equal(spark, sf_dir):
-    """E1 reassembly + E6: cut vectors into 16-wide chunks, reassemble by
-    key and compare with the original."""
+    """E1 reassembly + E6: cut vectors into 16-wide chunks, reassemble by key and
+    compare every vector with one of its neighbourhood (itself for each third)."""
     e = read_table(spark, sf_dir, "embeddings")
     ch = em.chunk_tokens(e, "vec_id", F.col("embedding"), 16).withColumnRenamed("tokens", "vec")
     back = em.reassemble(ch, "vec_id", "chunk", "vec").withColumnRenamed("vec", "back")
-    return e.join(back, "vec_id").select("vec_id", em.vectors_equal(F.col("embedding"), F.col("back")).alias("equal"))
+    back = back.withColumnRenamed("vec_id", "other")
+    return e.join(back, F.col("other") == F.col("vec_id") - F.col("vec_id") % 3).select(
+        "vec_id", em.vectors_equal(F.col("embedding"), F.col("back")).alias("equal"))
 
 
 @register("st1_incremental", _with(LABELLED) + "SELECT row_id, language, code, valid FROM lab")

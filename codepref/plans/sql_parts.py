@@ -8,13 +8,37 @@ each engine because an index is only compared with indexes of the same list.
 
 from __future__ import annotations
 
-from codepref.functions.text import SEQUENCE_MARKERS, sql_hash
-from codepref.operators.corrupt import COMMENT_PREFIX, KEYWORDS, SYMBOLS
-from codepref.operators.validity import BRACKETS, C_LIKE_NOISE, PYTHON_NOISE
+import keyword
+
+from codepref.functions.text import sql_hash
 
 __all__ = ["q", "sql_hash", "sql_extract", "sql_balanced", "sql_eligible", "sql_corrupt",
            "sql_remove_markers"]
 
+# The oracles hold their own constants, so that a wrong list in the Spark code
+# shows. Public language specifications and output formats.
+SEQUENCE_MARKERS = ("<｜begin▁of▁sentence｜>", "<｜end▁of▁sentence｜>")
+COMMENT_PREFIX = {"java": "//", "python": "#", "kotlin": "//"}
+KEYWORDS = {
+    "java": """abstract assert boolean break byte case catch char class const continue default do double else
+        enum extends final finally float for goto if implements import instanceof int interface long native new
+        package private protected public return short static strictfp super switch synchronized this throw throws
+        transient try void volatile while""".split(),
+    "python": [*keyword.kwlist],
+    "kotlin": """as break class continue do else false for fun if in interface is null object package return super
+        this throw true try typealias typeof val var when while catch const constructor finally import
+        abstract annotation companion crossinline data enum external final inline internal lateinit open operator
+        out override private protected public sealed suspend vararg""".split(),
+}
+SYMBOLS = [*"{}()[];,.+-*/&|^%!~?:<>='", '"']
+PYTHON_SYMBOLS = ["#"]
+BRACKETS = "[][(){}]"
+LINE_STRING = r'"[^"\\\n]*(?:\\.[^"\\\n]*)*"' + r"|'[^'\\\n]*(?:\\.[^'\\\n]*)*'"
+C_LIKE_NOISE = r'(?s)""".*?"""|' + LINE_STRING + r"|/\*.*?\*/|//[^\n]*"
+PYTHON_NOISE = r'(?s)""".*?"""|' + r"'''.*?'''|" + LINE_STRING + r"|#[^\n]*"
+# Unicode white space, as str.strip sees it.
+UNICODE_SPACE = "[\\t-\\r\\x1c-\\x20\\x{85}\\p{Z}]"
+
 LINE_BREAKS_RE2 = "\\r\\n|[\\n\\r\\x0b\\x0c\\x1c\\x1d\\x1e\\x{85}\\x{2028}\\x{2029}]"
 WORD = "\\p{L}\\p{N}_"
 
@@ -68,13 +92,14 @@ def _prefix(lang: str) -> str:
 
 def _toks(line: str, lang: str) -> str:
     return (f"list_filter(regexp_extract_all({line}, {q('[' + WORD + ']+|' + chr(92) + 'S')}), "
-            f"lambda t: list_contains({_words(lang)}, t) OR list_contains({sql_list(SYMBOLS)}, t))")
+            f"lambda t: list_contains({_words(lang)}, t) OR list_contains({sql_list(SYMBOLS)}, t) "
+            f"OR ({lang} = 'python' AND list_contains({sql_list(PYTHON_SYMBOLS)}, t)))")
 
 
 def sql_eligible(code: str, lang: str) -> str:
     """C3 precondition in DuckDB."""
     return (f"(len(list_filter(string_split({code}, chr(10)), lambda l: NOT starts_with("
-            f"regexp_replace(l, '^\\s+', ''), {_prefix(lang)}) AND len({_toks('l', lang)}) > 0)) > 0)")
+            f"regexp_replace(l, '^{UNICODE_SPACE}+', ''), {_prefix(lang)}) AND len({_toks('l', lang)}) > 0)) > 0)")
 
 
 def sql_corrupt(code: str, lang: str, key: str, seed: int = 0, compat: bool = False) -> str:
@@ -82,9 +107,9 @@ def sql_corrupt(code: str, lang: str, key: str, seed: int = 0, compat: bool = Fa
     h1, h2, h3, h4 = (sql_hash(key, seed, s) for s in (1, 2, 3, 4))
     items = (f"list_transform(string_split({code}, chr(10)), lambda l, i: {{'i': i, 'l': l, "
              f"'toks': {_toks('l', lang)}}})")
-    elig = (f"list_filter({items}, lambda s: NOT starts_with(regexp_replace(s.l, '^\\s+', ''), "
+    elig = (f"list_filter({items}, lambda s: NOT starts_with(regexp_replace(s.l, '^{UNICODE_SPACE}+', ''), "
             f"{_prefix(lang)}) AND len(s.toks) > 0)")
-    syms = sql_list(SYMBOLS)
+    syms = sql_list(SYMBOLS + PYTHON_SYMBOLS)
     # misspelling of _tok
     n = "length(_tok)"
     p = f"CAST(_h4 % {n} + 1 AS INTEGER)"

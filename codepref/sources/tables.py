@@ -113,13 +113,23 @@ def write_predictions_jsonl(df: DataFrame, path: str) -> str:
     return path
 
 
-def output_name(*parts: Column | str, k: Column | int | None = None) -> Column:
-    """IO8: output-name rule: parts joined by '-', the last dotted/slashed
-    segment of paths only, and a ``-k`` suffix when k > 1."""
-    cols = [F.element_at(F.split(p if isinstance(p, Column) else F.lit(p), "/"), -1)
-            for p in parts]
-    cols = [F.regexp_replace(c, r"\.[^.]*$", "") for c in cols]
-    name = F.concat_ws("-", *cols)
+def last_segment(path: Column | str) -> Column:
+    """The part of a path or model name after its last slash (dots stay)."""
+    return F.element_at(F.split(path if isinstance(path, Column) else F.lit(path), "/"), -1)
+
+
+def path_stem(path: Column | str) -> Column:
+    """A file path's last segment without its extension; a leading dot is no extension."""
+    return F.regexp_replace(last_segment(path), r"(?<=.)\.[^.]+$", "")
+
+
+def output_name(*parts: Column | str, prompt_path: Column | str | None = None,
+                k: Column | int | None = None) -> Column:
+    """IO8: output-name rule: the last segments of language and model, then the
+    stem of the prompt path, joined by '-', and a ``-k`` suffix when k > 1. Only
+    the prompt path loses its extension: model names keep their dots."""
+    cols = [last_segment(p) for p in parts]
+    name = F.concat_ws("-", *cols, *([path_stem(prompt_path)] if prompt_path is not None else []))
     if k is None:
         return name
     kc = k if isinstance(k, Column) else F.lit(k)
