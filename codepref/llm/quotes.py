@@ -98,17 +98,21 @@ def reply_links(parts: DataFrame) -> DataFrame:
 
 def roots(tree: DataFrame) -> DataFrame:
     """(thread, position, parent) -> (thread, position, root, depth) by pointer
-    doubling: as many rounds as the depth has binary digits."""
+    doubling: as many rounds as the depth has binary digits, and in each only the
+    messages that don't yet point at their root."""
+    child = F.col("parent").isNotNull()
     at = materialize(tree.select("thread", "position", F.coalesce("parent", "position").alias("root"),
-                                 F.col("parent").isNotNull().cast("bigint").alias("depth")))
+                                 child.cast("bigint").alias("depth"), (~child).alias("done")))
     while True:
-        up = at.select("thread", F.col("position").alias("root"), F.col("root").alias("above"), F.col("depth").alias("more"))
-        # only what points at a root already has a step of 0 left
-        step = materialize(at.join(up, ["thread", "root"]).select(
-            "thread", "position", F.col("above").alias("root"), (F.col("depth") + F.col("more")).alias("depth"), "more"))
-        at = step.drop("more")
-        if step.where("more > 0").isEmpty():
-            return at
+        active = at.where("not done")
+        if active.isEmpty():
+            return at.drop("done")
+        up = at.select("thread", F.col("position").alias("root"), F.col("root").alias("above"), F.col("depth").alias("more"),
+                       F.col("done").alias("ends"))
+        step = active.join(up, ["thread", "root"]).select(
+            "thread", "position", F.col("above").alias("root"), (F.col("depth") + F.col("more")).alias("depth"),
+            F.col("ends").alias("done"))
+        at = materialize(at.where("done").unionByName(step))
 
 
 def link(messages: DataFrame, thread: str = "conv_id", position: str = "turn", text: str = "text") -> DataFrame:
