@@ -13,7 +13,7 @@ from codepref.operators.sanitize import assemble_prompts, predict, replicate, sa
 from codepref.plans.catalog import register
 from codepref.plans.q_preference import LABELLED, _with
 from codepref.plans.sql_parts import q, sql_balanced, sql_extract, sql_hash
-from codepref.sources.fixtures import oracle_ctes, view
+from codepref.sources.fixtures import BROKEN_SQL, oracle_ctes, view
 from codepref.session import checkpoint_dir
 from codepref.sources.tables import read_run_grid, read_table
 
@@ -94,7 +94,7 @@ A1_SQL = f"""
 a1 AS (SELECT b.row_id, b.language, b.prompt,
          CASE WHEN b.language = 'java' THEN l.code || chr(10) || '}}' ELSE l.code END AS completion
        FROM code_base b JOIN lab0 l USING (row_id)),
-a1v AS (SELECT *, CASE WHEN language = 'python' THEN row_id % 5 <> 0 AND completion <> ''
+a1v AS (SELECT *, CASE WHEN language = 'python' THEN NOT {BROKEN_SQL.format('completion')} AND completion <> ''
                       ELSE {sql_balanced("prompt || chr(10) || completion", 'language')} END
                  AND length(completion) > 0 AS ok FROM a1)
 """

@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 from codepref.operators import filters as flt
 from codepref.plans.catalog import register
 from codepref.plans.sql_parts import sql_balanced
-from codepref.sources.fixtures import oracle_ctes, view
+from codepref.sources.fixtures import BROKEN_SQL, oracle_ctes, view
 from codepref.sources.tables import read_table
 
 WHOLE = "(function_def || chr(10) || code_completion)"
 LINES = f"string_split({WHOLE}, chr(10))"
+# The patterns of F4 and N6, in RE2 form.
 METHOD_RE2 = r"([\p{L}\p{N}_]+\s+[\p{L}\p{N}_]+\s*)\((.*?)\)"
 BRANCH_RE2 = r"(if|else|for|while|case|catch)(\s*\(|\{)"
 COMMENT_RE2 = r"//.*|/\*[\s\S]*?\*/"
@@ -42,9 +43,10 @@ S_F10 = "(contains(lower(documentation), '@param') OR contains(lower(documentati
 S_LANG = (f"(CASE WHEN language = 'java' THEN {S_F10} AND {S_F6} WHEN language = 'python' "
           f"THEN {S_F9} AND {S_F8} AND {S_F6} ELSE true END)")
 S_NATIVE = f"({S_LANG} AND {S_F7} AND {S_F1} AND {S_F2} AND {S_F3} AND {S_F4})"
-# F5 on the seed: Python references compile by construction of the view, the
-# others are checked by the bracket balance.
-S_VALID = f"(CASE WHEN language = 'python' THEN true ELSE {sql_balanced(WHOLE, 'language')} END)"
+# F5 on the seed: Python references compile unless they show the planted defect
+# (held against the real compile check by the tests), the others are checked by
+# the bracket balance.
+S_VALID = f"(CASE WHEN language = 'python' THEN NOT {BROKEN_SQL.format('code_completion')} ELSE {sql_balanced(WHOLE, 'language')} END)"
 
 SEED = oracle_ctes("code_seed")
 

@@ -6,10 +6,11 @@ from pyspark.sql import functions as F
 
 from codepref.operators import normalize as nz
 from codepref.plans.catalog import register
-from codepref.sources.fixtures import oracle_ctes, view
+from codepref.sources.fixtures import BROKEN_SQL, oracle_ctes, view
 
 RAW = oracle_ctes("code_raw", "code_base")
 STRIP = r"regexp_replace({x}, '^\s+|\s+$', '', 'g')"
+# The patterns of N5 and N6, in RE2 form.
 DOC_RE = r"(?s)/\*\*.*?\*/"
 METHOD_RE2 = r"([\p{L}\p{N}_]+\s+[\p{L}\p{N}_]+\s*)\((.*?)\)"
 
@@ -33,22 +34,38 @@ SELECT row_id,
 FROM code_raw WHERE language = 'kotlin'
 """
 
-# Python parts follow from the construction of ``code_raw``: one documented
-# function, a one-line docstring, statements that unparse to themselves
-# except ``if(a): pass`` (-> ``if a:`` + an indented ``pass``).
-PY_BODY = ("substr(replace(replace(chr(10) || b.code_completion, chr(10) || '    if(a): pass', "
-           "chr(10) || chr(9) || 'if a:' || chr(10) || chr(9) || '    pass'), chr(10) || '    ', "
-           "chr(10) || chr(9)), 2)")
-PY_SQL = f"""
-SELECT r.row_id, b.function_def || chr(10) AS function_def,
-  chr(9) || ltrim(b.documentation, ' ') AS documentation,
-  b.function_def || chr(10) || '    \"\"\"' || chr(10) || chr(9) || ltrim(b.documentation, ' ') || chr(10)
-    || '    \"\"\"' AS prompt,
-  {PY_BODY} AS code_completion
-FROM code_raw r JOIN code_base b USING (row_id) WHERE r.language = 'python' AND r.row_id % 23 <> 0
+# Python parts as the AST round trip writes them: comments are gone, literals are
+# single-quoted, a one-line if is two lines, and inner docstrings are dropped
+# (N4) or kept (N4b). Each 23rd function lacks its docstring: then an inner one is
+# the first documented, and without that, or if the row doesn't parse, there are no parts.
+def _py_sql(inner_doc: bool) -> str:
+    q1 = "chr(39)"
+    nl, nt = "chr(10)", "chr(10) || chr(9)"
+    often = "repeat({nt} || 'if a:' || {nt} || '    pass', CASE WHEN row_id % 31 = 0 THEN 80 WHEN row_id % 25 = 0 THEN 7 ELSE 0 END)".format(nt=nt)
+    text = f" || {nt} || '    ' || repeat(chr(34), 3) || 'Inner doc.' || repeat(chr(34), 3)" if inner_doc else ""
+    bare, inner = (f"{nt} || 'def inner(x):'{t} || {nt} || '    return x'" for t in ("", text))
+    each = lambda before, after: f"{nt} || {before} || replace(payload, {nl}, {after} || {nt} || {before}) || {after}"
+    quoted = f"'use(' || {q1} || chr(34) || 'q' || chr(34) || ' '"
+    forms = f"""CASE row_id % 4 WHEN 0 THEN ''
+      WHEN 1 THEN {nt} || 't = [' || {q1} || replace(payload, {nl}, {q1} || ', ' || {q1}) || {q1} || ']'
+      WHEN 2 THEN {each(quoted, f"{q1} || ')'")}
+      ELSE {each(f"'if len(' || {q1}", f"{q1} || ') > a:' || {nt} || '    c = b'")} END"""
+    body = f"""chr(9) || 'c = a + b' || CASE WHEN row_id % 7 = 0 THEN {nt} || 'c = a + b' ELSE '' END || {often}
+      || CASE WHEN row_id % 6 <> 0 THEN '' WHEN row_id % 23 = 0 THEN {bare} ELSE {inner} END || {forms} || {nt} || 'return c'"""
+    return f"""
+SELECT row_id, function_def, documentation,
+  function_def || '    \"\"\"' || chr(10) || documentation || chr(10) || '    \"\"\"' AS prompt, {body} AS code_completion
+FROM (SELECT r.row_id, b.payload,
+    CASE WHEN r.row_id % 23 = 0 THEN 'def inner(x):' ELSE b.function_def END || {nl} AS function_def,
+    CASE WHEN r.row_id % 23 = 0 THEN chr(9) || 'Inner doc.' ELSE chr(9) || replace(b.documentation, {nl}, {nt}) END AS documentation
+  FROM code_raw r JOIN code_base b USING (row_id)
+  WHERE r.language = 'python' AND (r.row_id % 23 <> 0 OR r.row_id % 6 = 0) AND NOT {BROKEN_SQL.format('r.func_code_string')})
 """
 
 
+PY_SQL, PY_OUTERMOST_SQL = _py_sql(False), _py_sql(True)
+
+
 def _raw(spark, sf_dir):
     return view(spark, sf_dir, "code_raw")
 
@@ -111,10 +128,9 @@ def n10_normalize(spark, sf_dir):
     return nz.normalize_seed(_raw(spark, sf_dir)).select(*nz.UNIFIED_COLUMNS)
 
 
-@register("n04b_outermost", RAW + PY_SQL)
+@register("n04b_outermost", RAW + PY_OUTERMOST_SQL)
 def n04b_outermost(spark, sf_dir):
-    """Drop only the outermost docstring on each branch (same result on
-    these single-function rows as N4)."""
+    """Drop only the outermost docstring on each branch (inner functions keep theirs)."""
     r = _raw(spark, sf_dir).where("language = 'python'")
     p = nz.python_parts(F.col("func_code_string"), docstrings="outermost")
     return (r.select("row_id", p.alias("p")).select("row_id", "p.*")

@@ -15,22 +15,23 @@ from codepref.operators.sanitize import sanitize
 from codepref.operators.validity import balanced, failure_counts, lenient_verdict, python_compiles, wrap_in_class
 from codepref.plans.catalog import register
 from codepref.plans.sql_parts import sql_balanced, sql_corrupt, sql_eligible, sql_extract, sql_hash, sql_remove_markers
-from codepref.sources.fixtures import oracle_ctes, view
+from codepref.sources.fixtures import BROKEN_SQL, oracle_ctes, view
 from codepref.sources.tables import read_table
 
 SEED = 7
 
 # ---------------------------------------------------------------- shared SQL
 # Labelled base rows: extracted code, whole function, validity, candidate.
-# Python validity follows from the view's construction: the whole function
-# compiles exactly when the body was not broken (row_id % 5 <> 0) and the
-# extracted body is not empty (tests pin this to the real compile check).
+# SQL cannot parse Python; a Python body compiles exactly when it is not empty and
+# shows none of the defects that the view plants (tests hold this against the real
+# compile check, row by row, at two scale factors).
+PY_VALID = f"(code <> '' AND NOT {BROKEN_SQL.format('code')})"
 LABELLED = f"""
 lab0 AS (SELECT row_id, language, prompt, function_def, code_completion AS reference,
                 {sql_extract(sql_remove_markers('prediction'), 'prompt')} AS code FROM code_base),
 lab1 AS (SELECT *, function_def || chr(10) || code AS whole FROM lab0),
 lab AS (SELECT row_id, language, prompt, reference, code,
-          CASE WHEN language = 'python' THEN (row_id % 5 <> 0 AND code <> '')
+          CASE WHEN language = 'python' THEN {PY_VALID}
                ELSE {sql_balanced('whole', 'language')} END AS valid,
           {sql_eligible('code', 'language')} AS eligible FROM lab1),
 flag AS (SELECT *, valid AND code <> '' AND eligible AS candidate FROM lab)
@@ -192,19 +193,17 @@ def v03_wrap(spark, sf_dir):
 
 
 @register("v04_lenient", oracle_ctes("code_base") + """
-SELECT row_id, (CASE WHEN row_id % 4 = 0 THEN 0 ELSE 1 END) = 0
-       OR coalesce(contains(CASE WHEN row_id % 3 = 0 THEN 'Main.java:3: error: cannot find symbol'
-                                 ELSE 'Main.java:2: error: '';'' expected' END,
-                            'error: cannot find symbol'), false) AS valid
-FROM code_base
+SELECT row_id, NOT (broken OR calls) OR (calls AND NOT broken) AS valid
+FROM (SELECT row_id, """ + BROKEN_SQL.format("prediction") + """ AS broken, contains(prediction, 'use(') AS calls FROM code_base)
 """)
 def v04_lenient(spark, sf_dir):
     """V4: lenient verdict over a compiler result table (exit code, output)
     derived per row from the view."""
     b = _base(spark, sf_dir)
-    code = F.when(F.col("row_id") % 4 == 0, 0).otherwise(1)
-    out = F.when(F.col("row_id") % 3 == 0, F.lit("Main.java:3: error: cannot find symbol")) \
-           .otherwise(F.lit("Main.java:2: error: ';' expected"))
+    # what a compiler would say: a syntax error first, else an unknown function
+    broken, calls = F.expr(BROKEN_SQL.format("prediction")), F.contains(F.col("prediction"), F.lit("use("))
+    code = F.when(broken | calls, 1).otherwise(0)
+    out = F.when(broken, F.lit("Main.java:2: error: ';' expected")).when(calls, F.lit("Main.java:3: error: cannot find symbol"))
     return b.select("row_id", lenient_verdict(code, out).alias("valid"))
 
 
@@ -239,7 +238,7 @@ def c04_corrupt_compat(spark, sf_dir):
 
 
 # All languages by the bracket check; the quota is taken among corruptions that broke.
-C6_SQL = _with(LABELLED.replace("CASE WHEN language = 'python' THEN (row_id % 5 <> 0 AND code <> '')\n               ELSE ", "CASE WHEN true THEN "), f"""
+C6_SQL = _with(LABELLED.replace(f"CASE WHEN language = 'python' THEN {PY_VALID}\n               ELSE ", "CASE WHEN true THEN "), f"""
 made AS (SELECT *, {sql_corrupt('code', 'language', 'row_id', SEED)} AS corrupted FROM flag JOIN (SELECT row_id, function_def FROM lab0) USING (row_id) WHERE candidate),
 broken AS (SELECT * FROM (SELECT *, function_def || chr(10) || corrupted AS whole2 FROM made)
            WHERE corrupted IS NOT NULL AND NOT {sql_balanced('whole2', 'language')}),

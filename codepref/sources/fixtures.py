@@ -18,36 +18,73 @@ from pyspark.sql import DataFrame, SparkSession
 
 from codepref.sources.tables import read_table
 
-# The derived views (edge cases keyed by residues of row_id).
-CODE_BASE_SQL = """
-SELECT row_id, language, func_name, documentation, function_def, prompt, code_completion,
+# The derived views. Every row holds the whole text of its
+# document: the first line (for each tenth row all lines) is the documentation,
+# the other lines are code, as comments, list items, calls or conditions. Residues
+# of row_id choose names, parameters, tags, defects and markers.
+NL, QUOTE, SLASH = "chr(10)", "chr(34)", "chr(92)"
+
+
+def _each_line(before: str, after: str, text: str = "esc") -> str:
+    """SQL: every line of ``text`` between two literals."""
+    return f"concat('{before}', replace({text}, {NL}, concat('{after}', {NL}, '{before}')), '{after}')"
+
+
+_QUOTED = f"{SLASH}, {QUOTE}, 'q', {SLASH}, {QUOTE}, ' '"  # an escaped "q" at the start of a literal
+_PY_FORMS = f"""CASE row_id % 4 WHEN 0 THEN {_each_line('    # ', '', 'payload')}
+    WHEN 1 THEN concat('    t = [', {NL}, {_each_line('        "', '",')}, {NL}, '    ]')
+    WHEN 2 THEN concat('    use("', {_QUOTED}, replace(esc, {NL}, concat('")', {NL}, '    use("', {_QUOTED})), '")')
+    ELSE {_each_line('    if(len("', '") > a): c = b')} END"""
+_C_FORMS = f"""CASE row_id % 4 WHEN 0 THEN {_each_line('    // ', '', 'payload')}
+    WHEN 1 THEN concat('    String[] t = {{{{', {NL}, {_each_line('        "', '",')}, {NL}, '    }}}};')
+    WHEN 2 THEN concat('    use("', {_QUOTED}, replace(esc, {NL}, concat('");', {NL}, '    use("', {_QUOTED})), '");')
+    ELSE {_each_line('    if (len("', '") > a) {{{{ c = b; }}}}')} END"""
+_PY_FORMS, _C_FORMS = (x.replace("{{{{", "{{").replace("}}}}", "}}") for x in (_PY_FORMS, _C_FORMS))
+_TWICE = "CASE WHEN row_id % 7 = 0 THEN concat('{line}', chr(10)) ELSE '' END"
+_OFTEN = "repeat(concat('{line}', chr(10)), CASE WHEN row_id % 31 = 0 THEN 80 WHEN row_id % 25 = 0 THEN 7 ELSE 0 END)"
+
+CODE_BASE_SQL = f"""
+SELECT row_id, language, func_name, documentation, function_def, prompt, code_completion, payload,
   CASE WHEN row_id % 19 = 0 THEN ''
-       WHEN row_id % 17 = 0 THEN concat(chr(10), body)
-       ELSE concat(prompt, chr(10), body, chr(10), 'print(', row_id, ')') END AS prediction
+       WHEN row_id % 17 = 0 THEN concat(chr(10), '    pass')
+       ELSE concat(CASE WHEN row_id % 6 = 1 THEN '<｜begin▁of▁sentence｜>' ELSE '' END, prompt, chr(10), body, chr(10), 'print(', row_id, ')',
+         CASE WHEN row_id % 6 = 4 THEN '<｜end▁of▁sentence｜>' ELSE '' END) END AS prediction
 FROM (
-  SELECT *, CASE WHEN row_id % 5 = 0 THEN replace(code_completion, 'a + b', 'a + (b') ELSE code_completion END AS body,
-    CASE WHEN language = 'python' THEN concat(function_def, chr(10), '    # ', substr(documentation, 1, 20))
+  SELECT *, CASE row_id % 20 WHEN 0 THEN replace(code_completion, 'a + b', 'a + (b') WHEN 15 THEN replace(code_completion, 'a + b', 'a + (b')
+      WHEN 5 THEN replace(code_completion, 'return c', 'return c)') WHEN 10 THEN replace(code_completion, 'c = a', 'c = = a')
+      ELSE code_completion END AS body,
+    CASE WHEN language = 'python' THEN concat(function_def, chr(10), '    # ', replace(documentation, chr(10), concat(chr(10), '    # ')))
          ELSE concat('/** ', documentation, ' */', chr(10), function_def) END AS prompt
   FROM (
-    SELECT doc_id AS row_id,
-      CASE doc_id % 3 WHEN 0 THEN 'python' WHEN 1 THEN 'java' ELSE 'kotlin' END AS language,
-      concat('fn_', doc_id) AS func_name,
-      concat(substr(replace(text, chr(10), ' '), 1, 20 + (doc_id % 9) * 60),
-        CASE doc_id % 3 WHEN 0 THEN ' :param a: x' WHEN 1 THEN ' @param a x @return y' ELSE '' END,
-        CASE WHEN doc_id % 11 = 0 THEN ' TODO later' ELSE '' END,
-        CASE WHEN doc_id % 13 = 0 THEN concat(' see fn_', doc_id) ELSE '' END) AS documentation,
-      CASE doc_id % 3 WHEN 0 THEN concat('def fn_', doc_id, '(a, b):')
-        WHEN 1 THEN concat('public int fn_', doc_id, '(int a, int b) {{')
-        ELSE concat('fun fn_', doc_id, '(a: Int, b: Int): Int {{') END AS function_def,
-      CASE doc_id % 3
-        WHEN 0 THEN concat('    c = a + b', chr(10), CASE WHEN doc_id % 7 = 0 THEN concat('    c = a + b', chr(10)) ELSE '' END,
-          repeat(concat('    if(a): pass', chr(10)), CASE WHEN doc_id % 31 = 0 THEN 80 WHEN doc_id % 25 = 0 THEN 7 ELSE 0 END), '    return c')
-        WHEN 1 THEN concat('    int c = a + b;', chr(10), CASE WHEN doc_id % 7 = 0 THEN concat('    int c = a + b;', chr(10)) ELSE '' END,
-          repeat(concat('    if(a > 0) {{ c++; }}', chr(10)), CASE WHEN doc_id % 31 = 0 THEN 80 WHEN doc_id % 25 = 0 THEN 7 ELSE 0 END), '    return c;', chr(10), '}}')
-        ELSE concat('    val c = a + b', chr(10), CASE WHEN doc_id % 7 = 0 THEN concat('    val c = a + b', chr(10)) ELSE '' END,
-          repeat(concat('    if(a > 0) {{ println(c) }}', chr(10)), CASE WHEN doc_id % 31 = 0 THEN 80 WHEN doc_id % 25 = 0 THEN 7 ELSE 0 END), '    return c', chr(10), '}}') END AS code_completion
-    FROM {documents}) a) b
-"""
+    SELECT row_id, language, payload, concat(CASE row_id % 4 WHEN 2 THEN 'Mod.Cls.' WHEN 3 THEN 'pkg.' ELSE '' END, name) AS func_name,
+      concat('Doc: ', CASE WHEN row_id % 10 = 0 THEN all_lines ELSE first_line END,
+        CASE WHEN language = 'python' THEN CASE row_id % 4 WHEN 0 THEN ' :param a: x' WHEN 1 THEN ' Returns nothing.' WHEN 2 THEN ' Returns a sum. Args: a' ELSE '' END
+             WHEN language = 'java' AND row_id % 4 > 0 THEN ' @param a x @return y' ELSE '' END,
+        CASE WHEN row_id % 5 = 2 THEN ' // see also' ELSE '' END,
+        CASE row_id % 11 WHEN 0 THEN ' TODO later' WHEN 3 THEN ' FixMe soon' WHEN 5 THEN ' tbd' ELSE '' END,
+        CASE WHEN row_id % 13 = 0 THEN concat(' see ', lower(name)) ELSE '' END, ' End.') AS documentation,
+      CASE language WHEN 'python' THEN concat('def ', name, '(', CASE WHEN row_id % 8 = 5 THEN 'a, b, p1, p2, p3, p4, p5, p6, p7, p8' WHEN row_id % 16 = 7 THEN 'a' ELSE 'a, b' END, '):')
+        WHEN 'java' THEN concat('public int ', name, '(', CASE WHEN row_id % 8 = 5 THEN 'int a, int b, int p1, int p2, int p3, int p4, int p5, int p6, int p7, int p8' WHEN row_id % 16 = 7 THEN 'int a' ELSE 'int a, int b' END, ') {{{{')
+        ELSE concat('fun ', name, '(', CASE WHEN row_id % 8 = 5 THEN 'a: Int, b: Int, p1: Int, p2: Int, p3: Int, p4: Int, p5: Int, p6: Int, p7: Int, p8: Int' WHEN row_id % 16 = 7 THEN 'a: Int' ELSE 'a: Int, b: Int' END, '): Int {{{{') END AS function_def,
+      CASE language
+        WHEN 'python' THEN concat('    c = a + ', CASE WHEN row_id % 33 = 0 THEN '(b' ELSE 'b' END, chr(10), {_TWICE.format(line='    c = a + b')}, {_OFTEN.format(line='    if(a): pass')},
+          CASE WHEN row_id % 6 = 0 THEN concat('    def inner(x):', chr(10), '        \"\"\"Inner doc.\"\"\"', chr(10), '        return x', chr(10)) ELSE '' END,
+          CASE WHEN row_id % 9 = 3 THEN concat('    # \"\"\"\" x', chr(10)) ELSE '' END, {_PY_FORMS}, chr(10), '    return c')
+        WHEN 'java' THEN concat('    int c = a + b;', chr(10), {_TWICE.format(line='    int c = a + b;')}, {_OFTEN.format(line='    if(a > 0) {{{{ c++; }}}}')},
+          {_C_FORMS}, chr(10), '    return c;', CASE WHEN row_id % 28 = 1 THEN '' ELSE concat(chr(10), '}}}}') END)
+        ELSE concat('    val c = a + b', chr(10), {_TWICE.format(line='    val c = a + b')}, {_OFTEN.format(line='    if(a > 0) {{{{ println(c) }}}}')},
+          {_C_FORMS}, chr(10), '    return c', CASE WHEN row_id % 28 = 2 THEN '' ELSE concat(chr(10), '}}}}') END) END AS code_completion
+    FROM (
+      SELECT *, replace(payload, chr(34), concat(chr(92), chr(34))) AS esc,
+        CASE row_id % 3 WHEN 0 THEN 'python' WHEN 1 THEN 'java' ELSE 'kotlin' END AS language,
+        concat(CASE WHEN row_id % 2 = 0 THEN 'fn_' ELSE 'doIt_' END, row_id) AS name
+      FROM (
+        SELECT row_id, translate(split_part(plain, chr(10), 1), chr(34), chr(96)) AS first_line, translate(plain, chr(34), chr(96)) AS all_lines,
+          substr(plain, length(split_part(plain, chr(10), 1)) + 2) AS payload
+        FROM (
+          SELECT doc_id AS row_id, translate(coalesce(text, ''), concat(chr(39), chr(92), chr(9), chr(11), chr(12), chr(13), chr(28), chr(29), chr(30), chr(133)), '`/        ') AS plain
+          FROM {{documents}}) a) b) c) d) e
+""".replace("{{{{", "{{").replace("}}}}", "}}")
 
 CODE_SEED_SQL = """
 SELECT row_id, language, func_name, documentation, function_def, prompt, code_completion
@@ -73,10 +110,16 @@ FROM (SELECT *, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS nxt,
 WHERE role = 'user' AND nrole = 'assistant'
 """
 
-RESULTS_SQL = """
+# Traces of the defects that CODE_BASE_SQL plants, in any code column.
+BROKEN_SQL = "(contains({0}, 'a + (b') OR contains({0}, 'return c)') OR contains({0}, 'c = = a'))"
+
+# A test run's outcome per prediction: broken code and empty output fail, and
+# so does code with calls whose text is long (its tests time out, say).
+RESULTS_SQL = f"""
 SELECT row_id % 49 AS task_id, row_id AS sample_id,
-  (row_id % 5 <> 0 AND row_id % 49 <> 0) OR row_id % 49 = 1 AS passed
-FROM {code_base}
+  prediction <> '' AND NOT {BROKEN_SQL.format('prediction')} AND NOT (contains(prediction, 'use(') AND length(payload) > 1500)
+    AND row_id % 49 <> 0 AS passed
+FROM {{code_base}}
 """
 
 # view name -> (template, inputs it reads)

@@ -10,9 +10,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from codepref.functions.text import extract_completion, remove_markers, whole_function
-from codepref.operators.validity import python_compiles
+from codepref.operators import filters as flt
+from codepref.operators.validity import balanced, python_compiles
 from codepref.plans.catalog import ORACLES, QUERIES, load_all
-from codepref.sources.fixtures import view
+from codepref.sources.fixtures import BROKEN_SQL, view
 from codepref.sources.tables import DRIVER_TABLES
 from tests.conftest import SF_MID, SF_SMALL
 from tools.check_oracle import rows_of
@@ -44,24 +45,44 @@ def test_rows_only_queries_run(spark, name):
 
 
 @pytest.mark.parametrize("sf", [SF_SMALL, SF_MID])
-def test_python_validity_construction(spark, sf):
-    """The oracles state Python validity on code_base by construction; check it
-    against the real compile check."""
+def test_python_validity_of_the_views(spark, sf):
+    """The oracles tell Python validity by the planted defects; the real compile
+    check agrees on every row, with both outcomes present."""
     b = view(spark, sf, "code_base").where("language = 'python'")
     code = extract_completion(remove_markers(F.col("prediction")), F.col("prompt"))
-    d = b.select("row_id", code.alias("code"), "function_def", "prompt")
-    d = d.select("row_id", "code",
+    d = b.select("row_id", code.alias("code"), "function_def", "prompt", "code_completion")
+    d = d.select("row_id", F.expr(f"code <> '' AND NOT {BROKEN_SQL.format('code')}").alias("want"),
+                 F.expr(f"NOT {BROKEN_SQL.format('code_completion')}").alias("want_ref"),
                  python_compiles(whole_function(F.col("function_def"), F.col("code"))).alias("v"),
-                 python_compiles(F.concat(F.col("prompt"), F.lit("\n"), F.col("code"))).alias("v2"))
-    bad = d.where((F.col("v") != ((F.col("row_id") % 5 != 0) & (F.col("code") != "")))
-                  | (F.col("v2") != ((F.col("row_id") % 5 != 0) & (F.col("code") != ""))))
-    assert bad.count() == 0
-
-
-def test_reference_python_functions_compile(spark):
-    s = view(spark, SF_MID, "code_seed").where("language = 'python'")
-    v = s.select(python_compiles(whole_function(F.col("function_def"), F.col("code_completion"))).alias("v"))
-    assert v.where("NOT v").count() == 0
+                 python_compiles(F.concat(F.col("prompt"), F.lit("\n"), F.col("code"))).alias("v2"),
+                 python_compiles(whole_function(F.col("function_def"), F.col("code_completion"))).alias("ref"))
+    rows = d.collect()
+    assert all(r["v"] == r["want"] == r["v2"] and r["ref"] == r["want_ref"] for r in rows)
+    assert {r["want"] for r in rows} == {r["want_ref"] for r in rows} == {True, False}
+
+
+def test_views_hold_whole_texts(spark):
+    """Every line of every document is in its row of code_base, and each predicate
+    and checker has rows on both sides at sf0.01."""
+    docs = spark.read.parquet(f"{SF_MID}/documents.parquet")
+    b = view(spark, SF_MID, "code_base").withColumnRenamed("row_id", "doc_id")
+    kept = b.join(docs, "doc_id").where("length(payload) + length(split_part(text, chr(10), 1)) + 1 >= length(text)")
+    assert b.count() == docs.count() == kept.count()
+    s = view(spark, SF_MID, "code_seed")
+    code, lang = flt.whole_reference(), F.col("language")
+    checks = {"f01": flt.doc_size(), "f02": flt.doc_spaces(), "f03": flt.no_todo(), "f04a": flt.few_lines(code),
+              "f04b": flt.few_branches(code), "f04c": flt.few_params(code), "f04d": flt.comment_ratio_ok(F.col("documentation"), code),
+              "f04e": flt.no_duplicate_lines(code), "f04": flt.code_shape(), "f04_compat": flt.code_shape(compat=True),
+              "f06": flt.no_name_mention(), "f06_compat": flt.no_name_mention(compat=True), "f07": flt.code_size(),
+              "f08": F.when(lang == "python", flt.python_quotes_ok()), "f09": F.when(lang == "python", flt.python_doc_ok()),
+              "f10": F.when(lang == "java", flt.java_doc_ok()), "v02": balanced(code, lang), "f11": flt.native_filters(),
+              "f06_differs": flt.no_name_mention() != flt.no_name_mention(compat=True),
+              "f04_differs": flt.code_shape() != flt.code_shape(compat=True)}
+    got = s.agg(*[F.collect_set(c).alias(k) for k, c in checks.items()]).first().asDict()
+    few = {k: v for k, v in got.items() if set(v) != {True, False}}
+    assert set(few) <= {"f06_compat"}, few
+    markers = b.where("prediction like '%▁of▁sentence%'").count()
+    assert 0 < markers < b.count()
 
 
 def test_entry_smoke(spark):
