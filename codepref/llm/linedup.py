@@ -7,12 +7,11 @@ by length, by the places of the shared word (positional filter) and by a bound
 on their symmetric difference from 64-bit parities, and what is left is verified
 on the whole sets (PPJoin, Xiao et al., 2008).
 
-Two things keep groups of copies from making all their pairs. Equal sets are one
-class, which stands at its first line in (doc_id, line) order. And of the sets
-that meet in a crowded bucket, those verified to be within half the distance of
-its first set form a ball: Jaccard distance is a metric, so any two of a ball are
-similar enough, and their links are counted from the ball's size. The join makes
-only the pairs that no ball implies.
+Equal sets are one class, so copies make no pairs; a class stands at its first
+line in (doc_id, line) order. Whole sets are only fetched where needed: a set's
+distance to its first candidate is measured, and as Jaccard distance is a metric,
+two sets whose distances to a common first candidate add up to little enough are
+linked without being compared. The other pairs are compared word by word.
 
 A line is removed if its set, or a similar one, stands at an earlier line.
 
@@ -37,10 +36,8 @@ from codepref.llm.common import materialize, one_of
 
 #: The least similarity, as a fraction.
 SIMILARITY = (4, 5)
-#: Sets that meet in one of their two rarest words before balls are formed there.
-CROWD = 16
 RANK_BITS = 16
-MEMBER_BITS = 20
+MEMBER_BITS = 22
 #: Tables of at most so many (short) rows are broadcast; larger ones are joined.
 BROADCAST_ROWS = 500_000
 GAPS = r"[\x20\x09-\x0D]+"
@@ -78,7 +75,8 @@ def word_sets(docs: DataFrame) -> DataFrame:
 
 def rarity_key(docs: DataFrame):
     """A one-to-one map of word hashes to integers whose order is by rarity."""
-    words = docs.select(F.explode(F.split(F.col("text").cast("string"), GAPS)).alias("w")).where("w <> ''")
+    flat = docs.select(F.replace(F.col("text").cast("string"), F.lit("\n"), F.lit(" ")).alias("text"))
+    words = flat.select(F.explode(_words(F.col("text"))).alias("w"))
     bucket = F.shiftrightunsigned(F.xxhash64("w"), 64 - RANK_BITS)
     counted = words.groupBy(bucket.alias("b")).agg(F.count(F.lit(1)).alias("n"))
     counts = {r["b"]: r["n"] for r in counted.collect()}  # at most 2 ** RANK_BITS rows
@@ -118,7 +116,7 @@ def keyed_lines(docs: DataFrame, key, similarity: tuple[int, int]) -> DataFrame:
     prefix = F.slice("k", F.lit(1), (n - _ceil(n, *similarity) + 1).cast("int"))
     return materialize(keyed.select(
         F.monotonically_increasing_id().alias("lid"), *PLACE, *_digest(), n.cast("bigint").alias("n"),
-        _parity("k", 0).alias("p0"), _parity("k", 6).alias("p1"), _parity("k", 12).alias("p2"), prefix.alias("prefix")))
+        _parity("k", 0).alias("p0"), _parity("k", 6).alias("p1"), prefix.alias("prefix")))
 
 
 def copies(lines: DataFrame) -> DataFrame:
@@ -134,19 +132,25 @@ def _classed(lines: DataFrame, several: DataFrame) -> DataFrame:
     return out.withColumn("cid", F.coalesce("cid", "lid"))
 
 
-def words_at(docs: DataFrame, key, wanted: DataFrame) -> DataFrame:
-    """(lid, k) of the wanted (lid, doc_id, line_no, sa, sb): their texts are read
-    again, and only lines whose bit is set in a table of fixed size go further."""
+def _member(wanted: DataFrame, *cols: str) -> Column:
+    """Whether a row's columns may be among the wanted ones': a bit for their hash
+    in a table of fixed size."""
     size = 1 << MEMBER_BITS
-    at = F.xxhash64(*PLACE).bitwiseAND(F.lit(size - 1))
+    at = F.xxhash64(*cols).bitwiseAND(F.lit(size - 1))
     held = wanted.select(at.alias("bit")).distinct().groupBy(F.shiftright("bit", 5).alias("w")).agg(
         F.sum(F.expr("shiftleft(1L, cast(bit & 31 as int))")).alias("v"))
-    member = [0] * (size >> 5)
+    words = [0] * (size >> 5)
     for r in held.collect():  # at most 2 ** MEMBER_BITS / 32 rows
-        member[r["w"]] = r["v"]
-    there = F.call_function("shiftright", F.get(_literal(member), F.shiftright(at, 5).cast("int")),
-                            at.bitwiseAND(F.lit(31)).cast("int")).bitwiseAND(F.lit(1).cast("bigint")) == 1
-    near = word_sets(docs).where(there).select(*PLACE, F.sort_array(F.transform("h", key)).alias("k"))
+        words[r["w"]] = r["v"]
+    word = F.get(_literal(words), F.shiftright(at, 5).cast("int"))
+    return F.call_function("shiftright", word, at.bitwiseAND(F.lit(31)).cast("int")).bitwiseAND(F.lit(1).cast("bigint")) == 1
+
+
+def words_at(docs: DataFrame, key, wanted: DataFrame) -> DataFrame:
+    """(lid, k) of the wanted (lid, doc_id, line_no, sa, sb): texts that may hold
+    one are read again, and only the lines that may be one go further."""
+    some = docs.where(_member(wanted, "doc_id"))
+    near = word_sets(some).where(_member(wanted, *PLACE)).select(*PLACE, F.sort_array(F.transform("h", key)).alias("k"))
     near = near.select(F.col("doc_id").alias("_d"), F.col("line_no").alias("_l"), "k", *_digest())
     same = wanted["doc_id"].eqNullSafe(F.col("_d"))
     for w, x in (("line_no", "_l"), ("sa", "sa"), ("sb", "sb")):
@@ -155,42 +159,41 @@ def words_at(docs: DataFrame, key, wanted: DataFrame) -> DataFrame:
     return materialize(found.select("lid", "k").dropDuplicates(["lid"]))
 
 
-def _verified(pairs: DataFrame, words: DataFrame, p: int, q: int) -> DataFrame:
-    """The pairs (a, b) whose sets have a Jaccard similarity of at least p / q."""
+def _compared(pairs: DataFrame, words: DataFrame) -> DataFrame:
+    """pairs (a, b) with shared and either: the sizes of the sets' intersection and union."""
     x, y = words.select(F.col("lid").alias("a"), F.col("k").alias("ka")), words.select(F.col("lid").alias("b"), F.col("k").alias("kb"))
-    shared, size = F.size(F.array_intersect("ka", "kb")), F.size("ka") + F.size("kb")
-    return pairs.join(x, "a").join(y, "b").where(shared >= _ceil(size, p, p + q)).select("a", "b")
-
-
-def balls(firsts: DataFrame, docs: DataFrame, key, similarity: tuple[int, int], crowd: int = CROWD) -> DataFrame:
-    """(lid, ball) of sets in crowded buckets that are verified to lie within half
-    the join's distance of the bucket's first set, and of those first sets."""
-    p, q = similarity[0] + similarity[1], 2 * similarity[1]  # 1 - (1 - s) / 2
-    rows = firsts.select("lid", "n", "p0", F.explode(F.slice("prefix", 1, 2)).alias("key"))
-    lead = rows.groupBy("key").agg(F.min(F.struct("lid", "n", "p0")).alias("lead"), F.count(F.lit(1)).alias("m"))
-    lead = materialize(lead.where(F.col("m") >= crowd).select("key", F.col("lead.lid").alias("ball"), F.col("lead.n").alias("m"),
-                                                              F.col("lead.p0").alias("q0")))
-    if lead.isEmpty():
-        return firsts.select("lid", F.col("lid").alias("ball")).where("false")
-    n, m = F.col("n"), F.col("m")
-    close = ((F.least(n, m) * q >= F.greatest(n, m) * p)
-             & (F.bit_count(F.col("p0").bitwiseXOR(F.col("q0"))) <= n + m - _ceil(n + m, p, p + q) * 2))
-    near = rows.join(_checked(lead), "key").where(close & (F.col("ball") != F.col("lid")))
-    stars = materialize(near.groupBy(F.col("lid").alias("a")).agg(F.min("ball").alias("b")))
-    named = stars.select(F.col("a").alias("lid")).union(stars.select("b")).distinct()
-    places = materialize(firsts.select("lid", *PLACE, "sa", "sb").join(named, "lid"))
-    inside = materialize(_verified(stars, words_at(docs, key, places), p, q))
-    centers = inside.select(F.col("b").alias("lid")).distinct()
-    members = inside.select(F.col("a").alias("lid"), F.col("b").alias("ball")).join(centers, "lid", "left_anti")
-    return materialize(members.unionByName(centers.withColumn("ball", F.col("lid"))))
+    shared = F.size(F.array_intersect("ka", "kb"))
+    both = pairs.join(x, "a").join(y, "b").withColumn("shared", shared)
+    return both.select("a", "b", "shared", (F.size("ka") + F.size("kb") - F.col("shared")).alias("either"))
+
+
+def verified(pairs: DataFrame, words: DataFrame, similarity: tuple[int, int]) -> DataFrame:
+    """The candidate pairs (a, b) whose sets are at least that similar."""
+    p, q = similarity
+    ends = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    first = ends.groupBy("a").agg(F.min("b").alias("b")).where("b < a")
+    # distances in units of 2 ** -24, rounded up: sums of two never look too small
+    unit = 1 << 24
+    apart = F.ceil(F.lit(float(unit)) * (F.col("either") - F.col("shared")) / F.col("either")).cast("bigint")
+    near = materialize(_compared(first, words).select(F.col("a").alias("lid"), F.col("b").alias("lead"), apart.alias("d")))
+    centers = near.select(F.col("lead").alias("lid")).distinct()
+    near = materialize(near.join(centers, "lid", "left_anti").unionByName(
+        centers.select("lid", F.col("lid").alias("lead"), F.lit(0).cast("bigint").alias("d"))))
+    placed = pairs
+    for s in "ab":
+        placed = placed.join(near.select(F.col("lid").alias(s), F.col("lead").alias("l" + s), F.col("d").alias("d" + s)), s, "left")
+    implied = F.coalesce((F.col("la") == F.col("lb")) & (F.col("da") + F.col("db") <= unit * (q - p) // q), F.lit(False))
+    placed = materialize(placed.select("a", "b", implied.alias("implied")))
+    rest = _compared(placed.where("not implied").select("a", "b"), words).where(F.col("shared") * q >= F.col("either") * p)
+    return placed.where("implied").select("a", "b").unionByName(rest.select("a", "b"))
 
 
 def candidates(firsts: DataFrame, similarity: tuple[int, int]) -> DataFrame:
-    """Distinct pairs (a, b), n(a) >= n(b), that pass all filters and that no ball
-    implies. Both sides are one shuffle of the same rows."""
+    """Distinct pairs (a, b), n(a) >= n(b), that pass all filters. Both sides are one
+    shuffle of the same rows."""
     p, q = similarity
-    rows = firsts.select("lid", "ball", "p0", F.posexplode("prefix").alias("pos", "key"), "n").select(
-        "key", "lid", "ball", "p0", (F.shiftleft("n", 32) + F.col("n") - F.col("pos")).alias("sizes"))
+    rows = firsts.select("lid", "p0", F.posexplode("prefix").alias("pos", "key"), "n").select(
+        "key", "lid", "p0", (F.shiftleft("n", 32) + F.col("n") - F.col("pos")).alias("sizes"))
     a, b = rows.alias("a"), rows.alias("b")
     na, nb = F.shiftright("a.sizes", 32), F.shiftright("b.sizes", 32)
     ra, rb = (F.col(f"{s}.sizes").bitwiseAND(F.lit((1 << 32) - 1)) for s in "ab")
@@ -199,49 +202,42 @@ def candidates(firsts: DataFrame, similarity: tuple[int, int]) -> DataFrame:
     # never true; it keeps the test out of one side's scan, so the shuffle is shared)
     answers = (nb - rb < nb - _ceil(nb * 2, p, p + q) + 1) | (na < nb)
     pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & (na >= nb) & (nb * q >= na * p) & answers
-                   & ((na > nb) | (F.col("a.lid") < F.col("b.lid"))) & (F.col("a.ball") != F.col("b.ball"))
+                   & ((na > nb) | (F.col("a.lid") < F.col("b.lid")))
                    & (F.least(ra, rb) >= need)
                    & (F.bit_count(F.col("a.p0").bitwiseXOR(F.col("b.p0"))) <= na + nb - need * 2))
     pairs = pairs.select(F.col("a.lid").alias("a"), F.col("b.lid").alias("b")).distinct()
-    # the other parities are looked up for what is left
-    side = firsts.select("lid", "n", "p1", "p2")
+    # the other parity is looked up for what is left
+    side = firsts.select("lid", "n", "p1")
     for s in "ab":
-        pairs = pairs.join(side.select(F.col("lid").alias(s), *[F.col(c).alias(c + s) for c in ("n", "p1", "p2")]), s)
-    most = F.col("na") + F.col("nb") - _ceil(F.col("na") + F.col("nb"), p, p + q) * 2
-    for c in ("p1", "p2"):
-        pairs = pairs.where(F.bit_count(F.col(c + "a").bitwiseXOR(F.col(c + "b"))) <= most)
+        pairs = pairs.join(side.select(F.col("lid").alias(s), *[F.col(c).alias(c + s) for c in ("n", "p1")]), s)
+    both = F.col("na") + F.col("nb")
+    pairs = pairs.where(F.bit_count(F.col("p1a").bitwiseXOR(F.col("p1b"))) <= both - _ceil(both, p, p + q) * 2)
     return materialize(pairs.select("a", "b"))
 
 
-def class_links(docs: DataFrame, similarity: tuple[int, int] = SIMILARITY, crowd: int = CROWD):
-    """The lines with their classes, the classes' balls, and the other links (a, b)."""
+def class_links(docs: DataFrame, similarity: tuple[int, int] = SIMILARITY):
+    """The lines, the sets that several lines have, and the links (a, b) of classes."""
     key = rarity_key(docs)
     lines = keyed_lines(docs, key, similarity)
     several = copies(lines)
     firsts = _classed(lines, several).where("cid = lid")
-    near = balls(firsts, docs, key, similarity, crowd)
-    grouped = firsts.join(_checked(near), "lid", "left").withColumn("ball", F.coalesce("ball", "lid"))
-    pairs = candidates(grouped, similarity)
+    pairs = candidates(firsts, similarity)
     named = pairs.select(F.col("a").alias("lid")).union(pairs.select("b")).distinct()
     places = materialize(firsts.select("lid", *PLACE, "sa", "sb").join(named, "lid"))
-    links = materialize(_verified(pairs, words_at(docs, key, places), *similarity))
-    return lines, several, near, links
+    return lines, several, materialize(verified(pairs, words_at(docs, key, places), similarity))
 
 
-def duplicate_lines(docs: DataFrame, similarity: tuple[int, int] = SIMILARITY, crowd: int = CROWD) -> DataFrame:
+def duplicate_lines(docs: DataFrame, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
     """(doc_id, line_no, class_id, removed, n_links) of the lines that match another:
     removed where an equal or similar set stands earlier; n_links: other classes
     that are similar."""
-    lines, several, near, links = class_links(docs, similarity, crowd)
+    lines, several, links = class_links(docs, similarity)
     at = lines.select("lid", F.struct(*PLACE).alias("at"))
     ends = links.select(F.col("a").alias("lid"), F.col("b").alias("other")).unionByName(
         links.select(F.col("b").alias("lid"), F.col("a").alias("other")))
-    paired = ends.join(at.select(F.col("lid").alias("other"), F.col("at").alias("there")), "other").groupBy("lid").agg(
-        F.min("there").alias("there"), F.count(F.lit(1)).alias("links"))
-    whole = near.join(at, "lid").groupBy("ball").agg(F.min("at").alias("there"), (F.count(F.lit(1)) - 1).alias("links"))
-    implied = near.join(whole, "ball").select("lid", "there", "links")
-    per = paired.unionByName(implied).groupBy("lid").agg(F.min("there").alias("there"), F.sum("links").alias("n_links"))
-    firsts = per.join(at, "lid", "full").select("lid", "at", "there", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    per = ends.join(at.select(F.col("lid").alias("other"), F.col("at").alias("there")), "other").groupBy("lid").agg(
+        F.min("there").alias("there"), F.count(F.lit(1)).alias("n_links"))
+    firsts = at.join(per, "lid", "left").select("lid", "at", "there", F.coalesce("n_links", F.lit(0)).alias("n_links"))
     told = firsts.join(several.select(F.col("cid").alias("lid"), "n_lines"), "lid", "left")
     told = materialize(told.where((F.col("n_links") > 0) | F.col("n_lines").isNotNull()).select(
         F.col("lid").alias("cid"), "at", F.coalesce(F.col("there") < F.col("at"), F.lit(False)).alias("late"), "n_links"))
@@ -250,10 +246,10 @@ def duplicate_lines(docs: DataFrame, similarity: tuple[int, int] = SIMILARITY, c
     return hit.select(*PLACE, F.col("cid").alias("class_id"), earlier.alias("removed"), "n_links").distinct()
 
 
-def summary(docs: DataFrame, similarity: tuple[int, int] = SIMILARITY, crowd: int = CROWD) -> DataFrame:
+def summary(docs: DataFrame, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
     """Per row of ``docs``: n_lines, removed_lines (numbers from 0), n_removed and
     n_links (of its lines, to other classes)."""
-    hits = duplicate_lines(docs, similarity, crowd)
+    hits = duplicate_lines(docs, similarity)
     per = hits.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.when(F.col("removed"), F.col("line_no")))).alias("removed_lines"),
                                      F.sum("n_links").alias("n_links"))
     per = per.withColumnRenamed("doc_id", "_doc")
