@@ -9,9 +9,9 @@ on the whole sets (PPJoin, Xiao et al., 2008).
 
 Equal sets are one class, so copies make no pairs; a class stands at its first
 line in (doc_id, line) order. Whole sets are only fetched where needed: a set's
-distance to its first candidate is measured, and as Jaccard distance is a metric,
-two sets whose distances to a common first candidate add up to little enough are
-linked without being compared. The other pairs are compared word by word.
+distance to its hub (the candidate with most candidates) is measured, and as
+Jaccard distance is a metric, two sets whose distances to a common hub add up to
+little enough are linked without being compared. The other pairs are compared word by word.
 
 A line is removed if its set, or a similar one, stands at an earlier line.
 
@@ -171,21 +171,28 @@ def verified(pairs: DataFrame, words: DataFrame, similarity: tuple[int, int]) ->
     """The candidate pairs (a, b) whose sets are at least that similar."""
     p, q = similarity
     ends = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    first = ends.groupBy("a").agg(F.min("b").alias("b")).where("b < a")
+    # a set's hub is the one with most candidates among it and its candidates
+    degree = materialize(ends.groupBy("a").agg(F.count(F.lit(1)).alias("n")).select(
+        "a", F.struct("n", (-F.col("a")).alias("at")).alias("rank")))
+    hub = (ends.join(degree.select(F.col("a").alias("b"), "rank"), "b").groupBy("a").agg(F.max("rank").alias("top"))
+           .join(degree, "a").where("top > rank"))
+    first = hub.select("a", (-F.col("top.at")).alias("b"))
     # distances in units of 2 ** -24, rounded up: sums of two never look too small
     unit = 1 << 24
     apart = F.ceil(F.lit(float(unit)) * (F.col("either") - F.col("shared")) / F.col("either")).cast("bigint")
-    near = materialize(_compared(first, words).select(F.col("a").alias("lid"), F.col("b").alias("lead"), apart.alias("d")))
-    centers = near.select(F.col("lead").alias("lid")).distinct()
-    near = materialize(near.join(centers, "lid", "left_anti").unionByName(
-        centers.select("lid", F.col("lid").alias("lead"), F.lit(0).cast("bigint").alias("d"))))
+    near = materialize(_compared(first, words).select(F.col("a").alias("lid"), F.col("b").alias("lead"), apart.alias("d"),
+                                                      (F.col("shared") * q >= F.col("either") * p).alias("ok")))
     placed = pairs
     for s in "ab":
-        placed = placed.join(near.select(F.col("lid").alias(s), F.col("lead").alias("l" + s), F.col("d").alias("d" + s)), s, "left")
-    implied = F.coalesce((F.col("la") == F.col("lb")) & (F.col("da") + F.col("db") <= unit * (q - p) // q), F.lit(False))
-    placed = materialize(placed.select("a", "b", implied.alias("implied")))
-    rest = _compared(placed.where("not implied").select("a", "b"), words).where(F.col("shared") * q >= F.col("either") * p)
-    return placed.where("implied").select("a", "b").unionByName(rest.select("a", "b"))
+        side = near.select(F.col("lid").alias(s), *[F.col(c).alias(c + s) for c in ("lead", "d", "ok")])
+        placed = placed.join(side, s, "left").withColumns(
+            {"lead" + s: F.coalesce("lead" + s, s), "d" + s: F.coalesce("d" + s, F.lit(0))})
+    close = (F.col("leada") == F.col("leadb")) & (F.col("da") + F.col("db") <= unit * (q - p) // q)
+    # null: not known yet
+    known = F.when(F.col("leada") == F.col("b"), F.col("oka")).when(F.col("leadb") == F.col("a"), F.col("okb")).when(close, True)
+    placed = materialize(placed.select("a", "b", known.alias("linked")))
+    rest = _compared(placed.where("linked is null").select("a", "b"), words).where(F.col("shared") * q >= F.col("either") * p)
+    return placed.where("linked").select("a", "b").unionByName(rest.select("a", "b"))
 
 
 def candidates(firsts: DataFrame, similarity: tuple[int, int]) -> DataFrame:

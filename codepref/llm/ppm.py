@@ -1,8 +1,8 @@
 """Language-model scoring by prediction by partial matching (PPM) over bytes.
 
 The model is a trie of byte contexts up to ``ORDER`` bytes. Escapes are estimated
-by method C (a context seen n times with d different followers escapes with
-d / (n + d)), and a symbol that a longer context offers is excluded from the
+by method D (each of the d followers of a context seen n times gives up ``DISCOUNT``
+of a count: a follower seen c times has (c - DISCOUNT) / n, the escape DISCOUNT * d / n), and a symbol that a longer context offers is excluded from the
 shorter ones. A text's score is the log10 probability of its byte stream: its
 words in lower case, one space between, and an end byte; contexts start as end
 bytes.
@@ -41,6 +41,7 @@ from codepref.llm.common import crc_mod, materialize
 from codepref.llm.simhash import words
 
 ORDER = 5
+DISCOUNT = 0.3
 END = b"\n"  # no word holds it
 #: Bounds of what a task holds of the model: strings of a slice, frequent words.
 SLICE = 4_000_000
@@ -133,7 +134,7 @@ class Trie:
     strings: list[np.ndarray]
     counts: list[np.ndarray]
     contexts: list[np.ndarray]
-    sums: list[np.ndarray]  # columns: n, d, denominator and escapes left to the parent after exclusion
+    sums: list[np.ndarray]  # columns: n, d, and what is left of both to the parent after exclusion
     bucket: np.ndarray
     keys: np.ndarray
     values: np.ndarray
@@ -155,14 +156,14 @@ class Trie:
                 gone = np.add.reduceat(counts[-1][parent], first)
                 up = sums[-1][np.searchsorted(contexts[-1], ctx & np.uint64((1 << 8 * (k - 1)) - 1))]
                 left[:, 1] = up[:, 1] - kinds
-                left[:, 0] = up[:, 0] - gone + left[:, 1]
+                left[:, 0] = up[:, 0] - gone
             strings.append(s)
             counts.append(c)
             contexts.append(ctx)
             sums.append(np.c_[total, kinds, left].astype(np.float64).reshape(-1, 4))
         top, c = strings[order], counts[order]
         at = np.searchsorted(contexts[order], top >> np.uint64(8))
-        logs = np.log10(c / (sums[order][at, 0] + sums[order][at, 1]))
+        logs = np.log10((c - DISCOUNT) / sums[order][at, 0])
         bits = max(8, int(max(1, len(top))).bit_length() + 1)
         slot = (top * _MIX) >> np.uint64(64 - bits)
         rank = np.argsort(slot, kind="stable")
@@ -203,11 +204,11 @@ class Trie:
             seen = self.contexts[k][i] == ctx
             row = self.sums[k][i]
             fresh = np.isnan(den[todo])
-            d = np.where(fresh, row[:, 0] + row[:, 1], den[todo])
-            e = np.where(fresh, row[:, 1], esc[todo])
+            d = np.where(fresh, row[:, 0], den[todo])
+            e = np.where(fresh, row[:, 1], esc[todo]) * DISCOUNT
             j = np.minimum(np.searchsorted(self.strings[k], key), len(self.strings[k]) - 1)
             found = seen & (self.strings[k][j] == key)
-            out[todo[found]] += np.log10(self.counts[k][j[found]] / d[found])
+            out[todo[found]] += np.log10((self.counts[k][j[found]] - DISCOUNT) / d[found])
             away = seen & ~found
             real = away & (d > 0)  # a context with nothing left to offer is passed over
             out[todo[real]] += np.log10(e[real] / d[real])
@@ -385,12 +386,12 @@ def adaptive_log10(data: bytes, order: int = ORDER) -> float:
             if not node:
                 continue
             left = {b: n for b, n in node.items() if b not in excluded}
-            den = sum(left.values()) + len(left)
+            den = sum(left.values())
             if byte in left:
-                p += math.log10(left[byte] / den)
+                p += math.log10((left[byte] - DISCOUNT) / den)
                 break
             if den:
-                p += math.log10(len(left) / den)
+                p += math.log10(DISCOUNT * len(left) / den)
             excluded = frozenset(node)
         else:
             p -= math.log10(256 - len(excluded))

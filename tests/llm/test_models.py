@@ -51,7 +51,7 @@ def test_quality_awkward(spark):
 # --- PPM ---------------------------------------------------------------------
 
 def brute_log10(train, data, order):
-    """PPM-C with exclusion, straight from counted contexts."""
+    """PPM-D with exclusion, straight from counted contexts."""
     nodes = {}
     for d in train:
         padded = ppm.END * order + d
@@ -66,12 +66,12 @@ def brute_log10(train, data, order):
             if node is None:
                 continue
             left = {b: n for b, n in node.items() if b not in gone}
-            total = sum(left.values()) + len(left)
+            total = sum(left.values())
             if padded[i] in left:
-                out += math.log10(left[padded[i]] / total)
+                out += math.log10((left[padded[i]] - ppm.DISCOUNT) / total)
                 break
             if total:
-                out += math.log10(len(left) / total)
+                out += math.log10(ppm.DISCOUNT * len(left) / total)
             gone |= set(node)
         else:
             out -= math.log10(256 - len(gone))
@@ -125,7 +125,7 @@ def test_ppm_long_texts_are_cut_without_loss(monkeypatch):
 
 
 def test_ppm_beats_words_and_adapts(spark):
-    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
     got = ppm.score(docs, docs.where(~ppm.held_out())).where(ppm.held_out()).agg(F.sum("score"), F.sum("base_score")).first()
     assert got[0] > got[1]
     pair = spark.createDataFrame([(1, "ab" * 200), (2, "".join(random.Random(1).choices("abcdefgh", k=400))), (3, None)], "doc_id int, text string")
