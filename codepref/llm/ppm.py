@@ -33,6 +33,7 @@ from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -402,8 +403,6 @@ def adaptive_log10(data: bytes, order: int = ORDER) -> float:
 
 
 def adaptive_score(docs: DataFrame, order: int = ORDER, out: str = "score") -> DataFrame:
-    import pandas as pd
-
     @F.pandas_udf("double")
     def run(texts: pd.Series) -> pd.Series:
         return pd.Series([adaptive_log10(stream(t), order) for t in texts], dtype=float)
