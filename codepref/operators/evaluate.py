@@ -8,8 +8,12 @@ per task before the shuffle; windows only run over aggregated rows.
 
 from __future__ import annotations
 
+from collections import Counter
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from codepref.functions.text import tokens
 from codepref.operators.validity import valid_code
@@ -54,54 +58,42 @@ def pass_at_k_mean(per_task: DataFrame, ks=None, by=(), digits: int = 9) -> Data
         *[F.round(F.avg(f"pass_at_{k}"), digits).alias(f"pass_at_{k}") for k in ks])
 
 
-def _grams(toks: Column, n: int) -> Column:
-    """n-grams of a token array, joined by spaces (empty when too short)."""
-    idx = F.sequence(F.lit(1), F.size(toks) + 1)
-    return F.transform(F.filter(idx, lambda i: i + (n - 1) <= F.size(toks)),
-                       lambda i: F.array_join(F.slice(toks, i, n), " "))
+_OVERLAP = T.ArrayType(T.StructType([T.StructField(c, T.LongType()) for c in ("n", "matches", "cand_total", "ref_total")]))
+_SEP = "\x01"
 
 
-def _clipped_matches(cand: Column, ref: Column) -> Column:
-    """sum over distinct grams of min(count in cand, count in ref), in-row:
-    sort both sides' grams tagged by side, then one fold over the runs."""
-    tagged = F.sort_array(F.concat(F.transform(cand, lambda g: F.struct(g.alias("g"), F.lit(1).alias("s"))),
-                                   F.transform(ref, lambda g: F.struct(g.alias("g"), F.lit(0).alias("s")))))
-    zero = F.struct(F.lit(None).cast("string").alias("cur"), F.lit(0).alias("c"), F.lit(0).alias("r"),
-                    F.lit(0).cast("bigint").alias("m"))
+def _overlap_of(cand: list[str], ref: list[str], max_n: int) -> list[tuple[int, int, int, int]]:
+    """(n, clipped matches, grams of each side) for n = 1..max_n."""
+    out = []
+    for n in range(1, max_n + 1):
+        grams = [Counter(zip(*(toks[i:] for i in range(n)))) for toks in (cand, ref)]
+        small, large = sorted(grams, key=len)
+        matches = sum(min(c, large[g]) for g, c in small.items() if g in large)
+        out.append((n, matches, max(0, len(cand) - n + 1), max(0, len(ref) - n + 1)))
+    return out
 
-    def step(acc, x):
-        same = F.coalesce(acc["cur"] == x["g"], F.lit(False))
-        return F.when(same, F.struct(acc["cur"].alias("cur"), (acc["c"] + x["s"]).alias("c"),
-                                     (acc["r"] + 1 - x["s"]).alias("r"), acc["m"].alias("m"))) \
-                .otherwise(F.struct(x["g"].alias("cur"), x["s"].alias("c"), (1 - x["s"]).alias("r"),
-                                    (acc["m"] + F.least(acc["c"], acc["r"])).alias("m")))
 
-    return F.aggregate(tagged, zero, step, lambda acc: acc["m"] + F.least(acc["c"], acc["r"]))
+def _overlap_column(candidate: Column, reference: Column, max_n: int) -> Column:
+    """Per row, the overlaps of both token lists. Tokens are cut in the JVM and
+    cross to Python as one joined string per side (one Arrow batch at a time);
+    both sides of a pair are in the same row, so nothing is shuffled."""
+    @F.pandas_udf(_OVERLAP)
+    def overlaps(cand: pd.Series, ref: pd.Series) -> pd.Series:
+        def toks(s):
+            return s.split(_SEP) if s else []
 
+        return pd.Series([[dict(zip(("n", "matches", "cand_total", "ref_total"), r)) for r in _overlap_of(toks(c), toks(f), max_n)]
+                          for c, f in zip(cand, ref)])
 
-def _gram_columns(df: DataFrame, keys, candidate: str, reference: str, max_n: int) -> DataFrame:
-    """Staged: token arrays, then n-gram arrays per order (each computed once;
-    lambdas are not shared by Spark's common-subexpression elimination)."""
-    d = df.select(*keys, tokens(F.col(candidate)).alias("_tc"), tokens(F.col(reference)).alias("_tr"))
-    return d.select(*keys, *[c for n in range(1, max_n + 1) for c in
-                             (_grams(F.col("_tc"), n).alias(f"_gc{n}"), _grams(F.col("_tr"), n).alias(f"_gr{n}"))])
+    return overlaps(F.array_join(tokens(candidate), _SEP), F.array_join(tokens(reference), _SEP))
 
 
 def ngram_overlap(df: DataFrame, keys, candidate: str, reference: str, max_n: int = 4) -> DataFrame:
     """A7 core, long form: per key and n, clipped n-gram matches and both
-    totals (an order appears when either side has grams of that length).
-
-    Both sides of a pair live in the same row, so the multiset intersection is
-    computed in the row (sort + one fold): no explode of n-grams, no shuffle,
-    and no skew however large one key's text is."""
+    totals (an order appears when either side has grams of that length)."""
     keys = list(keys)
-    d = _gram_columns(df, keys, candidate, reference, max_n)
-    rows = F.array(*[F.struct(F.lit(n).cast("bigint").alias("n"),
-                              _clipped_matches(F.col(f"_gc{n}"), F.col(f"_gr{n}")).alias("matches"),
-                              F.size(f"_gc{n}").cast("bigint").alias("cand_total"),
-                              F.size(f"_gr{n}").cast("bigint").alias("ref_total"))
-                     for n in range(1, max_n + 1)])
-    out = d.select(*keys, F.inline(rows))
+    d = df.select(*keys, _overlap_column(F.col(candidate), F.col(reference), max_n).alias("_o"))
+    out = d.select(*keys, F.inline("_o"))
     return out.where((F.col("cand_total") > 0) | (F.col("ref_total") > 0))
 
 
@@ -117,18 +109,14 @@ def _bleu_score(ps: list[Column], c_len: Column, r_len: Column) -> Column:
 def sentence_bleu(df: DataFrame, keys, candidate: str, reference: str, max_n: int = 4,
                   digits: int = 9) -> DataFrame:
     """Sentence BLEU per row, entirely in the row (no explode, no shuffle):
-    uniform weights, brevity penalty, 0 when some order has no match."""
+    uniform weights, brevity penalty, 0 when some order has no match. Pairs
+    without any token are left out."""
     keys = list(keys)
-    # keep pairs with some token; a filter on a later (array) column would be
-    # pushed down with that column's expression inlined
-    nonempty = df.where((F.size(tokens(F.col(candidate))) > 0) | (F.size(tokens(F.col(reference))) > 0))
-    d = _gram_columns(nonempty, keys, candidate, reference, max_n)
-    d = d.select(*keys, *[_clipped_matches(F.col(f"_gc{n}"), F.col(f"_gr{n}")).alias(f"_m{n}")
-                          for n in range(1, max_n + 1)],
-                 *[F.size(f"_gc{n}").alias(f"_c{n}") for n in range(1, max_n + 1)],
-                 F.size("_gr1").alias("_r1"))
-    ps = [F.coalesce(F.try_divide(F.col(f"_m{n}"), F.col(f"_c{n}")), F.lit(0.0)) for n in range(1, max_n + 1)]
-    return d.select(*keys, F.round(_bleu_score(ps, F.col("_c1"), F.col("_r1")), digits).alias("bleu"))
+    d = df.select(*keys, _overlap_column(F.col(candidate), F.col(reference), max_n).alias("_o"))
+    first = F.col("_o")[0]
+    ps = [F.coalesce(F.try_divide(F.col("_o")[n]["matches"], F.col("_o")[n]["cand_total"]), F.lit(0.0)) for n in range(max_n)]
+    d = d.where((first["cand_total"] > 0) | (first["ref_total"] > 0))
+    return d.select(*keys, F.round(_bleu_score(ps, first["cand_total"], first["ref_total"]), digits).alias("bleu"))
 
 
 def bleu(overlap: DataFrame, keys, max_n: int = 4, digits: int = 9) -> DataFrame:

@@ -180,7 +180,10 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
         except Exception:  # noqa: BLE001 - the folder was cleaned up: derive it again
             _WRITTEN.pop(key, None)
     path = f"{checkpoint_dir(spark).rstrip('/')}/views/{name}-{uuid.uuid4().hex}"
-    derive(spark, sf_dir, name).write.parquet(path)
+    # the test tables are one row group each, which one task would read and write:
+    # deal the view out so that the queries on it run on all cores
+    parts = 2 * spark.sparkContext.defaultParallelism
+    derive(spark, sf_dir, name).repartition(parts).write.parquet(path)
     _WRITTEN[key] = path
     return spark.read.parquet(path)
 

@@ -15,6 +15,7 @@ SF_MID = "/root/testdata/sf0.01"
 def spark():
     s = local_session(cpus="*", shuffle_partitions=8)
     yield s
+    s.stop()
 
 
 def rows(df, *cols):
