@@ -143,7 +143,11 @@ def test_java_brace_repair_keeps_java_rows(spark):
 
     seed = normalize_seed(view(spark, SF_MID, "code_raw"))
     assert filter_seed(seed).where("language = 'java'").count() > 0
-    assert filter_seed(seed, compat=True).where("language = 'java'").count() == 0
+    # without it only bodies that lack their closing brace too are "balanced"
+    literal = filter_seed(seed, compat=True).where("language = 'java'").select("row_id", "code_completion").collect()
+    assert all(not r["code_completion"].rstrip().endswith("}") for r in literal)
+    repaired = {r["row_id"] for r in filter_seed(seed).where("language = 'java'").select("row_id").collect()}
+    assert not repaired & {r["row_id"] for r in literal}
 
 
 def test_flagship_steps_on_very_long_rows(spark):
