@@ -150,12 +150,12 @@ def _corrupted(flagged: DataFrame, quota: DataFrame, groups: list[str], key: str
     if not recheck:
         return with_corruption(hash_quota(candidates, quota, groups, key, seed), "code", "language", key, "corrupted",
                                seed, compat)
-    made = with_corruption(candidates, "code", "language", key, "corrupted", seed, compat)
+    # written before the check: a filter on it would otherwise be pushed below the
+    # staged corruption, inlining it (see corrupt.py)
+    made = materialize(with_corruption(candidates, "code", "language", key, "corrupted", seed, compat))
     whole = whole_function(F.col("function_def"), F.col("corrupted"))
-    # A column first, then the filter on it: a filter on the expression itself
-    # would be pushed below the staged corruption, inlining it (see corrupt.py).
-    made = made.withColumn("_still_valid", valid_code(whole, F.col("language"), checkers))
-    broken = materialize(made.where(F.col("corrupted").isNotNull() & ~F.col("_still_valid")).drop("_still_valid"))
+    checked = made.withColumn("_still_valid", valid_code(whole, F.col("language"), checkers))
+    broken = materialize(checked.where(F.col("corrupted").isNotNull() & ~F.col("_still_valid")).drop("_still_valid"))
     return hash_quota(broken, quota, groups, key, seed)
 
 
