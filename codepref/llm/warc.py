@@ -3,12 +3,12 @@
 Writing: Spark's text writer with the record terminator (two CRLFs) as its line
 separator; a row is one record, so files are plain WARC, compressed as asked.
 
-Reading: Spark's text reader cuts at the record's version line, so memory holds
-one record at a time and uncompressed files are still split. A payload that
-itself holds a version line comes in several pieces; they are put together by
-Content-Length, which is why pieces of a file are framed in order by one task
-(a file whose records hold no such line is not affected by how it is split;
-gzipped files are never split).
+Reading: Spark's text reader cuts at the word "WARC/", so memory holds one record
+at a time. A header or payload that itself holds the word comes in several
+pieces; a header goes on up to its blank line, a payload by its Content-Length.
+So the pieces of a file are framed in order by one task: gzipped files are never
+split, and the pieces of other files, which are read in splits, are brought
+together by file and put in order.
 
 Assembly: request, response and metadata records of one capture name each other
 in WARC-Concurrent-To, in either direction. Captures (response, revisit,
@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -141,15 +142,22 @@ def read_records(spark: SparkSession, path: str, payload: bool = True) -> DataFr
     """The records of all archives under ``path``; without ``payload`` the blocks
     are framed and checked but not kept."""
     cut = spark.read.option("lineSep", "WARC/").text(path)
-    pieces = cut.select(F.col("value").cast("binary").alias("value"),
-                        F.concat_ws("@", F.col("_metadata.file_path"), F.col("_metadata.file_block_start").cast("string")).alias("at"))
+    pieces = cut.select(F.col("value").cast("binary").alias("value"), F.col("_metadata.file_path").alias("at"),
+                        F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("nth"))
+    unsplit = [f.endswith(".gz") for f in cut.inputFiles()]
+    if not all(unsplit):
+        gzipped = F.col("at").endswith(".gz")
+        ordered = pieces.where(~gzipped).repartition("at").sortWithinPartitions("at", "split", "nth")
+        pieces = [pieces.where(gzipped), ordered] if any(unsplit) else [ordered]
+    else:
+        pieces = [pieces]
 
     def frame(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, where = b"", None
-        missing = 0
+        held, where = bytearray(), None
+        heading, missing = False, 0  # in a header that has no blank line yet; bytes missing of the payload
 
         def done():
-            parsed, _ = _parse(held, payload)
+            parsed, _ = _parse(bytes(held), payload)
             return [parsed] if parsed else []
 
         for batch in batches:
@@ -160,17 +168,25 @@ def read_records(spark: SparkSession, path: str, payload: bool = True) -> DataFr
                     held += b"WARC/" + value  # the payload holds the version word
                     missing -= 5 + len(value)
                     continue
+                # a version line of its own can't be in a header: there a new record starts
+                if at == where and heading and not (held.endswith(b"\n") and _HEAD.match(value)):
+                    seen = max(0, len(held) - 3)
+                    held += b"WARC/" + value  # the header does
+                    heading = held.find(b"\r\n\r\n", seen) < 0
+                    missing = 0 if heading else _parse(bytes(held), False)[1]
+                    continue
                 out += done()
-                held, where = value, at
-                parsed, missing = _parse(value, payload)
-                if parsed is None:
-                    held, missing = b"", 0
+                held, where = bytearray(value), at
+                parsed, missing = _parse(value, False)
+                heading = parsed is None and _HEAD.match(value) is not None
+                if parsed is None and not heading:
+                    held = bytearray()
             if out:
                 yield pa.RecordBatch.from_pylist(out, _RECORD)
         if last := done():
             yield pa.RecordBatch.from_pylist(last, _RECORD)
 
-    return pieces.mapInArrow(frame, RECORD)
+    return reduce(DataFrame.unionByName, [p.select("value", "at").mapInArrow(frame, RECORD) for p in pieces])
 
 
 def http_payload(block: Column) -> Column:

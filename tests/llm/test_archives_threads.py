@@ -67,6 +67,41 @@ def test_foreign_archive(spark):
     assert got["<t>"]["truncated"] and not got["<s>"]["requests"]
 
 
+def test_version_word_in_header(spark):
+    """Urls with the version word, and fields of other writers with it."""
+    word = "WARC/1.1 WARC/"
+    rows = [(1, "http://x/WARC/a", "é" * 600), (2, "http://x/WARC/1.1", "é" * 600), (3, f"http://{word * 2000}", "see WARC/1.1\r\n\r\n"), (4, "http://y/", "WARC/")]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string").coalesce(1)
+    for compression in ("gzip", "none"):
+        got = {int(r["headers"]["x-page-id"]): r for r in warc.assemble(warc.read_records(spark, written(spark, pages, compression))).collect()}
+        assert {i: r["target_uri"] for i, r in got.items()} == {i: u for i, u, _ in rows}
+        assert all(len(r["requests"]) == len(r["metadata"]) == 1 and not r["truncated"] for r in got.values())
+    path = scratch(spark, "warc-headers")
+    text = ("WARC/1.0\r\nWARC-Type: warcinfo\r\nno end\r\n" "WARC/1.0\r\nWARC-Type: resource\r\nWARC-Record-ID: <a>\r\nX-By: WARC/1.0\r\n"
+            "Software: maker of WARC/ files\r\nContent-Length: 2\r\n\r\nhi\r\n\r\n")
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.option("lineSep", "\r\n").text(path)
+    (row,) = warc.read_records(spark, path).where("type = 'resource'").collect()
+    assert (row["record_id"], row["headers"]["software"], bytes(row["block"])) == ("<a>", "maker of WARC/ files", b"hi")
+
+
+def test_split_archives(spark):
+    """Uncompressed files over many input splits, with archives inside of payloads."""
+    inner = "WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <no>\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
+    pages = spark.createDataFrame([(i, f"http://x/WARC/{i}", inner * i) for i in range(60)], "page_id bigint, url string, html string")
+    path = written(spark, pages.coalesce(2), "none")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in ("1000", "4099"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            records = warc.read_records(spark, path).collect()
+            assert Counter(r["type"] for r in records) == {"request": 60, "metadata": 60, "response": 60}
+            assert not any(r["truncated"] for r in records)
+            got = {int(r["headers"]["x-page-id"]): bytes(r["block"]).split(b"\r\n\r\n", 1)[1] for r in records if r["type"] == "response"}
+            assert got == {i: (inner * i).encode() for i in range(60)}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
 def test_warc_empty(spark):
     none = spark.createDataFrame([], "page_id bigint, url string, html string")
     assert warc.read_records(spark, written(spark, none)).count() == 0
