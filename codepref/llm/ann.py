@@ -16,13 +16,15 @@ table are nearer than those, so its recall is higher; tests measure it.
 
 Equal vectors are searched as one: for each distinct vector the k + 1 smallest
 ids are kept, which is all that any query can need, and equal queries share one
-search. Lists are cut into cells of about ``CELL`` vectors by a hash, so no list
+search. An id with several vectors asks on its own with each of them, and vectors
+that only it holds are left out before the best are taken. Lists are cut into cells of about ``CELL`` vectors by a hash, so no list
 is one task's.
 
 Defined cases: null vectors, zero vectors, vectors with a null or non-finite
 component, vectors whose length is not the most common one, and null ids take no
-part; repeated ids with different vectors are separate candidates; with fewer
-than k candidates all are returned. Probing goes on past that many lists until
+part; rows that repeat an id and its vector are one row; an id with different
+vectors is a separate candidate and a separate query (ranks from 1) with each,
+and never its own neighbour; with fewer than k candidates all are returned. Probing goes on past that many lists until
 it has met 4 (k + 1) vectors or all lists.
 """
 
@@ -46,6 +48,7 @@ CELL = 8192
 BLOCK = 16
 EPSILON = 2.1
 SEED = 7
+SALTS = 32
 
 
 def valid_vectors(df: DataFrame, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -155,6 +158,9 @@ def _cell(k: int, longest: float, turn: np.ndarray):
         asked, ids = np.stack(queries["vec"]), queries["rep"].to_numpy()
         turned = np.c_[asked, np.zeros(len(asked), np.float32)] @ turn
         q, row = scan(extended(raw, longest) @ turn, turned, queries["bound"].to_numpy(np.float32))
+        own = queries["alone"].to_numpy()[q] & vectors["single"].to_numpy()[row]
+        own &= queries["own"].to_numpy()[q] == vectors["only"].to_numpy()[row]
+        q, row = q[~own], row[~own]
         score = np.empty(len(q))
         for a in range(0, len(q), 1 << 15):
             at = slice(a, a + (1 << 15))
@@ -175,18 +181,20 @@ def search(df: DataFrame, is_query: Column, k: int = 20, probes: int | None = No
     x = valid_vectors(df, id_col, vector)
     lengths = x.groupBy(F.size("vec").alias("d")).count().orderBy(F.desc("count"), "d").first()
     dim = lengths["d"] if lengths else 1
-    x = materialize(x.where(F.size("vec") == dim))
-    reps = materialize(distinct_vectors(x, k + 1))
+    x = materialize(x.where(F.size("vec") == dim).distinct())
+    # ids kept are cut to k + 1, so one id is all there are
+    reps = materialize(distinct_vectors(x, k + 1).withColumn("single", F.size("ids") == 1).withColumn("only", F.col("ids")[0]))
     norm = F.aggregate("vec", F.lit(0.0), lambda a, v: a + v.cast("double") * v.cast("double"))
     n, longest = reps.agg(F.count(F.lit(1)), F.coalesce(F.max(F.sqrt(norm)), F.lit(1.0))).first()
-    sample = reps.select("vec", hash60(F.col("rep"), ":sample").alias("h")).orderBy("h").limit(SAMPLE)
-    taught = [r["vec"] for r in sample.select("vec").collect()]  # at most SAMPLE vectors
-    points = extended(np.array(taught, dtype=np.float32).reshape(-1, dim), longest)
+    sample = reps.select("vec", "single", "only", hash60(F.col("rep"), ":sample").alias("h")).orderBy("h").limit(SAMPLE)
+    taught = sample.select("vec", "single", "only").collect()  # at most SAMPLE vectors
+    points = extended(np.array([r["vec"] for r in taught], dtype=np.float32).reshape(-1, dim), longest)
+    holders = np.array([r["single"] for r in taught], dtype=bool), np.array([r["only"] for r in taught], dtype=np.int64)
     lists = max(1, min(MAX_LISTS, n // LIST_SIZE, len(points) // 8))
     centers = kmeans(points, lists) if len(points) else np.zeros((1, dim + 1), np.float32)
     probes = probes or (probes_for(points, centers, k) if len(points) else 1)
     shared = df.sparkSession.sparkContext.broadcast(centers)
-    held = df.sparkSession.sparkContext.broadcast(points)
+    held = df.sparkSession.sparkContext.broadcast((points, *holders))
 
     @F.pandas_udf("int")
     def home(vecs: pd.Series) -> pd.Series:
@@ -209,28 +217,39 @@ def search(df: DataFrame, is_query: Column, k: int = 20, probes: int | None = No
         return pd.Series([row[:m] for row, m in zip(near, enough)])
 
     @F.pandas_udf("float")
-    def bounded(vecs: pd.Series) -> pd.Series:
+    def bounded(vecs: pd.Series, own: pd.Series, alone: pd.Series) -> pd.Series:
         """The 2 (k + 1)-th smallest distance to the sample: no true neighbour is farther."""
         deep = 2 * k + 1
-        if len(held.value) <= deep or not len(vecs):
+        known, single, only = held.value
+        if len(known) <= deep or not len(vecs):
             return pd.Series(np.full(len(vecs), np.inf, np.float32))
-        out = [np.partition(distances(np.c_[part, np.zeros(len(part), np.float32)], held.value), deep, axis=1)[:, deep]
-               for part in (np.stack(vecs[a:a + 256]) for a in range(0, len(vecs), 256))]
+        out = []
+        for a in range(0, len(vecs), 256):
+            part = np.stack(vecs[a:a + 256])
+            d = distances(np.c_[part, np.zeros(len(part), np.float32)], known)
+            d[alone.to_numpy()[a:a + 256, None] & single & (own.to_numpy()[a:a + 256, None] == only)] = np.inf
+            out.append(np.partition(d, deep, axis=1)[:, deep])
         return pd.Series(np.concatenate(out))
 
     candidates = (dealt.join(F.broadcast(spread), "list")
-                  .select("list", (F.xxhash64("rep") % F.col("cells")).alias("cell"), "rep", "vec"))
+                  .select("list", (F.xxhash64("rep") % F.col("cells")).alias("cell"), "rep", "vec", "single", "only"))
     candidates = candidates.withColumn("cell", F.abs("cell").cast("int"))
     asking = x.where(is_query).select("id", "vec")
-    asked = materialize(asking.select("vec").distinct().select(F.xxhash64("vec").alias("q"), "vec")
-                        .withColumn("bound", bounded("vec")))
+    # ids with several vectors, each in SALTS rows so that no id's queries are one task's
+    several = materialize(asking.groupBy("id").count().where("count > 1").select(
+        "id", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"), F.lit(True).alias("alone")))
+    salted = asking.withColumn("salt", F.pmod(F.xxhash64("vec"), F.lit(SALTS)).cast("int"))
+    asking = salted.join(several, ["id", "salt"], "left").withColumn("alone", F.coalesce("alone", F.lit(False)))
+    asking = materialize(asking.withColumn("own", F.when(F.col("alone"), F.col("id")).otherwise(0)).select(
+        F.xxhash64("vec", "own", "alone").alias("q"), "id", "vec", "own", "alone"))
+    asked = materialize(asking.select("q", "vec", "own", "alone").distinct().withColumn("bound", bounded("vec", "own", "alone")))
     best = Window.partitionBy("q").orderBy(F.desc("score"), "rep")
 
     def through(queries: DataFrame, which: Column) -> DataFrame:
-        """The k + 1 best distinct vectors of each (q, vec, bound) within its lists."""
-        probing = (queries.select(F.col("q").alias("rep"), "vec", "bound", F.explode(which).alias("list"))
+        """The k + 1 best distinct vectors of each query within its lists."""
+        probing = (queries.select(F.col("q").alias("rep"), "vec", "own", "alone", "bound", F.explode(which).alias("list"))
                    .join(F.broadcast(spread), "list")
-                   .select("list", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)).alias("cell"), "rep", "vec", "bound"))
+                   .select("list", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)).alias("cell"), "rep", "vec", "own", "alone", "bound"))
         found = candidates.groupBy("list", "cell").cogroup(probing.groupBy("list", "cell")).applyInPandas(
             _cell(k + 1, float(longest), rotation(dim + 1)), "q bigint, rep bigint, score double")
         return materialize(found.withColumn("n", F.row_number().over(best)).where(F.col("n") <= k + 1).drop("n"))
@@ -243,11 +262,12 @@ def search(df: DataFrame, is_query: Column, k: int = 20, probes: int | None = No
         again = through(short.withColumn("bound", F.lit(float("inf")).cast("float")), every)
         near = near.join(short.select("q"), "q", "left_anti").unionByName(again)
     named = near.join(reps.select("rep", "ids"), "rep").select("q", "score", F.explode("ids").alias("id"))
-    # k + 1 per distinct query, in order: one may be the asking row itself
+    named = named.join(asked.select("q", "own", "alone"), "q").where(~(F.col("alone") & (F.col("own") == F.col("id"))))
+    # k + 1 per distinct query, in order: one may be the asking row itself (its id has no other vector)
     by_id = Window.partitionBy("q").orderBy(F.desc("score"), "id")
     top = (named.withColumn("n", F.row_number().over(by_id)).where(F.col("n") <= k + 1).groupBy("q")
            .agg(F.sort_array(F.collect_list(F.struct("n", "id", "score"))).alias("near")))
-    own = asking.select(F.col("id").alias("query_id"), F.xxhash64("vec").alias("q")).join(top, "q")
+    asks = asking.select(F.col("id").alias("query_id"), "q").join(top, "q")
     others = F.slice(F.filter("near", lambda r: r["id"] != F.col("query_id")), 1, k)
-    return own.select("query_id", F.posexplode(others).alias("at", "r")).select(
+    return asks.select("query_id", F.posexplode(others).alias("at", "r")).select(
         "query_id", (F.col("at") + 1).alias("rank"), F.col("r.id").alias("vec_id"), F.col("r.score").alias("score"))

@@ -167,6 +167,27 @@ def test_ann_small_tables_are_exact(spark):
     assert ann.search(df.limit(0), F.col("id") == 0).count() == 0
 
 
+def test_ann_repeated_ids(spark):
+    """Copies of a row, ids with several vectors, and an id that holds most vectors."""
+    rng = np.random.default_rng(3)
+    vec = lambda: [float(x) for x in rng.standard_normal(6).astype(np.float32)]
+    one, big = vec(), 20 + 2 ** 60
+    rows = [(i, vec()) for i in range(100)]
+    rows += [(0, rows[0][1])] * 40 + [(20, rows[20][1])] + [(3, rows[3][1])] * 30  # stored again
+    rows += [(40, vec()) for _ in range(12)] + [(5, vec()) for _ in range(3)] + [(big, vec()) for _ in range(300)]
+    rows += [(i, one) for i in (40, 60, 60, 80, 101, 102, 103)] + [(big, one)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")
+    distinct = sorted({(i, tuple(v)) for i, v in rows})
+    for k in (5, 20):
+        want = Counter()
+        for i, v in distinct:
+            if i in (0, 20, 40, 60, 80, big):
+                found = sorted((-float((np.array(v) * np.array(w)).sum()), j) for j, w in distinct if j != i)[:k]
+                want.update((i, n + 1, j, round(-s, 6)) for n, (s, j) in enumerate(found))
+        got = ann.search(df, F.col("id").isin(0, 20, 40, 60, 80, big), k=k).collect()
+        assert Counter((r["query_id"], r["rank"], r["vec_id"], round(r["score"], 6)) for r in got) == want
+
+
 def test_ann_recall(spark):
     df = spark.read.parquet(f"{SF}/embeddings.parquet")
     rows = [(r["vec_id"], r["embedding"]) for r in df.collect()]
