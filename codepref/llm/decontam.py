@@ -203,15 +203,17 @@ def search(index: DataFrame, wins: dict[tuple[bytes, ...], list[int]], slack: in
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, slack: int = 0,
-                  block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """(doc_id, n_words, matches) per row of ``docs``. Where the test items fill
+                  block_bytes: int = BLOCK_BYTES, row: str | None = None) -> DataFrame:
+    """(doc_id, n_words, matches) per row of ``docs``; with ``row``, a column that
+    numbers the rows, also that column. Where the test items fill
     several blocks, the documents are written once with row numbers and each
     one's matches are gathered over the blocks."""
     items = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), F.col("text").cast("string").alias("text"))
     items = items.where("item_id is not null and text is not null").distinct()
     total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     n = max(1, -(-total // block_bytes))
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("bigint").alias("doc_id"),
+    number = F.col(row) if row else F.monotonically_increasing_id()
+    rows = docs.select(number.alias("row"), F.col("doc_id").cast("bigint").alias("doc_id"),
                        F.col("text").cast("string").alias("text"))
     rows = rows if n == 1 else materialize(rows)
     found = []
@@ -220,11 +222,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, sla
         wins = windows(held, size)
         index = build_index(rows, sorted({t for w in wins for t in w}), size + 2 * slack + 1)
         found.append(search(index, wins, slack))
-    if n == 1:
-        return found[0].drop("row")
-    return (reduce(DataFrame.unionByName, found).groupBy("row")
-            .agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"),
-                 F.flatten(F.collect_list("matches")).alias("matches")).drop("row"))
+    out = found[0] if n == 1 else (
+        reduce(DataFrame.unionByName, found).groupBy("row")
+        .agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"),
+             F.flatten(F.collect_list("matches")).alias("matches")))
+    return out.withColumnRenamed("row", row) if row else out.drop("row")
 
 
 def digest(found: DataFrame) -> DataFrame:

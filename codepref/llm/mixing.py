@@ -57,13 +57,14 @@ def source_targets(sized: DataFrame, weights: Sequence[int] = WEIGHTS, repeats:
 
 
 def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, repeats: int = REPEATS, share: float = 1.0,
-        seed: str = ":mix") -> DataFrame:
+        seed: str = ":mix", row: str | None = None) -> DataFrame:
     """(doc_id, size, source_size, target, taken, copies, finish) per row of
-    ``docs``: words and copies the mix takes, and the first copy's finish time."""
+    ``docs``: words and copies the mix takes, and the first copy's finish time.
+    With ``row``, a column that numbers the rows, also that column."""
+    tie = F.col(row) if row else F.monotonically_increasing_id()
     sized = materialize(docs.select("doc_id", F.col("source").cast("string").alias("source"),
-                                    size_in_words(F.col("text")).alias("size"))
-                        .withColumn("h", hash60(F.col("doc_id"), seed))
-                        .withColumn("tie", F.monotonically_increasing_id()))
+                                    size_in_words(F.col("text")).alias("size"), tie.alias("tie"))
+                        .withColumn("h", hash60(F.col("doc_id"), seed)))
     src = materialize(source_targets(sized, weights, repeats, share))
     named = sized.withColumn("k", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("")))
     keyed = src.select(F.coalesce(F.concat(F.lit("s"), "source"), F.lit("")).alias("k"), "idx", "source_size", "target")
@@ -75,6 +76,7 @@ def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, repeats: int = REPEAT
     merged = running_total(turns, [], ["finish", "idx", "pass", "h", "doc_id", "tie"], "size", "total")
     budget = src.agg(F.coalesce(F.sum("source_size"), F.lit(0))).first()[0] * share
     kept = F.col("total") <= F.lit(float(budget))
-    return (merged.groupBy("tie", "doc_id", "size", "source_size", "target")
+    taken = (merged.groupBy("tie", "doc_id", "size", "source_size", "target")
             .agg(F.sum(F.when(kept, F.col("size")).otherwise(0)).alias("taken"), F.count(F.when(kept, 1)).alias("copies"),
-                 F.min("finish").alias("finish")).drop("tie"))
+                 F.min("finish").alias("finish")))
+    return taken.withColumnRenamed("tie", row) if row else taken.drop("tie")

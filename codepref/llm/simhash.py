@@ -116,16 +116,19 @@ def links(prints: DataFrame, radius: int = 2, parts: int = 2) -> DataFrame:
     return near.where(~earlier).select("a", "b")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2, parts: int = 2) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2, parts: int = 2, row: str | None = None) -> DataFrame:
     """(doc_id, fp, component_id) per row of ``docs``; component_id is the
-    smallest doc_id reachable over links of at most ``radius`` bits."""
-    prints = materialize(docs.select("doc_id", fingerprint(F.col("text"), shingle).alias("fp")))
+    smallest doc_id reachable over links of at most ``radius`` bits. With ``row``,
+    a column that numbers the rows, also that column and ``root``, the component's
+    smallest fingerprint."""
+    more = [F.col(row)] if row else []
+    prints = materialize(docs.select("doc_id", *more, fingerprint(F.col("text"), shingle).alias("fp")))
     distinct = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
     member = components(links(distinct.select("fp"), radius, parts)).withColumnRenamed("node", "fp")
     grouped = distinct.join(member, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = grouped.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    by_print = materialize(grouped.join(least, "root").select("fp", "component_id"))
-    return prints.join(by_print, "fp").select("doc_id", "fp", "component_id")
+    by_print = materialize(grouped.join(least, "root").select("fp", "component_id", "root"))
+    return prints.join(by_print, "fp").select("doc_id", "fp", "component_id", *([*more, "root"] if row else []))
 
 
 def hex16(fp: Column) -> Column:

@@ -191,3 +191,30 @@ def test_pipeline_awkward_inputs(spark, tmp_path):
                 assert len(rows) == docs.count()
             else:
                 assert out.columns == docs.columns
+
+
+def test_pipeline_decides_per_row(spark, tmp_path):
+    """Rows without an id, and rows with one id and different texts."""
+    import corpus_pipeline as cp
+
+    stage = dict(cp.STAGES)
+    window = "one two three four five six seven eight nine ten"
+    spark.createDataFrame([(1, window)], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    text = lambda i: " ".join(f"w{i}x{j}" for j in range(30))
+    rows = [(None, f"{text(1)} {window}", "a"), (None, text(2), "a"), (None, text(2), "b"), (None, text(3), "b"),
+            (7, f"{window} {text(4)}", "a"), (7, text(5), "a"), (7, text(5), "a"), (8, text(6), "b"), (7, text(6), "b"), (None, text(6), "b")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    clean = stage["benchmark_decontamination"](spark, docs, str(tmp_path)).collect()
+    assert Counter(map(tuple, clean)) == Counter(r for r in rows if window not in r[1])
+
+    kept = stage["simhash_near_dedup"](spark, docs, str(tmp_path)).collect()
+    assert Counter((r["doc_id"], r["text"]) for r in kept) == Counter([
+        (None, rows[0][1]), (None, text(2)), (None, text(3)), (7, rows[4][1]), (7, text(5)), (7, text(6))])
+
+    # one source is taken three times, the other once in part; the budget is the number of words
+    many = [(None if i % 2 else 1, f"{text(i)} {'y ' * (i % 7)}", "big" if i % 10 else "few") for i in range(200)]
+    docs = spark.createDataFrame(many, "doc_id bigint, text string, source string")
+    mixed = stage["mixing_to_weights"](spark, docs, str(tmp_path)).collect()
+    n = Counter(r["text"] for r in mixed)
+    assert set(n.values()) >= {1} and max(n.values()) <= 3 and len(n) < len(many)
+    assert sum(len(r["text"].split()) for r in mixed) <= sum(len(t.split()) for _, t, _ in many)
