@@ -3,7 +3,11 @@
 A message's lines are parsed into quote levels (leading ">" marks). Its paragraphs
 (lines of one level between blank lines) are normalised and hashed; quoted ones
 are joined, within their thread, to the message that first wrote a paragraph with
-the same hash at level 0. The parent of a message is what it quotes at its
+the same hash at level 0. A quoted paragraph that is found nowhere is linked by its
+lines and sentences (of at least ``MIN_UNIT`` characters, normalised) to the message
+that first wrote most of them, so a quote of a part of a paragraph, or one that
+answers cut into pieces, is linked too; parts of a sentence that are no line are
+not. The parent of a message is what it quotes at its
 lowest linked level: the message with most linked paragraphs, the latest of
 several. Messages come back without quotes, in reply order: each root's
 replies stay together, and a reply comes after what it replies to.
@@ -29,6 +33,8 @@ from codepref.llm.common import make_way, materialize, one_of, running_total
 
 # A line that introduces a quote ("On Monday, A wrote:").
 INTRODUCTION = r"(?i)^\s*(on|am|le|el)\b.{0,200}:\s*$|^.{0,100}\b(wrote|said|writes|schrieb|a écrit|escribió)\s*:\s*$"
+# Lines and sentences below this many characters link nothing by themselves.
+MIN_UNIT = 10
 _CUT, _LEVEL = "\u0002", "\u0001"
 
 
@@ -63,7 +69,7 @@ def paragraphs(lines: Column) -> Column:
         follows = ((i > 0) & (before["level"] == x["level"])
                    & (F.trim(F.translate(before["body"], "\t", " ")) != ""))
         head = F.when(follows, F.lit("\n")).otherwise(F.concat(F.lit(_CUT), x["level"].cast("string"), F.lit(_LEVEL)))
-        skip = (x["level"] == 0) & (F.coalesce(F.get(lines, i + 1)["level"], F.lit(0)) > 0) & x["body"].rlike(INTRODUCTION)
+        skip = (F.coalesce(F.get(lines, i + 1)["level"], F.lit(0)) > x["level"]) & x["body"].rlike(INTRODUCTION)
         return F.when(blank | skip, F.lit("")).otherwise(F.concat(head, x["body"]))
 
     joined = F.array_join(F.transform(lines, piece), "")
@@ -74,20 +80,50 @@ def normalised(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(text), r"\s+", " "))
 
 
-def passages(messages: DataFrame) -> DataFrame:
-    """(thread, position, level, hash, n) of the paragraphs of (thread, position, lines)."""
+def pieces(messages: DataFrame) -> DataFrame:
+    """(thread, position, level, raw, hash) per paragraph of (thread, position, lines)."""
     cut = messages.select("thread", "position", F.explode(paragraphs(F.col("lines"))).alias("p"))
     parts = cut.select("thread", "position", F.substring_index("p", _LEVEL, 1).cast("int").alias("level"),
-                       normalised(F.substring_index("p", _LEVEL, -1)).alias("text"))
-    return (parts.where("text <> ''").groupBy("thread", "position", "level", F.md5(F.col("text").cast("binary")).alias("hash"))
-            .agg(F.count(F.lit(1)).alias("n")))
+                       F.substring_index("p", _LEVEL, -1).alias("raw")).withColumn("text", normalised(F.col("raw")))
+    return parts.where("text <> ''").withColumn("hash", F.md5(F.col("text").cast("binary"))).drop("text")
 
 
-def reply_links(parts: DataFrame) -> DataFrame:
-    """(thread, position, parent, n_quoted, n_linked) of messages that quote."""
+def passages(messages: DataFrame) -> DataFrame:
+    """(thread, position, level, hash, n) of the paragraphs of (thread, position, lines)."""
+    return pieces(messages).groupBy("thread", "position", "level", "hash").agg(F.count(F.lit(1)).alias("n"))
+
+
+def units(raw: Column) -> Column:
+    """array<string>: hashes of a paragraph's different lines and sentences."""
+    sentences = F.split(normalised(raw), r"(?<=[.!?\u2026])\s+")
+    both = F.concat(F.transform(F.split(raw, "\n"), normalised), sentences)
+    long = F.filter(both, lambda u: F.length(u) >= MIN_UNIT)
+    return F.array_distinct(F.transform(long, lambda u: F.md5(u.cast("binary"))))
+
+
+def sources(parts: DataFrame) -> DataFrame:
+    """(thread, position, level, hash, n, source) of the quoted paragraphs; source is null where there is none."""
     first = parts.where("level = 0").groupBy("thread", "hash").agg(F.min("position").alias("source"))
     quoted = parts.where("level > 0").join(first, ["thread", "hash"], "left")
-    quoted = quoted.withColumn("source", F.when(F.col("source") < F.col("position"), F.col("source")))
+    return quoted.withColumn("source", F.when(F.col("source") < F.col("position"), F.col("source")))
+
+
+def partial_sources(messages: DataFrame, lost: DataFrame) -> DataFrame:
+    """(thread, position, level, hash, part_source) of those of the quoted paragraphs
+    ``lost`` (thread, position, level, hash) of which an earlier message wrote lines
+    or sentences: the one with most of them, the latest of several."""
+    key = ["thread", "position", "level", "hash"]
+    cut = pieces(messages)
+    asked = (cut.where("level > 0").join(lost, key, "left_semi")
+             .select(*key, F.explode(units(F.col("raw"))).alias("unit")).distinct())
+    own = cut.where("level = 0").select("thread", "position", F.explode(units(F.col("raw"))).alias("unit"))
+    first = own.groupBy("thread", "unit").agg(F.min("position").alias("source"))
+    met = asked.join(first, ["thread", "unit"]).where("source < position").groupBy(*key, "source").agg(F.count(F.lit(1)).alias("m"))
+    return met.groupBy(*key).agg(F.max(F.struct("m", "source")).alias("best")).select(*key, F.col("best.source").alias("part_source"))
+
+
+def reply_links(quoted: DataFrame) -> DataFrame:
+    """(thread, position, parent, n_quoted, n_linked) of messages that quote."""
     per = quoted.groupBy("thread", "position", "level", "source").agg(F.sum("n").alias("n"))
     linked = F.col("source").isNotNull()
     best = F.max(F.when(linked, F.struct((-F.col("level")).alias("l"), F.col("n").alias("n"), F.col("source").alias("source"))))
@@ -123,8 +159,12 @@ def link(messages: DataFrame, thread: str = "conv_id", position: str = "turn", t
     rows = messages.select(*key, F.col(f"`{text}`").cast("string").alias("text"))
     known = rows.where("thread is not null and position is not null").groupBy("thread", "position").agg(F.min("text").alias("text"))
     lines = known.select("thread", "position", parsed_lines(F.col("text")).alias("lines"))
-    parts = materialize(passages(lines))
-    links = reply_links(parts)
+    quoted = materialize(sources(materialize(passages(lines))))
+    lost = quoted.where("source is null").select("thread", "position", "level", "hash")
+    if not lost.isEmpty():
+        quoted = quoted.join(partial_sources(lines, lost), ["thread", "position", "level", "hash"], "left")
+        quoted = quoted.withColumn("source", F.coalesce("source", "part_source")).drop("part_source")
+    links = reply_links(quoted)
     tree = materialize(known.select("thread", "position").join(links, ["thread", "position"], "left"))
     placed = roots(tree).withColumn("one", F.lit(1).cast("bigint"))
     ordered = running_total(placed, ["thread"], ["root", "position"], "one", "reply_order").drop("one")

@@ -128,6 +128,22 @@ def test_quotes_by_hand(spark):
     assert quotes.link(df.limit(0)).count() == 0
 
 
+def test_partial_quotes(spark):
+    """One line or sentence of a paragraph, answers between, and introductions inside of quotes."""
+    first = "Can you send the report today? I also need\nthe list of names.\nAnd please call Bob at noon"
+    rows = [(1, 0, first), (1, 1, "> And please call Bob at noon\nI did."), (1, 2, "> i also need the  list of names.\nHere it is."),
+            (1, 3, "> Can you send the report today?\nYes.\n> I also need\n> the list of names.\nLater.\n> And please call Bob at noon\nDone."),
+            (1, 4, "> Can you send the report tomorrow\nquotes nobody"), (1, 5, "> later line that is long\nx"), (1, 6, "later line that is long\ny"),
+            (2, 0, "Hello all"), (2, 1, "Yes I do\nOn Monday, A wrote:\n> Hello all"),
+            (2, 2, "> Yes I do\n> On Monday, A wrote:\n> > Hello all\n\nFine"),
+            (2, 3, "> > Yes I do\n> > On Monday, A wrote:\n> > > Hello all\n> \n> Fine\nBye")]
+    got = {(r["conv_id"], r["turn"]): r for r in quotes.link(spark.createDataFrame(rows, "conv_id bigint, turn bigint, text string")).collect()}
+    assert {k: r["parent"] for k, r in got.items()} == {
+        (1, 0): None, (1, 1): 0, (1, 2): 0, (1, 3): 0, (1, 4): None, (1, 5): None, (1, 6): None, (2, 0): None, (2, 1): 0, (2, 2): 1, (2, 3): 2}
+    assert (got[1, 3]["n_quoted"], got[1, 3]["n_linked"], got[1, 3]["own_text"]) == (3, 3, "Yes.\nLater.\nDone.")
+    assert [(got[2, t]["n_quoted"], got[2, t]["n_linked"]) for t in (1, 2, 3)] == [(1, 1), (2, 2), (3, 3)]
+
+
 def test_long_chain_and_copies(spark):
     """A chain of 300 replies and a thread that repeats one text."""
     rows = [(1, i, f"message {i}") for i in range(300)] + [(2, i, "same text") for i in range(200)]
