@@ -2,8 +2,10 @@
 
 One zstandard dictionary is trained on good and one on bad labelled texts. A
 text is compressed whole with each; the normalised difference of the two sizes,
-next to the normalised sizes themselves, goes through a logistic calibration
-that is fitted on labelled texts which the dictionaries have not seen.
+next to the normalised sizes themselves and the log of the text's length, goes
+through a logistic calibration that is fitted on labelled texts which the
+dictionaries have not seen. The length is a feature of its own, so by itself it
+can move a text over the threshold; the README has figures without it.
 
 Defined cases: a null text counts as empty; an empty text gets the calibration's
 value for empty compressed sizes; labels that are null, or differ for one
