@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codepref.llm import ann, decontam, linedup, mixing, ppm, quality, quotes, sharding, simhash, warc
+from codepref.llm import (
+    ann, decontam, htmltext, linedup, mixing, phrases, ppm, quality, quotes, sharding, simhash, spelling, warc)
 from codepref.llm.common import crc_mod, materialize, scratch, table
 
 
@@ -161,8 +162,71 @@ def op10_ppm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
                          "base_score", "score")
 
 
+def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents").select("lang", "text"))
+
+
+# All phrases of up to five words are written out and counted.
+OP11_SQL = r"""
+WITH p AS (SELECT lang, row_number() OVER () AS pid, regexp_extract_all(piece, '[^\x20\x09]+') AS w
+    FROM (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''),
+      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents)),
+g AS (SELECT lang, len, array_to_string(w[i:i + len - 1], ' ') AS phrase
+    FROM (SELECT lang, w, len, unnest(range(1, len(w) - len + 2)) AS i FROM p, (SELECT unnest([1, 2, 3, 4, 5]) AS len) WHERE len(w) >= len)),
+f AS (SELECT lang, phrase, len, count(*) AS f FROM g GROUP BY ALL),
+n AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM p GROUP BY lang),
+c AS (SELECT lang, phrase, string_split(phrase, ' ') AS w, len, f AS a FROM f WHERE len > 1 AND f >= 100),
+inner_ AS (SELECT lang, array_to_string(w[s:s + m - 1], ' ') AS phrase, max(a) AS above
+    FROM (SELECT lang, w, a, m, unnest(range(1, len - m + 2)) AS s FROM c, (SELECT unnest([2, 3, 4]) AS m) WHERE m < len) GROUP BY ALL),
+kept AS (SELECT c.* FROM c LEFT JOIN inner_ i ON c.lang = i.lang AND c.phrase = i.phrase WHERE above IS NULL OR 100 * above < 100 * a),
+cut AS (SELECT lang, phrase, w, a, len, unnest(range(1, len)) AS k FROM kept),
+s AS (SELECT cut.lang, cut.phrase, k, a, x.f AS l, y.f AS r, n,
+      CAST((1000::HUGEINT * a * n) // (x.f::HUGEINT * y.f) AS BIGINT) AS score
+    FROM cut JOIN f x ON x.lang = cut.lang AND x.phrase = array_to_string(w[1:k], ' ')
+    JOIN f y ON y.lang = cut.lang AND y.phrase = array_to_string(w[k + 1:cut.len], ' ') JOIN n ON n.lang = cut.lang),
+best AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM best QUALIFY rank <= 2000
+"""
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group(spelling.words(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+# crc32 by its table (polynomial EDB88320); neighbours by their texts without one code point.
+OP12_SQL = r"""
+WITH RECURSIVE crc AS (SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce([i] || range(8),
+    lambda c, _: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM (SELECT unnest(range(256)) AS i))),
+run AS (SELECT doc, run, count(*) AS k FROM (SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS doc,
+    unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{00C0}-\x{00FF}]{7,}')) AS run
+    FROM documents) GROUP BY ALL),
+hexed AS (SELECT run, k, hex(encode(doc || ':' || run)) AS x FROM run),
+hashed AS (SELECT run, k, xor(list_reduce([4294967295] || list_transform(range(1, len(x), 2), lambda p: ('0x' || substr(x, p::INT, 2))::BIGINT),
+    lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) AS h FROM hexed, crc),
+vocab AS (SELECT word, CAST(sum(k) AS BIGINT) AS n FROM (SELECT k, CASE WHEN h % 31 = 0
+    THEN left(run, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2) ELSE run END AS word FROM hashed)
+    WHERE length(word) >= 7 GROUP BY word HAVING n >= 2),
+less AS (SELECT word, n, p, left(word, p::INT) || substr(word, p::INT + 2) AS cut FROM (SELECT *, unnest(range(length(word))) AS p FROM vocab)),
+pair AS (SELECT a.word, b.word AS near FROM less a JOIN less b ON a.cut = b.cut AND a.p = b.p AND a.word <> b.word
+    UNION SELECT l.word, v.word FROM less l JOIN vocab v ON l.cut = v.word
+    UNION SELECT v.word, l.word FROM less l JOIN vocab v ON l.cut = v.word),
+best AS (SELECT p.word, count(*) AS n_near, arg_min(v.word, (-v.n, v.word)) AS top, max(v.n) AS m FROM pair p JOIN vocab v ON v.word = p.near GROUP BY p.word),
+formed AS (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 10 * n THEN top END AS form, CASE WHEN m >= 10 * n THEN m END AS form_n
+    FROM vocab v LEFT JOIN best USING (word)),
+up AS (SELECT word, word AS root, 0 AS steps FROM formed UNION ALL SELECT up.word, f.form, steps + 1 FROM up JOIN formed f ON f.word = up.root WHERE f.form IS NOT NULL)
+SELECT f.word, form, u.root, n, n_near, form_n FROM formed f JOIN (SELECT word, arg_max(root, steps) AS root FROM up GROUP BY word) u USING (word)
+"""
+
+
+def op13_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.main_text(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_warc_transactions, op2_extendible_sharding, op3_compression_classifier, op4_simhash_multi_index,
-                            op5_positional_index, op6_adaptive_scan, op7_quotation_linking, op8_fair_queueing, op9_line_dedup, op10_ppm_scoring)}
+                            op5_positional_index, op6_adaptive_scan, op7_quotation_linking, op8_fair_queueing, op9_line_dedup, op10_ppm_scoring,
+                            op11_phrase_collocations, op12_spelling_variants, op13_main_text)}
 ORACLES: dict[str, str] = {"op1_warc_transactions": OP1_SQL, "op2_extendible_sharding": OP2_SQL, "op5_positional_index": OP5_SQL,
-                           "op8_fair_queueing": OP8_SQL, "op9_line_dedup": OP9_SQL}
+                           "op8_fair_queueing": OP8_SQL, "op9_line_dedup": OP9_SQL, "op11_phrase_collocations": OP11_SQL,
+                           "op12_spelling_variants": OP12_SQL}
