@@ -3,9 +3,9 @@
 * V1 Python: the code compiles with the stdlib ``compile``. This is the only
   check that needs Python, so it is a scalar pandas UDF: one Arrow column in,
   one boolean column out, and only Python rows are sent (others pass NULL).
-* V2 Java / Kotlin: a native structural check. Strings and comments are
-  removed by one regex, the brackets are folded with ``aggregate`` over a
-  string stack. No subprocess, no Python.
+* V2 Java / Kotlin: a native structural check, see ``structure``. ``balanced`` is the
+  brackets alone: strings and comments are removed by one regex, the brackets are
+  folded with ``aggregate`` over a string stack. No subprocess, no Python.
 * V3 class wrappers, V4 lenient verdict, V6 failure counts are projections
   and one aggregate.
 """
@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from codepref.operators.structure import well_formed
+
 LANGUAGES = ("java", "python", "kotlin")
 
 # String / comment syntax removed before bracket matching (RE2 form,
@@ -53,14 +55,22 @@ def _fold_brackets(stripped: Column) -> Column:
 
 
 def balanced(code: Column, language: Column | str = "java") -> Column:
-    """V2: brackets balanced and never closed before opened, ignoring strings
-    and comments. ``language`` picks the comment syntax."""
+    """Brackets balanced and never closed before opened, ignoring strings and
+    comments. ``language`` picks the comment syntax. :func:`structural` is the whole V2."""
     lang = F.lit(language) if isinstance(language, str) else language
     stripped = F.when(lang == "python", F.regexp_replace(code, PYTHON_NOISE_JAVA, "")) \
                 .otherwise(F.regexp_replace(code, C_LIKE_NOISE_JAVA, ""))
     return _fold_brackets(stripped)
 
 
+def structural(code: Column, language: Column) -> Column:
+    """V2: Java and Kotlin code is well formed; of Python only the brackets are checked."""
+    expr = F.when(language == "python", balanced(F.when(language == "python", code), "python"))
+    for lang in ("java", "kotlin"):
+        expr = expr.when(language == lang, well_formed(F.when(language == lang, code), lang))
+    return expr
+
+
 def _compile_reason(src):
     if src is None:
         return None
@@ -99,7 +109,8 @@ def valid_code(code: Column, language: Column, checkers: dict | None = None) ->
     expr = F.when(language == "python", py_flag)
     for lang in ("java", "kotlin"):
         fn = checkers.pop(lang, None)
-        expr = expr.when(language == lang, fn(code) if fn else balanced(code, F.lit(lang)))
+        own = F.when(language == lang, code)
+        expr = expr.when(language == lang, fn(code) if fn else well_formed(own, lang))
     for lang, fn in checkers.items():
         expr = expr.when(language == lang, fn(code))
     return expr.otherwise(F.raise_error(F.concat(F.lit("language not supported: "), language)))

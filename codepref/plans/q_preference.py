@@ -12,7 +12,7 @@ from codepref.operators.preference import (build_dpo, build_kto, flag_from_label
                                           preference_counters)
 from codepref.operators.sampling import materialize
 from codepref.operators.sanitize import sanitize
-from codepref.operators.validity import balanced, failure_counts, lenient_verdict, python_compiles, wrap_in_class
+from codepref.operators.validity import balanced, failure_counts, lenient_verdict, python_compiles, structural, wrap_in_class
 from codepref.plans.catalog import register
 from codepref.plans.sql_parts import sql_balanced, sql_corrupt, sql_eligible, sql_extract, sql_hash, sql_remove_markers
 from codepref.sources.fixtures import BROKEN_SQL, oracle_ctes, view
@@ -168,12 +168,12 @@ SELECT row_id, language, {sql_balanced("function_def || chr(10) || code_completi
 FROM code_base
 """)
 def v02_balanced(spark, sf_dir):
-    """V2: native bracket balance of references and raw predictions."""
+    """V2: native structural check of references and raw predictions."""
     b = _base(spark, sf_dir)
     lang = F.col("language")
     return b.select("row_id", "language",
-                    balanced(whole_function(F.col("function_def"), F.col("code_completion")), lang).alias("ref_ok"),
-                    balanced(F.col("prediction"), lang).alias("pred_ok"))
+                    structural(whole_function(F.col("function_def"), F.col("code_completion")), lang).alias("ref_ok"),
+                    structural(F.col("prediction"), lang).alias("pred_ok"))
 
 
 @register("v03_wrap", oracle_ctes("code_base") + """

@@ -34,7 +34,6 @@ SYMBOLS = [*"{}()[];,.+-*/&|^%!~?:<>='", '"']
 PYTHON_SYMBOLS = ["#"]
 BRACKETS = "[][(){}]"
 LINE_STRING = r'"[^"\\\n]*(?:\\.[^"\\\n]*)*"' + r"|'[^'\\\n]*(?:\\.[^'\\\n]*)*'"
-C_LIKE_NOISE = r'(?s)""".*?"""|' + LINE_STRING + r"|/\*.*?\*/|//[^\n]*"
 PYTHON_NOISE = r'(?s)""".*?"""|' + r"'''.*?'''|" + LINE_STRING + r"|#[^\n]*"
 # Unicode white space, as str.strip sees it.
 UNICODE_SPACE = "[\\t-\\r\\x1c-\\x20\\x{85}\\p{Z}]"
@@ -71,15 +70,50 @@ def sql_extract(o: str, p: str) -> str:
             f"FROM (SELECT {ls} AS _ls)))")
 
 
+# V2: every token of the code, literals and comments whole, as RE2 reads them.
+TRIPLE = {"java": r'"""(?:[^"\\]|\\(?s:.)|"[^"]|""[^"])*"""', "kotlin": r'"""(?s:.*?)""""*'}
+CHARACTER = r"'(?:[^'\\\n]|\\u+[0-9a-fA-F]{4}|\\[0-7]{1,3}|\\[^\n])'"
+TOKENS = {k: v + r'|"(?:[^"\\\n]|\\.)*"|' + CHARACTER + r"|/\*(?s:.*?)\*/|//[^\n]*|[\"']|@?[\p{L}_][\p{L}\p{N}_$]*"
+          r"|\p{N}[\p{L}\p{N}_]*(?:\.\p{N}[\p{L}\p{N}_]*)?|/\*|\*/|[-+*/%&|^!=<>?:~]+|[][(){},;]|\.+|\n" for k, v in TRIPLE.items()}
+PRIMITIVE = ["boolean", "byte", "char", "double", "float", "int", "long", "short", "void"]
+CONTEXTUAL = """true false null exports module non open opens permits provides record requires sealed to transitive uses
+    var when with yield""".split()
+
+
+def _kinds(code: str, lang: str) -> str:
+    """The kinds of a code's tokens but for comments, as a list."""
+    tokens = f"CASE {lang} WHEN 'java' THEN regexp_extract_all({code}, {q(TOKENS['java'])}) ELSE regexp_extract_all({code}, {q(TOKENS['kotlin'])}) END"
+    words = sql_list([w for w in KEYWORDS["java"] if w not in PRIMITIVE] + CONTEXTUAL)
+    kind = (f"CASE WHEN x = chr(10) THEN 'newline' WHEN x IN (chr(34), chr(39), '/*', '*/') THEN 'broken' WHEN x[1] IN (chr(34), chr(39)) THEN 'value' "
+            f"WHEN regexp_matches(x, '^[][(){{}},;]') THEN x WHEN x[1] = '@' THEN 'note' WHEN regexp_matches(x, '^\\p{{N}}') THEN 'value' "
+            f"WHEN regexp_matches(x, '^[\\p{{L}}_]') THEN CASE WHEN {lang} <> 'java' THEN 'name' WHEN list_contains({sql_list(PRIMITIVE)}, x) "
+            f"THEN 'primitive' WHEN list_contains({words}, x) THEN 'keyword' ELSE 'name' END WHEN x[1] = '.' OR x = '*' THEN 'dot' "
+            f"ELSE concat(CASE WHEN contains('=/%|^<>&*', x[1]) THEN 'after' ELSE '' END, '-', CASE WHEN contains('=+-*/%&|^', x[-1]) "
+            f"AND x NOT IN ('++', '--') THEN 'before' ELSE '' END) END")
+    kept = (f"list_filter({tokens}, lambda x: NOT starts_with(x, '//') AND NOT (starts_with(x, '/*') AND len(x) > 2) "
+            f"AND NOT (x = chr(10) AND {lang} = 'java'))")
+    return f"list_transform({kept}, lambda x: {kind})"
+
+
 def sql_balanced(code: str, lang: str) -> str:
-    """V2 in DuckDB."""
-    stripped = (f"CASE WHEN {lang} = 'python' THEN regexp_replace({code}, {q(PYTHON_NOISE)}, '', 'g') "
-                f"ELSE regexp_replace({code}, {q(C_LIKE_NOISE)}, '', 'g') END")
+    """V2 in DuckDB: neighbours in the list of tokens, and the brackets among them.
+    Templates and nested comments are left to the tests."""
+    bare = f"regexp_replace({code}, {q(PYTHON_NOISE)}, '', 'g')"
     step = ("CASE WHEN acc = '!' THEN '!' WHEN x IN ('(', '[', '{') THEN x || acc "
             "WHEN substr(acc, 1, 1) = CASE x WHEN ')' THEN '(' WHEN ']' THEN '[' ELSE '{' END "
             "THEN substr(acc, 2) ELSE '!' END")
-    return (f"(list_reduce(regexp_extract_all({stripped}, {q(BRACKETS)}), "
-            f"lambda acc, x: {step}, '') = '')")
+    fold = f"list_reduce(list_filter(_k, lambda x: x IN ('(', ')', '[', ']', '{{', '}}')), lambda acc, x: {step}, '') = ''"
+    pair = ("(_s[i + 1] = 'broken' OR (ends_with(_s[i], '-before') AND (_s[i + 1] IN (')', ']', '}', ';', ',') OR starts_with(_s[i + 1], 'after-'))) "
+            "OR (_s[i] IN ('(', '[', ',') AND _s[i + 1] = ',') OR (_s[i] = ',' AND _s[i + 1] = ';'))")
+    line = ("(_k[i] = 'value' AND _k[i + 1] = 'value') OR (_java AND ((_k[i] = ',' AND _k[i + 1] IN (')', ']')) "
+            "OR (_k[i] = 'primitive' AND _k[i + 1] IN ('primitive', 'keyword', 'value')) OR (_k[i] = 'value' AND _k[i + 1] = 'name') "
+            "OR (_k[i] = 'name' AND _k[i + 1] = 'value') OR (_k[i] = 'name' AND _k[i + 1] = 'name' AND _k[i + 2] = 'name')))")
+    wrong = (f"len(list_filter(range(0, len(_s)::BIGINT), lambda i: coalesce({pair}, false))) > 0 "
+             f"OR len(list_filter(range(1, len(_k)::BIGINT), lambda i: coalesce({line}, false))) > 0")
+    whole = (f"(SELECT NOT ({wrong}) AND {fold} FROM (SELECT _k, list_filter(_k, lambda x: x <> 'newline') AS _s, {lang} = 'java' AS _java "
+             f"FROM (SELECT {_kinds(code, lang)} AS _k)))")
+    python = f"(list_reduce(regexp_extract_all({bare}, {q(BRACKETS)}), lambda acc, x: {step}, '') = '')"
+    return f"(CASE WHEN {lang} = 'python' THEN {python} ELSE {whole} END)"
 
 
 def _words(lang: str) -> str:
