@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from codepref.operators.sampling import materialize
+
 
 def n_chunks(n: Column, size: int = 512, compat: bool = False) -> Column:
     """E1 chunk count: ceil(n / size); ``compat``: floor(n / size) + 1 (an exact
@@ -83,22 +85,29 @@ def fit_pair_scorer(pairs: DataFrame, a: str = "a", b: str = "b", label: str = "
     return lr.fit(data)
 
 
-def descend_pair_scorer(pairs: DataFrame, key: str = "p", a: str = "a", b: str = "b", label: str = "y",
+def descend_pair_scorer(pairs: DataFrame, a: str = "a", b: str = "b", label: str = "y",
                         steps: int = 3, rate: float = 1.0) -> DataFrame:
     """E5 by a fixed number of full-batch gradient steps from zero: one row
     (idx, weight) per component of a - b, averaged over the pairs.
 
-    Each step is two sums with map-side combine, of margins per pair and of
-    gradients per component; the weights (one number per component) stay a table."""
-    diff = F.zip_with(F.col(a), F.col(b), lambda x, y: x.cast("double") - y.cast("double"))
-    parts = pairs.select(key, F.col(label).cast("double").alias("y"), F.posexplode(diff).alias("idx", "d"))
-    n = pairs.count()
-    weights = parts.select("idx").distinct().withColumn("weight", F.lit(0.0))
-    for _ in range(steps):
-        both = parts.join(F.broadcast(weights), "idx")  # one row per component
-        margin = both.groupBy(key).agg(F.sum(F.col("weight") * F.col("d")).alias("m"))
-        error = F.col("y") - 1.0 / (1.0 + F.exp(-F.col("m")))
-        grad = parts.join(margin, key).groupBy("idx").agg(F.sum(error * F.col("d")).alias("g"))
-        weights = weights.join(F.broadcast(grad), "idx").select(
-            "idx", (F.col("weight") + F.lit(rate) * F.col("g") / F.lit(n)).alias("weight"))
-    return weights
+    The differences are written once. Each step is one aggregate over them: the margin
+    is computed in the row from the weights, a literal of one number per component, and
+    the gradients are added up as vectors with map-side combine. Only the sum comes to
+    the driver. Vectors of unequal length are an error; no pairs give no rows."""
+    from pyspark.ml.functions import array_to_vector
+    from pyspark.ml.stat import Summarizer
+
+    diff = F.when(F.size(a) == F.size(b), F.zip_with(F.col(a), F.col(b), lambda x, y: x.cast("double") - y.cast("double")))
+    d = materialize(pairs.select(F.coalesce(diff, F.raise_error(F.lit("vectors of unequal length"))).alias("d"),
+                                 F.col(label).cast("double").alias("y")))
+    spark = pairs.sparkSession
+    width = d.select(F.size("d")).first()
+    weights = [0.0] * (width[0] if width else 0)
+    for _ in range(steps if width else 0):
+        margin = F.aggregate(F.zip_with(F.col("d"), F.lit(weights), lambda x, w: x * w), F.lit(0.0), lambda acc, x: acc + x)
+        error = F.col("y") - 1.0 / (1.0 + F.exp(-margin))
+        rows = d.select("d", error.alias("e"))
+        part = rows.select(array_to_vector(F.transform("d", lambda x: x * F.col("e"))).alias("g"))
+        mean = part.select(Summarizer.mean(F.col("g"))).first()[0]
+        weights = [w + rate * float(g) for w, g in zip(weights, mean)]
+    return spark.createDataFrame(list(enumerate(weights)), "idx int, weight double")

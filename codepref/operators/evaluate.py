@@ -8,8 +8,10 @@ per task before the shuffle; windows only run over aggregated rows.
 
 from __future__ import annotations
 
-from collections import Counter
+import json
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -62,32 +64,98 @@ _OVERLAP = T.ArrayType(T.StructType([T.StructField(c, T.LongType()) for c in ("n
 _SEP = "\x01"
 
 
-def _overlap_of(cand: list[str], ref: list[str], max_n: int) -> list[tuple[int, int, int, int]]:
-    """(n, clipped matches, grams of each side) for n = 1..max_n."""
-    out = []
-    for n in range(1, max_n + 1):
-        grams = [Counter(zip(*(toks[i:] for i in range(n)))) for toks in (cand, ref)]
-        small, large = sorted(grams, key=len)
-        matches = sum(min(c, large[g]) for g, c in small.items() if g in large)
-        out.append((n, matches, max(0, len(cand) - n + 1), max(0, len(ref) - n + 1)))
+def _codes(texts: list[list[str]], ids: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+    """All texts' tokens as numbers, and the row of each."""
+    flat = [ids.setdefault(t, len(ids)) for ts in texts for t in ts]
+    return np.array(flat, np.int64), np.repeat(np.arange(len(texts)), [len(ts) for ts in texts])
+
+
+def _overlaps_of(cand: list[list[str]], ref: list[list[str]], max_n: int) -> np.ndarray:
+    """(rows, max_n): clipped matches of n = 1..max_n of each row's two texts, counted for
+    the whole batch at once: n-grams are numbered, counted per row and side, and the
+    smaller counts of what both sides have are added up per row."""
+    ids: dict[str, int] = {}
+    codes, rows = zip(_codes(cand, ids), _codes(ref, ids))
+    starts = [np.arange(len(c)) for c in codes]
+    grams = list(codes)
+    out = np.zeros((len(cand), max_n), np.int64)
+    for n in range(max_n):
+        if n:
+            for s in range(2):  # a gram goes on where its row has one more token
+                more = starts[s] + n < len(rows[s])
+                more[more] = rows[s][starts[s][more] + n] == rows[s][starts[s][more]]
+                starts[s] = starts[s][more]
+                grams[s] = grams[s][more] * len(ids) + codes[s][starts[s] + n]
+        number, which = np.unique(np.concatenate(grams), return_inverse=True)
+        grams, wide = [which[:len(grams[0])], which[len(grams[0]):]], max(1, len(number))
+        counted = [np.unique(rows[s][starts[s]] * wide + grams[s], return_counts=True) for s in range(2)]
+        both, i, j = np.intersect1d(counted[0][0], counted[1][0], assume_unique=True, return_indices=True)
+        np.add.at(out[:, n], both // wide, np.minimum(counted[0][1][i], counted[1][1][j]))
     return out
 
 
+def _slices(*sides: pd.Series, size: int = 4_000_000) -> Iterator[slice]:
+    """Slices of a batch that hold about ``size`` characters, or one row."""
+    lengths = sum(side.map(lambda s: len(s) if s else 0) for side in sides)
+    group = (lengths.cumsum() // size).to_numpy()
+    cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(group)]
+    return (slice(a, b) for a, b in zip(cuts, cuts[1:]) if b > a)
+
+
 def _overlap_column(candidate: Column, reference: Column, max_n: int) -> Column:
     """Per row, the overlaps of both token lists. Tokens are cut in the JVM and
     cross to Python as one joined string per side (one Arrow batch at a time);
     both sides of a pair are in the same row, so nothing is shuffled."""
     @F.pandas_udf(_OVERLAP)
     def overlaps(cand: pd.Series, ref: pd.Series) -> pd.Series:
-        def toks(s):
-            return s.split(_SEP) if s else []
-
-        return pd.Series([[dict(zip(("n", "matches", "cand_total", "ref_total"), r)) for r in _overlap_of(toks(c), toks(f), max_n)]
-                          for c, f in zip(cand, ref)])
+        out: list[list[dict]] = []
+        for part in _slices(cand, ref):
+            sides = [[s.split(_SEP) if s else [] for s in side.iloc[part]] for side in (cand, ref)]
+            found = _overlaps_of(*sides, max_n)
+            out += [[{"n": n + 1, "matches": m, "cand_total": max(0, len(c) - n), "ref_total": max(0, len(r) - n)}
+                     for n, m in enumerate(ms)] for ms, c, r in zip(found.tolist(), *sides)]
+        return pd.Series(out)
 
     return overlaps(F.array_join(tokens(candidate), _SEP), F.array_join(tokens(reference), _SEP))
 
 
+def common_subsequence(a: list[str], b: list[str]) -> int:
+    """The length of the longest common subsequence. A row of the table is one whole
+    number whose zero bits mark where the length grows (Crochemore et al., 2001), so two
+    texts of n tokens take n steps on n bits."""
+    if len(a) > len(b):
+        a, b = b, a
+    places: dict[str, int] = {}
+    for i, t in enumerate(a):
+        places[t] = places.get(t, 0) | 1 << i
+    full = (1 << len(a)) - 1
+    row = full
+    for t in b:
+        hit = row & places.get(t, 0)
+        if hit:
+            row = (row + hit | row - hit) & full
+    return len(a) - row.bit_count()
+
+
+@F.pandas_udf(T.LongType())
+def _subsequences(cand: pd.Series, ref: pd.Series) -> pd.Series:
+    return pd.Series([common_subsequence(c.split(_SEP) if c else [], r.split(_SEP) if r else []) for c, r in zip(cand, ref)], dtype="int64")
+
+
+def rouge_l(df: DataFrame, keys, candidate: str, reference: str, digits: int = 9) -> DataFrame:
+    """Per row the longest common subsequence of both token lists, and ROUGE-L
+    recall, precision and F1 from it (0 where a side has no tokens; null texts are empty)."""
+    keys = list(keys)
+    sides = {c: F.coalesce(tokens(F.col(t)), F.array().cast("array<string>")) for c, t in (("c", candidate), ("r", reference))}
+    d = df.select(*keys, *[F.array_join(v, _SEP).alias(f"_{c}") for c, v in sides.items()],
+                  *[F.size(v).cast("bigint").alias(f"_n{c}") for c, v in sides.items()])
+    d = d.withColumn("lcs", _subsequences("_c", "_r"))
+    rec, prec = (F.when(F.col(n) > 0, F.col("lcs") / F.col(n)).otherwise(0.0) for n in ("_nr", "_nc"))
+    f1 = F.when(F.col("lcs") > 0, 2 * rec * prec / (rec + prec)).otherwise(0.0)
+    return d.select(*keys, "lcs", F.round(rec, digits).alias("recall"), F.round(prec, digits).alias("precision"),
+                    F.round(f1, digits).alias("f1"))
+
+
 def ngram_overlap(df: DataFrame, keys, candidate: str, reference: str, max_n: int = 4) -> DataFrame:
     """A7 core, long form: per key and n, clipped n-gram matches and both
     totals (an order appears when either side has grams of that length)."""
@@ -132,6 +200,18 @@ def bleu(overlap: DataFrame, keys, max_n: int = 4, digits: int = 9) -> DataFrame
     return g.select(*keys, F.round(_bleu_score(ps, F.col("c_len"), F.col("r_len")), digits).alias("bleu"))
 
 
+def corpus_bleu(overlap: DataFrame, by=(), max_n: int = 4, digits: int = 9) -> DataFrame:
+    """BLEU of all of a group's pairs as one text: clipped matches and totals of the
+    long-form ``ngram_overlap`` are added up per order, then scored once."""
+    by = list(by)
+    sums = [F.sum(F.when(F.col("n") == n, F.col(c)).otherwise(0)).alias(f"{c}{n}") for n in range(1, max_n + 1)
+            for c in ("matches", "cand_total", "ref_total")]
+    g = overlap.groupBy(*by).agg(*sums)
+    ps = [F.coalesce(F.try_divide(f"matches{n}", f"cand_total{n}"), F.lit(0.0)) for n in range(1, max_n + 1)]
+    return g.select(*by, F.col("cand_total1").alias("cand_tokens"), F.col("ref_total1").alias("ref_tokens"),
+                    F.round(_bleu_score(ps, F.col("cand_total1"), F.col("ref_total1")), digits).alias("bleu"))
+
+
 def rouge_n(overlap: DataFrame, keys, n: int, digits: int = 9) -> DataFrame:
     """ROUGE-N recall / precision / F1 from ``ngram_overlap``."""
     o = overlap.where(F.col("n") == n)
@@ -170,6 +250,56 @@ def json_string(c: Column) -> Column:
                     .otherwise(esc), F.lit('"'))
 
 
+def _json_number(c: Column) -> Column:
+    """A double as Python's ``repr`` writes it, from its digits and exponent (as far as the
+    JVM prints the fewest digits; it gives the smallest subnormal numbers one more)."""
+    text = F.abs(c).cast("string")
+    mantissa, power = F.substring_index(text, "E", 1), F.when(F.contains(text, F.lit("E")), F.substring_index(text, "E", -1).cast("int")).otherwise(0)
+    whole, part = F.substring_index(mantissa, ".", 1), F.substring_index(mantissa, ".", -1)
+    # digits d1 d2 ... and the exponent of d1
+    lead = F.regexp_replace(F.concat(whole, part), "^0+", "")
+    digits = F.regexp_replace(lead, "0+$", "")
+    zeros = F.length(F.concat(whole, part)) - F.length(lead)
+    exp = power + F.length(whole) - 1 - zeros
+    n = F.length(digits)
+    small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -exp - 1), digits)
+    large = F.when(n <= exp + 1, F.concat(digits, F.repeat(F.lit("0"), exp + 1 - n), F.lit(".0"))).otherwise(
+        F.concat(F.substring(digits, F.lit(1), exp + 1), F.lit("."), F.substring(digits, exp + 2, n)))
+    rest = F.when(n > 1, F.concat(F.lit("."), F.substring(digits, F.lit(2), n))).otherwise("")
+    far = F.concat(F.substring(digits, F.lit(1), F.lit(1)), rest, F.when(exp < 0, "e-").otherwise("e+"),
+                   F.lpad(F.abs(exp).cast("string"), F.greatest(F.lit(2), F.length(F.abs(exp).cast("string"))), F.lit("0")))
+    body = F.when(digits == "", "0.0").when((exp < -4) | (exp >= 16), far).when(exp < 0, small).otherwise(large)
+    sign = F.when(c.cast("string").startswith("-"), "-").otherwise("")
+    return (F.when(F.isnan(c), "NaN").when(c == float("inf"), "Infinity").when(c == float("-inf"), "-Infinity")
+            .otherwise(F.concat(sign, body)))
+
+
+def canonical_json(c: Column, dtype: T.DataType) -> Column:
+    """Python's ``json.dumps(x, sort_keys=True)`` of a value of any nesting of structs,
+    maps with text keys, arrays, texts, whole numbers, doubles and booleans. Keys are
+    sorted by code point at every level; other types are an error."""
+    if isinstance(dtype, T.StructType):
+        items = [F.concat(F.lit(json.dumps(f.name) + ": "), canonical_json(c[f.name], f.dataType))
+                 for f in sorted(dtype.fields, key=lambda f: f.name)]
+        text = F.concat(F.lit("{"), F.concat_ws(", ", *items), F.lit("}"))
+    elif isinstance(dtype, T.MapType) and isinstance(dtype.keyType, T.StringType):
+        items = F.transform(F.array_sort(F.map_keys(c)), lambda k: F.concat(json_string(k), F.lit(": "), canonical_json(c[k], dtype.valueType)))
+        text = F.concat(F.lit("{"), F.array_join(items, ", "), F.lit("}"))
+    elif isinstance(dtype, T.ArrayType):
+        text = F.concat(F.lit("["), F.array_join(F.transform(c, lambda x: canonical_json(x, dtype.elementType)), ", "), F.lit("]"))
+    elif isinstance(dtype, T.StringType):
+        text = json_string(c)
+    elif isinstance(dtype, T.DoubleType):
+        text = _json_number(c)
+    elif isinstance(dtype, (T.IntegralType, T.BooleanType)):
+        text = c.cast("string")
+    elif isinstance(dtype, T.NullType):
+        return F.lit("null")
+    else:
+        raise TypeError(f"no JSON form for {dtype.simpleString()}")
+    return F.when(c.isNull(), "null").otherwise(text)
+
+
 def fingerprint(fields: dict[str, Column]) -> Column:
     """md5 of ``json.dumps(d, sort_keys=True)`` for a flat record of
     strings and integers (Python's ", " and ": " separators)."""
@@ -180,6 +310,12 @@ def fingerprint(fields: dict[str, Column]) -> Column:
     return F.md5(F.concat(F.lit("{"), F.concat_ws(", ", *parts), F.lit("}")))
 
 
+def fingerprint_rows(df: DataFrame, *columns: str) -> Column:
+    """md5 of the canonical JSON of a row's columns (default: all), however nested."""
+    fields = [df.schema[c] for c in (columns or df.columns)]
+    return F.md5(canonical_json(F.struct(*[F.col(f"`{f.name}`") for f in fields]), T.StructType(fields)))
+
+
 def score_join(predictions: DataFrame, problems: DataFrame, keys=("task_id",), salts: int = 1) -> DataFrame:
     """Predictions joined with their problems on the task key.
 

@@ -8,11 +8,13 @@ last and only to rows that passed every native predicate.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from codepref.functions.text import WORD_CHARS, count_substr, whole_function
-from codepref.operators.validity import valid_code
+from codepref.operators.validity import LANGUAGES, valid_code
 
 # Patterns and bounds of the reference filters.
 BRANCH = r"(if|else|for|while|case|catch)(?=\s*\(|\{)"
@@ -193,9 +195,8 @@ def rejected_rows(df: DataFrame, kept: DataFrame, key: str = "row_id") -> DataFr
     return df.join(kept.select(key), key, "left_anti")
 
 
-def funnel(df: DataFrame, compat: bool = False, by: str = "language") -> DataFrame:
-    """survivors per predicate and overall, per language, in one pass."""
-    preds = {
+def _stages(compat: bool) -> dict[str, Column]:
+    return {
         "n_rows": F.lit(True),
         "f01_doc_size": doc_size(),
         "f02_spaces": doc_spaces(),
@@ -206,4 +207,32 @@ def funnel(df: DataFrame, compat: bool = False, by: str = "language") -> DataFra
         "f_lang": language_specific(compat),
         "f_native": native_filters(compat),
     }
-    return df.groupBy(by).agg(*[F.count_if(p).alias(k) for k, p in preds.items()])
+
+
+def funnel(df: DataFrame, compat: bool = False, by: str = "language") -> DataFrame:
+    """survivors per predicate and overall, per language, in one pass."""
+    return df.groupBy(by).agg(*[F.count_if(p).alias(k) for k, p in _stages(compat).items()])
+
+
+def observed_funnel(df: DataFrame, compat: bool = False, languages=LANGUAGES) -> tuple[DataFrame, Observation]:
+    """F13 without a counting pass: ``df`` unchanged, with metrics that Spark gathers while
+    an action reads it (a filtered write, say), and their observation."""
+    found = Observation()
+    stages = _stages(compat)
+    # the predicates once, in generated code; the metrics only look at their bits
+    passed = reduce(Column.bitwiseOR, [F.when(p, 1 << i).otherwise(0) for i, p in enumerate(stages.values())])
+    metrics = [F.count_if((F.col("language") == lang) & (F.col("_passed").bitwiseAND(F.lit(1 << i)) != 0)).alias(f"{lang}.{k}")
+               for lang in languages for i, k in enumerate(stages)]
+    return df.withColumn("_passed", passed).observe(found, *metrics).drop("_passed"), found
+
+
+def funnel_rows(spark: SparkSession, found: Observation) -> DataFrame:
+    """The counters of :func:`observed_funnel` after an action, as :func:`funnel` gives them
+    (waits for the action; languages without rows are left out)."""
+    rows: dict[str, dict] = {}
+    for name, n in found.get.items():
+        language, stage = name.split(".")
+        rows.setdefault(language, {})[stage] = n
+    names = list(_stages(False))
+    schema = "language string, " + ", ".join(f"{k} bigint" for k in names)
+    return spark.createDataFrame([(lang, *[r[k] for k in names]) for lang, r in sorted(rows.items()) if r["n_rows"]], schema)

@@ -28,4 +28,4 @@ def register(name: str, oracle: str | None = None):
 def load_all() -> None:
     """Import every plan module so its queries register."""
     from codepref.plans import (  # noqa: F401
-        q_evaluate, q_filters, q_io, q_normalize, q_preference, q_profile, q_sampling, q_vectors)
+        q_evaluate, q_filters, q_io, q_normalize, q_preference, q_profile, q_sampling, q_tokens, q_vectors)

@@ -15,6 +15,7 @@ from codepref.plans.q_preference import LABELLED, _with
 from codepref.plans.sql_parts import q, sql_balanced, sql_extract, sql_hash
 from codepref.sources.fixtures import BROKEN_SQL, oracle_ctes, view
 from codepref.session import checkpoint_dir
+from codepref.sources.commits import CommitLog, predict_resumably
 from codepref.sources.tables import read_run_grid, read_table
 
 # The prompt templates of the evaluation runs (a tiny dimension).
@@ -261,6 +262,31 @@ def a07_rouge_n(spark, sf_dir):
     return ev.rouge_n(ev.ngram_overlap(p, ["conv_id", "turn"], "completion", "prompt", 2), ["conv_id", "turn"], 2)
 
 
+@register("a07_corpus_bleu", _with(LABELLED, _overlap_sql("language, row_id", "code", "reference", "lab0", 4)) + """
+SELECT language, m.cand_tokens, m.ref_tokens, round(CASE WHEN least(p1, p2, p3, p4) = 0 THEN 0.0
+  ELSE (CASE WHEN cand_tokens > ref_tokens THEN 1.0 ELSE exp(1 - ref_tokens / cand_tokens) END)
+       * exp((ln(p1) + ln(p2) + ln(p3) + ln(p4)) / 4) END, 9) AS bleu
+FROM (SELECT language, CAST(sum(cand_total) FILTER (WHERE n = 1) AS BIGINT) AS cand_tokens, CAST(sum(ref_total) FILTER (WHERE n = 1) AS BIGINT) AS ref_tokens,
+        sum(matches) FILTER (WHERE n = 1) / sum(cand_total) FILTER (WHERE n = 1) AS p1, sum(matches) FILTER (WHERE n = 2) / sum(cand_total) FILTER (WHERE n = 2) AS p2,
+        sum(matches) FILTER (WHERE n = 3) / sum(cand_total) FILTER (WHERE n = 3) AS p3, sum(matches) FILTER (WHERE n = 4) / sum(cand_total) FILTER (WHERE n = 4) AS p4
+      FROM overlap GROUP BY language) m
+""")
+def a07_corpus_bleu(spark, sf_dir):
+    """BLEU of all predicted against all reference bodies of a language."""
+    b = view(spark, sf_dir, "code_base")
+    d = b.select("language", "row_id", extract_completion(remove_markers(F.col("prediction")), F.col("prompt")).alias("code"),
+                 F.col("code_completion").alias("reference"))
+    return ev.corpus_bleu(ev.ngram_overlap(d, ["language", "row_id"], "code", "reference", 4), ["language"])
+
+
+@register("a07_rouge_l")
+def a07_rouge_l(spark, sf_dir):
+    """ROUGE-L of answers against their prompts (conversation turns); no SQL form,
+    held against the quadratic table under pytest."""
+    p = view(spark, sf_dir, "conv_pairs")
+    return ev.rouge_l(p, ["conv_id", "turn"], "completion", "prompt")
+
+
 @register("a08_fingerprint", """
 SELECT doc_id, md5('{"doc_id": ' || CAST(doc_id AS VARCHAR) || ', "lang": "' || lang || '", "n_chars": '
        || CAST(n_chars AS VARCHAR) || ', "source": "' || source || '"}') AS fingerprint
@@ -274,6 +300,39 @@ def a08_fingerprint(spark, sf_dir):
     return d.select("doc_id", fp.alias("fingerprint"))
 
 
+@register("a08_nested", """
+SELECT vec_id, md5('{"label": ' || CAST(label AS VARCHAR) || ', "vector": {"head": [' || array_to_string(list_transform(embedding[1:3],
+         lambda x: CAST(x::DOUBLE AS VARCHAR)), ', ') || '], "odd": ' || CASE WHEN vec_id % 2 = 1 THEN 'true' ELSE 'false' END
+       || ', "sizes": {"big": ' || CASE WHEN vec_id % 3 = 0 THEN 'null' ELSE CAST(vec_id AS VARCHAR) END || ', "n": ' || CAST(len(embedding) AS VARCHAR) || '}}}') AS fingerprint
+FROM embeddings
+""")
+def a08_nested(spark, sf_dir):
+    """md5 of the key-sorted JSON of nested records (struct, map, array, double, null)."""
+    e = read_table(spark, sf_dir, "embeddings")
+    sizes = F.create_map(F.lit("n"), F.size("embedding").cast("bigint"), F.lit("big"), F.when(F.col("vec_id") % 3 != 0, F.col("vec_id")))
+    vector = F.struct(sizes.alias("sizes"), (F.col("vec_id") % 2 == 1).alias("odd"), F.slice("embedding", 1, 3).cast("array<double>").alias("head"))
+    rows = e.select("vec_id", vector.alias("vector"), "label")
+    return rows.select("vec_id", ev.fingerprint_rows(rows, "vector", "label").alias("fingerprint"))
+
+
+IO7_PARTS = 4
+
+
+@register("io07_resume", oracle_ctes("code_base") + f"""
+SELECT row_id, 1 + {sql_hash('row_id', 'batch')} % {IO7_PARTS} AS revision,
+       prompt || chr(10) || '    return ' || CAST(length(prompt) AS VARCHAR) || chr(10) || 'print()' AS prediction
+FROM code_base
+""")
+def io07_resume(spark, sf_dir):
+    """IO7: predictions saved part by part as revisions, by a run that ends after two
+    parts and a second one that predicts the rest."""
+    rows = view(spark, sf_dir, "code_base").select("row_id", "prompt")
+    log = CommitLog(spark, f"{checkpoint_dir(spark).rstrip('/')}/commits-{uuid.uuid4().hex}")
+    for at_most in (2, None):
+        predict_resumably(rows, stub_predictor, log, "row_id", "prompt", batches=IO7_PARTS, at_most=at_most)
+    return log.read().select("row_id", "revision", "prediction")
+
+
 @register("j02_score_join", f"""
 SELECT p.task_id, p.sample_id, length(b.text) AS prompt_len,
        b.text || chr(10) || '    return ' || CAST(length(b.text) AS VARCHAR) || chr(10) || 'print()' AS prediction

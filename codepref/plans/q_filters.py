@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from codepref.operators import filters as flt
+from codepref.operators.sampling import materialize
 from codepref.plans.catalog import register
 from codepref.plans.sql_parts import sql_balanced
 from codepref.sources.fixtures import BROKEN_SQL, oracle_ctes, view
@@ -146,19 +147,30 @@ def f11_all_filters(spark, sf_dir):
     return flt.filter_seed(_seed(spark, sf_dir)).select("row_id", "language")
 
 
-@register("f13_funnel", SEED + f"""
+F13_SQL = SEED + f"""
 SELECT language, count(*) AS n_rows, count(*) FILTER (WHERE {S_F1}) AS f01_doc_size,
   count(*) FILTER (WHERE {S_F2}) AS f02_spaces, count(*) FILTER (WHERE {S_F3}) AS f03_todo,
   count(*) FILTER (WHERE {S_F4}) AS f04_shape, count(*) FILTER (WHERE {S_F6}) AS f06_name,
   count(*) FILTER (WHERE {S_F7}) AS f07_code_size, count(*) FILTER (WHERE {S_LANG}) AS f_lang,
   count(*) FILTER (WHERE {S_NATIVE}) AS f_native
 FROM code_seed GROUP BY language
-""")
+"""
+
+
+@register("f13_funnel", F13_SQL)
 def f13_funnel(spark, sf_dir):
     """survivors per predicate per language in one aggregate."""
     return flt.funnel(_seed(spark, sf_dir))
 
 
+@register("f13_observed", F13_SQL)
+def f13_observed(spark, sf_dir):
+    """F13 gathered while the filtered seed is written: no counting pass."""
+    rows, found = flt.observed_funnel(_seed(spark, sf_dir))
+    materialize(flt.filter_seed(rows).select("row_id", "language"))
+    return flt.funnel_rows(spark, found)
+
+
 @register("j01_rejected", SEED + f"""
 SELECT row_id, language FROM code_seed s WHERE NOT EXISTS (
   SELECT 1 FROM code_seed k WHERE k.row_id = s.row_id AND k.function_def IS NOT NULL AND

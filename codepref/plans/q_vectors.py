@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from codepref.functions.text import extract_completion, remove_markers, tokens
+from codepref.functions.text import extract_completion, remove_markers, seeded_hash, sql_hash, tokens
 from codepref.operators import embed as em
 from codepref.plans.catalog import register
 from codepref.plans.q_preference import LABELLED, _with
@@ -158,3 +158,26 @@ def st1_incremental(spark, sf_dir):
     base.repartition(4, "row_id").write.parquet(f"{root}/in")
     out = label_stream(spark, f"{root}/in", base.schema, f"{root}/out", f"{root}/ckpt", max_files_per_trigger=1)
     return out.select("row_id", "language", "code", "valid")
+
+
+ST2_ROWS, ST2_PARTS = 70, 3
+
+
+@register("st2_take_skip", oracle_ctes("code_base") + f"""
+SELECT row_id, row_number() OVER (ORDER BY {sql_hash('row_id', 'feed')} % {ST2_PARTS}, {sql_hash('row_id', 0)}, row_id) <= {ST2_ROWS} AS taken
+FROM code_base
+""")
+def st2_take_skip(spark, sf_dir):
+    """ST2: the first rows of a stream, and all but the first. Files arrive in three
+    steps; after each the query restarts from its checkpoint."""
+    from codepref.session import checkpoint_dir
+    from codepref.streaming.limits import skipped, split_stream, taken
+
+    root = f"{checkpoint_dir(spark).rstrip('/')}/limits-{uuid.uuid4().hex}"
+    base = view(spark, sf_dir, "code_base").select("row_id", "language", "prediction")
+    for part in range(ST2_PARTS):
+        base.where(seeded_hash("row_id", "feed") % ST2_PARTS == part).write.mode("append").parquet(f"{root}/in")
+        stream = spark.readStream.schema(base.schema).parquet(f"{root}/in")
+        split_stream(stream, ST2_ROWS, f"{root}/out", f"{root}/checkpoint")
+    first = taken(spark, f"{root}/out").select("row_id", F.lit(True).alias("taken"))
+    return first.unionByName(skipped(spark, f"{root}/out").select("row_id", F.lit(False).alias("taken")))
