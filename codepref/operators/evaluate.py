@@ -251,14 +251,23 @@ def json_string(c: Column) -> Column:
 
 
 def _json_number(c: Column) -> Column:
-    """A double as Python's ``repr`` writes it, from its digits and exponent (as far as the
-    JVM prints the fewest digits; it gives the smallest subnormal numbers one more)."""
+    """A double as Python's ``repr`` writes it, from its digits and exponent. The JVM may
+    print 17 digits where 16 are enough, which is tried first; the smallest subnormal
+    numbers keep its two digits."""
     text = F.abs(c).cast("string")
     mantissa, power = F.substring_index(text, "E", 1), F.when(F.contains(text, F.lit("E")), F.substring_index(text, "E", -1).cast("int")).otherwise(0)
     whole, part = F.substring_index(mantissa, ".", 1), F.substring_index(mantissa, ".", -1)
     # digits d1 d2 ... and the exponent of d1
     lead = F.regexp_replace(F.concat(whole, part), "^0+", "")
-    digits = F.regexp_replace(lead, "0+$", "")
+    exact = F.regexp_replace(lead, "0+$", "")
+    down = F.substring(exact, 1, 16)
+    up = (down.cast("bigint") + 1).cast("string")
+    upward = F.substring(exact, 17, 1) >= "5"
+    shorter = [F.when(upward, up).otherwise(down), F.when(upward, down).otherwise(up)]
+    same = [F.concat(d, F.lit("E"), (power + F.length(whole) - 16 - F.length(F.concat(whole, part)) + F.length(lead)).cast("string")).cast("double") == F.abs(c)
+            for d in shorter]
+    digits = F.when(F.length(exact) < 17, exact).when(same[0], F.regexp_replace(shorter[0], "0+$", "")).when(
+        same[1], F.regexp_replace(shorter[1], "0+$", "")).otherwise(exact)
     zeros = F.length(F.concat(whole, part)) - F.length(lead)
     exp = power + F.length(whole) - 1 - zeros
     n = F.length(digits)
