@@ -77,7 +77,8 @@ def _marked(name: str, attrs: str, in_article: bool) -> bool:
             if value.strip().lower() in ROLES:
                 return True
         else:
-            words = {w.lower() for w in WORDS.findall(value)}
+            # adBox, ad-box and sideBar: the words of a name, and the name
+            words = {w.lower() for w in WORDS.findall(value) + re.findall("[A-Za-z]+", value)}
             if (words - {"header"} if in_article else words) & NAMES:
                 return True
     return False
