@@ -130,7 +130,7 @@ def java_classes(code: Column) -> Column:
 def kotlin_classes(code: Column) -> Column:
     """The classes of Kotlin code's tokens; a template stands in round brackets."""
     nested = F.contains(code, F.lit("${")) | F.regexp_like(code, F.lit(r"/\*(?:(?!\*/|/\*)[\s\S])*+/\*"))
-    return F.when(nested, _by_modes(F.when(nested, code))).otherwise(_by_mask(F.when(~nested, code), KOTLIN_NOISE, False))
+    return F.when(code.isNull(), None).when(nested, _by_modes(code)).otherwise(_by_mask(code, KOTLIN_NOISE, False))
 
 
 def well_formed(code: Column, language: str) -> Column:

@@ -65,9 +65,9 @@ def balanced(code: Column, language: Column | str = "java") -> Column:
 
 def structural(code: Column, language: Column) -> Column:
     """V2: Java and Kotlin code is well formed; of Python only the brackets are checked."""
-    expr = F.when(language == "python", balanced(F.when(language == "python", code), "python"))
+    expr = F.when(language == "python", balanced(code, "python"))
     for lang in ("java", "kotlin"):
-        expr = expr.when(language == lang, well_formed(F.when(language == lang, code), lang))
+        expr = expr.when(language == lang, well_formed(code, lang))
     return expr
 
 
@@ -109,8 +109,7 @@ def valid_code(code: Column, language: Column, checkers: dict | None = None) ->
     expr = F.when(language == "python", py_flag)
     for lang in ("java", "kotlin"):
         fn = checkers.pop(lang, None)
-        own = F.when(language == lang, code)
-        expr = expr.when(language == lang, fn(code) if fn else well_formed(own, lang))
+        expr = expr.when(language == lang, fn(code) if fn else well_formed(code, lang))
     for lang, fn in checkers.items():
         expr = expr.when(language == lang, fn(code))
     return expr.otherwise(F.raise_error(F.concat(F.lit("language not supported: "), language)))
