@@ -11,6 +11,10 @@ times its size, and what is over goes to the others by weight until none is
 above. That is one water level L with target = min(repeats * size, L * weight),
 found from running sums over the sources in order of size / weight.
 
+Rows are shuffled by the hash of their id, rows without one by that of their text, and
+rows with one id by their texts' hashes, so only equal rows are in the order of the
+table: however its rows lie in files, the same rows are taken as often.
+
 Defined cases: a null text has size 0; a null source is a source of its own,
 last in order; documents of size 0 are taken, with 0 words, when their turn
 comes; repeated rows are separate documents. With no words at all, all targets
@@ -63,17 +67,18 @@ def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, repeats: int = REPEAT
     With ``row``, a column that numbers the rows, also that column."""
     tie = F.col(row) if row else F.monotonically_increasing_id()
     sized = materialize(docs.select("doc_id", F.col("source").cast("string").alias("source"),
-                                    size_in_words(F.col("text")).alias("size"), tie.alias("tie"))
-                        .withColumn("h", hash60(F.col("doc_id"), seed)))
+                                    size_in_words(F.col("text")).alias("size"), tie.alias("tie"),
+                                    F.when(F.col("doc_id").isNull(), hash60(F.col("text"), seed + ":text"))
+                                    .otherwise(hash60(F.col("doc_id"), seed)).alias("h"), F.xxhash64("text").alias("t")))
     src = materialize(source_targets(sized, weights, repeats, share))
     named = sized.withColumn("k", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("")))
     keyed = src.select(F.coalesce(F.concat(F.lit("s"), "source"), F.lit("")).alias("k"), "idx", "source_size", "target")
-    queued = running_total(named.join(keyed, "k").drop("k", "source"), ["idx"], ["h", "doc_id", "tie"], "size", "cum")
+    queued = running_total(named.join(keyed, "k").drop("k", "source"), ["idx"], ["h", "doc_id", "t", "tie"], "size", "cum")
     passes = F.when(F.col("target") > 0, F.least(F.lit(repeats), F.ceil(F.col("target") / F.col("source_size")))).otherwise(1)
     finish = F.when(F.col("target") > 0, (F.col("pass") * F.col("source_size") + F.col("cum")) / F.col("target")).otherwise(0.0)
     turns = (queued.withColumn("pass", F.explode(F.sequence(F.lit(0), passes.cast("int") - 1)))
              .withColumn("finish", finish))
-    merged = running_total(turns, [], ["finish", "idx", "pass", "h", "doc_id", "tie"], "size", "total")
+    merged = running_total(turns, [], ["finish", "idx", "pass", "h", "doc_id", "t", "tie"], "size", "total")
     budget = src.agg(F.coalesce(F.sum("source_size"), F.lit(0))).first()[0] * share
     kept = F.col("total") <= F.lit(float(budget))
     taken = (merged.groupBy("tie", "doc_id", "size", "source_size", "target")

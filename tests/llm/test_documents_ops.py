@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from codepref.llm import decontam, linedup, mixing, sharding, simhash
-from codepref.llm.common import components, running_total
+from codepref.llm.common import components, materialize, running_total
 from tests.llm.helpers import awkward_docs, words
 from tests.llm import helpers
 
@@ -201,6 +201,19 @@ def test_mix(spark, docs, source):
     assert again == Counter(map(tuple, got))
 
 
+def test_mix_does_not_depend_on_files(spark):
+    rng = random.Random(2)
+    rows = [(None if i % 2 else i // 6, " ".join(["w"] * rng.randrange(30) + [f"x{rng.randrange(400)}"]), rng.choice(["a", "a", "b", None])) for i in range(700)]
+    taken = []
+    for order, files in ((1, 1), (2, 7)):
+        random.Random(order).shuffle(rows)
+        d = spark.createDataFrame(rows, "doc_id bigint, text string, source string").repartition(files)
+        d = materialize(d.withColumn("nr", F.monotonically_increasing_id()))
+        got = mixing.mix(d, row="nr").select("nr", "taken", "copies")
+        taken.append(Counter(tuple(r)[1:] for r in d.join(got, "nr").collect()))
+    assert taken[0] == taken[1]
+
+
 def test_mix_empty_and_wordless(spark):
     assert mixing.mix(awkward_docs(spark, empty=True)).count() == 0
     d = spark.createDataFrame([(1, None, "a"), (2, "  ", None)], "doc_id bigint, text string, source string")
