@@ -10,8 +10,8 @@ limit) go to overflow pages of at most the limit.
 
 Defined cases: a null text has 0 bytes; a null id hashes as the empty text; a
 single document over the limit is alone in its shard or page, marked oversize;
-repeated rows fill overflow pages in turn once their key is over the limit; an
-empty table gives no rows; extra columns that have the name of an added one get a
+a key over the limit fills at most about twice the pages that its bytes need, its
+repeated rows in turn; an empty table gives no rows; extra columns that have the name of an added one get a
 trailing underscore.
 """
 
@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codepref.llm.common import HASH_BITS, hash60, make_way, materialize, one_of
+from codepref.llm.common import HASH_BITS, hash60, make_way, materialize, one_of, running_total
 
 LIMIT = 1 << 20
 #: Bits of a fine cell beyond those of the average shard.
@@ -85,11 +85,24 @@ def shard(docs: DataFrame, limit: int = LIMIT, key: str = "doc_id", text: str =
     out = named(placed.where(~paged), F.lit(""), F.lit(0), F.col(depth).isNull())
     if exact is None or exact.where("depth is null and n > 1").isEmpty():
         return out
-    # one key over the limit: equal rows are counted (map-side), laid out one
-    # after another and cut into pages of as many rows as fit
-    at = one_of(cols, "_at")
-    equal = placed.where(paged).groupBy(*own, h, size, depth).agg(F.count(F.lit(1)).alias(at))
-    per_page = F.greatest(F.lit(1), F.floor(F.lit(limit) / F.greatest(F.col(size), F.lit(1))))
-    laid = equal.withColumn(at, F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(at) - 1)))
-    suffix = F.concat(F.lit("-"), F.lower(F.hex(F.xxhash64(*own))))
-    return out.unionByName(named(laid, suffix, F.floor(F.col(at) / per_page) + 1, F.col(size) > limit))
+    # one key over the limit: its rows of up to half the limit are laid one after another
+    # in the order of their digests and cut at every half, so a page that the last of
+    # them overhangs is within the limit; larger ones get a page each. Only digests and
+    # sizes are laid out; equal rows are counted (map-side) and take places in turn
+    at, a, b, n_equal, first = (one_of(cols, c) for c in ("_at", "_a", "_b", "_equal", "_first"))
+    half = max(1, limit // 2)
+    known = placed.where(paged).withColumns({a: F.xxhash64(*own), b: F.xxhash64(F.lit(1), *own)})
+    kinds = known.groupBy(F.col(h).alias("h"), F.col(size).alias("bytes"), F.col(a).alias("a"), F.col(b).alias("b")).agg(
+        F.count(F.lit(1)).alias("n")).withColumn("room", F.col("n") * F.when(F.col("bytes") <= half, F.col("bytes")).otherwise(1))
+    kinds = materialize(kinds)
+    small, large = kinds.where(F.col("bytes") <= half), kinds.where(F.col("bytes") > half)
+    pages = small.groupBy("h").agg((F.floor(F.sum("room") / half) + 1).alias("before"))
+    laid = running_total(small, ["h"], ["a", "b"], "room", "upto").withColumn("before", F.lit(0))
+    single = running_total(large, ["h"], ["a", "b"], "room", "upto").join(pages, "h", "left").withColumn(
+        "before", F.coalesce("before", F.lit(0)))
+    starts = laid.unionByName(single).select(F.col("h").alias(h), F.col("a").alias(a), F.col("b").alias(b),
+                                             (F.col("upto") - F.col("room")).alias(first), F.col("before").alias(n))
+    equal = known.drop(n).groupBy(*own, h, size, depth, a, b).agg(F.count(F.lit(1)).alias(n_equal))
+    rows = equal.join(starts, [h, a, b]).withColumn(at, F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n_equal) - 1)))
+    page = F.when(F.col(size) <= half, F.floor((F.col(first) + F.col(at) * F.col(size)) / half)).otherwise(F.col(n) + F.col(first) + F.col(at))
+    return out.unionByName(named(rows, F.lit(""), page + 1, F.col(size) > limit))

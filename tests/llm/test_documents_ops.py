@@ -261,6 +261,17 @@ def test_shard_hot_key_pages(spark, docs):
     for r in got:
         held[r["shard"], r["shard_page"]] += len(r["text"])
     assert max(held.values()) <= 100
+    various = [(7, "y" * (i * 13 % 47) + f"{i:03}") for i in range(200)] * 2 + [(7, "z" * n) for n in (60, 80, 100, 130)] + [(7, None)] + [(8, "q" * 40 + str(i)) for i in range(9)]
+    got = sharding.shard(spark.createDataFrame(various, "doc_id bigint, text string"), 100).collect()
+    assert Counter((r["doc_id"], r["text"]) for r in got) == Counter(various)
+    held, key = defaultdict(list), {}
+    for r in got:
+        held[r["shard"], r["shard_page"]].append(len(r["text"] or ""))
+        key[r["shard"], r["shard_page"]] = r["doc_id"]
+        assert r["oversize"] == (len(r["text"] or "") > 100)
+    assert all(sum(v) <= 100 or len(v) == 1 for v in held.values())
+    for k in (7, 8):
+        assert sum(x == k for x in key.values()) <= 2 * sum(len(t or "") for i, t in various if i == k) / 100 + 2
     assert sharding.shard(awkward_docs(spark, empty=True)).count() == 0
     assert sharding.shard(docs, 1000).count() == docs.count()
 
