@@ -15,7 +15,9 @@ in WARC-Concurrent-To, in either direction. Captures (response, revisit,
 resource, conversion) get the records that name them or that they name, as one
 nested row each.
 
-Defined cases: null html is an empty payload; a record without an id, or a record
+Defined cases: null html is an empty payload; records are named by page_id, payload and
+url, so pages that share an id have records of their own and only equal rows share
+names; a page without an id counts as smaller than all others; a record without an id, or a record
 that names no capture, is in no transaction; equal ids within an archive are one
 record each and all join; records cut off at the end of a file are marked
 truncated and keep what is there; an empty archive has no rows.
@@ -63,28 +65,32 @@ def payloads(pages: DataFrame, min_bytes: int = MIN_REVISIT_BYTES) -> DataFrame:
     """pages (page_id, url, html) with sha1, bytes and, for a page whose payload a
     larger page_id has too, that page as ``original``. Only digests travel."""
     body = F.coalesce(F.col("html").cast("string"), F.lit(""))
-    known = pages.select("page_id", F.col("url").cast("string").alias("url"), body.alias("html")).select(
+    known = pages.select("page_id", F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url"), body.alias("html")).select(
         "*", F.sha1(F.col("html").cast("binary")).alias("sha1"), F.octet_length("html").cast("bigint").alias("bytes"))
-    long = known.select("page_id", "sha1", "bytes").where(F.col("bytes") >= min_bytes)
-    shared = long.groupBy("sha1", "bytes").agg(F.max("page_id").alias("original"), F.count(F.lit(1)).alias("n"))
-    shared = shared.where("n > 1").select("sha1", "bytes", "original")
-    return known.join(shared, ["sha1", "bytes"], "left").withColumn(
-        "original", F.when(F.col("original") > F.col("page_id"), F.col("original")))
+    long = known.select("page_id", "url", "sha1", "bytes").where(F.col("bytes") >= min_bytes)
+    # nulls are smallest; of equal page_ids all are responses, and the largest url is referred to
+    top = F.max(F.struct("page_id", "url")).alias("top")
+    shared = long.groupBy("sha1", "bytes").agg(top, F.count(F.lit(1)).alias("n"))
+    shared = shared.where("n > 1").select("sha1", "bytes", F.col("top.page_id").alias("original"), F.col("top.url").alias("original_url"))
+    later = F.col("original").isNotNull() & (F.col("page_id").isNull() | (F.col("original") > F.col("page_id")))
+    return known.join(shared, ["sha1", "bytes"], "left").withColumn("original", F.when(later, F.col("original")))
 
 
 def page_records(pages: DataFrame, min_bytes: int = MIN_REVISIT_BYTES) -> DataFrame:
     """One text per WARC record: for each page a request, a response (or a revisit
     without the payload) and a metadata record."""
     p = payloads(pages, min_bytes)
-    uri = F.regexp_replace(F.coalesce("url", F.lit("")), r"[\r\n]", "%0A")
+    uri = F.regexp_replace("url", r"[\r\n]", "%0A")
     again = F.col("original").isNotNull()
-    capture = _urn("response", F.col("page_id"))
+    named = F.concat_ws(" ", F.coalesce(F.col("page_id").cast("string"), F.lit("-")), "sha1", "url")
+    capture = _urn("response", named)
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}Content-Length: "),
                     F.col("bytes").cast("string"), F.lit(CRLF + CRLF))
     common = [("WARC-Target-URI", uri), ("WARC-Date", F.lit(DATE)), ("X-Page-Id", F.col("page_id").cast("string"))]
     main = record(F.when(again, "revisit").otherwise("response"), [
         ("WARC-Record-ID", capture), *common,
-        ("WARC-Refers-To", F.when(again, _urn("response", F.col("original")))),
+        ("WARC-Refers-To", F.when(again, _urn("response", F.concat_ws(
+            " ", F.col("original").cast("string"), "sha1", "original_url")))),
         ("X-Refers-To-Page-Id", F.col("original").cast("string")),
         ("WARC-Profile", F.when(again, F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"))),
         ("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("sha1"))),
@@ -93,11 +99,11 @@ def page_records(pages: DataFrame, min_bytes: int = MIN_REVISIT_BYTES) -> DataFr
     path = F.coalesce(F.nullif(F.regexp_extract(uri, r"^[a-z]+://[^/]*(/.*)$", 1), F.lit("")), F.lit("/"))
     host = F.regexp_extract(uri, r"^[a-z]+://([^/]*)", 1)
     request = record(F.lit("request"), [
-        ("WARC-Record-ID", _urn("request", F.col("page_id"))), *common, ("WARC-Concurrent-To", capture),
+        ("WARC-Record-ID", _urn("request", named)), *common, ("WARC-Concurrent-To", capture),
         ("Content-Type", F.lit("application/http; msgtype=request"))],
         F.concat(F.lit("GET "), path, F.lit(f" HTTP/1.1{CRLF}Host: "), host, F.lit(CRLF + CRLF)))
     metadata = record(F.lit("metadata"), [
-        ("WARC-Record-ID", _urn("metadata", F.col("page_id"))), *common, ("WARC-Concurrent-To", capture),
+        ("WARC-Record-ID", _urn("metadata", named)), *common, ("WARC-Concurrent-To", capture),
         ("Content-Type", F.lit("application/warc-fields"))],
         F.concat(F.lit("payloadBytes: "), F.col("bytes").cast("string"), F.lit(CRLF)))
     return p.select(F.explode(F.array(request, main, metadata)).alias("value"))

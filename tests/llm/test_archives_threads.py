@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from codepref.llm import decontam, quotes, sharding, simhash, warc
 from codepref.llm.common import scratch
+from codepref.llm.queries import op1_warc_transactions
 from tests.llm import helpers
 from tests.llm.helpers import awkward_docs
 
@@ -44,6 +45,23 @@ def test_round_trip(spark, compression):
         assert r["headers"].get("x-refers-to-page-id") == ("9" if i in (1, 2) else None)
 
 
+def test_op1_repeated_and_missing_ids(spark, tmp_path):
+    """Pages that share an id, or have none: each by its own payload."""
+    a, b, c = "a" * 1500, "b" * 2500, "c" * 1200
+    rows = [(1, "http://a/", a), (1, "http://b/", b), (1, "http://a/", a), (2, "http://c/", a), (None, "http://d/", b), (None, "http://d/", c),
+            (None, None, c), (3, "http://e/", b), (3, "http://f/", b), (4, "http://g/", "short"), (None, "http://h/", "short"), (5, None, None)]
+    spark.createDataFrame(rows, "page_id bigint, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = Counter((r["page_id"], r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"], r["n_requests"], r["n_metadata"])
+                  for r in op1_warc_transactions(spark, str(tmp_path)).collect())
+    want = Counter()
+    for i, _, h in rows:
+        h = h or ""
+        top = max((j for j, _, x in rows if x == h and j is not None), default=None) if len(h) >= 1000 else None
+        again = top is not None and (i is None or i < top)
+        want[i, len(h), hashlib.sha1(h.encode()).hexdigest(), "revisit" if again else "response", top if again else None, 1, 1] += 1
+    assert got == want
+
+
 def test_foreign_archive(spark):
     """Other writers: folded fields, members of their own, links from the capture, a cut tail."""
     def rec(kind, rid, body, *more):
