@@ -2,10 +2,9 @@
 
 One zstandard dictionary is trained on good and one on bad labelled texts. A
 text is compressed whole with each; the normalised difference of the two sizes,
-next to the normalised sizes themselves and the log of the text's length, goes
-through a logistic calibration that is fitted on labelled texts which the
-dictionaries have not seen. The length is a feature of its own, so by itself it
-can move a text over the threshold; the README has figures without it.
+next to the normalised sizes themselves, goes through a logistic calibration that
+is fitted on labelled texts which the dictionaries have not seen. With too few
+texts for the dictionary trainer the texts themselves are the dictionaries.
 
 Defined cases: a null text counts as empty; an empty text gets the calibration's
 value for empty compressed sizes; labels that are null, or differ for one
@@ -65,8 +64,7 @@ def _features(texts: list[bytes], coders) -> np.ndarray:
     sizes = np.array([[len(c.compress(t)) for c in coders] for t in texts], dtype=float).reshape(-1, 2)
     raw = np.array([len(t) for t in texts], dtype=float) + 16.0
     good, bad = sizes[:, 0], sizes[:, 1]
-    return np.c_[(bad - good) / (bad + good), (bad - good) / raw, np.log(good / raw), np.log(bad / raw),
-                 np.log(raw)]
+    return np.c_[(bad - good) / (bad + good), (bad - good) / raw, np.log(good / raw), np.log(bad / raw)]
 
 
 def _dictionary(texts: list[bytes], size: int) -> bytes | None:

@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from codepref.llm import ann, ppm, quality
@@ -36,6 +37,30 @@ def test_quality_learns_nothing_from_held_labels(spark):
     assert quality.training_sample(docs, labels) == quality.training_sample(docs, flipped)
 
 
+def test_quality_features_and_calibration():
+    """Sizes straight from the compressor; the weights are where the penalised
+    likelihood has no slope."""
+    rng = random.Random(4)
+    text = lambda ws: " ".join(rng.choice(ws) for _ in range(rng.randrange(5, 90))).encode()
+    sample = [(text(["alpha", "beta", "gamma delta"]), 1) for _ in range(150)] + [(text(["$$$", "buy now", "beta"]), 0) for _ in range(150)]
+    model = quality.fit(sample, dict_bytes=4096)
+    probe = [b"", b"x", *[t for t, _ in sample[140:160]]]
+    got = quality._features(probe, model.coders())
+    kind = zstandard.DICT_TYPE_AUTO if model.trained else zstandard.DICT_TYPE_RAWCONTENT
+    for t, row in zip(probe, got):
+        good, bad = (len(zstandard.ZstdCompressor(level=model.level, dict_data=zstandard.ZstdCompressionDict(d, dict_type=kind)).compress(t))
+                     for d in (model.good, model.bad))
+        raw = len(t) + 16
+        assert row == pytest.approx([(bad - good) / (bad + good), (bad - good) / raw, math.log(good / raw), math.log(bad / raw)])
+    rest = [x for c in (0, 1) for i, x in enumerate(x for x in sample if x[1] == c) if i % 3 == 2]
+    x, y = quality._features([t for t, _ in rest], model.coders()), np.array([c for _, c in rest], float)
+    z = np.c_[np.ones(len(x)), (x - x.mean(axis=0)) / (x.std(axis=0) + 1e-9)]
+    w = np.array(model.weights)
+    slope = z.T @ (1 / (1 + np.exp(-z @ w)) - y) + 1e-3 * len(y) * np.r_[1e-6, np.ones(4)] * w
+    assert np.abs(slope).max() < 1e-6
+    assert model.score([t for t, _ in rest]) == pytest.approx(1 / (1 + np.exp(-z @ w)))
+
+
 def test_quality_awkward(spark):
     docs = awkward_docs(spark)
     rows = [(i, i % 2, 0) for i in range(16)] + [(3, 1, 0), (4, None, 0), (None, 1, 0), (5, 0, 0)]
