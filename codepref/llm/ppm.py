@@ -1,8 +1,9 @@
 """Language-model scoring by prediction by partial matching (PPM) over bytes.
 
 The model is a trie of byte contexts up to ``ORDER`` bytes. Escapes are estimated
-by method D (each of the d followers of a context seen n times gives up ``DISCOUNT``
-of a count: a follower seen c times has (c - DISCOUNT) / n, the escape DISCOUNT * d / n), and a symbol that a longer context offers is excluded from the
+by absolute discounting (each of the d followers of a context seen n times gives up
+``DISCOUNT`` of a count: a follower seen c times has (c - DISCOUNT) / n, the escape
+DISCOUNT * d / n), and a symbol that a longer context offers is excluded from the
 shorter ones. A text's score is the log10 probability of its byte stream: its
 words in lower case, one space between, and an end byte; contexts start as end
 bytes.

@@ -76,7 +76,7 @@ def test_quality_awkward(spark):
 # --- PPM ---------------------------------------------------------------------
 
 def brute_log10(train, data, order):
-    """PPM-D with exclusion, straight from counted contexts."""
+    """PPM with absolute discounting and exclusion, straight from counted contexts."""
     nodes = {}
     for d in train:
         padded = ppm.END * order + d
