@@ -23,8 +23,9 @@ lines are read again another.
 
 Defined cases: null texts have no lines; lines without words are kept and never
 matched; words are cut at ASCII white space and compared by their 64-bit hash;
-rows that share a doc_id and line number stand at the same place, so repeated
-rows don't remove each other; a null doc_id stands before all others.
+each row is decided by its own text: a row is known by its doc_id and its text's
+digest, in this order, so only repeated rows are one, stand at the same places and
+don't remove each other; a null doc_id stands before all others.
 """
 
 from __future__ import annotations
@@ -41,7 +42,7 @@ MEMBER_BITS = 22
 #: Tables of at most so many (short) rows are broadcast; larger ones are joined.
 BROADCAST_ROWS = 500_000
 GAPS = r"[\x20\x09-\x0D]+"
-PLACE = ("doc_id", "line_no")
+PLACE = ("doc_id", "text_id", "line_no")
 
 
 def _ceil(x: Column, p: int, q: int) -> Column:
@@ -67,8 +68,8 @@ def _checked(table: DataFrame) -> DataFrame:
 
 
 def word_sets(docs: DataFrame) -> DataFrame:
-    """(doc_id, line_no, h): the distinct word hashes of each line that has words."""
-    lines = docs.select("doc_id", F.posexplode(F.split(F.col("text").cast("string"), "\n")).alias("line_no", "line"))
+    """(doc_id, text_id, line_no, h): the distinct word hashes of each line that has words."""
+    lines = docs.select("doc_id", F.xxhash64(F.col("text").cast("string")).alias("text_id"), F.posexplode(F.split(F.col("text").cast("string"), "\n")).alias("line_no", "line"))
     hashes = F.array_distinct(F.transform(_words(F.col("line")), lambda w: F.xxhash64(w)))
     return lines.select(*PLACE, hashes.alias("h")).where(F.size("h") > 0)
 
@@ -147,13 +148,13 @@ def _member(wanted: DataFrame, *cols: str) -> Column:
 
 
 def words_at(docs: DataFrame, key, wanted: DataFrame) -> DataFrame:
-    """(lid, k) of the wanted (lid, doc_id, line_no, sa, sb): texts that may hold
+    """(lid, k) of the wanted (lid, doc_id, text_id, line_no, sa, sb): texts that may hold
     one are read again, and only the lines that may be one go further."""
     some = docs.where(_member(wanted, "doc_id"))
     near = word_sets(some).where(_member(wanted, *PLACE)).select(*PLACE, F.sort_array(F.transform("h", key)).alias("k"))
-    near = near.select(F.col("doc_id").alias("_d"), F.col("line_no").alias("_l"), "k", *_digest())
+    near = near.select(F.col("doc_id").alias("_d"), F.col("text_id").alias("_t"), F.col("line_no").alias("_l"), "k", *_digest())
     same = wanted["doc_id"].eqNullSafe(F.col("_d"))
-    for w, x in (("line_no", "_l"), ("sa", "sa"), ("sb", "sb")):
+    for w, x in (("text_id", "_t"), ("line_no", "_l"), ("sa", "sa"), ("sb", "sb")):
         same = same & (wanted[w] == near[x])
     found = near.join(wanted.select("lid", *PLACE, "sa", "sb"), same)
     return materialize(found.select("lid", "k").dropDuplicates(["lid"]))
@@ -235,7 +236,7 @@ def class_links(docs: DataFrame, similarity: tuple[int, int] = SIMILARITY):
 
 
 def duplicate_lines(docs: DataFrame, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
-    """(doc_id, line_no, class_id, removed, n_links) of the lines that match another:
+    """(doc_id, text_id, line_no, class_id, removed, n_links) of the lines that match another:
     removed where an equal or similar set stands earlier; n_links: other classes
     that are similar."""
     lines, several, links = class_links(docs, similarity)
@@ -253,27 +254,32 @@ def duplicate_lines(docs: DataFrame, similarity: tuple[int, int] = SIMILARITY) -
     return hit.select(*PLACE, F.col("cid").alias("class_id"), earlier.alias("removed"), "n_links").distinct()
 
 
+def _per_row(docs: DataFrame, hits: DataFrame, *sums: Column) -> DataFrame:
+    """``docs`` with what ``hits`` add up to for the row's id and text (null without any)."""
+    doc, text = one_of(docs.columns, "_doc"), one_of(docs.columns, "_text_id")
+    per = hits.groupBy(F.col("doc_id").alias(doc), F.col("text_id").alias(text)).agg(*sums)
+    same = docs["doc_id"].eqNullSafe(F.col(doc)) & (F.xxhash64(docs["text"].cast("string")) == F.col(text))
+    return docs.join(per, same, "left").drop(doc, text)
+
+
 def summary(docs: DataFrame, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
     """Per row of ``docs``: n_lines, removed_lines (numbers from 0), n_removed and
     n_links (of its lines, to other classes)."""
-    hits = duplicate_lines(docs, similarity)
-    per = hits.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.when(F.col("removed"), F.col("line_no")))).alias("removed_lines"),
-                                     F.sum("n_links").alias("n_links"))
-    per = per.withColumnRenamed("doc_id", "_doc")
-    none = F.array().cast("array<int>")
-    rows = docs.select("doc_id", F.coalesce(F.size(F.split(F.col("text").cast("string"), "\n")), F.lit(0)).alias("n_lines"))
-    rows = rows.join(per, rows["doc_id"].eqNullSafe(F.col("_doc")), "left")
-    kept = F.coalesce("removed_lines", none)
-    return rows.select("doc_id", F.when(F.col("n_lines") < 0, 0).otherwise(F.col("n_lines")).cast("bigint").alias("n_lines"),
+    docs = docs.select("doc_id", "text")
+    rows = _per_row(docs, duplicate_lines(docs, similarity),
+                    F.sort_array(F.collect_list(F.when(F.col("removed"), F.col("line_no")))).alias("removed_lines"), F.sum("n_links").alias("n_links"))
+    n = F.coalesce(F.size(F.split(F.col("text").cast("string"), "\n")), F.lit(0))
+    kept = F.coalesce("removed_lines", F.array().cast("array<int>"))
+    return rows.select("doc_id", F.when(n < 0, 0).otherwise(n).cast("bigint").alias("n_lines"),
                        kept.alias("removed_lines"), F.size(kept).cast("bigint").alias("n_removed"),
                        F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
 def dedup(docs: DataFrame, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
     """``docs`` with the removed lines cut from text."""
-    cut, doc = one_of(docs.columns, "_cut"), one_of(docs.columns, "_doc")
-    hits = duplicate_lines(docs, similarity).where("removed").groupBy(F.col("doc_id").alias(doc)).agg(F.collect_set("line_no").alias(cut))
+    cut = one_of(docs.columns, "_cut")
+    rows = _per_row(docs, duplicate_lines(docs, similarity).where("removed"), F.collect_set("line_no").alias(cut))
     lines = F.transform(F.split(F.col("text"), "\n"), lambda x, i: F.struct(i.alias("i"), x.alias("x")))
     stay = F.filter(lines, lambda x: ~F.array_contains(cut, x["i"]))
     text = F.when(F.col(cut).isNull(), F.col("text")).otherwise(F.array_join(F.transform(stay, lambda x: x["x"]), "\n"))
-    return docs.join(hits, docs["doc_id"].eqNullSafe(F.col(doc)), "left").withColumn("text", text).drop(doc, cut)
+    return rows.withColumn("text", text).drop(cut)

@@ -279,7 +279,12 @@ def test_shard_hot_key_pages(spark, docs):
 # --- lines -------------------------------------------------------------------
 
 def brute_lines(rows, p=4, q=5):
-    lines = [((i is not None, i if i is not None else 0, k), frozenset(w)) for i, t in set(rows) if t is not None
+    """Each row by itself; rows stand in the order of id and text digest."""
+    def place(i, t):
+        digest = xxhash.xxh64_intdigest(t.encode(), 42)
+        return (i is not None, i if i is not None else 0, digest - (1 << 64) if digest >> 63 else digest)
+
+    lines = [((*place(i, t), k), frozenset(w)) for i, t in set(rows) if t is not None
              for k, x in enumerate(t.split("\n")) if (w := helpers.WORD.findall(x))]
     first = {}
     for at, s in lines:
@@ -292,11 +297,14 @@ def brute_lines(rows, p=4, q=5):
     removed = defaultdict(list)
     count = Counter()
     for at, s in lines:
-        doc = at[1] if at[0] else None
-        count[doc] += len(near[s])
+        count[at[:3]] += len(near[s])
         if first[s] < at or any(first[o] < first[s] for o in near[s]):
-            removed[doc].append(at[2])
-    return Counter((i, len(t.split("\n")) if t is not None else 0, tuple(sorted(removed[i])), len(removed[i]), count[i]) for i, t in rows)
+            removed[at[:3]].append(at[3])
+    out = Counter()
+    for i, t in rows:
+        r = [] if t is None else sorted(removed[place(i, t)])
+        out[i, 0 if t is None else len(t.split("\n")), tuple(r), len(r), 0 if t is None else count[place(i, t)]] += 1
+    return out
 
 
 def line_tables(spark, docs):
@@ -319,11 +327,12 @@ def line_tables(spark, docs):
         for _ in range(rng.randrange(6)):
             w[rng.randrange(45)] = f"n{rng.randrange(200)}"
         near.append((i, " ".join(w)))
-    return {"near": spark.createDataFrame(near, "doc_id bigint, text string"), "awkward": docs.select("doc_id", "text"), "random": spark.createDataFrame(out, "doc_id bigint, text string"),
+    return {"near": spark.createDataFrame(near, "doc_id bigint, text string"), "awkward": docs.select("doc_id", "text"),
+            "shared": spark.createDataFrame([(None if i % 3 == 0 else i % 7, t) for i, t in out * 2], "doc_id bigint, text string"), "random": spark.createDataFrame(out, "doc_id bigint, text string"),
             "sf": sf_docs(spark).select("doc_id", "text")}
 
 
-@pytest.mark.parametrize("source", ["awkward", "random", "near", "sf"])
+@pytest.mark.parametrize("source", ["awkward", "random", "shared", "near", "sf"])
 def test_lines(spark, docs, source):
     d = line_tables(spark, docs)[source]
     want = brute_lines([tuple(r) for r in d.collect()])
@@ -337,6 +346,10 @@ def test_line_dedup_texts(spark):
     got = {r["doc_id"]: r["text"] for r in linedup.dedup(d).collect()}
     assert got == {1: "a b c d e\nkeep me", 2: "x\ny z", 3: None}
     assert linedup.summary(d.limit(0)).count() == 0
+    same = [(1, "same words in this line\nfirst"), (2, "same words in this line\nsecond"), (2, "a totally different text\nthird one"),
+            (None, "no id at all here"), (None, "other\nno id at all here")]
+    got = Counter(r["text"] for r in linedup.dedup(spark.createDataFrame(same, "doc_id bigint, text string")).collect())
+    assert got[same[0][1]] == got["second"] == got[same[2][1]] == 1 and sum(t.count("no id at all here") for t in got) == 1
 
 
 def test_native_plans(spark, docs):
