@@ -2,7 +2,9 @@
 
 import gzip
 import hashlib
-from collections import Counter
+import random
+import re
+from collections import Counter, defaultdict
 
 import pytest
 from pyspark.sql import functions as F
@@ -162,6 +164,108 @@ def test_partial_quotes(spark):
     assert [(got[2, t]["n_quoted"], got[2, t]["n_linked"]) for t in (1, 2, 3)] == [(1, 1), (2, 2), (3, 3)]
 
 
+def brute_links(rows):
+    """{(thread, position): (own_text, parent, root, depth, reply_order, n_quoted, n_linked)} read message by message."""
+    intro = re.compile(quotes.INTRODUCTION)
+    squeeze = lambda t: re.sub(r"[ \t\n\x0b\f\r]+", " ", t.lower()).strip(" ")
+
+    def read(text):
+        lines = []
+        for x in re.split("\r\n|\r|\n", text or ""):
+            marks = re.match("[ \t>]*", x)[0]
+            lines.append((marks.count(">"), x[len(marks):] if ">" in marks else x))
+        deeper = [b[0] > a[0] and bool(intro.search(a[1])) for a, b in zip(lines, [*lines[1:], (0, "")])]
+        own = "\n".join(b for (lv, b), d in zip(lines, deeper) if lv == 0 and not d).strip(" \t\n\x0b\f\r")
+        parts, last = [], None
+        for (lv, b), d in zip(lines, deeper):
+            blank = not b.strip(" \t")
+            if not blank and not d:
+                if last == lv:
+                    parts[-1][1].append(b)
+                else:
+                    parts.append((lv, [b]))
+            last = None if blank else lv
+        return own, [(lv, "\n".join(bs)) for lv, bs in parts if squeeze("\n".join(bs))]
+
+    def unit_set(raw):
+        us = [squeeze(x) for x in raw.split("\n")] + re.split(r"(?<=[.!?\u2026])[ \t\n\x0b\f\r]+", squeeze(raw))
+        return {u for u in us if len(u) >= quotes.MIN_UNIT}
+
+    texts = {}
+    for t, p, x in rows:
+        if t is not None and p is not None:
+            texts[t, p] = x if (t, p) not in texts or texts[t, p] is None else texts[t, p] if x is None else min(x, texts[t, p])
+    read_all = {k: read(x) for k, x in texts.items()}
+    out = {}
+    for t in {k[0] for k in texts}:
+        at = sorted(p for u, p in texts if u == t)
+        whole, part = {}, {}
+        for p in at:
+            for lv, raw in read_all[t, p][1]:
+                if lv == 0:
+                    whole.setdefault(squeeze(raw), p)
+                    for u in unit_set(raw):
+                        part.setdefault(u, p)
+        parent, told = {}, {}
+        for p in at:
+            quoted, linked, votes = 0, 0, Counter()
+            lost = defaultdict(set)
+            for lv, raw in read_all[t, p][1]:
+                lost[lv, squeeze(raw)] |= unit_set(raw)
+            for lv, raw in read_all[t, p][1]:
+                if lv == 0:
+                    continue
+                quoted += 1
+                source = whole.get(squeeze(raw), p)
+                if source >= p:
+                    met = Counter(part[u] for u in lost[lv, squeeze(raw)] if part.get(u, p) < p)
+                    source = max(met, key=lambda q: (met[q], q), default=None)
+                if source is not None:
+                    linked += 1
+                    votes[-lv, source] += 1
+            parent[p] = max(votes, key=lambda v: (v[0], votes[v], v[1]))[1] if votes else None
+            told[p] = quoted, linked
+        root, depth = {}, {}
+        for p in at:
+            root[p], depth[p] = (p, 0) if parent[p] is None else (root[parent[p]], depth[parent[p]] + 1)
+        for i, p in enumerate(sorted(at, key=lambda p: (root[p], p))):
+            out[t, p] = (parent[p], root[p], depth[p], i + 1, *told[p])
+    return {(t, p): (read(x)[0], *out.get((t, p), (None,) * 6)) for t, p, x in rows}
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_quotes_against_brute_force(spark, seed):
+    rng = random.Random(seed)
+    words = "alpha beta gamma delta epsilon zeta. eta! theta? iota kappa Lambda".split()
+    say = lambda: " ".join(rng.choices(words, k=rng.randrange(1, 7)))
+    rows = []
+    for t in range(8):
+        told = []
+        for p in range(14):
+            lines = []
+            for _ in range(rng.randrange(1, 5)):
+                if told and rng.random() < .6:
+                    ls = rng.choice(told).split("\n")
+                    a = rng.randrange(len(ls))
+                    mark = rng.choice([">", "> ", ">> ", "> > "])
+                    if rng.random() < .3:
+                        lines.append(rng.choice(["", "> "]) + "On Monday, A wrote:")
+                    lines += [mark + rng.choice([x, x, x.upper(), x + " "]) for x in ls[a:a + rng.randrange(1, 4)]]
+                else:
+                    lines += [say() for _ in range(rng.randrange(1, 4))]
+                if rng.random() < .5:
+                    lines.append(rng.choice(["", "  ", "> ", ">"]))
+            told.append("\n".join(lines))
+            rows.append((t, p, rng.choice(["\n", "\r\n"]).join(lines)))
+    rows += [(1, 40, None), (2, 41, ""), (None, 1, "> alpha"), (3, None, "x\n> y")]
+    want = brute_links(rows)
+    got = {(r["conv_id"], r["turn"]): (r["own_text"], r["parent"], r["root"], r["depth"], r["reply_order"], r["n_quoted"], r["n_linked"])
+           for r in quotes.link(spark.createDataFrame(rows, "conv_id bigint, turn bigint, text string").repartition(3)).collect()}
+    wrong = [(k, rows[[(a, b) for a, b, _ in rows].index(k)][2], got[k], want[k]) for k in want if got[k] != want[k]]
+    assert wrong == [], (len(wrong), wrong[:2])
+    assert sum(w[1] is not None for w in want.values()) > 30
+
+
 def test_long_chain_and_copies(spark):
     """A chain of 300 replies and a thread that repeats one text."""
     rows = [(1, i, f"message {i}") for i in range(300)] + [(2, i, "same text") for i in range(200)]
