@@ -102,12 +102,12 @@ SELECT row_id, language, func_name, documentation AS func_documentation_string,
 FROM {code_base}
 """
 
+# Each user turn and the assistant's next one, joined by both keys: a window per
+# conversation would put a long one into one task.
 CONV_PAIRS_SQL = """
-SELECT conv_id, turn, text AS prompt, nxt AS completion
-FROM (SELECT *, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS nxt,
-             lead(role) OVER (PARTITION BY conv_id ORDER BY turn) AS nrole
-      FROM {conversations}) t
-WHERE role = 'user' AND nrole = 'assistant'
+SELECT a.conv_id, a.turn, a.text AS prompt, b.text AS completion
+FROM {conversations} a JOIN {conversations} b ON b.conv_id = a.conv_id AND b.turn = a.turn + 1
+WHERE a.role = 'user' AND b.role = 'assistant'
 """
 
 # Traces of the defects that CODE_BASE_SQL plants, in any code column.
