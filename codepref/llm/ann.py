@@ -34,6 +34,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from codepref.llm.common import hash60, materialize
 
@@ -53,10 +54,22 @@ SALTS = 32
 
 def valid_vectors(df: DataFrame, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(id, vec) of the rows that take part."""
-    x = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(vector).cast("array<float>").alias("vec"))
-    fine = F.forall("vec", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) <= F.lit(3.4028235e38)))
+    kind = "double" if doubles(df, vector) else "float"
+    x = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(vector).cast(f"array<{kind}>").alias("vec"))
+    fine = F.forall("vec", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf"))))
     x = x.where(F.col("id").isNotNull() & F.col("vec").isNotNull() & fine & F.exists("vec", lambda v: v != 0))
-    return x.withColumn("vec", F.transform("vec", lambda v: v + F.lit(0).cast("float")))  # -0.0 is 0.0
+    return x.withColumn("vec", F.transform("vec", lambda v: v + F.lit(0).cast(kind)))  # -0.0 is 0.0
+
+
+def doubles(df: DataFrame, vector: str) -> bool:
+    """Whether the vectors are in double precision; others are read as single."""
+    return df.schema[vector].dataType.elementType == T.DoubleType()
+
+
+def narrow(vecs, scale: float) -> np.ndarray:
+    """Vectors as rows in single precision, for the search (scores are not)."""
+    x = np.stack(vecs)
+    return x if x.dtype == np.float32 else (x * scale).astype(np.float32)
 
 
 def distinct_vectors(x: DataFrame, keep: int) -> DataFrame:
@@ -150,14 +163,14 @@ def scan(rotated: np.ndarray, queries: np.ndarray, bound: np.ndarray, epsilon: f
     return tuple(np.concatenate(x) for x in zip(*found))
 
 
-def _cell(k: int, longest: float, turn: np.ndarray):
+def _cell(k: int, longest: float, turn: np.ndarray, scale: float):
     def run(key: tuple, vectors: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         if not len(vectors) or not len(queries):
             return pd.DataFrame({"q": pd.Series(dtype="int64"), "rep": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
         raw, reps = np.stack(vectors["vec"]), vectors["rep"].to_numpy()
         asked, ids = np.stack(queries["vec"]), queries["rep"].to_numpy()
-        turned = np.c_[asked, np.zeros(len(asked), np.float32)] @ turn
-        q, row = scan(extended(raw, longest) @ turn, turned, queries["bound"].to_numpy(np.float32))
+        turned = np.c_[narrow(asked, scale), np.zeros(len(asked), np.float32)] @ turn
+        q, row = scan(extended(narrow(raw, scale), longest) @ turn, turned, queries["bound"].to_numpy(np.float32))
         own = queries["alone"].to_numpy()[q] & vectors["single"].to_numpy()[row]
         own &= queries["own"].to_numpy()[q] == vectors["only"].to_numpy()[row]
         q, row = q[~own], row[~own]
@@ -184,11 +197,16 @@ def search(df: DataFrame, is_query: Column, k: int = 20, probes: int | None = No
     x = materialize(x.where(F.size("vec") == dim).distinct())
     # ids kept are cut to k + 1, so one id is all there are
     reps = materialize(distinct_vectors(x, k + 1).withColumn("single", F.size("ids") == 1).withColumn("only", F.col("ids")[0]))
-    norm = F.aggregate("vec", F.lit(0.0), lambda a, v: a + v.cast("double") * v.cast("double"))
-    n, longest = reps.agg(F.count(F.lit(1)), F.coalesce(F.max(F.sqrt(norm)), F.lit(1.0))).first()
+    # vectors in double precision are scaled to a greatest length of 1 for the search
+    top = F.array_max(F.transform("vec", lambda v: F.abs(v.cast("double")))) if doubles(df, vector) else F.lit(1.0)
+    norm = F.aggregate(F.transform("vec", lambda v: v.cast("double") / top), F.lit(0.0), lambda a, v: a + v * v)
+    n, longest = reps.agg(F.count(F.lit(1)), F.coalesce(F.max(F.sqrt(norm) * top), F.lit(1.0))).first()
+    scale = 1.0 / longest if doubles(df, vector) else 1.0
+    longest = longest * scale
     sample = reps.select("vec", "single", "only", hash60(F.col("rep"), ":sample").alias("h")).orderBy("h").limit(SAMPLE)
     taught = sample.select("vec", "single", "only").collect()  # at most SAMPLE vectors
-    points = extended(np.array([r["vec"] for r in taught], dtype=np.float32).reshape(-1, dim), longest)
+    known = (np.array([r["vec"] for r in taught], dtype=np.float64).reshape(-1, dim) * scale).astype(np.float32)
+    points = extended(known, longest)
     holders = np.array([r["single"] for r in taught], dtype=bool), np.array([r["only"] for r in taught], dtype=np.int64)
     lists = max(1, min(MAX_LISTS, n // LIST_SIZE, len(points) // 8))
     centers = kmeans(points, lists) if len(points) else np.zeros((1, dim + 1), np.float32)
@@ -198,7 +216,7 @@ def search(df: DataFrame, is_query: Column, k: int = 20, probes: int | None = No
 
     @F.pandas_udf("int")
     def home(vecs: pd.Series) -> pd.Series:
-        return pd.Series(_nearest(extended(np.stack(vecs), longest), shared.value, 1)[:, 0] if len(vecs) else [], dtype="int32")
+        return pd.Series(_nearest(extended(narrow(vecs, scale), longest), shared.value, 1)[:, 0] if len(vecs) else [], dtype="int32")
 
     dealt = materialize(reps.withColumn("list", home("vec")))
     counts = {r["list"]: r["count"] for r in dealt.groupBy("list").count().collect()}  # one row per list
@@ -211,7 +229,7 @@ def search(df: DataFrame, is_query: Column, k: int = 20, probes: int | None = No
     def probed(vecs: pd.Series) -> pd.Series:
         if not len(vecs):
             return pd.Series([], dtype=object)
-        near = _nearest(np.c_[np.stack(vecs), np.zeros(len(vecs), np.float32)], shared.value, len(shared.value))
+        near = _nearest(np.c_[narrow(vecs, scale), np.zeros(len(vecs), np.float32)], shared.value, len(shared.value))
         met = np.cumsum(size_of.value[near], axis=1)
         enough = np.maximum(probes, (met < 4 * (k + 1)).sum(axis=1) + 1)
         return pd.Series([row[:m] for row, m in zip(near, enough)])
@@ -225,7 +243,7 @@ def search(df: DataFrame, is_query: Column, k: int = 20, probes: int | None = No
             return pd.Series(np.full(len(vecs), np.inf, np.float32))
         out = []
         for a in range(0, len(vecs), 256):
-            part = np.stack(vecs[a:a + 256])
+            part = narrow(vecs[a:a + 256], scale)
             d = distances(np.c_[part, np.zeros(len(part), np.float32)], known)
             d[alone.to_numpy()[a:a + 256, None] & single & (own.to_numpy()[a:a + 256, None] == only)] = np.inf
             out.append(np.partition(d, deep, axis=1)[:, deep])
@@ -251,7 +269,7 @@ def search(df: DataFrame, is_query: Column, k: int = 20, probes: int | None = No
                    .join(F.broadcast(spread), "list")
                    .select("list", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)).alias("cell"), "rep", "vec", "own", "alone", "bound"))
         found = candidates.groupBy("list", "cell").cogroup(probing.groupBy("list", "cell")).applyInPandas(
-            _cell(k + 1, float(longest), rotation(dim + 1)), "q bigint, rep bigint, score double")
+            _cell(k + 1, float(longest), rotation(dim + 1), scale), "q bigint, rep bigint, score double")
         return materialize(found.withColumn("n", F.row_number().over(best)).where(F.col("n") <= k + 1).drop("n"))
 
     near = through(asked, probed("vec"))

@@ -192,6 +192,28 @@ def test_ann_small_tables_are_exact(spark):
     assert ann.search(df.limit(0), F.col("id") == 0).count() == 0
 
 
+def test_ann_doubles(spark):
+    """Vectors in double precision keep it, far beyond the range of single precision."""
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((300, 6)) * 10.0 ** rng.integers(-3, 4, (300, 1))
+    x[5] *= 1e39
+    x[7] = [1e300, 0, 0, 0, 0, 1e300]
+    x[9] = [float("inf")] * 6
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>")
+    got = {}
+    for r in ann.search(df, F.col("id") % 20 == 0, k=5).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    assert len(got) == 15
+    met = 0
+    for q, rows in got.items():
+        want = sorted(((-math.fsum(x[q] * x[i]), i) for i in range(300) if i not in (q, 9)))[:5]
+        for _, i, s in rows:
+            assert s == pytest.approx(float((x[i] * x[q]).sum()), rel=1e-12) and i != 9
+        met += len({i for _, i in want} & {i for _, i, _ in rows})
+        assert {7, 5} & {i for _, i in want} <= {i for _, i, _ in rows}
+    assert met >= 0.9 * 75
+
+
 def test_ann_repeated_ids(spark):
     """Copies of a row, ids with several vectors, and an id that holds most vectors."""
     rng = np.random.default_rng(3)
