@@ -10,8 +10,8 @@ from tests.conftest import SF_SMALL
 
 load_all()
 
-PYTHON_ALLOWED = {  # the Python boundary: compile check, AST normaliser, predictor, n-gram counts
-    "a01_valid_rate", "a02_sample_rate", "a07_bleu", "a07_bleu_counts", "a07_rouge_n", "c03_corrupt", "c04_corrupt_compat", "c06_recheck",
+PYTHON_ALLOWED = {  # the Python boundary: compile check, AST normaliser, predictor, token encoder, n-gram counts, subsequences
+    "a01_valid_rate", "a02_sample_rate", "a03_model_tokens", "e01_model_chunks", "a07_corpus_bleu", "a07_rouge_l", "a07_bleu", "a07_bleu_counts", "a07_rouge_n", "c03_corrupt", "c04_corrupt_compat", "c06_recheck",
     "f11_all_filters", "f11_compat", "f11_from_raw", "j01_rejected", "j01_rejected_pred", "j02_score_join", "n03_python_parts", "n04b_outermost",
     "n10_normalize", "n16_predict_stub", "n17_sanitise_predictions", "p01_dpo", "p02_kto",
     "p06_counters", "p01_dpo_compat", "st1_incremental", "v01_py_valid", "v06_fail_count",
