@@ -19,8 +19,14 @@ PYTHON_ALLOWED = {  # the Python boundary: compile check, AST normaliser, predic
 NATIVE = sorted(set(QUERIES) - PYTHON_ALLOWED)
 
 
+_PLANS: dict[str, str] = {}
+
+
 def _plan(spark, name):
-    return QUERIES[name](spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
+    """A query's plan, made once: several tests look at it."""
+    if name not in _PLANS:
+        _PLANS[name] = QUERIES[name](spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
+    return _PLANS[name]
 
 
 @pytest.mark.parametrize("name", NATIVE)
@@ -47,7 +53,7 @@ def test_filters_reach_the_scan(spark):
 def test_quotas_move_no_text(spark, name):
     """The rows are scanned and compared with a cutoff: no exchange, sort or window
     carries a text column."""
-    plan = QUERIES[name](spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
+    plan = _plan(spark, name)
     for node in re.findall(r"(?:Exchange|Sort|Window)[^\n]*", plan):
         assert not re.search(r"\b(prompt|code|reference|text|completion|rejected|chosen)#", node), node
     assert not re.search(r"(?<!Broadcast)Exchange hashpartitioning", plan), plan
@@ -55,6 +61,6 @@ def test_quotas_move_no_text(spark, name):
 
 def test_sample_is_taken_before_the_check(spark):
     """A2: the Python stage reads the written sample, not the base table."""
-    plan = QUERIES["a02_sample_rate"](spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
+    plan = _plan(spark, "a02_sample_rate")
     below = plan[plan.index("ArrowEvalPython"):plan.index("Union") if plan.index("Union") > plan.index("ArrowEvalPython") else None]
     assert "/tables/" in below.split("FileScan", 1)[1].split("\n", 1)[0]
