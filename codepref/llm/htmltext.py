@@ -54,8 +54,8 @@ ROLES = set("""navigation banner contentinfo complementary search alert alertdia
 status""".split())
 NAMES = set("""ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies
 consent gdpr notice notices popup modal newsletter subscribe signup sidebar nav navbar navigation menu breadcrumb
-breadcrumbs header masthead footer comment comments commentlist disqus related share sharing social pagination
-pager""".split())
+breadcrumbs header masthead topbar footer comment comments commentlist replies respond disqus related share sharing
+social widget widgets overlay pagination pager""".split())
 
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)
     |<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>"']++|"[^"]*"|'[^']*')*+)(?:>|\Z)
