@@ -94,3 +94,34 @@ def test_dataset_write_with_salted_files(spark):
     d = view(spark, SF_SMALL, "code_seed").withColumn("split", F.lit("train"))
     write_dataset(d, root, "seed", files_per_partition=3)
     assert read_dataset(spark, root, "seed").count() == d.count()
+
+
+def test_code_base_moves_the_source_text_once(spark, monkeypatch):
+    """The source is dealt out before the view copies its text, without a sort, into more
+    parts the larger it is; the view of plain columns is not written again."""
+    from codepref.sources import fixtures
+
+    plan = fixtures.derive(spark, SF_SMALL, "code_base")._jdf.queryExecution()
+    text = plan.executedPlan().toString()
+    assert text.count("Exchange hashpartitioning(_at") == 1 and "RoundRobin" not in text and "Sort" not in text
+    dealt = plan.optimizedPlan().collectLeaves().apply(0).toString()
+    assert "text" in dealt and "payload" not in dealt
+    seed = view(spark, SF_SMALL, "code_seed")
+    assert set(seed.inputFiles()) <= set(view(spark, SF_SMALL, "code_base").inputFiles())
+    documents = spark.read.parquet(f"{SF_SMALL}/documents.parquet")
+    few = fixtures.deal_out(documents).rdd.getNumPartitions()
+    monkeypatch.setattr(fixtures, "PART_BYTES", 2000)
+    many = fixtures.deal_out(documents)
+    assert many.rdd.getNumPartitions() > few
+    assert sorted(many.collect(), key=str) == sorted(documents.collect(), key=str)
+
+
+def test_deal_out_spreads_copies(spark):
+    from codepref.sources import fixtures
+
+    rows = spark.createDataFrame([(None, "same")] * 4000, "doc_id long, text string")
+    path = f"{checkpoint_dir(spark)}/t-copies-{uuid.uuid4().hex}"
+    rows.coalesce(1).write.parquet(path)
+    dealt = fixtures.deal_out(spark.read.parquet(path))
+    sizes = [r["n"] for r in dealt.groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("n")).collect()]
+    assert sum(sizes) == 4000 and max(sizes) < 3 * 4000 / dealt.rdd.getNumPartitions()
