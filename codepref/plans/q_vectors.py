@@ -146,6 +146,9 @@ def e06_equal(spark, sf_dir):
         "vec_id", em.vectors_equal(F.col("embedding"), F.col("back")).alias("equal"))
 
 
+ST1_BATCHES = 4
+
+
 @register("st1_incremental", _with(LABELLED) + "SELECT row_id, language, code, valid FROM lab")
 def st1_incremental(spark, sf_dir):
     """ST1: base rows arrive as files; Structured Streaming labels them
@@ -155,8 +158,9 @@ def st1_incremental(spark, sf_dir):
 
     root = f"{checkpoint_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
     base = view(spark, sf_dir, "code_base")
-    base.repartition(4, "row_id").write.parquet(f"{root}/in")
-    out = label_stream(spark, f"{root}/in", base.schema, f"{root}/out", f"{root}/ckpt", max_files_per_trigger=1)
+    base.write.option("compression", "zstd").parquet(f"{root}/in")  # a file of each task: no file or task grows with the table
+    per_batch = -(-len(spark.read.parquet(f"{root}/in").inputFiles()) // ST1_BATCHES)
+    out = label_stream(spark, f"{root}/in", base.schema, f"{root}/out", f"{root}/ckpt", max_files_per_trigger=max(1, per_batch))
     return out.select("row_id", "language", "code", "valid")
 
 

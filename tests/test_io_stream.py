@@ -125,3 +125,23 @@ def test_deal_out_spreads_copies(spark):
     dealt = fixtures.deal_out(spark.read.parquet(path))
     sizes = [r["n"] for r in dealt.groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("n")).collect()]
     assert sum(sizes) == 4000 and max(sizes) < 3 * 4000 / dealt.rdd.getNumPartitions()
+
+
+def test_incremental_files_follow_the_table(spark, monkeypatch):
+    """The stream's input comes in as many files as the table has parts, in four batches."""
+    from codepref.plans import q_vectors
+    from codepref.streaming import incremental
+
+    seen = {}
+    whole = incremental.label_stream
+
+    def label(spark, source, schema, *args, max_files_per_trigger):
+        seen.update(files=len(spark.read.parquet(source).inputFiles()), each=max_files_per_trigger)
+        return whole(spark, source, schema, *args, max_files_per_trigger=max_files_per_trigger)
+
+    parts = spark.range(0, 9, 1, 9).select(F.col("id").alias("_n"))
+    base = view(spark, SF_SMALL, "code_base").where("row_id < 30").crossJoin(parts).where("row_id % 9 = _n").drop("_n").repartition(9, "row_id")
+    monkeypatch.setattr(incremental, "label_stream", label)
+    monkeypatch.setattr(q_vectors, "view", lambda *a: base)
+    out = q_vectors.st1_incremental(spark, SF_SMALL)
+    assert out.count() == base.count() and seen["files"] > 4 and seen["each"] == -(-seen["files"] // 4)
