@@ -6,6 +6,7 @@ import math
 import random
 from collections import Counter
 
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -92,3 +93,36 @@ def test_pair_fit_steps(spark):
     got = {r["idx"]: r["weight"] for r in em.descend_pair_scorer(df, steps=4, rate=0.5).collect()}
     assert all(abs(got[i] - x) < 1e-12 for i, x in enumerate(w)) and len(got) == 5
     assert em.descend_pair_scorer(df.limit(0)).count() == 0
+
+
+def test_overlaps_counted_once_per_row(spark):
+    """A filter on the overlaps must not be pushed below them: cut and counted twice."""
+    df = spark.createDataFrame([(1, "a b c d e", "a b c d e"), (2, None, "a"), (3, "", ""), (4, "x y", None)], "k int, c string, r string")
+    d = ev.sentence_bleu(df, ["k"], "c", "r")
+    plan = d._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+    assert {r["k"]: r["bleu"] for r in d.collect()} == {1: 1.0, 2: 0.0, 4: 0.0}
+
+
+def test_overlaps_keep_little_in_python(spark):
+    """Tokens stay in Arrow's arrays: counting two texts of 2 MB takes less than 100 MB of Python's own objects."""
+    import tracemalloc
+
+    rnd = random.Random(5)
+    texts = [ev._SEP.join(str(rnd.randrange(5000)) for _ in range(400_000)) for _ in range(2)]
+    cand, ref = (pa.array([t, None, "", "a"]) for t in texts)
+    tracemalloc.start()
+    got = ev._overlaps_of(ev._token_lists(cand), ev._token_lists(ref), 2)
+    _, most = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    a, b = (Counter(t.split(ev._SEP)) for t in texts)
+    assert got[0, 0] == sum((a & b).values()) and got[1:].tolist() == [[0, 0], [0, 0], [1, 0]]
+    assert most < 100 << 20
+
+
+def test_slices_bound_bytes():
+    cand, ref = pa.array(["a" * 400, None, "b" * 400, "c" * 3000, "", "d"]), pa.array(["", "x" * 500, None, "", "", "y"])
+    parts = list(ev._slices(cand, ref, size=1000))
+    assert [i for p in parts for i in range(len(cand))[p]] == list(range(len(cand)))
+    n_bytes = [len(a or "") + len(b or "") for a, b in zip(cand.to_pylist(), ref.to_pylist())]
+    assert len(parts) > 2 and all(sum(n_bytes[p][1:]) < 1000 for p in parts)
