@@ -9,9 +9,12 @@ batches, by one encoder per Python worker.
 from __future__ import annotations
 
 import base64
+from array import array
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
@@ -57,11 +60,18 @@ def read_vocabulary(spark: SparkSession, path: str, pattern: str = PATTERN) -> V
 
 
 def token_ids(text: Column, vocabulary: Vocabulary) -> Column:
-    """The ids of a text's tokens (null: null; empty: none)."""
-    @F.pandas_udf("array<int>")
-    def encode(texts: pd.Series) -> pd.Series:
+    """The ids of a text's tokens (null: null; empty: none). Texts and ids stay in Arrow's
+    arrays; of Python's own numbers a worker holds one text's at a time."""
+    @F.arrow_udf("array<int>")
+    def encode(texts: pa.Array) -> pa.Array:
         e = vocabulary.encoder()
-        return texts.map(lambda t: None if t is None else e.encode_ordinary(t))
+        ids, sizes = array("i"), np.zeros(len(texts) + 1, np.int32)
+        for i, t in enumerate(texts, 1):
+            if t.is_valid:
+                before = len(ids)
+                ids.extend(e.encode_ordinary(t.as_py()))
+                sizes[i] = len(ids) - before
+        return pa.ListArray.from_arrays(pa.array(sizes.cumsum(dtype=np.int32)), pa.array(np.frombuffer(ids, np.int32)), mask=texts.is_null())
 
     return encode(text)
 

@@ -1,10 +1,12 @@
 """Model tokens against a plain merge loop."""
 
 import base64
+import re
 
 import pytest
 import regex
 from pyspark.sql import functions as F
+from pyspark.util import PythonEvalType
 
 from codepref.operators.tokenize import PATTERN, read_vocabulary, token_ids, token_length, token_text
 from codepref.plans.q_tokens import VOCABULARY
@@ -46,3 +48,17 @@ def test_wrong_vocabularies(spark, tmp_path):
     few.write_text("IQ== 0\nIg== 1\n")
     with pytest.raises(ValueError, match="byte-level"):
         read_vocabulary(spark, str(few))
+
+
+def test_ids_leave_python_as_arrow(spark):
+    """Ids are no lists of Python's numbers, and rows keep theirs across nulls and empty texts."""
+    v = read_vocabulary(spark, VOCABULARY)
+    many = ["word 1234 " * 50, None, "", None, "a"] * 40
+    df = spark.createDataFrame(list(enumerate(many)), "i int, t string").coalesce(1)
+    d = df.select("i", token_ids(F.col("t"), v).alias("ids"))
+    kinds = re.findall(r"encode\(t#\d+\)#\S+?(\d+)|ArrowEvalPython \[[^\]]*\], \[[^\]]*\], (\d+)", d._jdf.queryExecution().executedPlan().toString())
+    assert kinds and kinds[0][1] == str(PythonEvalType.SQL_SCALAR_ARROW_UDF)
+    got = [r["ids"] for r in d.orderBy("i").collect()]
+    assert got[:5] == got[5:10] == got[-5:] and [g is None for g in got[:5]] == [False, True, False, True, False] and got[2] == []
+    none = df.where("i % 5 = 1").select(token_ids(F.col("t"), v).alias("ids")).collect()
+    assert all(r["ids"] is None for r in none) and len(none) == 40
