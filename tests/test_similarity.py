@@ -126,3 +126,29 @@ def test_slices_bound_bytes():
     assert [i for p in parts for i in range(len(cand))[p]] == list(range(len(cand)))
     n_bytes = [len(a or "") + len(b or "") for a, b in zip(cand.to_pylist(), ref.to_pylist())]
     assert len(parts) > 2 and all(sum(n_bytes[p][1:]) < 1000 for p in parts)
+
+
+def test_token_lists_of_slices():
+    """Slices of a batch, as the counter takes them (Arrow's if_else, say, goes wrong on these)."""
+    rnd = random.Random(2)
+    texts = [rnd.choice([None, "", ev._SEP.join(rnd.choice("abc") * rnd.randrange(4) for _ in range(rnd.randint(1, 30)))]) for _ in range(300)]
+    batch = pa.array(texts)
+    for a in range(0, 290, 7):
+        for b in (a + 1, a + 5, a + 100):
+            assert ev._token_lists(batch[a:b]).to_pylist() == [t.split(ev._SEP) if t else [] for t in texts[a:b]]
+
+
+def test_overlaps_of_many_slices(spark):
+    """Batches of several slices, with nulls and empty texts, against plain counts."""
+    rnd = random.Random(4)
+    text = lambda: rnd.choice([None, "", " ".join(str(rnd.randrange(60)) for _ in range(rnd.randrange(9000)))])
+    pairs = [(i, text(), text()) for i in range(300)]
+    df = spark.createDataFrame(pairs, "k int, c string, r string").coalesce(1)
+    got = {(r["k"], r["n"]): (r["matches"], r["cand_total"], r["ref_total"]) for r in ev.ngram_overlap(df, ["k"], "c", "r", 3).collect()}
+    want = {}
+    for k, c, r in pairs:
+        for n in (1, 2, 3):
+            x, y = (Counter(zip(*((t or "").split()[i:] for i in range(n)))) for t in (c, r))
+            if x or y:
+                want[k, n] = (sum((x & y).values()), x.total(), y.total())
+    assert got == want
