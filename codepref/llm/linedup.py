@@ -4,7 +4,7 @@ Each line is the set of its words. Words are ordered by rarity over all lines;
 two sets with Jaccard similarity of at least ``SIMILARITY`` must share a word
 among the first few of each in that order (prefix filter). Such pairs are tested
 by length, by the places of the shared word (positional filter) and by a bound
-on their symmetric difference from 64-bit parities, and what is left is verified
+on their symmetric difference from 128 parities, and what is left is verified
 on the whole sets (PPJoin, Xiao et al., 2008).
 
 Equal sets are one class, so copies make no pairs; a class stands at its first
@@ -42,6 +42,7 @@ MEMBER_BITS = 22
 #: Tables of at most so many (short) rows are broadcast; larger ones are joined.
 BROADCAST_ROWS = 500_000
 GAPS = r"[\x20\x09-\x0D]+"
+SPACES = " \t\n\x0b\x0c\r"
 PLACE = ("doc_id", "text_id", "line_no")
 
 
@@ -49,12 +50,21 @@ def _ceil(x: Column, p: int, q: int) -> Column:
     return F.floor((x * p + (q - 1)) / q)
 
 
-def _words(line: Column) -> Column:
-    """Words of a line; the common case, only spaces, needs no pattern."""
+def _pieces(line: Column) -> Column:
+    """A line cut at white space, at times with empty pieces; the common case, only
+    spaces, needs no pattern."""
     odd = F.lit(False)
     for c in "\t\x0b\x0c\r":
         odd = odd | F.contains(line, F.lit(c))
-    return F.array_remove(F.when(odd, F.split(line, GAPS)).otherwise(F.split(line, " ")), "")
+    return F.when(odd, F.split(line, GAPS)).otherwise(F.split(line, " "))
+
+
+def _words(line: Column) -> Column:
+    """Words of a line; most lines have no empty pieces to drop."""
+    tight = F.btrim(line, F.lit(SPACES)) == line
+    for c in ("  ", "\t", "\x0b", "\x0c", "\r"):
+        tight = tight & ~F.contains(line, F.lit(c))
+    return F.when(tight & (line != ""), F.split(line, " ")).otherwise(F.array_remove(_pieces(line), ""))
 
 
 def _literal(values: list[int]) -> Column:
@@ -67,42 +77,52 @@ def _checked(table: DataFrame) -> DataFrame:
     return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
 
 
-def word_sets(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_id, line_no, h): the distinct word hashes of each line that has words."""
-    lines = docs.select("doc_id", F.xxhash64(F.col("text").cast("string")).alias("text_id"), F.posexplode(F.split(F.col("text").cast("string"), "\n")).alias("line_no", "line"))
+def word_sets(docs: DataFrame, wanted: Column | None = None) -> DataFrame:
+    """(doc_id, text_id, line_no, h): the distinct word hashes of each line that has
+    words, or only of those lines whose place is ``wanted``. Blank lines are told by
+    the line itself: a test of h would be pushed down and hash each line twice."""
+    text = F.col("text").cast("string")
+    texts = docs.select("doc_id", F.xxhash64(text).alias("text_id"), F.split(text, "\n").alias("lines"))
+    lines = texts.select("doc_id", "text_id", F.posexplode("lines").alias("line_no", "line"))
+    lines = lines.where(F.btrim("line", F.lit(SPACES)) != "")
+    if wanted is not None:
+        lines = lines.where(wanted)
     hashes = F.array_distinct(F.transform(_words(F.col("line")), lambda w: F.xxhash64(w)))
-    return lines.select(*PLACE, hashes.alias("h")).where(F.size("h") > 0)
+    return lines.select(*PLACE, hashes.alias("h"))
 
 
 def rarity_key(docs: DataFrame):
     """A one-to-one map of word hashes to integers whose order is by rarity."""
     flat = docs.select(F.replace(F.col("text").cast("string"), F.lit("\n"), F.lit(" ")).alias("text"))
-    words = flat.select(F.explode(_words(F.col("text"))).alias("w"))
+    words = flat.select(F.explode(_pieces(F.col("text"))).alias("w")).where("w <> ''")
     bucket = F.shiftrightunsigned(F.xxhash64("w"), 64 - RANK_BITS)
     counted = words.groupBy(bucket.alias("b")).agg(F.count(F.lit(1)).alias("n"))
     counts = {r["b"]: r["n"] for r in counted.collect()}  # at most 2 ** RANK_BITS rows
-    rank = [0] * (1 << RANK_BITS)
+    # a hash's first bits are its bucket; what turns them into the bucket's rank is told.
+    # Ranks start below zero so that signed order is the order of ranks
+    shift, turn = 64 - RANK_BITS, [0] * (1 << RANK_BITS)
     for i, b in enumerate(sorted(range(1 << RANK_BITS), key=lambda b: (counts.get(b, 0), b))):
-        rank[b] = i
-    ranks = _literal(rank)
-    low = F.lit((1 << (64 - RANK_BITS)) - 1)
+        change = (i ^ b ^ (1 << (RANK_BITS - 1))) << shift
+        turn[b] = change - (1 << 64) if change >> 63 else change
+    turns = _literal(turn)
 
     def key(h: Column) -> Column:
-        place = F.get(ranks, F.shiftrightunsigned(h, 64 - RANK_BITS).cast("int"))
-        # ranks start below zero so that signed order is the order of ranks
-        return F.shiftleft(place - (1 << (RANK_BITS - 1)), 64 - RANK_BITS).bitwiseOR(h.bitwiseAND(low))
+        # never null, and told so: arrays of such keys are sorted as plain longs
+        return h.bitwiseXOR(F.coalesce(F.get(turns, F.shiftrightunsigned(h, shift).cast("int")), F.lit(0).cast("bigint")))
 
     return key
 
 
-def _parity(k: str, shift: int) -> Column:
-    """64 bits, each the parity of the words that fall on it: sets that differ in d
+def _parities(k: str) -> list[Column]:
+    """128 bits, each the parity of the words that fall on it: sets that differ in d
     words differ in at most d bits."""
-    def flip(a: Column, x: Column) -> Column:
-        at = F.shiftrightunsigned(x, shift).bitwiseAND(F.lit(63)).cast("int")
-        return a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), at))
+    def odd(one):
+        return F.aggregate(k, F.lit(0).cast("bigint"), lambda a, x: a.bitwiseXOR(
+            F.call_function("shiftleft", one(x), x.bitwiseAND(F.lit(63)).cast("int"))))
 
-    return F.aggregate(k, F.lit(0).cast("bigint"), flip)
+    every = odd(lambda x: F.lit(1).cast("bigint"))
+    half = odd(lambda x: F.shiftright(x, 6).bitwiseAND(F.lit(1).cast("bigint")))
+    return [half.alias("p0"), every.bitwiseXOR(half).alias("p1")]
 
 
 def _digest(k: str = "k") -> list[Column]:
@@ -117,7 +137,7 @@ def keyed_lines(docs: DataFrame, key, similarity: tuple[int, int]) -> DataFrame:
     prefix = F.slice("k", F.lit(1), (n - _ceil(n, *similarity) + 1).cast("int"))
     return materialize(keyed.select(
         F.monotonically_increasing_id().alias("lid"), *PLACE, *_digest(), n.cast("bigint").alias("n"),
-        _parity("k", 0).alias("p0"), _parity("k", 6).alias("p1"), prefix.alias("prefix")))
+        *_parities("k"), prefix.alias("prefix")))
 
 
 def copies(lines: DataFrame) -> DataFrame:
@@ -151,7 +171,7 @@ def words_at(docs: DataFrame, key, wanted: DataFrame) -> DataFrame:
     """(lid, k) of the wanted (lid, doc_id, text_id, line_no, sa, sb): texts that may hold
     one are read again, and only the lines that may be one go further."""
     some = docs.where(_member(wanted, "doc_id"))
-    near = word_sets(some).where(_member(wanted, *PLACE)).select(*PLACE, F.sort_array(F.transform("h", key)).alias("k"))
+    near = word_sets(some, _member(wanted, *PLACE)).select(*PLACE, F.sort_array(F.transform("h", key)).alias("k"))
     near = near.select(F.col("doc_id").alias("_d"), F.col("text_id").alias("_t"), F.col("line_no").alias("_l"), "k", *_digest())
     same = wanted["doc_id"].eqNullSafe(F.col("_d"))
     for w, x in (("text_id", "_t"), ("line_no", "_l"), ("sa", "sa"), ("sb", "sb")):
@@ -200,8 +220,8 @@ def candidates(firsts: DataFrame, similarity: tuple[int, int]) -> DataFrame:
     """Distinct pairs (a, b), n(a) >= n(b), that pass all filters. Both sides are one
     shuffle of the same rows."""
     p, q = similarity
-    rows = firsts.select("lid", "p0", F.posexplode("prefix").alias("pos", "key"), "n").select(
-        "key", "lid", "p0", (F.shiftleft("n", 32) + F.col("n") - F.col("pos")).alias("sizes"))
+    rows = firsts.select("lid", "p0", "p1", F.posexplode("prefix").alias("pos", "key"), "n").select(
+        "key", "lid", "p0", "p1", (F.shiftleft("n", 32) + F.col("n") - F.col("pos")).alias("sizes"))
     a, b = rows.alias("a"), rows.alias("b")
     na, nb = F.shiftright("a.sizes", 32), F.shiftright("b.sizes", 32)
     ra, rb = (F.col(f"{s}.sizes").bitwiseAND(F.lit((1 << 32) - 1)) for s in "ab")
@@ -209,22 +229,17 @@ def candidates(firsts: DataFrame, similarity: tuple[int, int]) -> DataFrame:
     # of the shorter set a shorter prefix is enough (the second half of the "or" is
     # never true; it keeps the test out of one side's scan, so the shuffle is shared)
     answers = (nb - rb < nb - _ceil(nb * 2, p, p + q) + 1) | (na < nb)
+    apart = F.bit_count(F.col("a.p0").bitwiseXOR(F.col("b.p0"))) + F.bit_count(F.col("a.p1").bitwiseXOR(F.col("b.p1")))
     pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & (na >= nb) & (nb * q >= na * p) & answers
                    & ((na > nb) | (F.col("a.lid") < F.col("b.lid")))
                    & (F.least(ra, rb) >= need)
-                   & (F.bit_count(F.col("a.p0").bitwiseXOR(F.col("b.p0"))) <= na + nb - need * 2))
-    pairs = pairs.select(F.col("a.lid").alias("a"), F.col("b.lid").alias("b")).distinct()
-    # the other parity is looked up for what is left
-    side = firsts.select("lid", "n", "p1")
-    for s in "ab":
-        pairs = pairs.join(side.select(F.col("lid").alias(s), *[F.col(c).alias(c + s) for c in ("n", "p1")]), s)
-    both = F.col("na") + F.col("nb")
-    pairs = pairs.where(F.bit_count(F.col("p1a").bitwiseXOR(F.col("p1b"))) <= both - _ceil(both, p, p + q) * 2)
-    return materialize(pairs.select("a", "b"))
+                   & (apart <= na + nb - need * 2))
+    return materialize(pairs.select(F.col("a.lid").alias("a"), F.col("b.lid").alias("b")).distinct())
 
 
 def class_links(docs: DataFrame, similarity: tuple[int, int] = SIMILARITY):
-    """The lines, the sets that several lines have, and the links (a, b) of classes."""
+    """The lines, the sets that several lines have, the links (a, b) of classes, and
+    the places of all that may be linked."""
     key = rarity_key(docs)
     lines = keyed_lines(docs, key, similarity)
     several = copies(lines)
@@ -232,25 +247,26 @@ def class_links(docs: DataFrame, similarity: tuple[int, int] = SIMILARITY):
     pairs = candidates(firsts, similarity)
     named = pairs.select(F.col("a").alias("lid")).union(pairs.select("b")).distinct()
     places = materialize(firsts.select("lid", *PLACE, "sa", "sb").join(named, "lid"))
-    return lines, several, materialize(verified(pairs, words_at(docs, key, places), similarity))
+    return lines, several, materialize(verified(pairs, words_at(docs, key, places), similarity)), places
 
 
 def duplicate_lines(docs: DataFrame, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
     """(doc_id, text_id, line_no, class_id, removed, n_links) of the lines that match another:
     removed where an equal or similar set stands earlier; n_links: other classes
     that are similar."""
-    lines, several, links = class_links(docs, similarity)
-    at = lines.select("lid", F.struct(*PLACE).alias("at"))
+    lines, several, links, places = class_links(docs, similarity)
+    at = F.struct(*PLACE)
     ends = links.select(F.col("a").alias("lid"), F.col("b").alias("other")).unionByName(
         links.select(F.col("b").alias("lid"), F.col("a").alias("other")))
-    per = ends.join(at.select(F.col("lid").alias("other"), F.col("at").alias("there")), "other").groupBy("lid").agg(
-        F.min("there").alias("there"), F.count(F.lit(1)).alias("n_links"))
-    firsts = at.join(per, "lid", "left").select("lid", "at", "there", F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    told = firsts.join(several.select(F.col("cid").alias("lid"), "n_lines"), "lid", "left")
-    told = materialize(told.where((F.col("n_links") > 0) | F.col("n_lines").isNotNull()).select(
+    there = _checked(places.select(F.col("lid").alias("other"), at.alias("there")))
+    per = ends.join(there, "other").groupBy("lid").agg(F.min("there").alias("there"), F.count(F.lit(1)).alias("n_links"))
+    # only linked sets and those of several lines match another line
+    told = materialize(per.join(several.select(F.col("cid").alias("lid")), "lid", "full").select(
+        "lid", "there", F.coalesce("n_links", F.lit(0)).alias("n_links")))
+    told = materialize(lines.select("lid", at.alias("at")).join(_checked(told), "lid").select(
         F.col("lid").alias("cid"), "at", F.coalesce(F.col("there") < F.col("at"), F.lit(False)).alias("late"), "n_links"))
-    hit = _classed(lines.select("lid", *PLACE, "sa", "sb"), several).join(told, "cid")
-    earlier = F.col("late") | (F.col("at") < F.struct(*PLACE))
+    hit = _classed(lines.select("lid", *PLACE, "sa", "sb"), several).join(_checked(told), "cid")
+    earlier = F.col("late") | (F.col("at") < at)
     return hit.select(*PLACE, F.col("cid").alias("class_id"), earlier.alias("removed"), "n_links").distinct()
 
 

@@ -352,6 +352,19 @@ def test_line_dedup_texts(spark):
     assert got[same[0][1]] == got["second"] == got[same[2][1]] == 1 and sum(t.count("no id at all here") for t in got) == 1
 
 
+def test_line_candidates_are_near(spark):
+    """Long sets that share many words without being similar make few candidates (2003 by two separate parities), and
+    each line is hashed once, where its row is made."""
+    rng = random.Random(8)
+    pool = [f"p{i}" for i in range(135)]
+    d = spark.createDataFrame([(i, " ".join(rng.sample(pool, 110))) for i in range(80)], "doc_id bigint, text string")
+    lines = linedup.keyed_lines(d, linedup.rarity_key(d), linedup.SIMILARITY)
+    assert lines.count() == 80
+    assert linedup.candidates(lines, linedup.SIMILARITY).count() < 600
+    plan = linedup.word_sets(d)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("array_distinct") == 1
+
+
 def test_native_plans(spark, docs):
     """The native operators run no Python on their plans."""
     for df in (sharding.shard(docs, 1000), linedup.summary(docs.select("doc_id", "text"))):
