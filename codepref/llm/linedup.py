@@ -270,31 +270,33 @@ def duplicate_lines(docs: DataFrame, similarity: tuple[int, int] = SIMILARITY) -
     return hit.select(*PLACE, F.col("cid").alias("class_id"), earlier.alias("removed"), "n_links").distinct()
 
 
-def _per_row(docs: DataFrame, hits: DataFrame, *sums: Column) -> DataFrame:
-    """``docs`` with what ``hits`` add up to for the row's id and text (null without any)."""
+def _per_row(docs: DataFrame, text_id: Column, hits: DataFrame, *sums: Column) -> DataFrame:
+    """``docs`` with what ``hits`` add up to for the row's id and text, of which ``text_id``
+    is the digest (null without any)."""
     doc, text = one_of(docs.columns, "_doc"), one_of(docs.columns, "_text_id")
     per = hits.groupBy(F.col("doc_id").alias(doc), F.col("text_id").alias(text)).agg(*sums)
-    same = docs["doc_id"].eqNullSafe(F.col(doc)) & (F.xxhash64(docs["text"].cast("string")) == F.col(text))
+    same = docs["doc_id"].eqNullSafe(F.col(doc)) & (text_id == F.col(text))
     return docs.join(per, same, "left").drop(doc, text)
 
 
 def summary(docs: DataFrame, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
     """Per row of ``docs``: n_lines, removed_lines (numbers from 0), n_removed and
     n_links (of its lines, to other classes)."""
-    docs = docs.select("doc_id", "text")
-    rows = _per_row(docs, duplicate_lines(docs, similarity),
+    docs, text = docs.select("doc_id", "text"), F.col("text").cast("string")
+    n = F.coalesce(F.size(F.split(text, "\n")), F.lit(0))
+    # the texts themselves stay out of the join
+    told = docs.select("doc_id", F.xxhash64(text).alias("text_id"), F.when(n < 0, 0).otherwise(n).cast("bigint").alias("n_lines"))
+    rows = _per_row(told, told["text_id"], duplicate_lines(docs, similarity),
                     F.sort_array(F.collect_list(F.when(F.col("removed"), F.col("line_no")))).alias("removed_lines"), F.sum("n_links").alias("n_links"))
-    n = F.coalesce(F.size(F.split(F.col("text").cast("string"), "\n")), F.lit(0))
     kept = F.coalesce("removed_lines", F.array().cast("array<int>"))
-    return rows.select("doc_id", F.when(n < 0, 0).otherwise(n).cast("bigint").alias("n_lines"),
-                       kept.alias("removed_lines"), F.size(kept).cast("bigint").alias("n_removed"),
+    return rows.select("doc_id", "n_lines", kept.alias("removed_lines"), F.size(kept).cast("bigint").alias("n_removed"),
                        F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
 def dedup(docs: DataFrame, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
     """``docs`` with the removed lines cut from text."""
     cut = one_of(docs.columns, "_cut")
-    rows = _per_row(docs, duplicate_lines(docs, similarity).where("removed"), F.collect_set("line_no").alias(cut))
+    rows = _per_row(docs, F.xxhash64(docs["text"].cast("string")), duplicate_lines(docs, similarity).where("removed"), F.collect_set("line_no").alias(cut))
     lines = F.transform(F.split(F.col("text"), "\n"), lambda x, i: F.struct(i.alias("i"), x.alias("x")))
     stay = F.filter(lines, lambda x: ~F.array_contains(cut, x["i"]))
     text = F.when(F.col(cut).isNull(), F.col("text")).otherwise(F.array_join(F.transform(stay, lambda x: x["x"]), "\n"))

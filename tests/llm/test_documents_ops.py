@@ -363,6 +363,8 @@ def test_line_candidates_are_near(spark):
     assert linedup.candidates(lines, linedup.SIMILARITY).count() < 600
     plan = linedup.word_sets(d)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("array_distinct") == 1
+    joined = linedup.summary(d)._jdf.queryExecution().optimizedPlan().toString().split("Join LeftOuter")[1]
+    assert "AS text_id" in joined.splitlines()[1]  # the texts stay out of the join
 
 
 def test_native_plans(spark, docs):
