@@ -13,6 +13,16 @@ distance to its hub (the candidate with most candidates) is measured, and as
 Jaccard distance is a metric, two sets whose distances to a common hub add up to
 little enough are linked without being compared. The other pairs are compared word by word.
 
+Large groups of near copies are told apart first, so that their pairs are counted and
+not written: a group's centre is the set of the words that most of its sets have, and a
+set is known by the words that it lacks of the centre or has beside it. Two sets a and b
+of sizes m and n differ in d(a) + d(b) - 2c words, d being the numbers of those words and
+c how many are common to both. They are similar if that is at most (m + n) / 9 (for 4/5),
+so s(a) + s(b) <= 18c with s(x) = 9 d(x) - size(x): for s(a) + s(b) <= 0 in any case, which
+is counted by a running total over s; other pairs must share such a word and are joined by
+it. The filters above then look for pairs of different groups only. Which sets are
+grouped changes no result.
+
 A line is removed if its set, or a similar one, stands at an earlier line.
 
 Rarity: words are counted in 65,536 hash buckets over all lines; the order is by
@@ -30,7 +40,7 @@ don't remove each other; a null doc_id stands before all others.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codepref.llm.common import materialize, one_of
@@ -41,6 +51,8 @@ RANK_BITS = 16
 MEMBER_BITS = 22
 #: Tables of at most so many (short) rows are broadcast; larger ones are joined.
 BROADCAST_ROWS = 500_000
+#: Sets that make a group of near copies.
+GROUP_SETS = 8
 GAPS = r"[\x20\x09-\x0D]+"
 SPACES = " \t\n\x0b\x0c\r"
 PLACE = ("doc_id", "text_id", "line_no")
@@ -137,7 +149,7 @@ def keyed_lines(docs: DataFrame, key, similarity: tuple[int, int]) -> DataFrame:
     prefix = F.slice("k", F.lit(1), (n - _ceil(n, *similarity) + 1).cast("int"))
     return materialize(keyed.select(
         F.monotonically_increasing_id().alias("lid"), *PLACE, *_digest(), n.cast("bigint").alias("n"),
-        *_parities("k"), prefix.alias("prefix")))
+        *_parities("k"), prefix.alias("prefix")), "snappy")  # hashes don't shrink
 
 
 def copies(lines: DataFrame) -> DataFrame:
@@ -216,12 +228,76 @@ def verified(pairs: DataFrame, words: DataFrame, similarity: tuple[int, int]) ->
     return placed.where("linked").select("a", "b").unionByName(rest.select("a", "b"))
 
 
+def near_groups(firsts: DataFrame, similarity: tuple[int, int]) -> DataFrame:
+    """(lid, place, digest, hub, sets) of the sets in groups of near copies; hub is a group's
+    least lid, sets its size. Each word's leader is the set with the least parities among those that have it in their
+    prefix; sets near a leader are its group. As near copies have several such leaders, each set
+    then joins the largest group whose usual words are half its prefix."""
+    p, q = similarity
+    parities = F.col("p0").bitwiseXOR(F.col("p1")).alias("e")
+    sets = firsts.select("lid", parities, "n", F.size("prefix").alias("words"), F.explode("prefix").alias("key"))
+    leads = materialize(sets.groupBy("key").agg(F.min("e").alias("lead"), F.count(F.lit(1)).alias("sets"))
+                        .where(F.col("sets") >= GROUP_SETS).select("key", "lead"))
+    # half as far again as similar sets: the leader may stand at the group's edge
+    near = F.bit_count(F.col("e").bitwiseXOR(F.col("lead"))) * (p + q) <= F.col("n") * (3 * (q - p))
+    led = materialize(sets.join(_checked(leads), "key").where(near).groupBy("lid").agg(F.min("lead").alias("lead")))
+    large = led.groupBy("lead").agg(F.count(F.lit(1)).alias("sets")).where(F.col("sets") >= GROUP_SETS)
+    held = firsts.select("lid", "prefix").join(_checked(led), "lid").join(large, "lead").select("lead", "sets", F.explode("prefix").alias("key"))
+    usual = held.groupBy("lead", "sets", "key").agg(F.count(F.lit(1)).alias("n"))
+    usual = materialize(usual.where(F.col("n") * 2 > F.col("sets")).drop("n"))
+    votes = sets.select("lid", "words", "key").join(_checked(usual), "key").groupBy("lid", "words", "lead", "sets").agg(F.count(F.lit(1)).alias("n"))
+    led = votes.where(F.col("n") * 2 >= F.col("words")).groupBy("lid").agg(F.max(F.struct("sets", "lead")).alias("top"))
+    led = materialize(led.select("lid", F.col("top.lead").alias("lead")))
+    large = led.groupBy("lead").agg(F.min("lid").alias("hub"), F.count(F.lit(1)).alias("sets")).where(F.col("sets") >= GROUP_SETS)
+    found = led.join(large, "lead").drop("lead")
+    return materialize(firsts.select("lid", *PLACE, "sa", "sb").join(found, "lid"))
+
+
+def centred(members: DataFrame, words: DataFrame, similarity: tuple[int, int]) -> DataFrame:
+    """(lid, place, hub, s, diff): how each set of a group differs from the group's centre."""
+    p, q = similarity
+    told = members.select("lid", *PLACE, "hub", "sets").join(words, "lid")
+    common = told.select("hub", "sets", F.explode("k").alias("w")).groupBy("hub", "sets", "w").agg(F.count(F.lit(1)).alias("n"))
+    centre = common.where(F.col("n") * 2 > F.col("sets")).groupBy("hub").agg(F.collect_list("w").alias("centre"))
+    told = told.join(centre, "hub", "left").withColumn("centre", F.coalesce("centre", F.array().cast("array<bigint>")))
+    told = told.withColumn("diff", F.concat(F.array_except("k", "centre"), F.array_except("centre", "k")))
+    s = (F.size("diff") * (p + q) - F.size("k") * (q - p)).cast("bigint")
+    return materialize(told.select("lid", *PLACE, "hub", s.alias("s"), "diff"))
+
+
+def counted_links(members: DataFrame) -> DataFrame:
+    """(lid, there, n_links) of the links that follow from s alone: how many, and the
+    first place among the linked sets and the set itself."""
+    levels = members.groupBy("hub", "s").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(*PLACE)).alias("there"))
+    asked = levels.select("hub", (-F.col("s")).alias("at"), F.lit(True).alias("ask"), F.lit(0).cast("bigint").alias("n"),
+                          F.lit(None).cast(levels.schema["there"].dataType).alias("there"), "s")
+    points = levels.select("hub", F.col("s").alias("at"), F.lit(False).alias("ask"), "n", "there", "s").unionByName(asked)
+    upto = Window.partitionBy("hub").orderBy("at", "ask").rowsBetween(Window.unboundedPreceding, 0)
+    found = points.select("hub", "s", "ask", F.sum("n").over(upto).alias("n"), F.min("there").over(upto).alias("there")).where("ask")
+    out = members.select("lid", "hub", "s").join(found.drop("ask"), ["hub", "s"])
+    return out.select("lid", "there", (F.col("n") - (F.col("s") <= 0).cast("bigint")).alias("n_links"))
+
+
+def inner_links(members: DataFrame, similarity: tuple[int, int]) -> DataFrame:
+    """The links (a, b) within groups that do not follow from s alone, each made once, at
+    the first word that both differences have."""
+    p, q = similarity
+    rows = members.select("hub", "lid", "s", "diff", F.explode("diff").alias("w"))
+    a, b = rows.alias("a"), rows.alias("b")
+    far, shared = F.col("a.s") + F.col("b.s"), F.array_intersect("a.diff", "b.diff")
+    pairs = a.join(b, (F.col("a.hub") == F.col("b.hub")) & (F.col("a.w") == F.col("b.w")) & (F.col("a.lid") < F.col("b.lid"))
+                   & (far > 0) & (far <= F.least(F.size("a.diff"), F.size("b.diff")) * (2 * (p + q)))
+                   & (far <= F.size(shared) * (2 * (p + q))) & (F.get(shared, F.lit(0)) == F.col("a.w")))
+    return pairs.select(F.col("a.lid").alias("a"), F.col("b.lid").alias("b"))
+
+
 def candidates(firsts: DataFrame, similarity: tuple[int, int]) -> DataFrame:
-    """Distinct pairs (a, b), n(a) >= n(b), that pass all filters. Both sides are one
-    shuffle of the same rows."""
+    """Distinct pairs (a, b), n(a) >= n(b), of different groups (``hub``, if any) that pass
+    all filters. Both sides are one shuffle of the same rows."""
     p, q = similarity
-    rows = firsts.select("lid", "p0", "p1", F.posexplode("prefix").alias("pos", "key"), "n").select(
-        "key", "lid", "p0", "p1", (F.shiftleft("n", 32) + F.col("n") - F.col("pos")).alias("sizes"))
+    hub = F.col("hub") if "hub" in firsts.columns else F.col("lid")
+    rows = firsts.select("lid", hub.alias("hub"), "p0", "p1", F.posexplode("prefix").alias("pos", "key"), "n").select(
+        "key", "lid", "hub", "p0", "p1", (F.shiftleft("n", 32) + F.col("n") - F.col("pos")).alias("sizes"))
     a, b = rows.alias("a"), rows.alias("b")
     na, nb = F.shiftright("a.sizes", 32), F.shiftright("b.sizes", 32)
     ra, rb = (F.col(f"{s}.sizes").bitwiseAND(F.lit((1 << 32) - 1)) for s in "ab")
@@ -231,35 +307,41 @@ def candidates(firsts: DataFrame, similarity: tuple[int, int]) -> DataFrame:
     answers = (nb - rb < nb - _ceil(nb * 2, p, p + q) + 1) | (na < nb)
     apart = F.bit_count(F.col("a.p0").bitwiseXOR(F.col("b.p0"))) + F.bit_count(F.col("a.p1").bitwiseXOR(F.col("b.p1")))
     pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & (na >= nb) & (nb * q >= na * p) & answers
-                   & ((na > nb) | (F.col("a.lid") < F.col("b.lid")))
+                   & ((na > nb) | (F.col("a.lid") < F.col("b.lid"))) & (F.col("a.hub") != F.col("b.hub"))
                    & (F.least(ra, rb) >= need)
                    & (apart <= na + nb - need * 2))
     return materialize(pairs.select(F.col("a.lid").alias("a"), F.col("b.lid").alias("b")).distinct())
 
 
 def class_links(docs: DataFrame, similarity: tuple[int, int] = SIMILARITY):
-    """The lines, the sets that several lines have, the links (a, b) of classes, and
-    the places of all that may be linked."""
+    """The lines, the sets that several lines have, the links (a, b) of classes that are
+    not counted, those that are (``counted_links``), and the places of all that may be linked."""
     key = rarity_key(docs)
     lines = keyed_lines(docs, key, similarity)
     several = copies(lines)
     firsts = _classed(lines, several).where("cid = lid")
-    pairs = candidates(firsts, similarity)
-    named = pairs.select(F.col("a").alias("lid")).union(pairs.select("b")).distinct()
+    members = near_groups(firsts, similarity)
+    grouped = firsts.join(_checked(members.select("lid", "hub")), "lid", "left").withColumn("hub", F.coalesce("hub", "lid"))
+    pairs = candidates(grouped, similarity)
+    named = pairs.select(F.col("a").alias("lid")).union(pairs.select("b")).union(members.select("lid")).distinct()
     places = materialize(firsts.select("lid", *PLACE, "sa", "sb").join(named, "lid"))
-    return lines, several, materialize(verified(pairs, words_at(docs, key, places), similarity)), places
+    words = words_at(docs, key, places)
+    members = centred(members, words, similarity)
+    links = verified(pairs, words, similarity).unionByName(inner_links(members, similarity))
+    return lines, several, materialize(links), counted_links(members), places
 
 
 def duplicate_lines(docs: DataFrame, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
     """(doc_id, text_id, line_no, class_id, removed, n_links) of the lines that match another:
     removed where an equal or similar set stands earlier; n_links: other classes
     that are similar."""
-    lines, several, links, places = class_links(docs, similarity)
+    lines, several, links, counted, places = class_links(docs, similarity)
     at = F.struct(*PLACE)
     ends = links.select(F.col("a").alias("lid"), F.col("b").alias("other")).unionByName(
         links.select(F.col("b").alias("lid"), F.col("a").alias("other")))
     there = _checked(places.select(F.col("lid").alias("other"), at.alias("there")))
     per = ends.join(there, "other").groupBy("lid").agg(F.min("there").alias("there"), F.count(F.lit(1)).alias("n_links"))
+    per = per.unionByName(counted.where("n_links > 0")).groupBy("lid").agg(F.min("there").alias("there"), F.sum("n_links").alias("n_links"))
     # only linked sets and those of several lines match another line
     told = materialize(per.join(several.select(F.col("cid").alias("lid")), "lid", "full").select(
         "lid", "there", F.coalesce("n_links", F.lit(0)).alias("n_links")))

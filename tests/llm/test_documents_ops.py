@@ -367,6 +367,27 @@ def test_line_candidates_are_near(spark):
     assert "AS text_id" in joined.splitlines()[1]  # the texts stay out of the join
 
 
+def test_line_groups_are_counted(spark):
+    """Pairs of a group of near copies are counted and not written (before: each of them), also where groups are
+    near each other and their sets differ in much or in the same words."""
+    rng = random.Random(4)
+    base = [f"b{i}" for i in range(60)]
+    bases = [base, base[:54] + [f"c{i}" for i in range(6)], base[:30] + [f"d{i}" for i in range(30)]]
+    rows = []
+    for i in range(420):
+        w = list(bases[i % 7 // 3])
+        for _ in range(rng.choice([0, 1, 1, 2, 2, 3, 5, 8])):
+            w[rng.randrange(60)] = f"m{rng.randrange(9)}" if rng.random() < .3 else f"u{rng.randrange(10 ** 6)}"
+        rows.append((i, " ".join(w[:rng.choice([60, 60, 57])]) + rng.choice(["", "\nb1 b2"])))
+    d = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = Counter((r["doc_id"], r["n_lines"], tuple(r["removed_lines"]), r["n_removed"], r["n_links"]) for r in linedup.summary(d).collect())
+    assert got == brute_lines(rows)
+    links, counted = linedup.class_links(d)[2:4]
+    written, told = links.count(), counted.agg({"n_links": "sum"}).head()[0]
+    assert links.distinct().count() == written
+    assert told > 3 * written  # each counted pair twice
+
+
 def test_native_plans(spark, docs):
     """The native operators run no Python on their plans."""
     for df in (sharding.shard(docs, 1000), linedup.summary(docs.select("doc_id", "text"))):
